@@ -6,29 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import minhash, sentencepiece_bpe
+from graphloom.llm import html_text, minhash, sentencepiece_bpe, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return sentencepiece_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
         "op3_sentencepiece": op3_sentencepiece,
+        "op9_html_text": op9_html_text,
         "op10_minhash": op10_minhash,
     }
 
 
+OP2_SQL = """
+WITH rows AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), firsts AS (
+    SELECT payload_digest, min(page_id) AS first_id FROM rows WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT r.page_id, r.payload_bytes, r.payload_digest,
+       CASE WHEN f.first_id IS NOT NULL AND r.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN r.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM rows r LEFT JOIN firsts f ON r.payload_digest = f.payload_digest AND r.payload_bytes >= 100
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}
