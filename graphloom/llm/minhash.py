@@ -111,7 +111,7 @@ def _full_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, siz
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], ["node", "hashes"])
 
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    return texts.join(need, "node", "left_semi").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    return texts.join(need.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
 def _bayes(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -149,7 +149,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"s{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -170,6 +170,7 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
+# Joins by id are merged even where one side is small enough to broadcast now: it grows with the corpus.
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document.
 
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     sets = stored(_sets(docs, id_col, text_col, size), "minhash-sets")
     same = stored(sets.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "minhash-same")
-    member = sets.join(same, ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    member = sets.join(same.hint("merge"), ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = member.filter("n_shingles > 0 AND doc_id = rep").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"])
 
     bands = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = blocks.union(stars).distinct()
 
     sigs = reps.select("node", "sig")
-    signed = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    signed = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
     likely = stored(_bayes(signed, percent / 100, miss), "minhash-likely")
     need = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     links = stored(_confirm(likely, _full_sets(docs, need, id_col, text_col, size), percent), "minhash-links")
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     large = met.filter(f"n > {BLOCK}").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
     mixed = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    rest = stored(large.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct(), "minhash-rest")
+    rest = stored(large.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct(), "minhash-rest")  # empty unless a large bucket holds several components
     if not rest.isEmpty():
         full = stored(_full_sets(docs, rest.select("node"), id_col, text_col, size), "minhash-rest-sets")
         more = stored(_confirm(_prefix_pairs(full, rest, percent), full, percent), "minhash-more")
