@@ -27,17 +27,47 @@ WORD_BREAK = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _LOWER = "if(octet_length(w) = char_length(w), lower(w), translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
 
 
+def _words(text: str) -> str:
+    """SQL: the lower-cased words of a text."""
+    return f"transform(filter(split(coalesce({text}, ''), '{WORD_BREAK}'), w -> w <> ''), w -> {_LOWER})"
+
+
+def _ahead(a: str, by: int, how: str, b: str | None = None) -> str:
+    """SQL: ``how`` of each element x of an array and the element y ``by`` places on (of b, if given); null beyond the end."""
+    b = b or a
+    return f"zip_with({a}, slice({b}, {by + 1}, size({b})), (x, y) -> {how})"
+
+
 def _prepared(rows: DataFrame, text: str, gram: int, span: int) -> DataFrame:
-    """Adds row, words, hw (their hashes) and marks (places and hashes of the winnowed fingerprints)."""
-    wide = span - gram + 1
-    # filters on the marks stay above a column that is not deterministic, or their whole expression would be repeated for each element
-    rows = rows.withColumn("words", F.expr(f"transform(filter(split(coalesce({text}, ''), '{WORD_BREAK}'), w -> w <> ''), w -> {_LOWER})")).drop(text)
+    """Adds row, words, hw (their hashes) and marks (places and hashes of the winnowed fingerprints).
+
+    Hashes, minima and maxima over neighbouring elements are built up from spans
+    of two, four and so on, so an element costs a few steps whatever the text's
+    length is. Filters on the marks stay above the row number, which is not
+    deterministic; below it they would repeat the whole expression.
+    """
+    if gram != 5 or span != 10:
+        raise ValueError("the steps below are laid out for 5-word hashes in 10-word spans")
+    rows = rows.withColumn("words", F.expr(_words(text))).drop(text)
     rows = rows.withColumn("hw", F.expr("transform(words, w -> xxhash64(w))"))
-    rows = rows.withColumn("g", F.expr(f"if(size(hw) >= {span}, transform(sequence(1, size(hw) - {gram - 1}), i -> xxhash64(slice(hw, i, {gram}))), array())"))
-    rows = rows.withColumn("low", F.expr(f"if(size(g) = 0, array(), transform(sequence(1, size(g) - {wide - 1}), i -> array_min(slice(g, i, {wide}))))"))
-    # a hash is kept if it is the minimum of one of the windows it lies in
-    kept = f"filter(transform(g, (h, i) -> struct(i + 1 as pos, h as h, {gram} as len)), x -> x.h = array_max(slice(low, greatest(x.pos - {wide - 1}, 1), x.pos - greatest(x.pos - {wide - 1}, 1) + 1)))"
-    return rows.withColumn("marks", F.expr(kept)).drop("g", "low").withColumn("row", F.monotonically_increasing_id())
+    pair = "xxhash64(x, y)"
+    rows = rows.withColumn("h2", F.expr(_ahead("hw", 1, pair)))
+    rows = rows.withColumn("h4", F.expr(_ahead("h2", 2, pair))).drop("h2")
+    rows = rows.withColumn("g", F.expr(f"if(size(hw) >= {span}, slice({_ahead('h4', 4, pair, 'hw')}, 1, size(hw) - 4), array())")).drop("h4")
+    rows = rows.withColumn("m2", F.expr(_ahead("g", 1, "least(x, y)")))
+    rows = rows.withColumn("m4", F.expr(_ahead("m2", 2, "least(x, y)")))
+    rows = rows.withColumn("low", F.expr(f"if(size(g) > 0, concat(array_repeat(cast(null as long), 5), slice({_ahead('m4', 4, 'least(x, y)', 'm2')}, 1, size(g) - 5)), array())")).drop("m2", "m4")
+    # the largest minimum of the six windows around a hash: the hash itself if one of them keeps it
+    rows = rows.withColumn("m2", F.expr(_ahead("low", 1, "greatest(x, y)")))
+    rows = rows.withColumn("m4", F.expr(_ahead("m2", 2, "greatest(x, y)")))
+    rows = rows.withColumn("top", F.expr(_ahead("m4", 4, "greatest(x, y)", "m2"))).drop("m2", "m4", "low")
+    kept = f"filter(transform(zip_with(g, top, (x, y) -> if(x = y, x, null)), (h, i) -> struct(i + 1 as pos, h as h, {gram} as len)), x -> x.h is not null)"
+    return rows.withColumn("marks", F.expr(kept)).drop("g", "top").withColumn("row", F.monotonically_increasing_id()).filter("row >= 0")
+
+
+def _short(span: int) -> str:
+    """SQL: hash of all words of an item of fewer than ``span``."""
+    return "CASE size(hw) " + " ".join(f"WHEN {m} THEN xxhash64({', '.join(f'get(hw, {k})' for k in range(m))})" for m in range(1, span)) + " END"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_words: int = 1_000_000) -> DataFrame:
@@ -46,25 +76,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = items.filter("size(words) > 0 AND item IS NOT NULL").withColumnRenamed("words", "item_words")
     total, *short = items.select(F.size("item_words").alias("n")).groupBy(F.when(F.col("n") < span, F.col("n")).alias("m")).agg(F.sum("n").alias("words")).agg(F.sum("words"), F.collect_set("m")).first() or (0, [])
     short = sorted(short[0]) if short else []  # lengths below span: fewer than span values
-    marks = items.withColumn("marks", F.expr(f"if(size(item_words) < {span}, array(struct(1 as pos, xxhash64(slice(hw, 1, size(hw))) as h, size(hw) as len)), marks)"))
+    marks = items.withColumn("marks", F.expr(f"if(size(item_words) < {span}, array(struct(1 as pos, {_short(span)} as h, size(hw) as len)), marks)"))
     marks = marks.select("item", "item_words", F.explode("marks").alias("m")).select("item", "item_words", F.col("m.pos").alias("ipos"), F.col("m.h").alias("h"), F.col("m.len").alias("len"))
     if (total or 0) <= broadcast_words:
         marks = F.broadcast(marks)
 
-    rows = _prepared(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")), "doc_text", gram, span)
-    extra = "".join(f", if(size(hw) >= {m}, transform(sequence(1, size(hw) - {m - 1}), i -> struct(i as pos, xxhash64(slice(hw, i, {m})) as h, {m} as len)), array())" for m in short)
-    rows = rows.select("row", "doc_id", "words", F.explode(F.expr(f"concat(marks{extra}, array(struct(0 as pos, 0L as h, 0 as len)))")).alias("d"))  # place 0 stands for the document itself
-    rows = rows.select("row", "doc_id", "words", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"))
+    rows = _prepared(source, "doc_text", gram, span)
+    extra = "".join(f", if(size(hw) >= {m}, transform(sequence(1, size(hw) - {m - 1}), i -> struct(i as pos, xxhash64({', '.join(f'get(hw, i + {k - 1})' for k in range(m))}) as h, {m} as len)), array())" for m in short)
+    rows = rows.select("doc_id", F.size("words").alias("n_words"), F.expr(f"concat(marks{extra}, array(struct(0 as pos, 0L as h, 0 as len)))").alias("marks"))  # place 0 stands for the document itself
+    rows = rows.select("doc_id", "n_words", F.explode("marks").alias("d")).select("doc_id", "n_words", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
     hits = rows.join(marks, ["h", "len"], "left").filter("item IS NOT NULL OR pos = 0")
+    hits = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("item").isNotNull(), F.struct("item", "item_words", "pos", "ipos"))).alias("hits"))
 
-    low, high = f"greatest(ipos - {span - gram}, ipos - pos + 1, 1)", f"least(ipos, size(item_words) - {span - 1}, size(words) - pos + ipos - {span - 1})"
-    same = f"filter(if({low} <= {high}, sequence({low}, {high}), array()), j -> slice(words, pos - ipos + j, {span}) = slice(item_words, j, {span}))"
-    spans = f"""CASE WHEN item IS NULL THEN array()
-        WHEN size(item_words) < {span} THEN if(slice(words, pos, len) = item_words, array(struct(pos as at, len as n)), array())
-        ELSE transform({same}, j -> struct(pos - ipos + j as at, {span} as n)) END"""
-    found = hits.select("row", "doc_id", F.size("words").alias("n_words"), "item", F.expr(spans).alias("spans"))
-    found = found.select("row", "doc_id", "n_words", F.when(F.size("spans") > 0, F.col("item")).alias("item"), F.explode_outer("spans").alias("span")).filter("item IS NOT NULL OR span IS NULL")
-    merged = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    hit = "aggregate(spans, struct(0L as covered, 0 as until), (a, s) -> struct(a.covered + greatest(s.at + s.n - greatest(s.at, a.until), 0) as covered, greatest(a.until, s.at + s.n) as until), a -> a.covered)"
+    # back to the texts, which alone are long: words are compared only in documents with hits
+    both = source.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    both = both.select("doc_id", "n_words", "hits", F.expr(f"if(size(hits) > 0, {_words('doc_text')}, array())").alias("words"))
+    low, high = f"greatest(x.ipos - {span - gram}, x.ipos - x.pos + 1, 1)", f"least(x.ipos, size(x.item_words) - {span - 1}, size(words) - x.pos + x.ipos - {span - 1})"
+    same = f"filter(if({low} <= {high}, sequence({low}, {high}), array()), j -> forall(sequence(0, {span - 1}), k -> get(words, x.pos - x.ipos + j + k - 1) = get(x.item_words, j + k - 1)))"
+    spans = f"""flatten(transform(hits, x -> if(size(x.item_words) < {span},
+        if(forall(sequence(0, size(x.item_words) - 1), k -> get(words, x.pos + k - 1) = get(x.item_words, k)), array(struct(x.pos as at, size(x.item_words) as n, x.item as item)), array()),
+        transform({same}, j -> struct(x.pos - x.ipos + j as at, {span} as n, x.item as item)))))"""
+    merged = both.select("doc_id", "n_words", F.expr(spans).alias("spans"))
+    merged = merged.select("doc_id", "n_words", F.expr("array_sort(array_distinct(transform(spans, s -> struct(s.at, s.n))))").alias("places"), F.expr("array_sort(array_distinct(transform(spans, s -> s.item)))").alias("items"))
+    hit = "aggregate(places, struct(0L as covered, 0 as until), (a, s) -> struct(a.covered + greatest(s.at + s.n - greatest(s.at, a.until), 0) as covered, greatest(a.until, s.at + s.n) as until), a -> a.covered)"
     out = merged.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.expr(hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
