@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, html_text, kneser_ney, minhash, quality, sentencepiece_bpe, warc
+from graphloom.llm import decontaminate, html_text, kneser_ney, language, minhash, quality, sentencepiece_bpe, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_of_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_warc": op2_warc,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_language": op4_language,
         "op7_decontaminate": op7_decontaminate,
         "op8_kneser_ney": op8_kneser_ney,
         "op9_html_text": op9_html_text,
