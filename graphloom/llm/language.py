@@ -10,7 +10,7 @@ occurs. The language with the lowest cross-entropy per character wins.
 
 Rejection is calibrated on sampled documents that the counting leaves out: for each
 language the cross-entropy that all but ``miss`` of its documents stay below, with
-a tenth of slack, and more for short texts.
+three tenths of slack, and more for short texts.
 
 Defined cases: a text that is null or has no letter is ``und``, with score 0, and
 rejected; without labelled rows everything is ``und``; ties go to the first
