@@ -8,8 +8,8 @@ substrings equal interior symbols without talking to each other.
 
 A symbol is settled inside a window if the words that decide how it was formed
 all lie in the window; then every occurrence of the window has it at the same
-place. Each window picks its longest settled symbol (by name on ties), or its
-first word if it has none. Spark counts the picked symbols over all documents:
+place. Each window picks a settled symbol of the latest round (the longest, by name
+on ties), or its first word if it has none. Spark counts the picked symbols over all documents:
 
 1. symbols picked in two documents or more go to a sorted array in the shared
    folder;
@@ -39,7 +39,7 @@ from graphloom.llm import textops as T
 from graphloom.llm.shared import new_path, stored
 from graphloom.llm.sorted_table import open_table, write_table
 
-ROUNDS = 5
+ROUNDS = 3
 _RUN, _PAIR, _WORD = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 FIRST = {"d2": "u8", "doc": "i8"}
 
@@ -66,7 +66,7 @@ def _runs(words: np.ndarray, text: np.ndarray) -> _Symbols:
 
 def _pairs(s: _Symbols, level: int) -> tuple[_Symbols, np.ndarray]:
     """The next level, and which of its symbols are new."""
-    left = (T.mix(s.names + np.uint64(level) * _WORD) & np.uint64(1)).astype(bool)
+    left = (T.mix(s.names + np.uint64(level * int(_WORD) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(bool)
     n = len(left)
     meets = np.zeros(n, bool)
     meets[:-1] = left[:-1] & ~left[1:] & (s.text[1:] == s.text[:-1])
@@ -90,27 +90,27 @@ def _pairs(s: _Symbols, level: int) -> tuple[_Symbols, np.ndarray]:
 def picked(words: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     """Name of the symbol that each window picks; for places where no window starts, what stands there is of no use."""
     n = len(words)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    best, rank = T.mix(words ^ _WORD), np.zeros(n, np.uint64)
-    level = _runs(words, text)
+    level = _runs(words, np.repeat(np.arange(len(first) - 1), np.diff(first)))
     new = np.ones(len(level.names), bool)
+    levels = []
     for k in range(1, ROUNDS + 2):
         use = np.flatnonzero(new & (level.high - level.low <= size))
-        # longer symbols first, then by name
-        order = (level.stop[use] - level.start[use]).astype(np.uint64) << np.uint64(58) | level.names[use] >> np.uint64(6)
-        low, high, names = level.low[use], level.high[use], level.names[use]
+        levels.append((level.low[use], level.high[use], (level.stop[use] - level.start[use]).astype(np.uint64) << np.uint64(58) | level.names[use] >> np.uint64(6), level.names[use]))
+        if k > ROUNDS or len(level.names) < 2:
+            break
+        level, new = _pairs(level, k)
+    best, rank = T.mix(words ^ _WORD), np.zeros(n, np.uint64)
+    open_ = np.ones(n, bool)
+    for low, high, order, names in reversed(levels):  # symbols of later rounds first, then longer ones, then by name
         for shift in range(size):
             at = low - shift
             ok = (at + size >= high) & (at >= 0)
-            if not ok.any():
-                break
+            ok[ok] = open_[at[ok]]
             at, by, to = at[ok], order[ok], names[ok]
             np.maximum.at(rank, at, by)
             won = rank[at] == by
             best[at[won]] = to[won]
-        if k > ROUNDS or len(level.names) < 2:
-            break
-        level, new = _pairs(level, k)
+        open_ = rank == 0
     return best
 
 
@@ -119,7 +119,7 @@ def _windows(counts: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     return T.ranges(first[:-1], np.maximum(counts - size + 1, 0))
 
 
-def _chunks(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
+def _chunks(batch: pa.RecordBatch, size: int, symbols: bool = True) -> Iterator[tuple]:
     """For runs of documents of an Arrow batch (id, text): rows, bytes, word places and hashes, windows and their symbols."""
     buf, offsets = T.string_buffer(batch.column(1))
     for i, j in T.chunks(offsets):
@@ -127,7 +127,7 @@ def _chunks(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
         starts, ends, first = T.words(part, offsets[i : j + 1] - offsets[i])
         words = T.word_hashes(part, starts, ends)
         windows = _windows(np.diff(first), first, size)
-        names = picked(words, first, size)[windows] if len(windows) else np.zeros(0, np.uint64)
+        names = picked(words, first, size)[windows] if symbols and len(windows) else np.zeros(0, np.uint64)
         yield i, j, part, starts, ends, first, words, windows, names
 
 
@@ -196,13 +196,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = open_table(first_path, first_counts, FIRST)
-        symbols = open_table(shared_path, shared_counts, {})
         for batch in batches:
             ids, null = _ids(batch), np.asarray(batch.column(0).is_null())
             n_words, n_removed, digests, texts = [], [], [], []
-            for i, j, part, starts, ends, first, words, windows, names in _chunks(batch, size):
-                unique, back = np.unique(names, return_inverse=True)
-                windows = windows[(symbols.find(unique)[0] >= 0)[back]]
+            for i, j, part, starts, ends, first, words, windows, _ in _chunks(batch, size, symbols=False):
                 d1, d2 = _digests(words, windows, size)
                 place, other, doc = table.find(d1, "d2", "doc")
                 row = i + np.searchsorted(first, windows, "right") - 1
