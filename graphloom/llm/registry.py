@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, html_text, kneser_ney, language, minhash, quality, recompression, sentencepiece_bpe, warc
+from graphloom.llm import decontaminate, html_text, kneser_ney, language, minhash, quality, recompression, sentencepiece_bpe, suffix_array, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_language": op4_language,
+        "op5_suffix_array": op5_suffix_array,
         "op6_recompression": op6_recompression,
         "op7_decontaminate": op7_decontaminate,
         "op8_kneser_ney": op8_kneser_ney,
