@@ -1,13 +1,71 @@
-"""Corpus pipeline: language ID, near-dedup, repeat removal, decontamination, tokenising."""
+"""Corpus pipeline: language ID, near-dedup, repeat removal, decontamination, tokenising.
+
+Each stage works on all that the one before it kept. The first and the second drop
+documents, the third cuts repeated strings out of texts (a document stays, if need
+be with an empty text; a character cut in half goes), the fourth drops
+contaminated documents, the last encodes and decodes what is left. Rows with a
+null id pass the stages that compare documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate, language, minhash, sentencepiece_bpe, suffix_array
+from graphloom.llm.shared import stored
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose ids are not in gone; merged, as the list grows with the corpus."""
+    return docs.join(gone.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that language identification rejects."""
+    marked = language.with_held_out(docs.select("doc_id", "text", "lang"))
+    models = language.train(marked.filter("NOT held_out").select("doc_id", "text", "lang"))
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return language.identify(docs, models, keep=rest).filter("NOT rejected").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of each group of near duplicates."""
+    return _without(docs, minhash.near_duplicates(docs).filter("NOT kept"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out the bytes of 100-byte strings that start earlier, too."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    left = suffix_array.remove_repeats(docs, keep_text=True, carry=rest)
+    return left.select("doc_id", F.col("kept").alias("text"), *rest).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that share ten words with a benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.filter("contaminated"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes each text with the SentencePiece model, and decodes it again."""
+    return sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", keep_known_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("sentencepiece", tokenise),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents; each stage's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

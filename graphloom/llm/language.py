@@ -211,6 +211,7 @@ def identify(docs: DataFrame, models: CharModels, *, id_col: str = "doc_id", tex
     """The id and kept columns, lang_pred, score (0 to 1), entropy (nats a character) and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     columns = [id_col, *keep]
+    at = columns.index(text_col) if text_col in columns else len(columns)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ def identify(docs: DataFrame, models: CharModels, *, id_col: str = "doc_id", tex
         scorer = _scorer(models)
         for batch in batches:
             rows = []
-            for text in batch.column(len(columns)).to_pylist():
+            for text in batch.column(at).to_pylist():
                 n, h = scorer.entropies(text) if text and models.languages else (0, None)
                 if not n:
                     rows.append(("und", 0.0, None, True))
@@ -230,7 +231,7 @@ def identify(docs: DataFrame, models: CharModels, *, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), *arrays], [*columns, "lang_pred", "score", "entropy", "rejected"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return docs.select(*columns, text_col).mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+    return docs.select(*columns, *[text_col][: at == len(columns)]).mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def with_held_out(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 4, held: int = 2) -> DataFrame:

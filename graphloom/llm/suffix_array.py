@@ -309,11 +309,11 @@ def _merged(survivors: DataFrame) -> DataFrame:
     return survivors.repartitionByRange("window").sortWithinPartitions("window", "doc", "start").mapInArrow(run, "key long, m1 long, m2 long")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), and with keep_text the remaining bytes."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), with keep_text the remaining text (null stays null, a character cut in half goes), and the carried columns."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = rows.filter("doc_id IS NOT NULL")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    known = rows.filter("doc_id IS NOT NULL").select("doc_id", "text")
     paths = {name: new_path(spark, f"suffix-{name}") for name in ("anchors", "edges", "docs", "found")}
     anchors = write_table(stored(_anchors(known).filter("n > 1").select("key"), "suffix-shared"), paths["anchors"], {})
     met = stored(_contexts(known, paths["anchors"], anchors), "suffix-contexts")
@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = open_table(found_path, found_counts, FOUND)
         for batch in batches:
-            null = np.asarray(batch.column(0).is_null())
+            null, no_text = np.asarray(batch.column(0).is_null()), batch.column(1).is_null().to_pylist()
             n_bytes, n_removed, n_spans, digests, texts = [], [], [], [], []
             for i, j, buf, own, anchor, key, first, last, doc, at, text in _batches_of(batch):
                 place, named, d, a, m1, m2 = table.find(key, "anchor", "doc", "at", "m1", "m2")
@@ -363,11 +363,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     n_removed.append(e - b - len(kept))
                     n_spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if e > b else 0)
                     digests.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept if keep_text else None)
+                    texts.append(kept.decode("utf-8", "ignore") if keep_text and not no_text[i + k] else None)
             arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(texts, pa.binary())] if keep_text else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
+            arrays += [pa.array(texts, pa.string())] * keep_text + batch.columns[2:]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text, *carry])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+    extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "") + extra)
 
 
 def _mix_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
