@@ -32,62 +32,71 @@ from pyspark.sql import functions as F
 ORDER = 5
 START, STOP = "\x02", "\x03"
 #: Words a worker remembers; beyond, it starts anew.
-MEMO = 200_000
+MEMO = 600_000
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the ``order`` codes that end at each place (the first places hash fewer and must not be used)."""
-    h = np.full(len(codes), order * 0x632BE5AB + 1, np.uint64)
-    for k in range(order - 1, -1, -1):
-        shifted = np.zeros_like(codes)
-        shifted[k:] = codes[: len(codes) - k]
-        h = (h ^ shifted) * _PRIME
-        h ^= h >> np.uint64(29)
+def longer_hashes(shorter: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hash of the gram that ends at each place, from the hashes of the grams one shorter that end before it."""
+    before = np.empty_like(shorter)
+    before[0], before[1:] = _PRIME, shorter[:-1]
+    h = (before ^ codes) * _PRIME
+    h ^= h >> np.uint64(29)
     return h
 
 
+def _first_hashes(n: int) -> np.ndarray:
+    return np.full(n, _PRIME, np.uint64)
+
+
 def string_hash(gram: str) -> int:
-    return int(gram_hashes(np.array([ord(c) for c in gram], np.uint64), len(gram))[-1])
+    h = _first_hashes(len(gram))
+    codes = np.array([ord(c) for c in gram], np.uint64)
+    for _ in gram:
+        h = longer_hashes(h, codes)
+    return int(h[-1])
 
 
 class CharModels:
-    """Sorted hash arrays of all languages: discounted shares of the grams, and weights of the shorter context."""
+    """For each gram length, sorted hash arrays of all languages: discounted shares, and the weights of the shorter gram after it."""
 
     def __init__(self, languages: list[str], grams: dict[str, np.ndarray], contexts: dict[str, np.ndarray], letters: int) -> None:
         self.languages, self.floor = languages, 1.0 / max(letters, 1)
-        self.grams, self.shares = self._sorted(grams)
-        self.contexts, self.weights = self._sorted(contexts)
+        self.levels = []
+        none, one = np.zeros(len(languages), np.float32), np.ones(len(languages), np.float32)
+        for n in range(1, ORDER + 1):
+            names = sorted({g for g in (*grams, *contexts) if len(g) == n})
+            keys = np.array([string_hash(g) for g in names], np.uint64)
+            order = np.argsort(keys)
+            table = [np.array([t.get(g, d) for g in names], np.float32).reshape(len(names), len(languages))[order] for t, d in ((grams, none), (contexts, one))]
+            self.levels.append((keys[order], *table))
+        self.start = np.array(contexts.get("", one), np.float32)
         self.limits = np.full(len(languages), np.inf)
 
-    def _sorted(self, table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array([string_hash(g) if g else 0 for g in table], np.uint64)
-        values = np.array(list(table.values()), np.float32).reshape(len(keys), len(self.languages))
-        order = np.argsort(keys)
-        return keys[order], values[order]
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked), bool), np.zeros((len(asked), values.shape[1]), np.float32)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return keys[at] == asked, values[at]
-
     def word_losses(self, words: list[str]) -> np.ndarray:
         """Negative log probability of each word in each language, summed over its letters and end."""
         marked = START + (STOP + START).join(words) + STOP
         codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
         first = np.flatnonzero(codes == ord(START))
         depth = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
-        p = np.full((len(codes), len(self.languages)), self.floor)
-        for n in range(1, ORDER + 1):
-            use = np.flatnonzero(depth >= max(n - 1, 1))
-            grams = gram_hashes(codes, n)[use]
-            contexts = gram_hashes(codes, n - 1)[use - 1] if n > 1 else np.zeros(len(use), np.uint64)
-            known, weight = self._find(self.contexts, self.weights, contexts)
-            seen, share = self._find(self.grams, self.shares, grams)
-            p[use] = np.where(known[:, None], weight * p[use] + np.where(seen[:, None], share, 0.0), p[use])
+        p = np.full((len(codes), len(self.languages)), self.floor, np.float32)
+        hashes = _first_hashes(len(codes))
+        use, weight = np.arange(len(codes)), np.broadcast_to(self.start, p.shape)
+        for n, (keys, shares, weights) in enumerate(self.levels, 1):
+            hashes = longer_hashes(hashes, codes)
+            if not len(keys) or not len(use):
+                break
+            asked = hashes[use]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            seen = keys[at] == asked
+            p[use] *= weight
+            p[use[seen]] += shares[at[seen]]
+            # a gram is the context of the next place in the same word
+            ahead = use[seen] + 1
+            on = ahead < len(codes)
+            on[on] = depth[ahead[on]] > 0
+            use, weight = ahead[on], weights[at[seen][on]]
         loss = -np.log(p)
         loss[first] = 0.0
         return np.add.reduceat(loss, first, axis=0)
@@ -102,31 +111,34 @@ class Scorer:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.losses = np.zeros((0, len(self.models.languages)))
+        self.losses = np.zeros((0, len(self.models.languages)), np.float32)
         self.sizes = np.zeros(0, np.int64)
 
-    def entropies(self, text: str) -> tuple[int, np.ndarray]:
-        """Number of characters predicted, and cross-entropy per character in each language."""
-        words = _LETTERS(text.lower())
-        if len(self.index) > MEMO:
-            self.reset()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if new:
-            at = len(self.index)
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                losses = self.models.word_losses(part)
-                if at + len(part) > len(self.losses):
-                    grow = max(at + len(part), 2 * len(self.losses), 4096)
-                    self.losses = np.concatenate((self.losses[:at], np.zeros((grow - at, losses.shape[1]))))
-                    self.sizes = np.concatenate((self.sizes[:at], np.zeros(grow - at, np.int64)))
-                self.losses[at : at + len(part)] = losses
-                self.sizes[at : at + len(part)] = [len(w) + 1 for w in part]
-                self.index.update(zip(part, range(at, at + len(part))))
-                at += len(part)
-        ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        n = int(self.sizes[ids].sum())
-        return n, self.losses[ids].sum(axis=0) / max(n, 1)
+    def entropies(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each text the number of characters predicted, and the cross-entropy per character in each language."""
+        for k in range(0, len(texts), 128):
+            found = [_LETTERS(t.lower()) if t else [] for t in texts[k : k + 128]]
+            if len(self.index) > MEMO:
+                self.reset()
+            self._learn(list(set().union(*found).difference(self.index)))
+            for words in found:
+                ids = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                n = int(self.sizes[ids].sum())
+                yield n, self.losses[ids].sum(axis=0, dtype=np.float64) / max(n, 1)
+
+    def _learn(self, new: list[str]) -> None:
+        at = len(self.index)
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            losses = self.models.word_losses(part)
+            if at + len(part) > len(self.losses):
+                grow = max(at + len(part), 5 * len(self.losses) // 4, 4096)
+                self.losses = np.concatenate((self.losses[:at], np.zeros((grow - at, losses.shape[1]), np.float32)))
+                self.sizes = np.concatenate((self.sizes[:at], np.zeros(grow - at, np.int64)))
+            self.losses[at : at + len(part)] = losses
+            self.sizes[at : at + len(part)] = [len(w) + 1 for w in part]
+            self.index.update(zip(part, range(at, at + len(part))))
+            at += len(part)
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -192,8 +204,7 @@ def train(labelled: DataFrame, *, docs_per_language: int = 2000, miss: float = 0
         scorer = _scorer(shared.value)
         for batch in batches:
             langs, values = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, h = scorer.entropies(text)
+            for lang, (n, h) in zip(batch.column(0).to_pylist(), scorer.entropies(batch.column(1).to_pylist())):
                 if n >= 20:
                     langs.append(lang)
                     values.append(float(h[of[lang]]) - 8.0 / n)
@@ -219,8 +230,8 @@ def identify(docs: DataFrame, models: CharModels, *, id_col: str = "doc_id", tex
         scorer = _scorer(models)
         for batch in batches:
             rows = []
-            for text in batch.column(at).to_pylist():
-                n, h = scorer.entropies(text) if text and models.languages else (0, None)
+            texts = batch.column(at).to_pylist()
+            for n, h in scorer.entropies(texts) if models.languages else ((0, None) for _ in texts):
                 if not n:
                     rows.append(("und", 0.0, None, True))
                     continue

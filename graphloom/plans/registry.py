@@ -1,11 +1,689 @@
-"""Registry of the library's queries and of their oracle SQL."""
+"""Registry of the library's queries and of their oracle SQL.
+
+Each query applies an operator to facts derived from the whole tables
+(``graphloom.plans.facts``).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import names as N
+from graphloom.operators import changes as C
+from graphloom.operators import graph as G
+from graphloom.operators import packages as P
+from graphloom.operators import records as R
+from graphloom.operators import relations as L
+from graphloom.operators import search as S
+from graphloom.plans.facts import ctes, fact
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, facts: tuple[str, ...] = ()) -> Callable:
+    """Register a function of (get, spark), where get(name) is a fact; sql goes below the facts' WITH clause."""
+
+    def register(f: Callable) -> Callable:
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf_dir: f(lambda n: fact(spark, sf_dir, n), spark)
+        if sql is not None:
+            _ORACLE[name] = (ctes(*facts) + sql) if facts else sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLE)
+
+
+def _joined(column: str) -> F.Column:
+    """Arrays are compared as text."""
+    return F.array_join(column, ",").alias(column)
+
+
+SUMMARY_SQL = """,
+base AS (SELECT package, sum(CASE WHEN is_test THEN 0 ELSE 1 END) AS go_files, sum(CASE WHEN is_test THEN 1 ELSE 0 END) AS test_files
+         FROM (SELECT DISTINCT package, file, file LIKE '%_test.go' AS is_test FROM symbols) GROUP BY package),
+named AS (SELECT package, count(*) AS n FROM symbols WHERE NOT file LIKE '%\\_test.go' ESCAPE '\\' GROUP BY package),
+own AS (SELECT DISTINCT package, import_path FROM imports WHERE NOT is_test),
+used AS (SELECT package, count(*) AS n, sum(CASE WHEN import_path LIKE '.%' THEN 1 ELSE 0 END) AS l FROM own GROUP BY package),
+backs AS (SELECT import_path AS package, count(*) AS n FROM own WHERE package <> import_path GROUP BY import_path),
+summary AS (SELECT b.package, CAST(go_files AS BIGINT) AS go_files, CAST(test_files AS BIGINT) AS test_files, coalesce(n.n, 0) AS symbols, coalesce(u.n, 0) AS imports,
+                   CAST(coalesce(u.l, 0) AS BIGINT) AS local_imports, CAST(coalesce(u.n, 0) - coalesce(u.l, 0) AS BIGINT) AS external_imports, coalesce(k.n, 0) AS imported_by, test_files > 0 AS has_tests
+            FROM base b LEFT JOIN named n ON b.package = n.package LEFT JOIN used u ON b.package = u.package LEFT JOIN backs k ON b.package = k.package)
+"""
+SUMMARY_FACTS = ("symbols", "imports")
+
+
+def _summary(get: Callable) -> DataFrame:
+    symbols = get("symbols")
+    files = symbols.select("package", "file", N.is_test_file(F.col("file")).alias("is_test")).distinct()
+    return P.package_summary(files, symbols, get("imports"))
+
+
+@_query(SUMMARY_SQL + "SELECT * FROM summary", SUMMARY_FACTS)
+def package_summary(get, spark):
+    return _summary(get)
+
+
+def _signal(name: str, score: str, order: str, limit: int, where: str = "score > 0") -> None:
+    sql = SUMMARY_SQL + f"SELECT package, score FROM (SELECT *, {score} AS score FROM summary) WHERE {where} ORDER BY score DESC, {order} package LIMIT {limit}"
+    full = "imported_by DESC, local_imports DESC, external_imports DESC, symbols DESC,"
+
+    def run(get, spark):
+        return getattr(P, name)(_summary(get)).select("package", F.col("score").cast("long").alias("score"))
+
+    run.__name__ = name
+    _query(sql.replace("ORDER_BY", full), SUMMARY_FACTS)(run)
+
+
+_FULL = "imported_by DESC, local_imports DESC, external_imports DESC, symbols DESC,"
+_signal("most_coupled", "imported_by + local_imports", _FULL, 5)
+_signal("high_fan_in", "imported_by", _FULL, 5)
+_signal("high_fan_out", "local_imports", _FULL, 5)
+_signal("largest", "symbols", _FULL, 5)
+_signal("leaves", "imported_by", _FULL, 10, "local_imports = 0")
+_signal("hotspots", "100 * imported_by + 25 * local_imports + symbols", "imported_by DESC, local_imports DESC, symbols DESC,", 5)
+
+
+@_query(
+    """, own AS (SELECT DISTINCT package, import_path FROM imports),
+    used AS (SELECT package, string_agg(import_path, ',' ORDER BY import_path) AS imports,
+                    coalesce(string_agg(import_path, ',' ORDER BY import_path) FILTER (WHERE import_path LIKE '.%'), '') AS local_imports,
+                    coalesce(string_agg(import_path, ',' ORDER BY import_path) FILTER (WHERE import_path NOT LIKE '.%'), '') AS external_imports FROM own GROUP BY package),
+    backs AS (SELECT import_path AS p, string_agg(package, ',' ORDER BY package) AS used_by FROM own WHERE package <> import_path GROUP BY import_path)
+    SELECT package, imports, local_imports, external_imports, coalesce(used_by, '') AS used_by FROM used LEFT JOIN backs ON package = p""",
+    ("imports",),
+)
+def dependencies(get, spark):
+    return P.dependencies(get("imports")).select("package", *(_joined(c) for c in ("imports", "local_imports", "external_imports", "used_by")))
+
+
+CLOSURE_SQL = """, known AS (SELECT DISTINCT package FROM imports),
+edge AS (SELECT DISTINCT package AS src, import_path AS dst FROM imports WHERE package <> import_path AND import_path IN (SELECT package FROM known)),
+reach(src, dst) AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON r.dst = e.src),
+cyc AS (SELECT a.src, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+comp AS (SELECT component, CAST(count(*) AS INTEGER) AS size, string_agg(src, ',' ORDER BY src) AS members FROM cyc GROUP BY component HAVING count(*) > 1)
+"""
+
+
+def _import_edges(get: Callable) -> DataFrame:
+    return P.local_edges(get("imports")).select(F.col("package").alias("src"), F.col("imported").alias("dst"))
+
+
+@_query(CLOSURE_SQL + "SELECT component, size, members FROM comp", ("imports",))
+def dependency_cycles(get, spark):
+    return G.cycles(_import_edges(get)).select("component", "size", _joined("members"))
+
+
+@_query(CLOSURE_SQL + "SELECT src, dst FROM reach", ("imports",))
+def import_closure(get, spark):
+    return G.closure(_import_edges(get))
+
+
+@_query(
+    SUMMARY_SQL
+    + CLOSURE_SQL
+    + """, stats AS (SELECT package, sum(CASE WHEN regexp_matches(name, '^[A-Z]') THEN 1 ELSE 0 END) AS exported, sum(CASE WHEN kind = 'interface' THEN 1 ELSE 0 END) AS interfaces
+                    FROM symbols WHERE NOT file LIKE '%\\_test.go' ESCAPE '\\' GROUP BY package),
+    scored AS (SELECT s.package, CASE WHEN c.src IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN imported_by >= 5 THEN 3 WHEN imported_by >= 2 THEN 2 WHEN imported_by = 1 THEN 1 ELSE 0 END
+          + CASE WHEN local_imports >= 5 THEN 2 WHEN local_imports > 0 THEN 1 ELSE 0 END + CASE WHEN symbols >= 20 THEN 2 WHEN symbols >= 8 THEN 1 ELSE 0 END
+          + CASE WHEN exported >= 10 THEN 2 WHEN exported > 0 THEN 1 ELSE 0 END + CASE WHEN interfaces >= 3 THEN 2 WHEN interfaces > 0 THEN 1 ELSE 0 END AS score
+        FROM summary s LEFT JOIN stats t ON s.package = t.package LEFT JOIN (SELECT src FROM cyc JOIN comp ON cyc.component = comp.component) c ON s.package = c.src)
+    SELECT package, CAST(score AS INTEGER) AS score, CASE WHEN score >= 7 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM scored WHERE score > 0""",
+    SUMMARY_FACTS,
+)
+def package_risk(get, spark):
+    cyclic = G.cycles(_import_edges(get)).select(F.explode("members").alias("package"))
+    return P.package_risk(_summary(get), get("symbols"), cyclic).select("package", "score", "level")
+
+
+@_query(
+    SUMMARY_SQL
+    + CLOSURE_SQL
+    + """, k AS (SELECT (SELECT count(*) FROM comp) AS cycles, (SELECT max(imported_by) FROM summary) AS fi, (SELECT max(local_imports) FROM summary) AS fo,
+            (SELECT count(*) FROM symbols WHERE regexp_matches(name, '^[A-Z]') AND NOT file LIKE '%\\_test.go' ESCAPE '\\') AS ex,
+            (SELECT count(*) FROM symbols WHERE kind = 'interface' AND NOT file LIKE '%\\_test.go' ESCAPE '\\') AS ifs, (SELECT count(*) FROM events) AS t)
+    SELECT 'cycles' AS factor, 4 AS points FROM k WHERE cycles > 0
+    UNION ALL SELECT 'fan_in', CASE WHEN fi >= 5 THEN 3 ELSE 1 END FROM k WHERE fi > 0 UNION ALL SELECT 'fan_out', CASE WHEN fo >= 5 THEN 2 ELSE 1 END FROM k WHERE fo > 0
+    UNION ALL SELECT 'public_api', CASE WHEN ex >= 10 THEN 3 ELSE 1 END FROM k WHERE ex > 0 UNION ALL SELECT 'interfaces', CASE WHEN ifs >= 3 THEN 2 ELSE 1 END FROM k WHERE ifs > 0
+    UNION ALL SELECT 'tests', CASE WHEN t = 0 THEN 1 ELSE 0 END FROM k""",
+    SUMMARY_FACTS,
+)
+def repository_risk(get, spark):
+    return P.repository_risk(_summary(get), get("symbols"), G.cycles(_import_edges(get)), get("tests"))
+
+
+@_query(
+    """ SELECT count(*) AS symbols, sum(CASE WHEN kind = 'function' THEN 1 ELSE 0 END)::BIGINT AS functions, sum(CASE WHEN kind = 'method' THEN 1 ELSE 0 END)::BIGINT AS methods,
+        sum(CASE WHEN kind = 'struct' THEN 1 ELSE 0 END)::BIGINT AS structs, sum(CASE WHEN kind = 'interface' THEN 1 ELSE 0 END)::BIGINT AS interfaces, sum(CASE WHEN kind = 'alias' THEN 1 ELSE 0 END)::BIGINT AS aliases,
+        sum(CASE WHEN regexp_matches(name, '^[A-Z]') THEN 1 ELSE 0 END)::BIGINT AS exported,
+        sum(CASE WHEN file LIKE '%\\_test.go' ESCAPE '\\' OR (kind = 'function' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)')) THEN 1 ELSE 0 END)::BIGINT AS tests FROM symbols""",
+    ("symbols",),
+)
+def symbol_totals(get, spark):
+    return P.symbol_totals(get("symbols"))
+
+
+@_query(
+    """ SELECT symbol_id, priority FROM (SELECT *, CASE kind WHEN 'interface' THEN 0 WHEN 'struct' THEN 1 WHEN 'function' THEN 2 WHEN 'method' THEN 3 ELSE 4 END AS priority FROM symbols WHERE regexp_matches(name, '^[A-Z]'))
+        ORDER BY priority, package, name, file, line LIMIT 10""",
+    ("symbols",),
+)
+def important_symbols(get, spark):
+    return P.important_symbols(get("symbols")).select("symbol_id", "priority")
+
+
+SEGMENTS_SQL = "list_transform(list_filter(string_split_regex(regexp_replace(shown, '([a-z0-9])([A-Z])', '\\1.\\2', 'g'), '[._/-]'), lambda x: x <> ''), lambda x: lower(x))"
+
+
+def _term_sql(term: str) -> str:
+    return f"""CASE WHEN lower(shown) = '{term}' THEN 100 WHEN starts_with(lower(shown), '{term}') THEN 80 WHEN len(list_filter({SEGMENTS_SQL}, lambda x: starts_with(x, '{term}'))) > 0 THEN 70
+        WHEN contains(lower(shown), '{term}') THEN 60 WHEN contains(lower(package_name), '{term}') THEN 35 WHEN contains(lower(package), '{term}') THEN 30 WHEN contains(lower(qualified_name), '{term}') THEN 20 ELSE 0 END"""
+
+
+def _search_sql(terms: list[str], where: str, tail: str) -> str:
+    total = " + ".join(f"s{k}" for k in range(len(terms)))
+    matched = " AND ".join(f"s{k} > 0" for k in range(len(terms)))
+    names = f"('{''.join(terms)}', '{'.'.join(terms)}')"
+    return f""", shown AS (SELECT *, CASE WHEN receiver = '' THEN name ELSE receiver || '.' || name END AS shown FROM symbols),
+    scored AS (SELECT *, {", ".join(f"{_term_sql(t)} AS s{k}" for k, t in enumerate(terms))} FROM shown WHERE {where})
+    SELECT symbol_id, CAST({total} + CASE WHEN lower(shown) IN {names} THEN 100 ELSE 0 END AS INTEGER) AS score FROM scored WHERE {matched} {tail}"""
+
+
+@_query(_search_sql(["ring"], "true", ""), ("symbols",))
+def search_one_term(get, spark):
+    return S.search(get("symbols"), ["ring"]).select("symbol_id", "score")
+
+
+@_query(_search_sql(["red", "bolt"], "kind = 'function'", ""), ("symbols",))
+def search_all_terms(get, spark):
+    return S.search(get("symbols"), ["Red", " bolt", "red"], kind="function").select("symbol_id", "score")
+
+
+@_query(_search_sql(["widget"], "true", "ORDER BY score DESC, lower(shown), lower(package), file, line LIMIT 25"), ("symbols",))
+def search_top(get, spark):
+    return S.search(get("symbols"), ["widget"], limit=25).select("symbol_id", "score")
+
+
+@_query(" SELECT symbol_id FROM symbols WHERE kind = 'function' AND (starts_with(name, 'Test') OR file LIKE '%\\_test.go' ESCAPE '\\')", ("symbols",))
+def filter_test_symbols(get, spark):
+    return S.filter_symbols(get("symbols"), tests_only=True).select("symbol_id")
+
+
+@_query(
+    f""", shown AS (SELECT symbol_id, name AS shown, receiver, package, kind, name FROM symbols)
+    SELECT symbol_id, array_to_string({SEGMENTS_SQL}, ',') AS segments, CASE WHEN receiver = '' THEN name ELSE receiver || '.' || name END AS display_name,
+    CASE WHEN package = '.' THEN 'example.com/m' ELSE package END || '.' || CASE WHEN receiver = '' THEN name ELSE receiver || '.' || name END AS target,
+    regexp_matches(name, '^[A-Z]') AS exported FROM shown""",
+    ("symbols",),
+)
+def symbol_names(get, spark):
+    rows = get("symbols").withColumn("segments", N.segments(F.col("name")))
+    return rows.select("symbol_id", _joined("segments"), N.display_name(F.col("receiver"), F.col("name")).alias("display_name"), N.qualified_target(F.col("package"), F.col("receiver"), F.col("name"), "example.com/m").alias("target"), N.is_exported(F.col("name")).alias("exported"))
+
+
+@_query(
+    """ SELECT path, CASE WHEN path LIKE '%.go' THEN CASE WHEN path LIKE '%/%' THEN './' || regexp_replace(path, '/[^/]*$', '') ELSE '.' END END AS package, path LIKE '%\\_test.go' ESCAPE '\\' AS is_test FROM files""",
+    ("files",),
+)
+def file_packages(get, spark):
+    return get("files").select("path", N.package_of_file(F.col("path")).alias("package"), N.is_test_file(F.col("path")).alias("is_test"))
+
+
+@_query(" SELECT dst_package, dst_name, kind, count(*) AS n FROM refs WHERE dst_package IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 7) AND dst_name IN (SELECT p_name FROM part p WHERE p.p_brand = dst_package AND p.p_size = 7) GROUP BY ALL", ("refs",))
+def references_of_targets(get, spark):
+    targets = _parts(get).filter("p_size = 7").select(F.col("p_brand").alias("package"), F.lit("").alias("receiver"), F.col("p_name").alias("name"))
+    return L.references(get("refs"), targets).groupBy("dst_package", "dst_name", "kind").agg(F.count("*").alias("n"))
+
+
+def _parts(get: Callable) -> DataFrame:
+    return get("parts")
+
+
+@_query(
+    """ SELECT kind, count(*) AS n, count(DISTINCT src_package) AS packages, count(DISTINCT CASE WHEN kind <> 'definition' THEN src_name END) AS callers FROM refs GROUP BY kind""",
+    ("refs",),
+)
+def reference_totals(get, spark):
+    return get("refs").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("src_package").alias("packages"), F.count_distinct(F.when(F.col("kind") != "definition", F.col("src_name"))).alias("callers"))
+
+
+@_query(" SELECT dst, count(*) AS callers, min(src) AS first_caller FROM calls GROUP BY dst", ("calls",))
+def direct_callers(get, spark):
+    rows = L.direct_callers(get("calls"), get("calls").select(F.col("dst").alias("target")))
+    return rows.groupBy("dst").agg(F.count("*").alias("callers"), F.min("src").alias("first_caller"))
+
+
+@_query(" SELECT src, count(*) AS callees, max(line) AS line FROM calls GROUP BY src", ("calls",))
+def direct_callees(get, spark):
+    rows = L.direct_callees(get("calls"), get("calls").select(F.col("src").alias("source")))
+    return rows.groupBy("src").agg(F.count("*").alias("callees"), F.max("line").alias("line"))
+
+
+@_query(" SELECT src, dst, line, callee FROM possible WHERE callee LIKE '%.R' AND scope <> 'external'", ("possible",))
+def possible_callers_by_name(get, spark):
+    return L.possible_callers(get("possible"), None, "R").select("src", "dst", "line", "callee")
+
+
+@_query(" SELECT src, dst, line, callee FROM possible WHERE callee = 'n7.A' AND (callee_package = '' OR callee_package = 'p0')", ("possible",))
+def possible_callers_in_package(get, spark):
+    return L.possible_callers(get("possible"), "p0", "n7.A").select("src", "dst", "line", "callee")
+
+
+@_query(" SELECT reason, scope, count(*) AS n, count(DISTINCT dst) AS targets FROM possible GROUP BY reason, scope", ("possible",))
+def possible_call_totals(get, spark):
+    return get("possible").groupBy("reason", "scope").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("targets"))
+
+
+@_query(
+    """ SELECT reason, line, src, dst, place, total FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY line, src, dst, callee_package, scope, callee) AS place, count(*) OVER (PARTITION BY reason) AS total FROM possible) WHERE place <= 5""",
+    ("possible",),
+)
+def possible_call_examples(get, spark):
+    order = [F.col(c) for c in ("line", "src", "dst", "callee_package", "scope", "callee")]
+    return L.with_examples(get("possible"), ["reason"], order, 5).select("reason", "line", "src", "dst", F.col("place").cast("long").alias("place"), "total")
+
+
+DIVISION_SQL = """, w AS (SELECT owner_qualified AS i, method, signature FROM methods WHERE owner_kind = 'interface'), h AS (SELECT owner_qualified AS t, method, signature FROM methods WHERE owner_kind = 'type'),
+sizes AS (SELECT i, count(*) AS n FROM w GROUP BY i), pairs AS (SELECT w.i AS interface, h.t AS type FROM w JOIN h ON w.method = h.method AND w.signature = h.signature JOIN sizes s ON s.i = w.i GROUP BY w.i, h.t, s.n HAVING count(*) = s.n)
+"""
+
+
+@_query(DIVISION_SQL + "SELECT interface, count(*) AS types, min(type) AS first_type FROM pairs GROUP BY interface", ("methods",))
+def implementers(get, spark):
+    return L.implementations(get("methods")).groupBy("interface").agg(F.count("*").alias("types"), F.min("type").alias("first_type"))
+
+
+@_query(DIVISION_SQL + "SELECT type, count(*) AS interfaces, min(interface) AS first_interface FROM pairs GROUP BY type", ("methods",))
+def interfaces_of_types(get, spark):
+    return L.implementations(get("methods")).groupBy("type").agg(F.count("*").alias("interfaces"), F.min("interface").alias("first_interface"))
+
+
+@_query(
+    """, up(iface, owner) AS (SELECT owner_qualified, owner_qualified FROM methods WHERE owner_kind = 'interface' UNION SELECT iface_qualified, iface_qualified FROM embeds UNION SELECT up.iface, e.embedded_qualified FROM up JOIN embeds e ON up.owner = e.iface_qualified)
+    SELECT iface AS interface, method, min(signature) AS signature, count(DISTINCT signature) > 1 AS conflict FROM up JOIN methods m ON m.owner_qualified = up.owner AND m.owner_kind = 'interface' GROUP BY iface, method""",
+    ("methods", "embeds"),
+)
+def method_sets(get, spark):
+    return L.method_sets(get("methods"), get("embeds"))
+
+
+@_query(
+    """, down(interface, embedding) AS (SELECT embedded_qualified, iface_qualified FROM embeds UNION SELECT d.interface, e.iface_qualified FROM down d JOIN embeds e ON d.embedding = e.embedded_qualified) SELECT interface, embedding FROM down""",
+    ("embeds",),
+)
+def embedding_interfaces(get, spark):
+    return L.embedding_interfaces(get("embeds"), get("embeds").select(F.col("embedded_qualified").alias("interface")).distinct())
+
+
+@_query(
+    DIVISION_SQL
+    + """, keyed AS (SELECT interface, type, regexp_extract(interface, '^(.*/[^./]*)', 1) AS ip, regexp_extract(type, '^(.*/[^./]*)', 1) AS tp FROM pairs)
+    SELECT package, count(DISTINCT interface) AS interfaces, count(DISTINCT type) AS types FROM (SELECT ip AS package, interface, type FROM keyed UNION ALL SELECT tp, interface, type FROM keyed) GROUP BY package""",
+    ("methods",),
+)
+def interface_signals(get, spark):
+    pairs = L.implementations(get("methods"))
+    packages = get("methods").select(N.package_of_symbol(F.col("owner_qualified")).alias("package")).distinct()
+    return L.interface_signals(pairs, packages).groupBy("package").agg(F.count_distinct("interface").alias("interfaces"), F.count_distinct("type").alias("types"))
+
+
+@_query(
+    """, back(target, caller, depth) AS (SELECT dst, src, 1 FROM calls WHERE dst = 0 UNION SELECT b.target, c.src, 0 FROM back b JOIN calls c ON b.caller = c.dst) SELECT DISTINCT target, caller FROM back""",
+    ("calls",),
+)
+def transitive_callers(get, spark):
+    targets = spark.createDataFrame([(0,)], "target long")
+    return G.transitive_callers(get("calls"), targets).select("target", "caller")
+
+
+@_query(
+    """, fwd(seed, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey = 1 UNION SELECT f.seed, c.dst FROM fwd f JOIN calls c ON f.node = c.src) SELECT seed, node FROM fwd""",
+    ("calls",),
+)
+def reachable_callees(get, spark):
+    return G.reachable(get("calls"), spark.createDataFrame([(1,)], "seed long")).select("seed", "node")
+
+
+@_query(
+    CLOSURE_SQL
+    + """, paths(path, node, depth) AS (SELECT [src], src, 0 FROM (SELECT DISTINCT src FROM edge WHERE src LIKE './economy/%') UNION ALL SELECT list_append(p.path, e.dst), e.dst, depth + 1 FROM paths p JOIN edge e ON p.node = e.src WHERE NOT list_contains(p.path, e.dst) AND depth < 5 AND p.node NOT LIKE './small/%')
+    SELECT array_to_string(path, ',') AS path, depth FROM paths WHERE node LIKE './small/%'""",
+    ("imports",),
+)
+def import_paths(get, spark):
+    edges = _import_edges(get)
+    source, target = edges.filter("src LIKE './economy/%'").select(F.col("src").alias("node")), edges.filter("dst LIKE './small/%'").select(F.col("dst").alias("node"))
+    return G.simple_paths(edges, source, target, max_depth=5).select(_joined("path"), "depth")
+
+
+@_query(" SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM calls WHERE src <> dst)", ("calls",))
+def without_callers(get, spark):
+    return G.without_callers(get("symbols").select(F.col("symbol_id").alias("node")), get("calls"))
+
+
+@_query(
+    """ SELECT symbol_id AS node, CASE WHEN package_name = 'main' AND name = 'main' THEN 'main' WHEN file LIKE '%\\_test.go' ESCAPE '\\' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)') THEN 'test'
+        WHEN symbol_id % 9 = 0 THEN 'http' WHEN regexp_matches(name, '^[A-Z]') THEN 'exported' ELSE 'no-local-callers' END AS kind FROM symbols
+        WHERE symbol_id % 9 = 0 OR regexp_matches(name, '^[A-Z]') OR symbol_id NOT IN (SELECT dst FROM calls WHERE src <> dst)""",
+    ("symbols", "calls"),
+)
+def entry_kinds(get, spark):
+    return L.entry_kind(_functions(get), get("calls")).select("node", "kind")
+
+
+def _functions(get: Callable) -> DataFrame:
+    return get("symbols").select(F.col("symbol_id").alias("node"), "name", "package_name", "file", (F.col("symbol_id") % 9 == 0).alias("is_http"))
+
+
+@_query(
+    """, direct(node) AS (SELECT 0 UNION SELECT c.src FROM direct d JOIN calls c ON c.dst = d.node),
+    followed AS (SELECT DISTINCT src, dst FROM possible WHERE reason IN ('goroutine', 'function-literal', 'http-handler') AND scope = 'local'),
+    edge AS (SELECT src, dst FROM calls UNION SELECT src, dst FROM followed), anyway(node) AS (SELECT 0 UNION SELECT e.src FROM anyway d JOIN edge e ON e.dst = d.node),
+    kinds AS (SELECT symbol_id AS node, CASE WHEN package_name = 'main' AND name = 'main' THEN 'main' WHEN file LIKE '%\\_test.go' ESCAPE '\\' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)') THEN 'test'
+        WHEN symbol_id % 9 = 0 THEN 'http' WHEN regexp_matches(name, '^[A-Z]') THEN 'exported' ELSE 'no-local-callers' END AS kind FROM symbols
+        WHERE symbol_id % 9 = 0 OR regexp_matches(name, '^[A-Z]') OR symbol_id NOT IN (SELECT dst FROM calls WHERE src <> dst))
+    SELECT CAST(0 AS BIGINT) AS target, k.node, kind, CASE WHEN kind IN ('http', 'exported', 'no-local-callers') OR d.node IS NULL THEN 'possible' ELSE 'direct' END AS certainty
+    FROM anyway a JOIN kinds k ON a.node = k.node LEFT JOIN direct d ON d.node = a.node""",
+    ("symbols", "calls", "possible"),
+)
+def entry_points(get, spark):
+    targets = spark.createDataFrame([(0,)], "target long")
+    return L.entry_points(_functions(get), get("calls"), get("possible"), targets).drop("reason")
+
+
+@_query(
+    """, keyed AS (SELECT DISTINCT package, name, file FROM tests), hit AS (SELECT DISTINCT src_package, src_name, file, dst_name FROM refs WHERE dst_name IN (SELECT p_name FROM part WHERE p_size = 7 AND p_brand = dst_package)),
+    direct AS (SELECT k.package, k.name, k.file, string_agg(DISTINCT dst_name, ',' ORDER BY dst_name) AS targets FROM keyed k JOIN hit h ON h.src_package = k.package AND h.src_name = k.name AND h.file = k.file GROUP BY ALL)
+    SELECT k.package, k.name, d.targets IS NOT NULL AS direct, coalesce(d.targets, '') AS targets FROM keyed k LEFT JOIN direct d ON d.package = k.package AND d.name = k.name AND d.file = k.file WHERE k.package = 'pkg3' OR d.targets IS NOT NULL""",
+    ("tests", "refs"),
+)
+def related_tests(get, spark):
+    targets = _parts(get).filter("p_size = 7").select(F.col("p_brand").alias("package"), F.lit("").alias("receiver"), F.col("p_name").alias("name"))
+    tests = get("tests").select("package", "name", "file").distinct()
+    return L.related_tests(tests, get("refs"), spark.createDataFrame([("pkg3",)], "package string"), targets).select("package", "name", "direct", _joined("targets"))
+
+
+@_query(
+    """ SELECT package, package_name, count(DISTINCT file) AS files, sum(CASE WHEN name LIKE '%/%' THEN 0 ELSE 1 END)::BIGINT AS functions, sum(CASE WHEN name LIKE '%/%' THEN 1 ELSE 0 END)::BIGINT AS subtests, package_name LIKE '%\\_test' ESCAPE '\\' AS external FROM tests GROUP BY package, package_name""",
+    ("tests",),
+)
+def test_inventory(get, spark):
+    return R.test_inventory(get("tests"))
+
+
+@_query(
+    """ SELECT package, name, bool_or(slow) AS direct, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS reasons FROM tests GROUP BY package, name""",
+    ("tests",),
+)
+def merged_tests(get, spark):
+    rows = get("tests").select("package", F.lit("").alias("package_name"), "name", F.lit("").alias("file"), F.lit(0).alias("line"), F.col("slow").alias("direct"), F.array("event_type").alias("reasons"), F.array().cast("array<string>").alias("targets"))
+    return L.merge_tests(rows).select("package", "name", "direct", _joined("reasons"))
+
+
+PLAN_SQL = """, t AS (SELECT package, name, bool_or(slow) AS direct, bool_or(event_type = 'error') AS contract FROM tests WHERE package <> 'pkg19' GROUP BY package, name),
+b AS (SELECT *, CASE WHEN direct THEN 'direct' WHEN package IN ('pkg1', 'pkg2') OR contract THEN 'contract' WHEN package = 'pkg3' THEN 'caller' WHEN package IN ('pkg4', 'pkg5') THEN 'related' ELSE 'caller' END AS bucket FROM t),
+i AS (SELECT bucket, package, string_agg(name, ',' ORDER BY name) AS tests FROM b GROUP BY bucket, package)
+SELECT bucket, package, tests, 'go test ' || package AS command FROM i UNION ALL SELECT 'fallback', p, '', 'go test ' || p FROM (SELECT unnest(['pkg5', 'pkg19', 'other']) AS p) WHERE p NOT IN (SELECT package FROM i)
+"""
+
+
+@_query(PLAN_SQL, ("tests",))
+def test_plan(get, spark):
+    rows = get("tests").filter("package <> 'pkg19'").groupBy("package", "name").agg(F.bool_or("slow").alias("direct"), F.bool_or(F.col("event_type") == "error").alias("contract"))
+    rows = rows.select("package", "name", "direct", F.when(F.col("contract"), F.array(F.lit("contract"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.array("name").alias("targets"))
+    named = lambda *x: spark.createDataFrame([(p,) for p in x], "package string")
+    return C.plan_tests(rows, named("pkg4", "pkg5"), named("pkg1", "pkg2"), named("pkg3"), named("pkg5", "pkg19", "other")).select("bucket", "package", _joined("tests"), "command")
+
+
+@_query(
+    """, o AS (SELECT path, side, start_line, end_line, max(end_line) OVER (PARTITION BY path, side ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranges),
+    g AS (SELECT *, sum(CASE WHEN start_line <= before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY path, side ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM o)
+    SELECT path, side, min(start_line) AS "start", max(end_line) AS "end" FROM g GROUP BY path, side, island""",
+    ("ranges",),
+)
+def merged_ranges(get, spark):
+    rows = get("ranges").select("path", "side", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    return C.merge_ranges(rows, ["path", "side"])
+
+
+_FILE_SQL = "CASE p_size % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END"
+
+
+@_query(
+    f""", s AS (SELECT p_partkey AS symbol_id, {_FILE_SQL} AS file, p_partkey AS line, p_partkey + p_size AS end_line FROM part)
+    SELECT DISTINCT symbol_id, file FROM s WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.path = s.file AND s.line <= r.end_line AND r.start_line <= s.end_line)""",
+    ("ranges",),
+)
+def changed_symbols(get, spark):
+    symbols = _parts(get).select(F.col("p_partkey").alias("symbol_id"), F.expr(_FILE_SQL).alias("file"), F.col("p_partkey").alias("line"), (F.col("p_partkey") + F.col("p_size")).alias("end_line"))
+    ranges = get("ranges").select(F.col("path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    return C.overlapping(symbols, ranges).select("symbol_id", "file")
+
+
+@_query(
+    """ SELECT p_brand AS package, p_name AS name, bool_and(p_size % 2 = 0) AS deleted, arg_min(p_type, (CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END, p_type, p_partkey)) AS file FROM part GROUP BY p_brand, p_name""",
+)
+def merged_changed_symbols(get, spark):
+    rows = _parts(get).select(F.col("p_brand").alias("package"), F.col("p_name").alias("name"), (F.col("p_size") % 2 == 0).alias("deleted"), F.col("p_type").alias("file"), F.col("p_partkey").alias("line"))
+    return C.merge_changed(rows).drop("line")
+
+
+@_query(
+    """, changed AS (SELECT DISTINCT package FROM symbols WHERE kind = 'interface' AND package LIKE '%1') SELECT package FROM changed UNION SELECT package FROM imports WHERE import_path IN (SELECT package FROM changed)""",
+    ("symbols", "imports"),
+)
+def affected_packages(get, spark):
+    changed = get("symbols").filter("kind = 'interface' AND package LIKE '%1'").select("package").distinct()
+    return C.affected_packages(changed, get("imports"))
+
+
+def _signals(get: Callable) -> DataFrame:
+    size = F.col("p_size")
+    return _parts(get).select(F.col("p_partkey").alias("id"), *((size % k).alias(n) for n, k in (("a", 4), ("b", 7), ("c", 3), ("d", 6))), (size % 2 == 0).alias("e"), (size % 5 == 0).alias("f"))
+
+
+@_query(
+    """WITH sig AS (SELECT p_partkey AS id, p_size % 4 AS a, p_size % 7 AS b, p_size % 3 AS c, p_size % 6 AS d, p_size % 2 = 0 AS e, p_size % 5 = 0 AS f FROM part),
+    s AS (SELECT *, CASE WHEN a > 1 THEN 2 WHEN a = 1 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END + CASE WHEN b >= 5 THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 1 ELSE 0 END + CASE WHEN c > 1 THEN 1 ELSE 0 END
+       + CASE WHEN f THEN 3 WHEN e THEN 2 ELSE 0 END + CASE WHEN d > 0 THEN 1 ELSE 0 END + CASE WHEN d >= 5 THEN 2 ELSE 0 END + CASE WHEN e THEN 0 ELSE 1 END + CASE WHEN f THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 2 ELSE 0 END AS score FROM sig)
+    SELECT id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level,
+       CASE WHEN e OR f THEN 'exported-api' WHEN c > 1 OR a > 1 THEN 'cross-package' WHEN a = 1 THEN 'package' ELSE 'local' END AS scope FROM s""",
+)
+def symbol_risk(get, spark):
+    rows = _signals(get)
+    rows = rows.selectExpr("id", "a AS affected_packages", "b AS direct_references", "c AS transitive_callers", "c AS caller_packages", "e AS exported", "f AS exported_method", "d AS fan_in", "e AS has_direct_test", "f AS fallback", "b AS possible_calls", "c AS warnings")
+    return C.symbol_risk(rows).select("id", "score", "level", "scope")
+
+
+@_query(
+    """WITH s AS (SELECT p_partkey AS id, 1 + CASE WHEN p_size % 4 > 1 THEN 2 ELSE 0 END + CASE WHEN p_size % 6 > 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 6 >= 5 THEN 2 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 > 0 THEN 2 ELSE 0 END AS score FROM part)
+    SELECT id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level FROM s""",
+)
+def package_target_risk(get, spark):
+    rows = _signals(get).selectExpr("id", "a AS affected_packages", "d AS fan_in", "e AS has_direct_test", "f AS fallback", "c AS warnings")
+    return C.package_target_risk(rows).select("id", "score", "level")
+
+
+@_query(
+    """WITH sig AS (SELECT p_partkey AS id, p_size % 4 AS a, p_size % 7 AS b, p_size % 3 AS c, p_size % 6 AS d, p_size % 2 = 0 AS e, p_size % 5 = 0 AS f FROM part),
+    s AS (SELECT *, CASE WHEN a > 1 THEN 2 WHEN a = 1 THEN 1 ELSE 0 END + CASE WHEN c > 1 THEN 1 ELSE 0 END + CASE WHEN d > 3 THEN 3 ELSE 0 END + CASE WHEN b = 0 AND a > 0 THEN 2 ELSE 0 END + CASE WHEN e THEN 0 ELSE 1 END + CASE WHEN f THEN 2 ELSE 0 END + CASE WHEN b > 5 THEN 2 ELSE 0 END AS score FROM sig)
+    SELECT id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level,
+       CASE WHEN d > 3 THEN 'interface-contract' WHEN c > 1 OR a > 1 THEN 'cross-package' WHEN a = 1 OR (b = 0 AND a > 0) THEN 'package' ELSE 'local' END AS scope FROM s""",
+)
+def diff_risk(get, spark):
+    rows = _signals(get).selectExpr("id", "a AS affected_packages", "c AS changed_packages", "greatest(d - 3, 0) AS contracts", "b AS changed_symbols", "a AS changed_files", "e AS has_direct_test", "f AS fallback", "f AS snapshot_fallback", "greatest(b - 5, 0) AS warnings")
+    return C.diff_risk(rows).select("id", "score", "level", "scope")
+
+
+@_query(
+    """WITH sig AS (SELECT p_partkey AS id, p_size % 4 AS a, p_size % 7 AS b, p_size % 3 AS c, p_size % 6 AS d, p_size % 2 = 0 AS e FROM part),
+    s AS (SELECT id, CASE WHEN e THEN 1 ELSE 0 END + CASE WHEN a > 1 THEN 2 ELSE 0 END + CASE WHEN b >= 3 THEN 2 WHEN b > 0 THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 2 ELSE 0 END + CASE WHEN d = 0 THEN 1 ELSE 0 END AS score FROM sig)
+    SELECT id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM s""",
+)
+def explain_risk(get, spark):
+    return C.explain_risk(_signals(get).selectExpr("id", "e AS exported", "a AS packages", "b AS callers", "c AS interface_signals", "d AS tests")).select("id", "score", "level")
+
+
+@_query(
+    """WITH sig AS (SELECT p_partkey AS id, p_size % 4 AS a, p_size % 7 AS b, p_size % 3 AS c, p_size % 6 AS d FROM part),
+    s AS (SELECT id, CASE WHEN a > 1 THEN 2 WHEN a = 1 THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 2 ELSE 0 END AS base, a, b, c, d FROM sig),
+    t AS (SELECT id, base + CASE WHEN d = 0 THEN 1 ELSE 0 END + CASE WHEN b > 5 THEN 2 WHEN b > 2 THEN 1 ELSE 0 END AS file_score, base + CASE WHEN d = 0 THEN 1 ELSE 0 END + CASE WHEN d > 5 THEN 2 WHEN d > 1 THEN 1 ELSE 0 END + CASE WHEN b > 10 THEN 2 WHEN b > 4 THEN 1 ELSE 0 END AS package_score, base + CASE WHEN d = 0 AND b > 0 THEN 1 ELSE 0 END AS diff_score FROM s)
+    SELECT id, CAST(file_score AS INTEGER) AS file_score, CAST(package_score AS INTEGER) AS package_score, CAST(diff_score AS INTEGER) AS diff_score FROM t""",
+)
+def context_risk(get, spark):
+    rows = _signals(get).selectExpr("id", "a AS packages", "c AS interface_signals", "d AS tests", "b AS symbols", "d AS files")
+    out = rows
+    for kind in ("file", "package", "diff"):
+        out = C.context_risk(out, kind).withColumnRenamed("score", f"{kind}_score").drop("level")
+    return out.select("id", "file_score", "package_score", "diff_score")
+
+
+@_query(
+    """SELECT p_partkey AS id, CASE WHEN p_size % 7 > 5 OR p_size % 5 = 0 THEN 'high' WHEN p_size % 3 > 0 OR p_size % 4 > 1 OR p_size % 6 = 0 THEN 'medium' ELSE 'low' END AS level FROM part""",
+)
+def review_risk(get, spark):
+    rows = _signals(get).selectExpr("id", "greatest(b - 5, 0) AS warnings", "CASE WHEN f THEN 1 ELSE 0 END AS interfaces", "c AS dependents", "a AS packages", "d AS symbols")
+    return C.review_risk(rows).select("id", "level")
+
+
+@_query(
+    """, a AS (SELECT dst AS id, count(*) AS callers FROM calls GROUP BY dst), b AS (SELECT src AS id, count(*) AS callees FROM calls GROUP BY src)
+    SELECT symbol_id, CASE WHEN kind = 'interface' THEN 'interface_contract' WHEN receiver <> '' THEN 'interface_boundary' WHEN kind = 'struct' THEN 'data_type' WHEN callers > 0 AND callees > 0 THEN 'connector' WHEN callers > 0 THEN 'leaf_dependency' WHEN callees > 0 THEN 'entry_point' ELSE 'local_symbol' END AS role
+    FROM symbols LEFT JOIN a ON a.id = symbol_id LEFT JOIN b ON b.id = symbol_id""",
+    ("symbols", "calls"),
+)
+def architecture_roles(get, spark):
+    calls = get("calls")
+    callers, callees = (calls.groupBy(F.col(c).alias("symbol_id")).agg(F.count("*").alias(n)) for c, n in (("dst", "callers"), ("src", "callees")))
+    rows = get("symbols").join(callers, "symbol_id", "left").join(callees, "symbol_id", "left").withColumn("interface_signals", F.when(F.col("receiver") != "", 1).otherwise(0))
+    return C.architecture_role(rows).select("symbol_id", "role")
+
+
+@_query(
+    """WITH s AS (SELECT p_brand, CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 5 END AS r FROM part)
+    SELECT p_brand AS package, ['local', 'package', 'cross-package', 'exported-api', 'interface-contract'][max(r)] AS scope FROM s GROUP BY p_brand""",
+)
+def widest_scopes(get, spark):
+    scope = F.element_at(F.array(*(F.lit(x) for x in ("local", "package", "cross-package", "exported-api", "interface-contract"))), F.col("p_size") % 5 + 1)
+    return C.widest_scope(_parts(get).select(F.col("p_brand").alias("package"), scope.alias("scope")), ["package"])
+
+
+@_query(
+    """ SELECT package, count(*) AS files, sum(size)::BIGINT AS bytes, arg_min(path, (-size, path)) AS largest FROM files WHERE len(text) % 2 = 0 GROUP BY package""",
+    ("files",),
+)
+def generated_packages(get, spark):
+    rows = get("files").withColumn("is_generated", F.char_length("text") % 2 == 0)
+    return P.generated_packages(rows).select("package", "files", "bytes", "largest")
+
+
+@_query(
+    """ SELECT package, count(*) AS files, sum(CASE WHEN is_test THEN 1 ELSE 0 END)::BIGINT AS tests, sum(CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[1:20], chr(10)), '(?m)^// Code generated .* DO NOT EDIT\\.$') THEN 1 ELSE 0 END)::BIGINT AS generated FROM files GROUP BY package""",
+    ("files",),
+)
+def file_totals(get, spark):
+    return get("files").groupBy("package").agg(F.count("*").alias("files"), F.count_if("is_test").alias("tests"), F.count_if(P.is_generated(F.col("text"))).alias("generated"))
+
+
+@_query(
+    """, f AS (SELECT './' AS root, regexp_extract(path, '^(.*/)?', 0) AS folder, path, path || chr(0) || CAST(size AS VARCHAR) || chr(0) || CAST(mtime_ns AS VARCHAR) || chr(0) || sha256(text) || chr(0) AS line FROM files),
+    d AS (SELECT root, folder, sha256(string_agg(line, '' ORDER BY path, line)) AS digest FROM f GROUP BY root, folder)
+    SELECT root, sha256(string_agg(folder || chr(0) || digest || chr(0), '' ORDER BY folder)) AS fingerprint FROM d GROUP BY root""",
+    ("files",),
+)
+def snapshot_fingerprint(get, spark):
+    return R.fingerprint(get("files").select(F.lit("./").alias("root"), "path", "size", "mtime_ns", F.sha2("text", 256).alias("sha256")))
+
+
+@_query(
+    """SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 1 AND o_orderstatus <> 'F' THEN 'relationship metadata missing,' ELSE '' END || CASE WHEN o_orderpriority <> '5-LOW' THEN 'repository files changed' ELSE '' END AS reasons FROM orders""",
+)
+def stale_reasons(get, spark):
+    orders = get("orders")
+    same = dict(root=F.lit("/r"), module_path=F.lit("m"), build_tags=F.array(F.lit("x")), git_state=F.lit("g"))
+    frame = lambda fp, rel: orders.select(F.col("o_orderkey").alias("id"), F.lit(2).alias("format_version"), rel.alias("relationships"), *(v.alias(k) for k, v in same.items()), fp.alias("fingerprint"))
+    stored = frame(F.col("o_orderpriority"), ~((F.col("o_custkey") % 2 == 1) & (F.col("o_orderstatus") != "F")))
+    out = R.stale_reasons(stored, frame(F.lit("5-LOW"), F.lit(True)))
+    missing = F.when(F.array_contains("reasons", "relationship metadata missing"), "relationship metadata missing,").otherwise("")
+    return out.select("id", F.concat(missing, F.when(F.array_contains("reasons", "repository files changed"), "repository files changed").otherwise("")).alias("reasons"))
+
+
+@_query(
+    """ SELECT CAST(place AS INTEGER) AS place, k.kind, coalesce(n, 0) AS n FROM (VALUES (0,'definition'),(1,'reference'),(2,'call'),(3,'possible_call'),(4,'implementation'),(5,'satisfied'),(6,'test_reference'),(7,'package_dependency'),(8,'package_test')) k(place, kind) LEFT JOIN (SELECT kind, count(*) AS n FROM refs GROUP BY kind) r ON r.kind = k.kind
+        UNION ALL SELECT 9, kind, count(*) FROM refs WHERE kind = 'read' GROUP BY kind""",
+    ("refs",),
+)
+def relationship_counts(get, spark):
+    return R.kind_counts(get("refs"))
+
+
+@_query(" SELECT DISTINCT dst_package, dst_name, kind, src_package, src_name, file FROM refs", ("refs",))
+def normalized_records(get, spark):
+    rows = get("refs").select("dst_package", "dst_name", "kind", "src_package", "src_name", F.concat(F.lit("/repo/"), "file").alias("file"))
+    return R.normalize(rows, "/repo", {"kind": "usage"})
+
+
+@_query(
+    """, places AS (SELECT path, 1 AS line FROM files UNION ALL SELECT path, 4 FROM files WHERE is_test), l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files)
+    SELECT l.path, CAST(a.line AS INTEGER) AS "at", CAST(l.line AS INTEGER) AS line, l.text FROM places a JOIN l ON l.path = a.path AND l.line BETWEEN a.line - 2 AND a.line + 2""",
+    ("files",),
+)
+def source_context(get, spark):
+    files = get("files")
+    at = files.select("path", F.lit(1).alias("line")).union(files.filter("is_test").select("path", F.lit(4)))
+    return R.source_context(files.select("path", "text"), at)
+
+
+@_query(
+    """ SELECT package, symbol_id, place, omitted FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY file, line) AS place, greatest(count(*) OVER (PARTITION BY package) - 5, 0) AS omitted FROM symbols) WHERE place <= 5""",
+    ("symbols",),
+)
+def limited_sections(get, spark):
+    return R.limited(get("symbols"), ["package"], [F.col("file"), F.col("line")], 5).select("package", "symbol_id", F.col("place").cast("long").alias("place"), "omitted")
+
+
+@_query(
+    """ SELECT package, symbol_id, CAST(bytes AS BIGINT) AS bytes FROM (SELECT *, sum(octet_length(encode(qualified_name))) OVER (PARTITION BY package ORDER BY file, line ROWS UNBOUNDED PRECEDING) AS bytes FROM symbols) WHERE bytes <= 200""",
+    ("symbols",),
+)
+def within_bytes(get, spark):
+    rows = R.within_bytes(get("symbols"), ["package"], [F.col("file"), F.col("line")], F.octet_length("qualified_name"), 200)
+    return rows.select("package", "symbol_id", "bytes")
+
+
+@_query(
+    """WITH c AS (SELECT p_brand AS section, sum(p_size % 2) AS symbols, sum(p_size % 3) AS tests FROM part GROUP BY p_brand) SELECT section, 'symbols' AS field, CAST(symbols AS BIGINT) AS n FROM c WHERE symbols > 0 UNION ALL SELECT section, 'tests', CAST(tests AS BIGINT) FROM c WHERE tests > 0""",
+)
+def truncation_counters(get, spark):
+    return R.truncation(_parts(get).select(F.col("p_brand").alias("section"), (F.col("p_size") % 2).alias("symbols"), (F.col("p_size") % 3).alias("tests")), ["symbols", "tests"])
+
+
+@_query(
+    """, x AS (SELECT symbol_id AS target, 0 AS part, 1 AS k, 'Definition' AS title FROM symbols UNION ALL
+        SELECT * FROM (SELECT src, 1, row_number() OVER (PARTITION BY src ORDER BY file, line, dst) AS k, 'Callee: ' || CAST(dst AS VARCHAR) FROM calls) WHERE k <= 3 UNION ALL
+        SELECT * FROM (SELECT dst, 2, row_number() OVER (PARTITION BY dst ORDER BY file, line, src) AS k, 'Caller: ' || CAST(src AS VARCHAR) FROM calls) WHERE k <= 3)
+    SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY part, k) AS INTEGER) AS step, title FROM x""",
+    ("symbols", "calls"),
+)
+def reading_order(get, spark):
+    calls = get("calls")
+    end = lambda a, b: calls.withColumn("k", F.row_number().over(_by(a, b))).filter("k <= 3").select(F.col(a).alias("target"), F.lit("f").alias("file"), F.col("k").alias("line"), F.col(b).cast("string").alias("name"))
+    tests = calls.limit(0).select(F.col("src").alias("target"), "file", "line", F.lit("").alias("name"))
+    return R.reading_order(get("symbols").select(F.col("symbol_id").alias("target")), end("src", "dst"), end("dst", "src"), tests)
 
-def queries() -> dict:
-    return {}
 
+def _by(a: str, b: str):
+    from pyspark.sql import Window
 
-def oracle_sql() -> dict:
-    return {}
+    return Window.partitionBy(a).orderBy("file", "line", b)
