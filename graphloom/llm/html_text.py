@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm.shared import bounded_batches
+
 _WORDS = str.split
 RAW = set(_WORDS("script style noscript template iframe object svg math textarea title select canvas audio video"))
 VOID = set(_WORDS("area base br col embed hr img input link meta param source track wbr"))
@@ -226,6 +228,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page id, url, text and n_chars (code points of the text), one row per input row."""
+    bounded_batches(pages.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import bounded_batches
+
 ORDER = 5
 START, STOP = "\x02", "\x03"
 #: Words a worker remembers; beyond, it starts anew.
-MEMO = 600_000
+MEMO = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,6 +160,7 @@ def _allowed(limit: float, n: int) -> float:
 
 def train(labelled: DataFrame, *, docs_per_language: int = 2000, miss: float = 0.001) -> CharModels:
     """Models from rows of (doc_id, text, lang); at most about ``docs_per_language`` of each language are read."""
+    bounded_batches(labelled.sparkSession)
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("part", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 40)))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
     languages = sorted(sizes)
@@ -220,6 +223,7 @@ def train(labelled: DataFrame, *, docs_per_language: int = 2000, miss: float = 0
 
 def identify(docs: DataFrame, models: CharModels, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id and kept columns, lang_pred, score (0 to 1), entropy (nats a character) and rejected."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     columns = [id_col, *keep]
     at = columns.index(text_col) if text_col in columns else len(columns)

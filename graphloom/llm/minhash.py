@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 from graphloom.llm.components import components
-from graphloom.llm.shared import stored
+from graphloom.llm.shared import bounded_batches, stored
 
 HASHES, ROWS, BATCH, BLOCK = 128, 4, 32, 16
 BANDS = HASHES // ROWS
@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two documents are linked if 100 * |intersection| >= percent * |union| of their
     sets of ``size``-word shingles; ``kept`` marks the smallest id of a component.
     """
+    bounded_batches(docs.sparkSession)
     sets = stored(_sets(docs, id_col, text_col, size), "minhash-sets")
     same = stored(sets.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "minhash-same")
     member = sets.join(same.hint("merge"), ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
-from graphloom.llm.shared import new_path, stored
+from graphloom.llm.shared import bounded_batches, new_path, stored
 from graphloom.llm.sorted_table import open_table, write_table
 
 ROUNDS = 3
@@ -186,6 +186,7 @@ def _candidates(rows: DataFrame, size: int, path: str, counts: list[int]) -> Dat
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space), and with keep_text the kept text."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.filter("doc_id IS NOT NULL")
     shared_path, first_path = new_path(spark, "recompression-symbols"), new_path(spark, "recompression-windows")

@@ -22,9 +22,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm.shared import bounded_batches
+
 SPACE = "▁"
 #: Chunks and token pairs that a worker remembers; beyond, the chunks not met lately go.
-MEMO = 250_000
+MEMO = 80_000
 _NORMAL, _USER, _UNUSED, _BYTE_KIND = 1, 4, 5, 6
 
 
@@ -200,6 +202,7 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     Null and empty texts give zero tokens. The digests are lower-case hex SHA-256
     of the decimal ids joined by commas, and of the decoded text in UTF-8.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

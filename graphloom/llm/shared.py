@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """Holds Arrow batches to ``limit`` bytes of text, unless the session names a limit of its own; by rows alone, long texts would make batches of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, spark.conf.get(key, limit))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 

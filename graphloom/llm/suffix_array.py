@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
-from graphloom.llm.shared import new_path, stored
+from graphloom.llm.shared import bounded_batches, new_path, stored
 from graphloom.llm.sorted_table import open_table, write_table
 
 SPAN, GRAM = 100, 16
@@ -312,6 +312,7 @@ def _merged(survivors: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), with keep_text the remaining text (null stays null, a character cut in half goes), and the carried columns."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     known = rows.filter("doc_id IS NOT NULL").select("doc_id", "text")
     paths = {name: new_path(spark, f"suffix-{name}") for name in ("anchors", "edges", "docs", "found")}

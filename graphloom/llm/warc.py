@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import new_path, stored
+from graphloom.llm.shared import bounded_batches, new_path, stored
 
 CRLF = b"\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -84,6 +84,7 @@ def records(key: int | None, url: str | None, payload: bytes, digest: str, refer
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, segment_bytes: int = 16_384, chunk_bytes: int = 4_096) -> None:
     """Write one response or revisit record per row under ``path``."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     long = rows.filter(F.octet_length("payload") >= least_bytes).select("id", "digest")
     first = stored(long.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n"), "warc-first")
@@ -149,6 +150,7 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 
 def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """id, url, record_type, refers_to, digest, payload_bytes and payload (null for revisits, or without ``payloads``) of each archived row."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], bytes]]:
