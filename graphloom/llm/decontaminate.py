@@ -12,7 +12,7 @@ only while its words are few enough (``broadcast_words``); beyond that the same
 join is shuffled.
 
 Defined cases: a null or empty text has no words and no hits; an item without
-words matches nothing; a repeated row gets a repeated result; items with the same
+words matches nothing; a repeated row gets a repeated result, and rows of one id or of none are judged each by its text; items with the same
 id count once; empty tables give an empty result or no hits; other columns are
 ignored.
 """
@@ -87,11 +87,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     rows = rows.select("doc_id", F.size("words").alias("n_words"), F.expr(f"concat(marks{extra}, array(struct(0 as pos, 0L as h, 0 as len)))").alias("marks"))  # place 0 stands for the document itself
     rows = rows.select("doc_id", "n_words", F.explode("marks").alias("d")).select("doc_id", "n_words", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
     hits = rows.join(marks, ["h", "len"], "left").filter("item IS NOT NULL OR pos = 0")
-    hits = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("item").isNotNull(), F.struct("item", "item_words", "pos", "ipos"))).alias("hits"))
+    hits = hits.groupBy("doc_id").agg(F.min("n_words").alias("least_words"), F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("item").isNotNull(), F.struct("item", "item_words", "pos", "ipos"))).alias("hits"))
 
     # back to the texts, which alone are long: words are compared only in documents with hits
     both = source.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    both = both.select("doc_id", "n_words", "hits", F.expr(f"if(size(hits) > 0, {_words('doc_text')}, array())").alias("words"))
+    # rows of one id (or without one) can have texts of different lengths; then each counts its own words
+    both = both.select("doc_id", "least_words", "n_words", "hits", F.expr(f"if(size(hits) > 0 or least_words < n_words, {_words('doc_text')}, array())").alias("words"))
+    both = both.withColumn("n_words", F.expr("if(least_words < n_words, size(words), n_words)"))
     low, high = f"greatest(x.ipos - {span - gram}, x.ipos - x.pos + 1, 1)", f"least(x.ipos, size(x.item_words) - {span - 1}, size(words) - x.pos + x.ipos - {span - 1})"
     same = f"filter(if({low} <= {high}, sequence({low}, {high}), array()), j -> forall(sequence(0, {span - 1}), k -> get(words, x.pos - x.ipos + j + k - 1) = get(x.item_words, j + k - 1)))"
     spans = f"""flatten(transform(hits, x -> if(size(x.item_words) < {span},
