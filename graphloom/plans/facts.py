@@ -30,7 +30,7 @@ FACTS = {
                 GROUP BY a.l_partkey, b.l_partkey) pairs) ranked WHERE k <= 2""",
     "imports": """
         SELECT package, import_path, CASE WHEN n % 2 = 0 THEN true ELSE false END AS is_test FROM (
-            SELECT package, import_path, n, row_number() OVER (PARTITION BY package ORDER BY n DESC, import_path) AS k FROM (
+            SELECT package, import_path, n, row_number() OVER (PARTITION BY package, substring(import_path, 1, 1) ORDER BY n DESC, import_path) AS k FROM (
                 SELECT './' || lower(s.p_type) || '/' || lower(replace(s.p_brand, '#', '')) AS package,
                        CASE WHEN d.p_size % 7 = 0 THEN 'ext/' || lower(d.p_type) ELSE './' || lower(d.p_type) || '/' || lower(replace(d.p_brand, '#', '')) END AS import_path, count(*) AS n
                 FROM {lineitem} a JOIN {part} s ON a.l_partkey = s.p_partkey JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey JOIN {part} d ON b.l_partkey = d.p_partkey
