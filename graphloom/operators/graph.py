@@ -29,6 +29,7 @@ def _kept(df: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): nodes reached from each seed along (src, dst), the seed itself at depth 0."""
     seen = front = _kept(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
+    edges = _kept(edges.select("src", "dst"))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -49,7 +50,7 @@ def transitive_callers(calls: DataFrame, targets: DataFrame) -> DataFrame:
 
     The target itself appears if it lies on a cycle.
     """
-    back = calls.select(F.col("dst").alias("node"), F.col("src").alias("caller"), "file", "line")
+    back = _kept(calls.select(F.col("dst").alias("node"), F.col("src").alias("caller"), "file", "line"))
     front = _kept(targets.select("target", F.col("target").alias("node")).distinct())
     seen = None
     depth = 0
@@ -136,7 +137,7 @@ def with_reasons(direct: DataFrame, possible: DataFrame, seeds: DataFrame) -> Da
     Both edge tables have (src, dst); possible has reason, too. The search runs over
     (node, reason) states, so a node can be met with and without one.
     """
-    both = direct.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(None).cast("string").alias("why")).union(possible.select(F.col("dst"), F.col("src"), "reason"))
+    both = _kept(direct.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(None).cast("string").alias("why")).union(possible.select(F.col("dst"), F.col("src"), "reason")))
     state = ["seed", "node", "reason"]
     seen = front = _kept(seeds.select("seed", F.col("seed").alias("node"), F.lit("").alias("reason"), F.lit(0).alias("depth")).distinct())
     depth = 0
