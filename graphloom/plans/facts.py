@@ -1,8 +1,8 @@
 """Code facts derived from the star-schema tables, as SQL that Spark and DuckDB both read.
 
-Every fact covers its whole tables. Parts stand for symbols, parts met in one
-order for calls, orders for changed line ranges, events for tests, documents for
-source files, customers' purchases for method sets.
+Every fact but ``strong_imports`` covers its whole tables. Parts stand for symbols,
+parts met in one order for calls, orders for changed line ranges, events for tests,
+documents for source files, customers' purchases for method sets.
 """
 
 from __future__ import annotations
@@ -24,11 +24,18 @@ FACTS = {
         FROM {part}""",
     "calls": """
         SELECT src, dst, CAST(n AS BIGINT) AS line, 'f' || CAST(src % 10 AS VARCHAR(4)) AS file FROM (
-            SELECT src, dst, n, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM (
-                SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n
-                FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
-                GROUP BY a.l_partkey, b.l_partkey) pairs) ranked WHERE k <= 2""",
+            SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n
+            FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
+            GROUP BY a.l_partkey, b.l_partkey) pairs""",
     "imports": """
+        SELECT package, import_path, CASE WHEN n % 2 = 0 THEN true ELSE false END AS is_test FROM (
+            SELECT './' || lower(s.p_type) || '/' || lower(replace(s.p_brand, '#', '')) AS package,
+                   CASE WHEN d.p_size % 7 = 0 THEN 'ext/' || lower(d.p_type) ELSE './' || lower(d.p_type) || '/' || lower(replace(d.p_brand, '#', '')) END AS import_path, count(*) AS n
+            FROM {lineitem} a JOIN {part} s ON a.l_partkey = s.p_partkey JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey JOIN {part} d ON b.l_partkey = d.p_partkey
+            WHERE a.l_partkey <> b.l_partkey
+            GROUP BY 1, 2) pairs WHERE package <> import_path""",
+    # For import_paths only: the two strongest local and external imports of a package. All imports have too many paths to list (README).
+    "strong_imports": """
         SELECT package, import_path, CASE WHEN n % 2 = 0 THEN true ELSE false END AS is_test FROM (
             SELECT package, import_path, n, row_number() OVER (PARTITION BY package, substring(import_path, 1, 1) ORDER BY n DESC, import_path) AS k FROM (
                 SELECT './' || lower(s.p_type) || '/' || lower(replace(s.p_brand, '#', '')) AS package,
@@ -79,6 +86,6 @@ def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ctes(*names: str) -> str:
-    """WITH clause that defines the facts for DuckDB."""
+    """WITH clause that defines the facts for DuckDB; ``name=fact`` gives a fact another name."""
     tables = {t: t for t in TABLES}
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({FACTS[n].format(**tables)})" for n in names)
+    return "WITH RECURSIVE " + ", ".join(f"{n.partition('=')[0]} AS ({FACTS[n.rpartition('=')[2]].format(**tables)})" for n in names)

@@ -359,10 +359,10 @@ def reachable_callees(get, spark):
     CLOSURE_SQL
     + """, paths(path, node, depth) AS (SELECT [src], src, 0 FROM (SELECT DISTINCT src FROM edge WHERE src LIKE './economy/%') UNION ALL SELECT list_append(p.path, e.dst), e.dst, depth + 1 FROM paths p JOIN edge e ON p.node = e.src WHERE NOT list_contains(p.path, e.dst) AND depth < 5 AND p.node NOT LIKE './small/%')
     SELECT array_to_string(path, ',') AS path, depth FROM paths WHERE node LIKE './small/%'""",
-    ("imports",),
+    ("imports=strong_imports",),
 )
 def import_paths(get, spark):
-    edges = _import_edges(get)
+    edges = _import_edges(lambda name: get("strong_imports"))
     source, target = edges.filter("src LIKE './economy/%'").select(F.col("src").alias("node")), edges.filter("dst LIKE './small/%'").select(F.col("dst").alias("node"))
     return G.simple_paths(edges, source, target, max_depth=5).select(_joined("path"), "depth")
 
