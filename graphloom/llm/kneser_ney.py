@@ -1,13 +1,15 @@
 """Operator 8: interpolated modified Kneser-Ney language model over words, and its perplexity scores.
 
-Everything is counted in Spark: words, then pairs of neighbouring words. Words
-that training met fewer than ``min_count`` times share one class; within it a word
-has its add-0.1 share. The pair level uses three discounts from the counts of
-counts; the word level uses continuation counts (distinct words before a word)
-with discounts of its own, interpolated with a uniform share. Pairs met once are
-not stored: their mass goes to the lower level, so probabilities still sum to one.
-
-Counts and probabilities are kept as sorted hash arrays in the shared folder;
+Everything is counted in Spark: words, then runs of ``order`` neighbouring words (3
+unless told otherwise). Every run met is kept, those met once too. The top level
+uses counts, each lower level continuation counts (distinct words before a run;
+counts where a text begins, as no word comes before it). Each level has three
+discounts from its own counts of counts, and the mass they free goes to the level
+below; the word level is interpolated with a uniform share, in which all unseen
+words are one. With ``min_count`` over 1, words met less often share one class, in
+which a word has its add-0.1 share.
+
+Counts and back-off weights are kept as sorted hash arrays in the shared folder;
 workers map them into memory and look up each batch in sorted order.
 
 Defined cases: a null or empty text is one end token; a row with a null id is
@@ -33,7 +35,9 @@ from graphloom.llm.sorted_table import open_table, write_table
 END = np.uint64(0x51ED270B0A1F39C1)
 #: Words a counting task holds before it passes them on.
 HELD = 1_000_000
-WORDS, LEVEL, PAIRS = {"n": "i8"}, {"back": "f4", "base": "f4"}, {"p": "f4"}
+WORDS, TOP, LEVEL = {"n": "i8"}, {"n": "f4"}, {"n": "f4", "c": "f4", "back": "f4"}
+#: What stands before the start of a text.
+NONE = -1
 
 
 def token_stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,73 +124,102 @@ def classes(table, tokens: np.ndarray, model: Model) -> tuple[np.ndarray, np.nda
     return np.where(n >= model.min_count, place, model.rare)[back], n[back]
 
 
-def _before(ids: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
-    """The class before each token; a text begins after ``start``."""
-    out = np.empty_like(ids)
-    out[1:] = ids[:-1]
-    out[np.concatenate(([0], np.cumsum(counts)[:-1]))] = start
+def _before(ids: np.ndarray, counts: np.ndarray, far: int, start: int) -> np.ndarray:
+    """The class ``far`` tokens before each token; before a text comes ``start``, before that nothing."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.full(len(ids), NONE, np.int64)
+    out[far:] = ids[: len(ids) - far]
+    out[place < far] = NONE
+    out[place == far - 1] = start
     return out
 
 
-def _count_pairs(rows: DataFrame, model: Model) -> DataFrame:
-    """(v, w, n): pairs of neighbouring classes, summed in the tasks before they are dealt."""
+def _columns(k: int) -> list[str]:
+    return [f"c{i}" for i in range(1, k + 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, width = open_table(model.words, model.word_counts, WORDS), np.uint64(model.start + 1)
-        tally = _Tally()
 
-        def out() -> pa.RecordBatch:
-            keys, n = tally.merged()
-            v, w = (keys // width).astype(np.int64), (keys % width).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(n)], ["v", "w", "n"])
+def _count_runs(rows: DataFrame, model: Model) -> DataFrame:
+    """(c1, ..., n): runs of ``order`` neighbouring classes and how often they are met; most are met once, so tasks pass them on as they come."""
+    names = _columns(model.order)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = open_table(model.words, model.word_counts, WORDS)
         for batch in batches:
             for tokens, counts in token_stream(batch.column(0)):
-                ids, _ = classes(table, tokens, model)
-                tally.add(_before(ids, counts, model.start).astype(np.uint64) * width + ids.astype(np.uint64))
-                if tally.size > 2 * HELD and len(tally.merged()[0]) > HELD:
-                    yield out()
-                    tally = _Tally()
-        if tally.parts:
-            yield out()
+                ids = classes(table, tokens, model)[0]
+                runs = [*(_before(ids, counts, far, model.start) for far in range(model.order - 1, 0, -1)), ids]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs], names)
 
-    return rows.select("text").mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy(names).agg(F.count("*").alias("n"))
 
 
-def _hash(column: str) -> F.Column:
-    return F.xxhash64(column)
+def _shorter(runs: DataFrame, k: int) -> DataFrame:
+    """Of runs of k classes those of k - 1, with n (continuation count), and c, n1, n2, n3: total and number of runs met once, twice and more often with it as context."""
+    names, n = _columns(k - 1), F.col("n")
+    end = [F.col(f"c{i + 1}").alias(c) for i, c in enumerate(names, 1)]
+    as_end = runs.select(*end, F.when(F.col("c1") == NONE, n).otherwise(1).alias("n"), *(F.lit(0).cast("long").alias(c) for c in ("c", "n1", "n2", "n3")))
+    as_context = runs.filter(F.col("c1") != NONE).select(*names, F.lit(0).cast("long").alias("n"), n.alias("c"), *(x.cast("long").alias(c) for c, x in (("n1", n == 1), ("n2", n == 2), ("n3", n > 2))))
+    return as_end.union(as_context).groupBy(names).agg(*(F.sum(c).alias(c) for c in ("n", "c", "n1", "n2", "n3")))
 
 
-def train(rows: DataFrame, *, min_count: int = 2) -> Model:
+def _discounts(runs: DataFrame) -> tuple[float, float, float]:
+    met = {n: c for n, c in runs.filter((F.col("c1") != NONE) & F.col("n").between(1, 4)).groupBy("n").count().collect()}
+    return discounts([met.get(k, 0) for k in (1, 2, 3, 4)])
+
+
+def train(rows: DataFrame, *, order: int = 3, min_count: int = 1) -> Model:
     """Count and write a model of the texts of rows (column text)."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = rows.sparkSession
     bounded_batches(spark)
     words = stored(_count_words(rows), "lm-words")
     total, distinct, rare_n, rare_v = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") < min_count, F.col("n"))), F.count(F.when(F.col("n") < min_count, 1))).first()
-    model = Model(min_count=min_count, total=total or 0, distinct=distinct, rare_n=rare_n or 0, rare_v=rare_v, rare=distinct, start=distinct + 1, words=new_path(spark, "lm-word-arrays"), level=new_path(spark, "lm-level-arrays"), pairs=new_path(spark, "lm-pair-arrays"))
+    model = Model(order=order, min_count=min_count, total=total or 0, distinct=distinct, rare_n=rare_n or 0, rare_v=rare_v, rare=distinct, start=distinct + 1, words=new_path(spark, "lm-word-arrays"), levels={}, cuts={})
     model.word_counts = write_table(words, model.words, WORDS)
 
-    pairs = stored(_count_pairs(rows, model), "lm-pairs")
-    of_pairs = {n: c for n, c in pairs.filter("n <= 4").groupBy("n").count().collect()}
-    d1, d2, d3 = discounts([of_pairs.get(k, 0) for k in (1, 2, 3, 4)])
-    before = pairs.groupBy(F.col("w").alias("id")).agg(F.count("*").alias("m"))
-    after = pairs.groupBy(F.col("v").alias("id")).agg(F.sum("n").alias("c"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2"), F.count(F.when(F.col("n") > 2, 1)).alias("n3"))
-    level = stored(before.join(after, "id", "full"), "lm-level")
-    of_words = {m: c for m, c in level.filter("m <= 4").groupBy("m").count().collect()}
-    e1, e2, e3 = discounts([of_words.get(k, 0) for k in (1, 2, 3, 4)])
-    kinds, seen, ones, twos = level.agg(F.sum("m"), F.count("m"), F.count(F.when(F.col("m") == 1, 1)), F.count(F.when(F.col("m") == 2, 1))).first()
-    kinds = kinds or 0
+    runs = stored(_count_runs(rows, model), "lm-runs")
+    for k in range(order, 0, -1):
+        own = runs.filter(F.col("c1") != NONE).withColumn("key", F.xxhash64(*_columns(k)))
+        model.cuts[k] = _discounts(runs)
+        if k < order:
+            d1, d2, d3 = model.cuts[k + 1]
+            back = F.when(F.col("c") > 0, (d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("c")).otherwise(1.0)
+            own = own.withColumn("back", back.cast("float"))
+        kinds, path = TOP if k == order else LEVEL, new_path(spark, f"lm-arrays-{k}")
+        model.levels[k] = path, write_table(own.select("key", *(F.col(c).cast("float").alias(c) for c in kinds)), path, kinds), kinds
+        if k > 1:
+            runs = stored(_shorter(runs, k), f"lm-runs-{k - 1}")
+    n = F.col("n")
+    kinds, seen, ones, twos = runs.filter("n > 0").agg(F.sum(n), F.count("*"), F.count(F.when(n == 1, 1)), F.count(F.when(n == 2, 1))).first()
+    model.kinds = kinds or 0
+    e1, e2, e3 = model.cuts[1]
     model.uniform = ((e1 * ones + e2 * twos + e3 * (seen - ones - twos)) / kinds if kinds else 1.0) / (seen + 1)
-    cut = F.when(F.col("m") == 1, e1).when(F.col("m") == 2, e2).otherwise(e3)
-    base = F.coalesce((F.col("m") - cut) / float(max(kinds, 1)), F.lit(0.0)) + model.uniform
-    back = F.coalesce((F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("c"), F.lit(1.0))
-    model.level_counts = write_table(level.select(_hash("id").alias("key"), back.cast("float").alias("back"), base.cast("float").alias("base")), model.level, LEVEL)
-    often = pairs.filter("n > 1").join(level.select(F.col("id").alias("v"), "c").hint("merge"), "v")
-    share = (F.col("n") - F.when(F.col("n") == 2, d2).otherwise(d3)) / F.col("c")
-    model.pair_counts = write_table(often.select(F.xxhash64("v", "w").alias("key"), share.cast("float").alias("p")), model.pairs, PAIRS)
     return model
 
 
+def _after_cut(n: np.ndarray, cuts: tuple[float, float, float]) -> np.ndarray:
+    """Counts less their discounts, 0 for what was not met."""
+    return n - np.array([0.0, *cuts])[np.minimum(n, 3).astype(np.int64)]
+
+
+def probabilities(ids: np.ndarray, counts: np.ndarray, model: Model) -> np.ndarray:
+    """Probability of each class of texts of ``counts`` tokens after the classes before it."""
+    tables = {k: open_table(*level) for k, level in model.levels.items()}
+    unique, at = np.unique(ids, return_inverse=True)
+    n = tables[1].find(_xxhash_ids(unique), "n")[1].astype(np.float64)
+    p = (_after_cut(n, model.cuts[1]) / max(model.kinds, 1) + model.uniform)[at]
+    runs = [ids]
+    for k in range(2, model.order + 1):
+        runs.insert(0, _before(ids, counts, k - 1, model.start))
+        _, c, back = tables[k - 1].find(_xxhash_ids(*runs[:-1]), "c", "back")
+        n = tables[k].find(_xxhash_ids(*runs), "n")[1].astype(np.float64)
+        p = np.where(c > 0, _after_cut(n, model.cuts[k]) / np.maximum(c, 1) + back * p, p)
+        tables[k - 1].release()
+        tables[k].release()
+    return p
+
+
 def _xxhash_ids(*columns: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of non-null longs, seed 42."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -214,8 +247,6 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = open_table(model.words, model.word_counts, WORDS)
-        level = open_table(model.level, model.level_counts, LEVEL)
-        pairs = open_table(model.pairs, model.pair_counts, PAIRS)
         floor = math.log10(model.total + 0.1 * (model.distinct + 1))
         in_class = math.log10(model.rare_n + 0.1 * (model.rare_v + 1))
         for batch in batches:
@@ -223,13 +254,8 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
             for tokens, counts in token_stream(batch.column(len(keep))):
                 ids, n = classes(words, tokens, model)
                 at = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                before = _before(ids, counts, model.start)
-                unique, back = np.unique(np.concatenate((ids, before)), return_inverse=True)
-                place, down, low = level.find(_xxhash_ids(unique), "back", "base")
-                down, low = np.where(place < 0, 1.0, down)[back[len(ids) :]], np.where(place < 0, model.uniform, low)[back[: len(ids)]]
-                p = pairs.find(_xxhash_ids(before, ids), "p")[1] + down * low
                 own = np.log10(n + 0.1)
-                logs = np.log10(p) + np.where(ids == model.rare, own - in_class, 0.0)
+                logs = np.log10(probabilities(ids, counts, model)) + np.where(ids == model.rare, own - in_class, 0.0)
                 sizes.append(counts)
                 known.append(np.add.reduceat((n > 0).astype(np.int64), at))
                 base.append(np.add.reduceat(own - floor, at))

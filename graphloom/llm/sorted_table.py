@@ -7,6 +7,7 @@ its own and then renamed, so a repeated task leaves the same complete files.
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -100,6 +101,13 @@ class SortedTable:
                 v[to] = self.files[name][s][at]
         return [place, *values]
 
+    def release(self) -> None:
+        """Unmaps the pages that lookups have touched; they are read again when they are asked for."""
+        for shards in self.files.values():
+            for part in shards:
+                if part is not None:
+                    part._mmap.madvise(mmap.MADV_DONTNEED)
+
 
 def open_table(path: str, counts: list[int], kinds: dict[str, str]) -> SortedTable:
     """The worker's mapping of a table."""
