@@ -2,11 +2,15 @@
 
 Each page becomes a DOM tree without the elements whose tag, role, class or id
 marks them as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments. For every node the density is its characters per tag,
+styles or reader comments. A class or id does not remove what holds the main
+article or (reader comments apart) most of its text outside links, on a page
+without articles most of the page's; nor do names such as has-sidebar or
+comments-open. For every node the density is its characters per tag,
 adjusted by the share of link text; the density sum of a node adds up the
 densities of its children. The node with the largest sum is the core. The lowest
 density on the path from the core up to the body is the threshold: the core grows
-to its enclosing article, or else to the subtrees whose density reaches it.
+to its enclosing article, or else to the subtrees whose density reaches it and the
+text that stands between them, except runs that are links for the most part.
 
 Defined cases: a null or empty page has the empty text; a page cut off inside a
 tag loses that tag only; unclosed elements end with their parent; very long pages
@@ -20,6 +24,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +37,9 @@ VOID = set(_WORDS("area base br col embed hr img input link meta param source tr
 SKIP = set(_WORDS("head nav footer aside form button dialog menu fieldset label option datalist")) | RAW
 INLINE = set(_WORDS("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img"))
 MARKS = set(_WORDS("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager skip disclaimer"))
+COMMENTS = set(_WORDS("comment comments disqus reply replies respond"))
+#: First and last parts of names that tell what a page has, not what an element is.
+HAS, STATES = set(_WORDS("has no with without")), set(_WORDS("open closed enabled disabled"))
 ROLES = set(_WORDS("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form"))
 CORE = {"article", "main"}
 #: An open element of the key ends where one of these starts.
@@ -43,28 +51,35 @@ _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _PARTS = re.compile(r"[a-z0-9]+").findall
 
 
-def _unwanted(tag: str, attributes: str, inside_core: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside_core: bool) -> int:
+    """0 for wanted elements, 1 for unwanted ones; 2 and, for reader comments, 3 where only a class or id says so."""
     if tag in SKIP or tag == "header" and not inside_core:
-        return True
+        return 1
     if "=" not in attributes or tag in ("html", "body") or tag in CORE:
-        return False
+        return 0
+    out = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "role":
             if value in ROLES:
-                return True
-        elif not MARKS.isdisjoint(_PARTS(value)):
-            return True
-    return False
+                return 1
+            continue
+        for word in value.split():
+            parts = _PARTS(word)
+            marks = MARKS.intersection(parts) - ({"header"} if inside_core else set())
+            if marks and parts[0] not in HAS and parts[-1] not in STATES:
+                out = max(out, 3 if marks & COMMENTS else 2)
+    return out
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked")
 
     def __init__(self, tag: str, parent: "Node | None") -> None:
         self.tag, self.parent, self.items = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.marked = 0
 
 
 def parse(page: str) -> Node:
@@ -116,17 +131,20 @@ def parse(page: str) -> Node:
                 if node is not root and node.tag == kind:
                     depth_core -= _cores(at, node.parent)
                     at = node.parent
-        if _unwanted(tag, attributes, depth_core > 0):
+        marked = _unwanted(tag, attributes, depth_core > 0)
+        if marked == 1:
             if tag in RAW:
                 pos = _after(page, pos, tag)
             elif not attributes.endswith("/"):
                 skipping, open_skipped = tag, 1
             continue
         node = Node(tag, at)
+        node.marked = marked
         at.items.append(node)
         if not attributes.endswith("/"):
             at = node
             depth_core += tag in CORE
+    _prune(root)
     return root
 
 
@@ -157,6 +175,35 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _size(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\n")
+
+
+def _prune(root: Node) -> None:
+    """Takes marked elements out, but for those that hold the main article, or most of its text (of the page's where there is no article)."""
+    nodes = _walk(root)
+    if not any(node.marked for node in nodes):
+        return
+    size: dict[int, int] = {}
+    for node in reversed(nodes):
+        size[id(node)] = 0 if node.tag == "a" else sum(size[id(x)] if isinstance(x, Node) else _size(x) for x in node.items)
+    core = {}  # the outermost article around a node
+    for node in nodes:
+        core[id(node)] = core.get(id(node.parent)) or (node if node.tag in CORE else None)
+    main = max((node for node in nodes if core[id(node)] is node), key=lambda node: size[id(node)], default=None)
+    holds, node = set(), main
+    while node is not None:
+        holds.add(id(node))
+        node = node.parent
+
+    def gone(node: Node) -> bool:
+        beside = core[id(node)] is not main  # never of a page without articles
+        return node.marked > 0 and id(node) not in holds and (beside or node.marked == 3 or 2 * size[id(node)] <= size[id(main or root)])
+
+    for node in nodes:
+        node.items = [x for x in node.items if not isinstance(x, Node) or not gone(x)]
+
+
 def _measure(root: Node) -> list[Node]:
     nodes = _walk(root)
     for node in reversed(nodes):
@@ -167,7 +214,7 @@ def _measure(root: Node) -> list[Node]:
                 node.link_chars += x.chars if x.tag == "a" else x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
             else:
-                node.chars += len(x) - x.count(" ") - x.count("\n")
+                node.chars += _size(x)
     for node in nodes:
         c, lc = node.chars, node.chars if node.tag == "a" else node.link_chars
         if c:
@@ -179,7 +226,7 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _chosen(root: Node) -> list[Node]:
+def _chosen(root: Node) -> list[Node | str]:
     """The subtrees that make up the main text, in page order."""
     nodes = _measure(root)
     core = max(nodes, key=lambda n: n.total)
@@ -197,7 +244,16 @@ def _chosen(root: Node) -> list[Node]:
         node = node.parent
     if core is root:
         return [root]
-    return [x for x in root.items if isinstance(x, Node) and (id(x) in path or x.density >= low)]
+    out: list[Node | str] = []
+    for bare, items in groupby(root.items, lambda x: isinstance(x, str) or x.tag in INLINE):
+        items = list(items)
+        if bare and any(isinstance(x, str) and x.strip() for x in items):
+            links = sum(0 if isinstance(x, str) else x.chars if x.tag == "a" else x.link_chars for x in items)
+            if 2 * links <= sum(_size(x) if isinstance(x, str) else x.chars for x in items):
+                out += items
+                continue
+        out += [x for x in items if isinstance(x, Node) and (id(x) in path or x.density >= low)]
+    return out
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
