@@ -10,7 +10,8 @@ occurs. The language with the lowest cross-entropy per character wins.
 
 Rejection is calibrated on sampled documents that the counting leaves out: for each
 language the cross-entropy that all but ``miss`` of its documents stay below, with
-three tenths of slack, and more for short texts.
+three tenths of slack, and more for short texts. A language without such documents
+gets the limit of the others' documents together.
 
 Defined cases: a text that is null or has no letter is ``und``, with score 0, and
 rejected; without labelled rows everything is ``und``; ties go to the first
@@ -33,6 +34,8 @@ from graphloom.llm.shared import bounded_batches
 
 ORDER = 5
 START, STOP = "\x02", "\x03"
+#: Places of a word whose grams are counted in one piece.
+PIECE = 64
 #: Words a worker remembers; beyond, it starts anew.
 MEMO = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -153,6 +156,11 @@ def _scorer(models: CharModels) -> Scorer:
     return _SCORERS[id(models)]
 
 
+def _pieces(word: str) -> list[str]:
+    """A marked word in pieces of bounded length that hold each of its longest grams once."""
+    return [word[k : k + PIECE + ORDER - 1] for k in range(0, max(len(word) - ORDER + 1, 1), PIECE)]
+
+
 def _allowed(limit: float, n: int) -> float:
     """Cross-entropy up to which a text of n characters is accepted."""
     return 1.3 * limit + 20.0 / n
@@ -173,8 +181,8 @@ def train(labelled: DataFrame, *, docs_per_language: int = 2000, miss: float = 0
         for batch in batches:
             tally: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tally.update((lang, w) for w in _LETTERS(text.lower()) if len(w) <= 64)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([START + k[1] + STOP for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], ["lang", "word", "n"])
+                tally.update((lang, piece) for w in _LETTERS(text.lower()) for piece in _pieces(START + w + STOP))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], ["lang", "word", "n"])
 
     words = sample.filter("NOT calibrate").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     cuts = words.select("lang", "n", F.explode(F.expr(f"flatten(transform(sequence(1, char_length(word)), i -> transform(sequence(1, least({ORDER}, char_length(word) - i + 1)), k -> substring(word, i, k))))")).alias("g"), "word")
@@ -218,6 +226,8 @@ def train(labelled: DataFrame, *, docs_per_language: int = 2000, miss: float = 0
         held.setdefault(lang, []).append(h)
     for lang, values in held.items():
         models.limits[of[lang]] = np.quantile(values, 1 - miss)
+    if held:
+        models.limits[np.isinf(models.limits)] = np.quantile([h for values in held.values() for h in values], 1 - miss)
     return models
 
 
