@@ -5,9 +5,10 @@ comes from one Aho-Corasick pass, a token may follow another only if merging
 their joint text again gives just these two, and a bitfield keeps the positions
 from which no valid continuation exists. Pieces never hold a space mark after
 another character, so a text is the concatenation of independent chunks (space
-marks, then other characters); a bounded table keeps the chunks met before.
+marks, then other characters). The distinct chunks of about a megabyte of texts are
+encoded once, and a bounded table keeps those met before.
 
-Defined cases: a null or empty text has no tokens and decodes to the empty
+Models with user-defined or unused pieces are refused. Defined cases: a null or empty text has no tokens and decodes to the empty
 string; characters outside the vocabulary become byte tokens; very long chunks
 take time in proportion to their length; repeated rows give repeated results; an
 empty table gives an empty result; other input columns are ignored.
@@ -22,12 +23,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.llm import textops as T
 from graphloom.llm.shared import bounded_batches
 
 SPACE = "▁"
-#: Chunks and token pairs that a worker remembers; beyond, the chunks not met lately go.
-MEMO = 80_000
-_NORMAL, _USER, _UNUSED, _BYTE_KIND = 1, 4, 5, 6
+#: Chunks that a worker remembers, twice: beyond, those not met lately go. Pairs of tokens are remembered up to twice as many.
+MEMO = 150_000
+#: Text whose distinct chunks are encoded together.
+PART_BYTES = 1 << 20
+_NORMAL, _UNKNOWN, _BYTE_KIND = 1, 2, 6
+#: Control pieces never come out of a text.
+_KINDS = {_NORMAL, _UNKNOWN, 3, _BYTE_KIND}
 
 
 class PieceCodec:
@@ -43,29 +49,33 @@ class PieceCodec:
         spec = model.normalizer_spec
         if model.trainer_spec.model_type != 2 or spec.name != "identity" or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only BPE models with identity normalisation and a dummy prefix are supported")
-        self.rank: dict[str, tuple[float, int]] = {}
+        if any(p.type not in _KINDS for p in model.pieces):
+            raise ValueError("models with user-defined or unused pieces are not supported")
+        self.score: dict[str, float] = {}
+        self.id_of: dict[str, int] = {}
         self.byte_id: dict[int, int] = {}
+        self.piece: list[str] = [p.piece for p in model.pieces]
+        self.length = [len(p) for p in self.piece]
         self.plain: dict[int, str] = {}
         self.automaton = ahocorasick.Automaton()
         for i, p in enumerate(model.pieces):
-            if p.type in (_NORMAL, _USER, _UNUSED):
-                self.rank[p.piece] = (p.score, i)
+            if p.type == _NORMAL:
+                self.score[p.piece], self.id_of[p.piece] = p.score, i
                 self.plain[i] = p.piece.replace(SPACE, " ")
             if p.type == _BYTE_KIND:
                 self.byte_id[int(p.piece[3:5], 16)] = i
         self.byte_of = {i: b for b, i in self.byte_id.items()}
-        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
-        if any(SPACE in p.lstrip(SPACE) for p in self.rank):
+        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN)
+        if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
             raise ValueError("a piece holds a space mark after another character")
-        for piece in self.rank:
+        for piece, i in self.id_of.items():
             if len(piece) == 1 or self.merge(piece) == [piece]:  # others never come out of merging
-                self.automaton.add_word(piece, len(piece))
+                self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        self.pairs: dict[str, dict[str, bool]] = {}
-        self.n_pairs = 0
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
-        after_letter = {b for p in self.rank for a, b in zip(p, p[1:]) if a.isalpha()}
+        after_letter = {b for p in self.id_of for a, b in zip(p, p[1:]) if a.isalpha()}
         marks = "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" if c not in after_letter)
         # no piece has one of these marks after a letter, so nothing merges across such a place
         ends = f"{SPACE}*+[^\\W\\d_]++(?=[{re.escape(marks)}])|" if marks else ""
@@ -73,69 +83,79 @@ class PieceCodec:
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: best score first, leftmost on ties. Only for texts of a token or two."""
-        parts = list(text)
-        while len(parts) > 1:
+        parts, score = list(text), self.score
+        joint = [score.get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
             best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = self.rank.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or found[0] > best):
-                    best, at = found[0], i
+            for i, s in enumerate(joint):
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
             if at < 0:
-                break
+                return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the joint text again gives just these two tokens."""
-        row = self.pairs.get(left)
-        if row is None:
-            row = self.pairs[left] = {}
-        known = row.get(right)
-        if known is None:
-            known = left not in self.rank or right not in self.rank or self.merge(left + right) == [left, right]
-            self.n_pairs += 1
-            if self.n_pairs > MEMO:
-                self.pairs.clear()
-                self.n_pairs = 0
-            row[right] = known
+            del joint[at]
+            if at:
+                joint[at - 1] = score.get(parts[at - 1] + parts[at])
+            if at < len(joint):
+                joint[at] = score.get(parts[at] + parts[at + 1])
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the joint text of two pieces again gives just these two; asked for pairs that are not remembered."""
+        a, b = self.piece[left], self.piece[right]
+        if len(self.pairs) >= 2 * MEMO:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.merge(a + b) == [a, b]
         return known
 
-    def tokens(self, text: str) -> list[str]:
-        """Tokens of a chunk by backtracking over the longest matches."""
-        starts: list[list[str]] = [[] for _ in text]
-        for end, n in self.automaton.iter(text):
-            starts[end - n + 1].append(text[end - n + 1 : end + 1])  # from shorter to longer for each start
-        failed, out, pos, size = bytearray(len(text) // 8 + 1), [], 0, len(text)
-        pairs, row = self.pairs, None
+    def ids(self, text: str) -> list[int]:
+        """Ids of a chunk. The leftmost longest matches are the first way that backtracking tries; mostly it needs no other."""
+        out, last, at, pairs, length = [], -1, -1, self.pairs, self.length
+        for end, i in self.automaton.iter_long(text):
+            if end - length[i] != at:  # a character outside the vocabulary lies between
+                break
+            if last >= 0:
+                known = pairs.get(last << 32 | i)
+                if not (self.compatible(last, i) if known is None else known):
+                    break
+            out.append(i)
+            last, at = i, end
+        return out if at == len(text) - 1 else self.backtracked(text)
+
+    def backtracked(self, text: str) -> list[int]:
+        """Ids of a chunk by backtracking over the longest matches."""
+        starts: list[list[int]] = [[] for _ in text]
+        length = self.length
+        for end, i in self.automaton.iter(text):
+            starts[end - length[i] + 1].append(i)  # from shorter to longer for each start
+        failed, out, pos, size, pairs = bytearray(len(text) // 8 + 1), [], 0, len(text), self.pairs
         while pos < size:
-            for token in reversed(starts[pos] or (text[pos],)):
-                end = pos + len(token)
+            last = out[-1] if out else -1
+            for i in reversed(starts[pos] or (-1,)):  # -1: a character outside the vocabulary, which joins nothing
+                end = pos + (length[i] if i >= 0 else 1)
                 if failed[end >> 3] >> (end & 7) & 1:
                     continue
-                if out:
-                    known = row.get(token) if row is not None else None
-                    if not (self.compatible(out[-1], token) if known is None else known):
+                if last >= 0 and i >= 0:
+                    known = pairs.get(last << 32 | i)
+                    if not (self.compatible(last, i) if known is None else known):
                         continue
-                out.append(token)
+                out.append(i)
                 pos = end
                 break
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                pos -= len(out.pop())
-            row = pairs.get(out[-1]) if out else None
-        return out
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for token in self.tokens(text):
-            found = self.rank.get(token)
-            if found is not None:
-                out.append(found[1])
-            elif self.byte_id:
-                out.extend(self.byte_id[b] for b in token.encode("utf-8"))
-            else:
-                out.append(self.unknown)
-        return out
+                i = out.pop()
+                pos -= length[i] if i >= 0 else 1
+        if -1 not in out:
+            return out
+        ids, pos = [], 0
+        for i in out:
+            if i >= 0:
+                ids.append(i)
+                pos += length[i]
+                continue
+            ids += [self.byte_id[b] for b in text[pos].encode("utf-8")] if self.byte_id else [self.unknown]
+            pos += 1
+        return ids
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids as it stands inside a sentence: bytes joined and decoded, marks turned into spaces."""
@@ -165,25 +185,34 @@ class PieceCodec:
         text = self.surface(ids)
         return text[1:] if text[:1] == " " else text
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        entry = self.old.get(chunk)
-        if entry is None:
-            ids = self.ids(chunk)
-            entry = ",".join(map(str, ids)), len(ids), self.surface(ids)
-        if len(chunk) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo, self.old = {}, self.memo
-            self.memo[chunk] = entry
-        return entry
+    def learn(self, chunks: set[str]) -> None:
+        """Encode the chunks that are not remembered; each has an entry afterwards."""
+        memo, old = self.memo, self.old
+        if len(memo) > MEMO:
+            self.old, self.memo = memo, {}
+            memo, old = self.memo, self.old
+        for chunk in chunks.difference(memo):
+            entry = old.get(chunk)
+            if entry is None:
+                ids = self.ids(chunk)
+                entry = ",".join(map(str, ids)), len(ids), self.surface(ids)
+            memo[chunk] = entry
+
+    def encode_texts(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
+        """(ids joined by commas, number of ids, decoded text) of each whole text; distinct chunks are encoded once."""
+        found = [self.chunks(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.learn(set().union(*found))
+        entry, out = self.memo.__getitem__, []
+        for chunks in found:
+            parts = list(map(entry, chunks))
+            decoded = "".join([p[2] for p in parts])
+            out.append((",".join([p[0] for p in parts]), sum([p[1] for p in parts]), decoded[1:] if decoded[:1] == " " else decoded))
+        for long in [c for c in set().union(*found) if len(c) > 256]:
+            del self.memo[long]
+        return out
 
     def encode_text(self, text: str | None) -> tuple[str, int, str]:
-        """(ids joined by commas, number of ids, decoded text) of a whole text."""
-        if not text:
-            return "", 0, ""
-        get, make = self.memo.get, self._chunk
-        parts = [get(c) or make(c) for c in self.chunks(SPACE + text.replace(" ", SPACE))]
-        decoded = "".join([p[2] for p in parts])
-        return ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), decoded[1:] if decoded[:1] == " " else decoded
+        return self.encode_texts([text])[0]
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -208,9 +237,10 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec(model_path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = [pieces.encode_text(t) for t in part.column(1).to_pylist()]
+            offsets = T.string_buffer(batch.column(1))[1]
+            for i, j in T.chunks(offsets, PART_BYTES):
+                part = batch.slice(i, j - i)
+                rows = pieces.encode_texts(part.column(1).to_pylist())
                 out = {
                     id_col: part.column(0),
                     "n_tokens": pa.array([r[1] for r in rows], pa.int64()),
