@@ -9,8 +9,12 @@ below; the word level is interpolated with a uniform share, in which all unseen
 words are one. With ``min_count`` over 1, words met less often share one class, in
 which a word has its add-0.1 share.
 
-Counts and back-off weights are kept as sorted hash arrays in the shared folder;
-workers map them into memory and look up each batch in sorted order.
+A counting task sorts the runs of about ``HELD`` words, sums equal ones and passes
+them on as a few compressed rows, one for each shard of the level's table; a shard
+is chosen by the hash of a whole run, so a frequent word or pair makes no shard
+larger. The task of a shard adds up, writes the shard's sorted hash array, and
+passes on what its runs say about the shorter ones. Workers map the arrays into
+memory and look up each batch in sorted order.
 
 Defined cases: a null or empty text is one end token; a row with a null id is
 scored but not learned from; without training rows the word level is uniform;
@@ -25,19 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
-from graphloom.llm.shared import bounded_batches, new_path, stored
-from graphloom.llm.sorted_table import open_table, write_table
+from graphloom.llm.shared import bounded_batches, dropped, new_path, stored
+from graphloom.llm.sorted_table import SortedTable, local_path, open_table, release_maps, shard_bits, write_coded_shard, write_table
 
 END = np.uint64(0x51ED270B0A1F39C1)
 #: Words a counting task holds before it passes them on.
 HELD = 1_000_000
-WORDS, TOP, LEVEL = {"n": "i8"}, {"n": "f4"}, {"n": "f4", "c": "f4", "back": "f4"}
-#: What stands before the start of a text.
-NONE = -1
+#: Runs of a shard, about.
+SHARD_RUNS = 3_000_000
+WORDS = {"n": "i8"}
+#: Values of a run: its count; total and number of runs met once, twice and more often that have it as context.
+VALUES = 5
+#: Classes: what stands before the start of a text, the start, then the words.
+NONE, START, FIRST = 0, 1, 2
+_STEP = np.uint64(0xA24BAED4963EE407)
 
 
 def token_stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -117,54 +127,165 @@ def _word_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
 
-def classes(table, tokens: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its class (place among all words; rare and unseen ones share a class) and its count."""
+def classes(table: SortedTable, tokens: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of the distinct tokens (rare and unseen ones share a class), their counts, and for each token which of them it is."""
     unique, back = np.unique(tokens, return_inverse=True)
     place, n = table.find(unique, "n")
-    return np.where(n >= model.min_count, place, model.rare)[back], n[back]
+    return np.where(n >= model.min_count, place + FIRST, model.rare), n, back
 
 
-def _before(ids: np.ndarray, counts: np.ndarray, far: int, start: int) -> np.ndarray:
-    """The class ``far`` tokens before each token; before a text comes ``start``, before that nothing."""
+def _before(ids: np.ndarray, counts: np.ndarray, far: int) -> np.ndarray:
+    """The class ``far`` tokens before each token; before a text comes its start, before that nothing."""
     place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
     out = np.full(len(ids), NONE, np.int64)
     out[far:] = ids[: len(ids) - far]
     out[place < far] = NONE
-    out[place == far - 1] = start
+    out[place == far - 1] = START
     return out
 
 
-def _columns(k: int) -> list[str]:
-    return [f"c{i}" for i in range(1, k + 1)]
+def _runs(ids: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """The classes of the run of ``order`` tokens that ends at each token."""
+    return [*(_before(ids, counts, far) for far in range(order - 1, 0, -1)), ids]
+
+
+def _keys(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each row of classes."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = T.mix(h * _STEP + c.astype(np.uint64) + _STEP)
+    return h
+
+
+def _merged(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct rows of the columns in order, with their values summed."""
+    widths = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(widths) < 64:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c, width in zip(columns, widths):
+            key = key << np.uint64(width) | c.astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(max(len(order) - 1, 0), bool)
+        for c in columns:
+            c = c[order]
+            new |= c[1:] != c[:-1]
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(order), 1), bool), new)))
+    pick = order[at]
+    return [c[pick] for c in columns], [np.add.reduceat(v[order], at, dtype=np.int64) if len(at) else v.astype(np.int64) for v in values]
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers, each in the smallest type that holds it, compressed."""
+    columns = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    head = np.array([len(columns[0]), *(c.itemsize for c in columns)], "<u4").tobytes()
+    return head + pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, width: int) -> list[np.ndarray]:
+    n, *sizes = np.frombuffer(data, "<u4", width + 1).tolist()
+    body = pa.decompress(memoryview(data)[4 * (width + 1) :], decompressed_size=n * sum(sizes), codec="zstd", asbytes=True)
+    starts = np.cumsum([0, *(n * s for s in sizes)]).tolist()
+    return [np.frombuffer(body, f"u{s}", n, a) for s, a in zip(sizes, starts)]
+
+
+_PASSED = "level int, shard int, data binary, n long, once long, twice long, thrice long, fourth long"
+_NAMES = [x.split()[0] for x in _PASSED.split(", ")]
+
+
+def _passed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], _NAMES)
+
+
+def _dealt(level: int, bits: int, columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows for the shards of a level."""
+    shard = (_keys(columns) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[s] : cuts[s + 1]]
+        yield _passed([(level, s, _packed([x[at] for x in (*columns, *values)]), *[None] * 5)])
 
 
 def _count_runs(rows: DataFrame, model: Model) -> DataFrame:
-    """(c1, ..., n): runs of ``order`` neighbouring classes and how often they are met; most are met once, so tasks pass them on as they come."""
-    names = _columns(model.order)
+    """Runs of ``order`` classes and how often they are met, dealt to shards."""
+    order, bits = model.order, model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = open_table(model.words, model.word_counts, WORDS)
-        for batch in batches:
-            for tokens, counts in token_stream(batch.column(0)):
-                ids = classes(table, tokens, model)[0]
-                runs = [*(_before(ids, counts, far, model.start) for far in range(model.order - 1, 0, -1)), ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in runs], names)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    return rows.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy(names).agg(F.count("*").alias("n"))
+        def flush() -> Iterator[pa.RecordBatch]:
+            tokens, counts = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            names, _, back = classes(table, tokens, model)
+            names = np.concatenate(([NONE, START], names))  # counted by short names, which fit in one number
+            columns, values = _merged(_runs(back + FIRST, counts, order), [np.ones(len(back), np.int64)])
+            yield from _dealt(order, bits, [names[c] for c in columns], values)
 
+        for batch in batches:
+            for part in token_stream(batch.column(0)):
+                held.append(part)
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield from flush()
+        if held:
+            yield from flush()
+        release_maps()
+
+    return rows.select("text").mapInArrow(run, _PASSED)
+
+
+def _add_up(rows: DataFrame, model: Model, level: int) -> DataFrame:
+    """Writes the table of a level and deals what its runs say about those of the level below; rows without data, one a shard, tell its size and counts of counts."""
+    bits, order, folder, top = model.bits, model.order, local_path(model.levels[level]), level == model.order
+    width = 1 if top else VALUES
+
+    def close(shard: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        unpacked = [_unpacked(x, level + width) for x in parts]
+        joined = [np.concatenate(c) for c in zip(*unpacked)]
+        del unpacked
+        columns, values = _merged(joined[:level], joined[level:])
+        del joined
+        inside = columns[0] != NONE
+        own, kept = [c[inside] for c in columns], [v[inside] for v in values]
+        key = _keys(own)
+        by = np.argsort(key)
+        write_coded_shard(folder, shard, key[by], [v[by] for v in kept])
+        met = [int((kept[0] == k).sum()) for k in (1, 2, 3, 4)]
+        totals = [int(kept[0].sum()), int((kept[0] > 0).sum())] if level == 1 else [None, None]
+        yield _passed([(level, shard, None, len(key), *met)] + ([(0, shard, None, *totals, None, None, None)] if level == 1 else []))
+        if level == 1:
+            return
+        if not top:  # what was only a context is no run of this level
+            real = values[0] > 0
+            columns, values, inside = [c[real] for c in columns], [values[0][real]], inside[real]
+        n, none = values[0], np.zeros(len(values[0]), np.int64)
+        context = [c[inside] for c in columns[:-1]]
+        m = n[inside]
+        ids = [np.concatenate(x) for x in zip(columns[1:], context)]
+        zeros = np.zeros(len(m), np.int64)
+        sums = [(np.where(inside, 1, n), zeros), (none, m), (none, m == 1), (none, m == 2), (none, m > 2)]
+        yield from _dealt(level - 1, bits, *_merged(ids, [np.concatenate(x) for x in sums]))
 
-def _shorter(runs: DataFrame, k: int) -> DataFrame:
-    """Of runs of k classes those of k - 1, with n (continuation count), and c, n1, n2, n3: total and number of runs met once, twice and more often with it as context."""
-    names, n = _columns(k - 1), F.col("n")
-    end = [F.col(f"c{i + 1}").alias(c) for i, c in enumerate(names, 1)]
-    as_end = runs.select(*end, F.when(F.col("c1") == NONE, n).otherwise(1).alias("n"), *(F.lit(0).cast("long").alias(c) for c in ("c", "n1", "n2", "n3")))
-    as_context = runs.filter(F.col("c1") != NONE).select(*names, F.lit(0).cast("long").alias("n"), n.alias("c"), *(x.cast("long").alias(c) for c, x in (("n1", n == 1), ("n2", n == 2), ("n3", n > 2))))
-    return as_end.union(as_context).groupBy(names).agg(*(F.sum(c).alias(c) for c in ("n", "c", "n1", "n2", "n3")))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = -1, []
+        for batch in batches:
+            for at, s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if at == level and data.is_valid:
+                    if s != shard and held:
+                        yield from close(shard, held)
+                        held = []
+                    shard = s
+                    held.append(data.as_buffer().to_pybytes())
+            yield batch.filter(pa.compute.is_null(batch.column(2)))
+        if held:
+            yield from close(shard, held)
 
-def _discounts(runs: DataFrame) -> tuple[float, float, float]:
-    met = {n: c for n, c in runs.filter((F.col("c1") != NONE) & F.col("n").between(1, 4)).groupBy("n").count().collect()}
-    return discounts([met.get(k, 0) for k in (1, 2, 3, 4)])
+    return rows.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(run, _PASSED)
 
 
 def train(rows: DataFrame, *, order: int = 3, min_count: int = 1) -> Model:
@@ -175,73 +296,55 @@ def train(rows: DataFrame, *, order: int = 3, min_count: int = 1) -> Model:
     bounded_batches(spark)
     words = stored(_count_words(rows), "lm-words")
     total, distinct, rare_n, rare_v = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") < min_count, F.col("n"))), F.count(F.when(F.col("n") < min_count, 1))).first()
-    model = Model(order=order, min_count=min_count, total=total or 0, distinct=distinct, rare_n=rare_n or 0, rare_v=rare_v, rare=distinct, start=distinct + 1, words=new_path(spark, "lm-word-arrays"), levels={}, cuts={})
-    model.word_counts = write_table(words, model.words, WORDS)
+    model = Model(order=order, min_count=min_count, total=total or 0, distinct=distinct, rare_n=rare_n or 0, rare_v=rare_v, rare=distinct + FIRST, words=new_path(spark, "lm-word-arrays"))
+    model.word_counts = write_table(words, model.words, WORDS, distinct)
+    dropped(words)
 
-    runs = stored(_count_runs(rows, model), "lm-runs")
+    model.bits = shard_bits(model.total, SHARD_RUNS)
+    model.levels = {k: new_path(spark, f"lm-arrays-{k}") for k in range(order, 0, -1)}
+    passed = _count_runs(rows, model)
     for k in range(order, 0, -1):
-        own = runs.filter(F.col("c1") != NONE).withColumn("key", F.xxhash64(*_columns(k)))
-        model.cuts[k] = _discounts(runs)
-        if k < order:
-            d1, d2, d3 = model.cuts[k + 1]
-            back = F.when(F.col("c") > 0, (d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("c")).otherwise(1.0)
-            own = own.withColumn("back", back.cast("float"))
-        kinds, path = TOP if k == order else LEVEL, new_path(spark, f"lm-arrays-{k}")
-        model.levels[k] = path, write_table(own.select("key", *(F.col(c).cast("float").alias(c) for c in kinds)), path, kinds), kinds
-        if k > 1:
-            runs = stored(_shorter(runs, k), f"lm-runs-{k - 1}")
-    n = F.col("n")
-    kinds, seen, ones, twos = runs.filter("n > 0").agg(F.sum(n), F.count("*"), F.count(F.when(n == 1, 1)), F.count(F.when(n == 2, 1))).first()
-    model.kinds = kinds or 0
-    e1, e2, e3 = model.cuts[1]
-    model.uniform = ((e1 * ones + e2 * twos + e3 * (seen - ones - twos)) / kinds if kinds else 1.0) / (seen + 1)
+        passed = _add_up(passed, model, k)
+    model.sizes = {k: [0] * (1 << model.bits) for k in model.levels}
+    met = {k: [0] * 4 for k in model.levels}
+    model.kinds = seen = 0
+    for level, shard, _, n, *counts in passed.collect():  # a row for each shard of a level
+        if level:
+            model.sizes[level][shard] = n
+            met[level] = [a + b for a, b in zip(met[level], counts)]
+        else:
+            model.kinds += n
+            seen += counts[0]
+    model.cuts = {k: discounts(x) for k, x in met.items()}
+    (e1, e2, e3), (ones, twos, *_) = model.cuts[1], met[1]
+    model.uniform = ((e1 * ones + e2 * twos + e3 * (seen - ones - twos)) / model.kinds if model.kinds else 1.0) / (seen + 1)
     return model
 
 
 def _after_cut(n: np.ndarray, cuts: tuple[float, float, float]) -> np.ndarray:
     """Counts less their discounts, 0 for what was not met."""
-    return n - np.array([0.0, *cuts])[np.minimum(n, 3).astype(np.int64)]
+    return n - np.array([0.0, *cuts])[np.minimum(n, 3)]
 
 
 def probabilities(ids: np.ndarray, counts: np.ndarray, model: Model) -> np.ndarray:
     """Probability of each class of texts of ``counts`` tokens after the classes before it."""
-    tables = {k: open_table(*level) for k, level in model.levels.items()}
+    tables = {k: SortedTable(path, model.sizes[k], coded=1 if k == model.order else VALUES) for k, path in model.levels.items()}
     unique, at = np.unique(ids, return_inverse=True)
-    n = tables[1].find(_xxhash_ids(unique), "n")[1].astype(np.float64)
+    (n,) = tables[1].find_rows(_keys([unique]), 0)
     p = (_after_cut(n, model.cuts[1]) / max(model.kinds, 1) + model.uniform)[at]
-    runs = [ids]
+    runs = _runs(ids, counts, model.order)
     for k in range(2, model.order + 1):
-        runs.insert(0, _before(ids, counts, k - 1, model.start))
-        _, c, back = tables[k - 1].find(_xxhash_ids(*runs[:-1]), "c", "back")
-        n = tables[k].find(_xxhash_ids(*runs), "n")[1].astype(np.float64)
-        p = np.where(c > 0, _after_cut(n, model.cuts[k]) / np.maximum(c, 1) + back * p, p)
-        tables[k - 1].release()
-        tables[k].release()
+        own = runs[model.order - k :]
+        c, *by = tables[k - 1].find_rows(_keys(own[:-1]), 1, 2, 3, 4)
+        (n,) = tables[k].find_rows(_keys(own), 0)
+        freed = sum(d * x for d, x in zip(model.cuts[k], by))
+        p = np.where(c > 0, (_after_cut(n, model.cuts[k]) + freed * p) / np.maximum(c, 1), p)
+        release_maps()
     return p
 
 
-def _xxhash_ids(*columns: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of non-null longs, seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-    def turn(x: np.ndarray, k: int) -> np.ndarray:
-        return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-
-    h = np.full(len(columns[0]), 42, np.uint64)
-    for column in columns:
-        h = h + p5 + np.uint64(8)
-        h ^= turn(column.astype(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h ^= h >> np.uint64(33)
-        h *= p2
-        h ^= h >> np.uint64(29)
-        h *= p3
-        h ^= h >> np.uint64(32)
-    return h
-
-
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "held_out")) -> DataFrame:
-    """The kept columns, n_tokens, n_known, train_tokens, base_score and score (log10 probability of the text under the model)."""
+    """The kept columns, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text under the model) and perplexity (a token)."""
     bounded_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
@@ -252,7 +355,8 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
         for batch in batches:
             sizes, known, base, full = [], [], [], []
             for tokens, counts in token_stream(batch.column(len(keep))):
-                ids, n = classes(words, tokens, model)
+                names, n, back = classes(words, tokens, model)
+                ids, n = names[back], n[back]
                 at = np.concatenate(([0], np.cumsum(counts)[:-1]))
                 own = np.log10(n + 0.1)
                 logs = np.log10(probabilities(ids, counts, model)) + np.where(ids == model.rare, own - in_class, 0.0)
@@ -260,15 +364,13 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
                 known.append(np.add.reduceat((n > 0).astype(np.int64), at))
                 base.append(np.add.reduceat(own - floor, at))
                 full.append(np.add.reduceat(logs, at))
-            join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-            rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(len(keep))), join(sizes, pa.int64()), join(known, pa.int64()), pa.array([model.total] * rows, pa.int64()), join(base, pa.float64()), join(full, pa.float64())],
-                [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            sizes, known, base, full = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, known, base, full))
+            perplexity = 10 ** (-full / np.maximum(sizes, 1))
+            out = [pa.array(sizes, pa.int64(), safe=False), pa.array(known, pa.int64(), safe=False), pa.array([model.total] * batch.num_rows, pa.int64()), *(pa.array(x, pa.float64()) for x in (base, full, perplexity))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *out], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(*keep, text_col).mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0) -> DataFrame:

@@ -1,15 +1,17 @@
 """Sorted hash arrays: written by Spark tasks to the shared folder, memory-mapped by workers.
 
 A table is a set of shards by the leading bits of a 64-bit key; each shard is one
-file of sorted keys and one file for each value. A file is written under a name of
-its own and then renamed, so a repeated task leaves the same complete files.
+file of sorted keys and one file for each value, or, in a coded table, one file of
+codes and one of the distinct rows that the codes stand for. A file is written
+under a name of its own and then renamed, so a repeated task leaves the same
+complete files. Workers map a shard when it is asked for, and keep a bounded number.
 """
 
 from __future__ import annotations
 
-import mmap
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OPEN: dict[str, "SortedTable"] = {}
+#: Rows of a shard, about.
+SHARD_ROWS = 2_000_000
+#: Shards that a worker maps at a time.
+MAPPED = 512
 
+_MAPS: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+_OFFSETS: OrderedDict[str, np.ndarray] = OrderedDict()
 
-def _local(path: str) -> str:
+
+def local_path(path: str) -> str:
     """Local name of a path on a mounted shared folder."""
     if path.startswith("file:"):
         return "/" + path[5:].lstrip("/")
@@ -29,24 +37,47 @@ def _local(path: str) -> str:
     return path
 
 
-def write_table(rows: DataFrame, path: str, kinds: dict[str, str]) -> list[int]:
-    """Write rows (key long, then the values named in kinds) by shard; returns the number of rows of each shard."""
-    spark = rows.sparkSession
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    folder, names = _local(path), list(kinds)
+def shard_bits(rows: int, size: int = SHARD_ROWS) -> int:
+    """Leading bits of the key that deal ``rows`` rows to shards of ``size``."""
+    return max(4, (max(rows, 1) // size).bit_length())
+
+
+def write_shard(folder: str, shard: int, columns: dict[str, list[np.ndarray]]) -> None:
+    """Write the columns of a shard (each in parts) as one file each."""
+    os.makedirs(folder, exist_ok=True)
+    for name, parts in columns.items():
+        own = f"{folder}/{uuid.uuid4().hex}"
+        with open(own, "wb") as f:
+            for part in parts:
+                f.write(part.tobytes())
+        os.replace(own, f"{folder}/{shard:06d}.{name}")
+
+
+def write_coded_shard(folder: str, shard: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
+    """Write sorted keys with rows of small whole numbers, of which few differ: a code for each key, and the distinct rows."""
+    code = np.zeros(len(keys), np.int64)
+    for v in values:
+        small = v if v.max(initial=0) < 1 << 32 else np.unique(v, return_inverse=True)[1]
+        code = np.unique(code * (int(small.max(initial=0)) + 1) + small, return_inverse=True)[1]
+    at = np.unique(code, return_index=True)[1]
+    kind = next(k for k in ("u1", "u2", "u4") if len(at) <= np.iinfo(k).max + 1)
+    write_shard(folder, shard, {"key": [keys], "code": [code.astype(kind)], "rows": [np.stack([v[at] for v in values], axis=1).astype("i8")]})
+
+
+def write_table(rows: DataFrame, path: str, kinds: dict[str, str], size: int | None = None) -> list[int]:
+    """Write rows (key long, then the values named in kinds) by shard; returns the number of rows of each shard.
+
+    ``size`` is the number of rows, counted here if it is not given.
+    """
+    bits = shard_bits(rows.count() if size is None else size)
+    folder, names = local_path(path), list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
         held, shard, done = [], -1, []
 
         def flush() -> None:
             if held:
-                for k, (name, kind) in enumerate([("key", "u8"), *kinds.items()]):
-                    own = f"{folder}/{uuid.uuid4().hex}"
-                    with open(own, "wb") as f:
-                        for part in held:
-                            f.write(part[k].astype(kind).tobytes())
-                    os.replace(own, f"{folder}/{shard:06d}.{name}")
+                write_shard(folder, shard, {name: [part[k].astype(kind) for part in held] for k, (name, kind) in enumerate([("key", "u8"), *kinds.items()])})
                 done.append((shard, sum(len(p[0]) for p in held)))
                 held.clear()
 
@@ -72,47 +103,72 @@ def write_table(rows: DataFrame, path: str, kinds: dict[str, str]) -> list[int]:
 
 
 class SortedTable:
-    """Read side of a table."""
-
-    def __init__(self, path: str, counts: list[int], kinds: dict[str, str]) -> None:
-        folder = _local(path)
-        self.offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    """Read side of a table; with ``coded`` the number of values in a row of a coded one."""
+
+    def __init__(self, path: str, counts: list[int], kinds: dict[str, str] | None = None, coded: int = 0) -> None:
+        self.folder, self.counts, self.kinds, self.coded = local_path(path), counts, kinds or {}, coded
+        if path not in _OFFSETS:
+            _OFFSETS[path] = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+            while len(_OFFSETS) > 16:
+                _OFFSETS.popitem(last=False)
+        self.offsets = _OFFSETS[path]
         self.bits = np.uint64(64 - (len(counts).bit_length() - 1))
-        self.files = {name: [np.memmap(f"{folder}/{s:06d}.{name}", kind, "r") if n else None for s, n in enumerate(counts)] for name, kind in {"key": "u8", **kinds}.items()}
-        self.kinds = kinds
 
-    def find(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
-        """For each key its place in the whole table (-1 if absent), then the named values (0 if absent)."""
+    def _shard(self, s: int) -> dict[str, np.ndarray]:
+        name = f"{self.folder}/{s:06d}"
+        if name in _MAPS:
+            _MAPS.move_to_end(name)
+            return _MAPS[name]
+        kinds = {"key": "u8", **self.kinds}
+        if self.coded:
+            kinds = {"key": "u8", "code": f"u{os.path.getsize(f'{name}.code') // self.counts[s]}"}
+        out: dict[str, np.ndarray] = {k: np.memmap(f"{name}.{k}", kind, "r") for k, kind in kinds.items()}
+        if self.coded:
+            out["rows"] = np.fromfile(f"{name}.rows", "i8").reshape(-1, self.coded)
+        _MAPS[name] = out
+        if len(_MAPS) > MAPPED:
+            _MAPS.popitem(last=False)
+        return out
+
+    def _hits(self, keys: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, int]]:
+        """For each shard that has some of the keys: its arrays, the places of the hits in it, which keys they are, and its first place."""
         order = np.argsort(keys)
         asked = keys[order]
-        place = np.full(len(keys), -1, np.int64)
-        values = [np.zeros(len(keys), self.kinds[n]) for n in names]
         cuts = np.searchsorted(asked >> self.bits, np.arange(len(self.offsets)))
-        for s in np.flatnonzero(np.diff(cuts)):
-            have = self.files["key"][s]
-            if have is None:
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            if not self.counts[s]:
                 continue
-            part, to = asked[cuts[s] : cuts[s + 1]], order[cuts[s] : cuts[s + 1]]
+            shard = self._shard(s)
+            have, part, to = shard["key"], asked[cuts[s] : cuts[s + 1]], order[cuts[s] : cuts[s + 1]]
             at = np.minimum(np.searchsorted(have, part), len(have) - 1)
             hit = have[at] == part
-            at, to = at[hit], to[hit]
-            place[to] = at + self.offsets[s]
+            yield shard, at[hit], to[hit], int(self.offsets[s])
+
+    def find(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
+        """For each key its place in the whole table (-1 if absent), then the named values (0 if absent)."""
+        place = np.full(len(keys), -1, np.int64)
+        values = [np.zeros(len(keys), self.kinds[n]) for n in names]
+        for shard, at, to, first in self._hits(keys):
+            place[to] = at + first
             for v, name in zip(values, names):
-                v[to] = self.files[name][s][at]
+                v[to] = shard[name][at]
         return [place, *values]
 
-    def release(self) -> None:
-        """Unmaps the pages that lookups have touched; they are read again when they are asked for."""
-        for shards in self.files.values():
-            for part in shards:
-                if part is not None:
-                    part._mmap.madvise(mmap.MADV_DONTNEED)
+    def find_rows(self, keys: np.ndarray, *columns: int) -> list[np.ndarray]:
+        """For each key the values of these columns of a coded table (0 if absent)."""
+        values = [np.zeros(len(keys), np.int64) for _ in columns]
+        for shard, at, to, _ in self._hits(keys):
+            rows = shard["rows"][shard["code"][at]]
+            for v, c in zip(values, columns):
+                v[to] = rows[:, c]
+        return values
+
+
+def release_maps() -> None:
+    """Unmaps what lookups have touched; it is mapped again when it is asked for."""
+    _MAPS.clear()
 
 
 def open_table(path: str, counts: list[int], kinds: dict[str, str]) -> SortedTable:
-    """The worker's mapping of a table."""
-    if path not in _OPEN:
-        if len(_OPEN) >= 8:
-            _OPEN.clear()
-        _OPEN[path] = SortedTable(path, counts, kinds)
-    return _OPEN[path]
+    """A table of a worker; its shards are mapped as they are asked for."""
+    return SortedTable(path, counts, kinds)
