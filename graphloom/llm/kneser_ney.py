@@ -39,10 +39,9 @@ from graphloom.llm.sorted_table import SortedTable, local_path, open_table, rele
 
 END = np.uint64(0x51ED270B0A1F39C1)
 #: Words a counting task holds before it passes them on.
-HELD = 1_000_000
+HELD = 2_000_000
 #: Runs of a shard, about.
 SHARD_RUNS = 3_000_000
-WORDS = {"n": "i8"}
 #: Values of a run: its count; total and number of runs met once, twice and more often that have it as context.
 VALUES = 5
 #: Classes: what stands before the start of a text, the start, then the words.
@@ -114,7 +113,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for tokens, _ in token_stream(batch.column(0)):
                 tally.add(tokens)
-                if tally.size > 2 * HELD and len(tally.merged()[0]) > HELD:
+                if tally.size > HELD and len(tally.merged()[0]) > HELD // 2:
                     yield _word_rows(*tally.merged())
                     tally = _Tally()
         if tally.parts:
@@ -123,6 +122,16 @@ def _count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _ranked(words: DataFrame) -> DataFrame:
+    """Adds each word's rank by count: frequent words get small numbers, which compress well."""
+    spark, order = words.sparkSession, (F.desc("n"), "key")
+    placed = stored(words.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "lm-words")
+    sizes = sorted(placed.groupBy(F.shiftrightunsigned("m", 33).alias("part")).count().collect())  # one row per partition
+    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    parts = spark.createDataFrame([(part, first - (part << 33)) for (part, _), first in zip(sizes, starts)], "part long, shift long")
+    return placed.withColumn("part", F.shiftrightunsigned("m", 33)).join(F.broadcast(parts), "part").select("key", "n", (F.col("m") + F.col("shift")).alias("rank"))
+
+
 def _word_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
@@ -130,8 +139,8 @@ def _word_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 def classes(table: SortedTable, tokens: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The classes of the distinct tokens (rare and unseen ones share a class), their counts, and for each token which of them it is."""
     unique, back = np.unique(tokens, return_inverse=True)
-    place, n = table.find(unique, "n")
-    return np.where(n >= model.min_count, place + FIRST, model.rare), n, back
+    _, n, rank = table.find(unique, "n", "rank")
+    return np.where(n >= model.min_count, rank.astype(np.int64) + FIRST, model.rare), n, back
 
 
 def _before(ids: np.ndarray, counts: np.ndarray, far: int) -> np.ndarray:
@@ -157,39 +166,41 @@ def _keys(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _merged(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The distinct rows of the columns in order, with their values summed."""
-    widths = [int(c.max(initial=0)).bit_length() for c in columns]
-    if sum(widths) < 64:
-        key = np.zeros(len(columns[0]), np.uint64)
-        for c, width in zip(columns, widths):
-            key = key << np.uint64(width) | c.astype(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
-        new = key[1:] != key[:-1]
-    else:
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(max(len(order) - 1, 0), bool)
-        for c in columns:
-            c = c[order]
-            new |= c[1:] != c[:-1]
-    at = np.flatnonzero(np.concatenate((np.ones(min(len(order), 1), bool), new)))
+def _merged(columns: list[np.ndarray], values: list[np.ndarray], key: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The distinct rows of the columns with their values summed, and their keys; by ``key`` if it is given, else by the columns where those fit in one number."""
+    if key is None:
+        widths = [int(c.max(initial=0)).bit_length() for c in columns]
+        if sum(widths) < 64:
+            key = np.zeros(len(columns[0]), np.uint64)
+            for c, width in zip(columns, widths):
+                key = key << np.uint64(width) | c.astype(np.uint64)
+        else:
+            key = _keys(columns)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
     pick = order[at]
-    return [c[pick] for c in columns], [np.add.reduceat(v[order], at, dtype=np.int64) if len(at) else v.astype(np.int64) for v in values]
+    return key[at], [c[pick] for c in columns], [np.add.reduceat(v[order], at, dtype=np.int64) if len(at) else v.astype(np.int64) for v in values]
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of whole numbers, each in the smallest type that holds it, compressed."""
+    """Columns of whole numbers, compressed: the first, which is in order, as steps; of each the low bytes, then the next ones."""
+    first = columns[0].astype(np.int64)
+    rising = bool((first[1:] >= first[:-1]).all())
+    columns = [np.diff(first, prepend=0), *columns[1:]] if rising else [first, *columns[1:]]
     columns = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
-    head = np.array([len(columns[0]), *(c.itemsize for c in columns)], "<u4").tobytes()
-    return head + pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+    head = np.array([len(first), rising, *(c.itemsize for c in columns)], "<u4").tobytes()
+    return head + pa.compress(b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, width: int) -> list[np.ndarray]:
-    n, *sizes = np.frombuffer(data, "<u4", width + 1).tolist()
-    body = pa.decompress(memoryview(data)[4 * (width + 1) :], decompressed_size=n * sum(sizes), codec="zstd", asbytes=True)
+    n, rising, *sizes = np.frombuffer(data, "<u4", width + 2).tolist()
+    body = np.frombuffer(pa.decompress(memoryview(data)[4 * (width + 2) :], decompressed_size=n * sum(sizes), codec="zstd", asbytes=True), np.uint8)
     starts = np.cumsum([0, *(n * s for s in sizes)]).tolist()
-    return [np.frombuffer(body, f"u{s}", n, a) for s, a in zip(sizes, starts)]
+    out = [np.ascontiguousarray(body[a : a + n * s].reshape(s, n).T).view(f"<u{s}").ravel() for s, a in zip(sizes, starts)]
+    if rising:
+        out[0] = np.cumsum(out[0], dtype=np.int64)
+    return out
 
 
 _PASSED = "level int, shard int, data binary, n long, once long, twice long, thrice long, fourth long"
@@ -216,15 +227,19 @@ def _count_runs(rows: DataFrame, model: Model) -> DataFrame:
     order, bits = model.order, model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = open_table(model.words, model.word_counts, WORDS)
+        table = open_table(model.words, model.word_counts, model.word_kinds)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             tokens, counts = (np.concatenate(x) for x in zip(*held))
             held.clear()
             names, _, back = classes(table, tokens, model)
-            names = np.concatenate(([NONE, START], names))  # counted by short names, which fit in one number
-            columns, values = _merged(_runs(back + FIRST, counts, order), [np.ones(len(back), np.int64)])
+            # counted by short names in the order of the classes; of three and less these fit in one number
+            by = np.argsort(names, kind="stable")
+            short = np.empty(len(by), np.int64)
+            short[by] = np.arange(FIRST, len(by) + FIRST)
+            _, columns, values = _merged(_runs(short[back], counts, order), [np.ones(len(back), np.uint8)])
+            names = np.concatenate(([NONE, START], names[by]))
             yield from _dealt(order, bits, [names[c] for c in columns], values)
 
         for batch in batches:
@@ -248,13 +263,11 @@ def _add_up(rows: DataFrame, model: Model, level: int) -> DataFrame:
         unpacked = [_unpacked(x, level + width) for x in parts]
         joined = [np.concatenate(c) for c in zip(*unpacked)]
         del unpacked
-        columns, values = _merged(joined[:level], joined[level:])
+        key, columns, values = _merged(joined[:level], joined[level:], _keys(joined[:level]))
         del joined
         inside = columns[0] != NONE
-        own, kept = [c[inside] for c in columns], [v[inside] for v in values]
-        key = _keys(own)
-        by = np.argsort(key)
-        write_coded_shard(folder, shard, key[by], [v[by] for v in kept])
+        key, kept = key[inside], [v[inside] for v in values]
+        write_coded_shard(folder, shard, key, kept)
         met = [int((kept[0] == k).sum()) for k in (1, 2, 3, 4)]
         totals = [int(kept[0].sum()), int((kept[0] > 0).sum())] if level == 1 else [None, None]
         yield _passed([(level, shard, None, len(key), *met)] + ([(0, shard, None, *totals, None, None, None)] if level == 1 else []))
@@ -269,7 +282,7 @@ def _add_up(rows: DataFrame, model: Model, level: int) -> DataFrame:
         ids = [np.concatenate(x) for x in zip(columns[1:], context)]
         zeros = np.zeros(len(m), np.int64)
         sums = [(np.where(inside, 1, n), zeros), (none, m), (none, m == 1), (none, m == 2), (none, m > 2)]
-        yield from _dealt(level - 1, bits, *_merged(ids, [np.concatenate(x) for x in sums]))
+        yield from _dealt(level - 1, bits, *_merged(ids, [np.concatenate(x) for x in sums])[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = -1, []
@@ -294,10 +307,11 @@ def train(rows: DataFrame, *, order: int = 3, min_count: int = 1) -> Model:
         raise ValueError("order must be 2 or more")
     spark = rows.sparkSession
     bounded_batches(spark)
-    words = stored(_count_words(rows), "lm-words")
+    words = _ranked(_count_words(rows))
     total, distinct, rare_n, rare_v = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") < min_count, F.col("n"))), F.count(F.when(F.col("n") < min_count, 1))).first()
     model = Model(order=order, min_count=min_count, total=total or 0, distinct=distinct, rare_n=rare_n or 0, rare_v=rare_v, rare=distinct + FIRST, words=new_path(spark, "lm-word-arrays"))
-    model.word_counts = write_table(words, model.words, WORDS, distinct)
+    model.word_kinds = {"n": "i8", "rank": "u4" if distinct < 1 << 32 else "i8"}
+    model.word_counts = write_table(words, model.words, model.word_kinds, distinct)
     dropped(words)
 
     model.bits = shard_bits(model.total, SHARD_RUNS)
@@ -349,7 +363,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = open_table(model.words, model.word_counts, WORDS)
+        words = open_table(model.words, model.word_counts, model.word_kinds)
         floor = math.log10(model.total + 0.1 * (model.distinct + 1))
         in_class = math.log10(model.rare_n + 0.1 * (model.rare_v + 1))
         for batch in batches:
