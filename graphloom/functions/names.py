@@ -47,12 +47,26 @@ def segments(name: Column) -> Column:
 
 
 def package_of_file(path: Column) -> Column:
-    """./dir of a relative Go path, . for the root, null for other files and for paths outside."""
-    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-    inside = path.endswith(".go") & ~path.startswith("/") & ~path.rlike(r"(^|/)\.\.(/|$)")
+    """./dir of a relative Go path, . for the root, null for other files and for paths outside; the path is cleaned first."""
+    plain = clean_path(path)
+    folder = F.regexp_extract(plain, r"^(.*)/[^/]*$", 1)
+    inside = plain.endswith(".go") & ~plain.startswith("/") & ~plain.rlike(r"^\.\.(/|$)")
     return F.when(inside, F.when(folder == "", F.lit(".")).otherwise(F.concat(F.lit("./"), folder)))
 
 
+def clean_path(path: Column) -> Column:
+    """The shortest equal path: no empty or . part, and .. takes the part before it away where there is one."""
+    parts = F.filter(F.split(F.trim(path), "/"), lambda p: (p != "") & (p != "."))
+    rooted = F.trim(path).startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("")) != "..")
+        return F.when(back, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when((part == "..") & rooted & (F.size(done) == 0), done).otherwise(F.concat(done, F.array(part)))
+
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+
+
 def package_of_symbol(qualified: Column) -> Column:
     """Text before the first dot after the last slash; without a slash the root."""
     return F.when(qualified.contains("/"), F.regexp_extract(qualified, r"^(.*/[^./]*)", 1)).otherwise(F.lit("."))

@@ -29,10 +29,10 @@ def hunk_ranges(lines: DataFrame) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges of each key, touching and overlapping ones merged (gaps and islands)."""
+    """Ranges of each key, touching and overlapping ones merged (gaps and islands); an end before its start counts as the start."""
     order = W.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = ranges.select(*keys, "start", "end").withColumn("new", F.when(F.col("start") <= before + 1, 0).otherwise(1))
+    rows = ranges.select(*keys, "start", F.greatest("start", "end").alias("end")).withColumn("new", F.when(F.col("start") <= before + 1, 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
@@ -120,10 +120,14 @@ def explain_risk(signals: DataFrame) -> DataFrame:
 
 
 def context_risk(signals: DataFrame, kind: str) -> DataFrame:
-    """score and level of a file, package or diff context: files, symbols, packages, interface_signals, tests."""
+    """score and level of a file, package or diff context: files, symbols, packages (affected ones), interface_signals, tests.
+
+    Missing tests count for a diff with changed_packages, and for a file or package
+    whose package is known (column package).
+    """
     c = F.col
     score = F.when(c("packages") > 1, 2).when(c("packages") == 1, 1).otherwise(0) + _if(c("interface_signals") > 0, 2)
-    score += _if((c("tests") == 0) & ((c("symbols") > 0) if kind == "diff" else F.lit(True)), 1)
+    score += _if((c("tests") == 0) & ((c("changed_packages") > 0) if kind == "diff" else F.coalesce(c("package"), F.lit("")) != ""), 1)
     if kind == "file":
         score += F.when(c("symbols") > 5, 2).when(c("symbols") > 2, 1).otherwise(0)
     if kind == "package":
@@ -132,10 +136,10 @@ def context_risk(signals: DataFrame, kind: str) -> DataFrame:
 
 
 def review_risk(signals: DataFrame) -> DataFrame:
-    """Level of a change under review: warnings or interfaces make it high; dependents, several packages or no symbols medium."""
+    """Level of a change under review: warnings or interfaces make it high; dependents, several packages or changed files without symbols medium."""
     c = F.col
     high = (c("warnings") > 0) | (c("interfaces") > 0)
-    medium = (c("dependents") > 0) | (c("packages") > 1) | (c("symbols") == 0)
+    medium = (c("dependents") > 0) | (c("packages") > 1) | (c("symbols") == 0) & (c("files") > 0)
     return signals.withColumn("level", F.when(high, "high").when(medium, "medium").otherwise("low"))
 
 

@@ -7,38 +7,41 @@ one level. Edges are never collected.
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import shared_dir
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """Rows cut from their lineage by a reliable checkpoint."""
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
+def _all(levels: list[DataFrame]) -> DataFrame:
+    """The rows of all levels; each level is a checkpoint of its own and never written again."""
+    return reduce(DataFrame.union, levels)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): nodes reached from each seed along (src, dst), the seed itself at depth 0."""
-    seen = front = _kept(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
-    edges = _kept(edges.select("src", "dst"))
-    depth = 0
+    front = _kept(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
+    edges = _kept(edges.select("src", "dst").distinct())
+    levels, depth = [front], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(edges.withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node")).distinct()
-        front = _kept(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = _kept(step.join(_all(levels), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = _kept(seen.union(front))
-    return seen
+        levels.append(front)
+    return _all(levels)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -52,18 +55,16 @@ def transitive_callers(calls: DataFrame, targets: DataFrame) -> DataFrame:
     """
     back = _kept(calls.select(F.col("dst").alias("node"), F.col("src").alias("caller"), "file", "line"))
     front = _kept(targets.select("target", F.col("target").alias("node")).distinct())
-    seen = None
-    depth = 0
+    levels: list[DataFrame] = []
     while True:
-        depth += 1
         step = front.join(back, "node").groupBy("target", "caller").agg(F.min(F.struct("file", "line")).alias("p"))
-        step = step.select("target", "caller", F.lit(depth).alias("depth"), "p.file", "p.line")
-        if seen is not None:
-            step = step.join(seen, ["target", "caller"], "left_anti")
+        step = step.select("target", "caller", F.lit(len(levels) + 1).alias("depth"), "p.file", "p.line")
+        if levels:
+            step = step.join(_all(levels), ["target", "caller"], "left_anti")
         step = _kept(step)
         if step.isEmpty():
-            return step if seen is None else seen
-        seen = step if seen is None else _kept(seen.union(step))
+            return _all(levels or [step])
+        levels.append(step)
         front = step.select("target", F.col("caller").alias("node"))
 
 
@@ -103,26 +104,56 @@ def closure(edges: DataFrame) -> DataFrame:
         size = now
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(component, size, members): strongly connected components of two nodes or more, by mutual reachability.
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without the nodes that have none in or none out, round by round: they lie on no cycle."""
+    size = edges.count()
+    while size:
+        ends = edges.select(F.col("src").alias("n")).distinct().intersect(edges.select(F.col("dst").alias("n")).distinct())
+        edges = _kept(edges.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
+        last, size = size, edges.count()
+        if last == size:
+            break
+    return edges
 
-    Meant for package graphs. Nodes without an edge in or out cannot lie on a
-    cycle and go first, round by round, so only the cyclic core is closed.
-    """
-    core = _kept(edges.select("src", "dst").filter("src <> dst").distinct())
-    size = core.count()
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that leads to each node, itself included."""
+    colour = _kept(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
     while True:
-        ends = core.select(F.col("src").alias("n")).distinct().intersect(core.select(F.col("dst").alias("n")).distinct())
-        core = _kept(core.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
-        now = core.count()
-        if now == size:
-            break
-        size = now
-    pairs = closure(core)
-    mutual = pairs.intersect(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    member = mutual.groupBy("src").agg(F.min("dst").alias("component"))
-    out = member.groupBy("component").agg(F.count("*").cast("int").alias("size"), F.array_sort(F.collect_list("src")).alias("members"))
-    return out.filter("size > 1").orderBy(F.desc("size"), "component")
+        passed = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("from"))
+        now = _kept(colour.join(passed, "node", "left").select("node", F.least("colour", "from").alias("colour"), (F.col("from") < F.col("colour")).alias("changed")))
+        colour = now.select("node", "colour")
+        if now.filter("changed").isEmpty():
+            return colour
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the strongly connected components of two nodes or more, each named by its smallest node.
+
+    Colouring: the smallest node that leads to a node is its colour; the nodes that
+    lead back to the node that names their colour, inside the colour, are its
+    component. These go, edges between colours go, and the rest is coloured again.
+    """
+    edges = _trimmed(_kept(edges.select("src", "dst").filter("src <> dst").distinct()))
+    found: list[DataFrame] = []
+    while not edges.isEmpty():
+        colour = _colours(edges)
+        inside = edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst").filter("c = d").select("src", "dst")
+        inside = _kept(inside)
+        back = reachable(reversed_edges(inside), colour.filter("node = colour").select(F.col("node").alias("seed")))
+        part = _kept(back.select("node", F.col("seed").alias("component")))
+        found.append(part)
+        gone = part.select("node")
+        edges = _trimmed(_kept(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
+    rows = _all(found) if found else edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    several = rows.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    return rows.join(several, "component", "left_semi").select("node", "component")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(component, size, members): strongly connected components of two nodes or more, the largest first."""
+    out = strong_components(edges).groupBy("component").agg(F.count("*").cast("int").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
+    return out.orderBy(F.desc("size"), "component")
 
 
 def without_callers(nodes: DataFrame, calls: DataFrame) -> DataFrame:
@@ -139,12 +170,12 @@ def with_reasons(direct: DataFrame, possible: DataFrame, seeds: DataFrame) -> Da
     """
     both = _kept(direct.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(None).cast("string").alias("why")).union(possible.select(F.col("dst"), F.col("src"), "reason")))
     state = ["seed", "node", "reason"]
-    seen = front = _kept(seeds.select("seed", F.col("seed").alias("node"), F.lit("").alias("reason"), F.lit(0).alias("depth")).distinct())
-    depth = 0
+    front = _kept(seeds.select("seed", F.col("seed").alias("node"), F.lit("").alias("reason"), F.lit(0).alias("depth")).distinct())
+    levels: list[DataFrame] = []
     while not front.isEmpty():
-        depth += 1
+        levels.append(front)
         step = front.join(both, "node").select("seed", F.col("up").alias("node"), F.when(F.col("reason") == "", F.coalesce("why", F.lit(""))).otherwise(F.col("reason")).alias("reason")).distinct()
-        front = _kept(step.join(seen, state, "left_anti").withColumn("depth", F.lit(depth)))
-        seen = _kept(seen.union(front))
+        front = _kept(step.join(_all(levels), state, "left_anti").withColumn("depth", F.lit(len(levels))))
+    seen = _all(levels or [front])
     best = W.partitionBy("seed", "node").orderBy(F.col("reason") != "", "depth", "reason")
     return seen.withColumn("k", F.row_number().over(best)).filter("k = 1").select("seed", "node", F.nullif("reason", F.lit("")).alias("reason"))

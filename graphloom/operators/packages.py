@@ -111,23 +111,24 @@ def package_risk(summary: DataFrame, symbols: DataFrame, cyclic: DataFrame, *, l
     return rows.orderBy(*(F.desc(c) for c in ("score", "imported_by", "local_imports", "exported", "interfaces")), "package").limit(limit)
 
 
-def repository_risk(summary: DataFrame, symbols: DataFrame, cycles: DataFrame, tests: DataFrame) -> DataFrame:
-    """(factor, points) rows of a repository, a baseline row if there are none."""
+def repository_risk(summary: DataFrame, symbols: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(factor, points) rows of a repository, a baseline row if there are none; packages with tests come from the summary."""
     kept = symbols.filter(~N.is_test_file(F.col("file")))
     one = summary.agg(F.coalesce(F.max("imported_by"), F.lit(0)).alias("fan_in"), F.coalesce(F.max("local_imports"), F.lit(0)).alias("fan_out"))
     api = kept.agg(F.count_if(N.is_exported(F.col("name"))).alias("exported"), F.count_if(F.col("kind") == "interface").alias("interfaces"))
     looped = cycles.agg(F.count("*").alias("cycles"))
-    tested = tests.agg(F.count("*").alias("tests"))
+    tested = summary.agg(F.count("*").alias("packages"), F.count_if("has_tests").alias("tested"))
     numbers = {}
     for frame in (one, api, looped, tested):  # one row each
         numbers |= frame.first().asDict()
     rows = []
     if numbers["cycles"]:
-        rows.append(("cycles", 4))
+        rows.append(("dependency_cycles", 4))
     for factor, value, bound, high in (("fan_in", "fan_in", 5, 3), ("fan_out", "fan_out", 5, 2), ("public_api", "exported", 10, 3), ("interfaces", "interfaces", 3, 2)):
         if numbers[value]:
             rows.append((factor, high if numbers[value] >= bound else 1))
-    rows.append(("tests", 0 if numbers["tests"] else 1))
+    if numbers["packages"]:
+        rows.append(("tests", 0 if numbers["tested"] else 1))
     return summary.sparkSession.createDataFrame(rows or [("baseline", 0)], "factor string, points int")
 
 
@@ -138,10 +139,11 @@ def symbol_totals(symbols: DataFrame) -> DataFrame:
 
 
 def important_symbols(symbols: DataFrame, limit: int = 10) -> DataFrame:
-    """Exported symbols and main functions by kind, package, name and file."""
-    kinds = F.when(F.col("kind") == "interface", 0).when(F.col("kind") == "struct", 1).when(F.col("kind") == "function", 2).when(F.col("kind") == "method", 3).otherwise(4)
+    """Exported symbols and main functions by kind, package, display name and file."""
+    kind = F.col("kind")
+    kinds = F.when(kind == "interface", 0).when(kind == "struct", 1).when(kind == "alias", 2).when(kind == "function", 3).when(kind == "method", 4).otherwise(5)
     rows = symbols.filter(N.is_exported(F.col("name")) | (F.col("name") == "main"))
-    return rows.withColumn("priority", kinds).orderBy("priority", "package", "name", "file", "line").limit(limit)
+    return rows.withColumn("priority", kinds).withColumn("display_name", N.display_name(F.col("receiver"), F.col("name"))).orderBy("priority", "package", "display_name", "file", "line").limit(limit)
 
 
 def generated_packages(files: DataFrame) -> DataFrame:
@@ -154,9 +156,9 @@ def generated_packages(files: DataFrame) -> DataFrame:
 
 
 def is_generated(text: Column) -> Column:
-    """Whether one of the first 20 lines, before a package clause, is the generated-code header."""
-    lines = F.slice(F.split(text, "\n"), 1, 20)
-    header = r"^// Code generated .* DO NOT EDIT\.\r?$"
-    clause = F.array_position(F.transform(lines, lambda x: x.rlike(r"^package\s")), True)
+    """Whether one of the first 20 lines, before a package clause, is the generated-code header; white space around it does not count."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 20), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    header = r"^// Code generated .* DO NOT EDIT\.$"
+    clause = F.array_position(F.transform(lines, lambda x: x.rlike(r"^package(\s|$)")), True)
     head = F.when(clause > 0, F.slice(lines, F.lit(1), (clause - 1).cast("int"))).otherwise(lines)
     return F.coalesce(F.exists(head, lambda x: x.rlike(header)), F.lit(False))

@@ -16,6 +16,7 @@ ENTRY_REASONS = ("goroutine", "function-literal", "http-handler")
 KEY = ("package", "receiver", "name")
 #: Names a user may give for a reference kind.
 KIND_ALIASES = {"def": "definition", "type": "type_usage", "field": "field_access", "reference": "usage"}
+TEST_SCOPES = ("direct", "related", "all")
 KINDS = ("definition", "call", "read", "write", "type_usage", "field_access", "usage")
 
 
@@ -71,19 +72,25 @@ def dispatch_candidates(sites: DataFrame, methods: DataFrame, *, limit: int = DI
 def implementations(methods: DataFrame, *, with_empty: DataFrame | None = None) -> DataFrame:
     """(interface, type): types that have every method of the interface with the same signature.
 
-    Relational division: the matches of a pair are counted against the interface's
-    own number of methods. Interfaces without methods (with_empty, column
-    interface) are satisfied by every type.
+    Owners with the same methods make one class, and classes are divided: a class of
+    interfaces meets the classes of types that have its rarest method, and its other
+    methods are looked up in the type's own set. Interfaces without methods
+    (with_empty, column interface) are satisfied by every type.
     """
-    rows = methods.select("owner_kind", F.col("owner_qualified").alias("owner"), "method", "signature").distinct()
-    wanted = rows.filter("owner_kind = 'interface'").select(F.col("owner").alias("interface"), "method", "signature")
-    sizes = wanted.groupBy("interface").agg(F.count("*").alias("n"))
-    have = rows.filter("owner_kind = 'type'").select(F.col("owner").alias("type"), "method", "signature")
-    met = wanted.join(have, ["method", "signature"]).groupBy("interface", "type").agg(F.count("*").alias("n"))
-    out = met.join(sizes, ["interface", "n"]).select("interface", "type")
+    rows = methods.select("owner_kind", F.col("owner_qualified").alias("owner"), F.struct("method", "signature").alias("m")).distinct()
+    owners = rows.groupBy("owner_kind", "owner").agg(F.array_sort(F.collect_list("m")).alias("set"))
+    wanted, have = (owners.filter(F.col("owner_kind") == kind).select(F.col("owner").alias(kind), "set") for kind in ("interface", "type"))
+    classes = have.groupBy("set").agg(F.min("type").alias("of"))
+    offered = classes.select("of", F.explode("set").alias("m"))
+    rarity = offered.groupBy("m").agg(F.count("*").alias("n"))
+    asked = wanted.groupBy("set").agg(F.min("interface").alias("by"))
+    rarest = asked.select("by", F.explode("set").alias("m")).join(rarity, "m", "left").groupBy("by").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("m"))).alias("r"))
+    first = rarest.filter("r.n > 0").select("by", "r.m")
+    near = first.join(offered, "m").select("by", "of").join(asked.select("by", F.col("set").alias("need")), "by").join(classes.select("of", F.col("set").alias("has")), "of")
+    met = near.filter(F.size(F.array_except("need", "has")) == 0).select("need", "has")
+    out = met.join(wanted.select("interface", F.col("set").alias("need")), "need").join(have.select("type", F.col("set").alias("has")), "has").select("interface", "type")
     if with_empty is not None:
-        types = have.select("type").distinct()
-        out = out.union(with_empty.select("interface").join(types, F.lit(True)))
+        out = out.union(with_empty.select("interface").join(have.select("type"), F.lit(True)))
     return out
 
 
@@ -118,11 +125,13 @@ def interface_signals(pairs: DataFrame, packages: DataFrame, embeds: DataFrame |
 def entry_kind(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """Functions with their entry kind, the first of main, test, http, exported, no-local-callers; others go.
 
-    functions has node, name, package_name, file, is_http; calls has (src, dst).
+    functions has node, name, receiver, package_name, file, is_http; calls has (src, dst).
+    A method is never main or a test.
     """
     called = calls.filter("src <> dst").select(F.col("dst").alias("node"), F.lit(True).alias("called")).distinct()
-    test = N.is_test_file(F.col("file")) & F.col("name").rlike("^(Test|Benchmark|Fuzz|Example)")
-    kind = F.when((F.col("package_name") == "main") & (F.col("name") == "main"), "main").when(test, "test").when(F.col("is_http"), "http").when(N.is_exported(F.col("name")), "exported").when(F.col("called").isNull(), "no-local-callers")
+    plain = F.coalesce("receiver", F.lit("")) == ""
+    test = plain & N.is_test_file(F.col("file")) & F.col("name").rlike("^(Test|Benchmark|Fuzz|Example)")
+    kind = F.when(plain & (F.col("package_name") == "main") & (F.col("name") == "main"), "main").when(test, "test").when(F.col("is_http"), "http").when(N.is_exported(F.col("name")), "exported").when(F.col("called").isNull(), "no-local-callers")
     return functions.join(called, "node", "left").withColumn("kind", kind).drop("called").filter("kind IS NOT NULL")
 
 
@@ -139,10 +148,11 @@ def entry_points(functions: DataFrame, calls: DataFrame, possible: DataFrame, ta
     return rows.select(F.col("seed").alias("target"), "node", "kind", certainty.alias("certainty"), "reason")
 
 
-def related_tests(tests: DataFrame, refs: DataFrame, target_packages: DataFrame, targets: DataFrame, *, scope: str = "all") -> DataFrame:
+def related_tests(tests: DataFrame, refs: DataFrame, target_packages: DataFrame, targets: DataFrame, *, scope: str = "all", target_kind: str = "symbol") -> DataFrame:
     """Tests of the target packages or with a direct reference to a target, with direct and the sorted targets.
 
-    scope ``direct`` keeps direct ones, ``related`` too if there are any, ``all`` keeps everything.
+    scope ``direct`` keeps direct ones, ``related`` too if there are any, ``all`` keeps
+    everything; a target of kind ``package`` keeps all its tests in every scope.
     """
     key = ["package", "name", "file"]
     direct = references(refs, targets).select(F.col("src_package").alias("package"), F.col("src_name").alias("name"), F.col("file"), F.col("dst_name").alias("target"))
@@ -150,7 +160,9 @@ def related_tests(tests: DataFrame, refs: DataFrame, target_packages: DataFrame,
     near = tests.join(target_packages.select("package").distinct(), "package", "left_semi").select(key)
     rows = near.union(direct.select(key)).distinct().join(direct, key, "left")
     rows = rows.select(*key, F.col("targets").isNotNull().alias("direct"), F.coalesce("targets", F.array()).alias("targets"))
-    if scope == "direct" or scope == "related" and not direct.isEmpty():
+    if scope not in TEST_SCOPES:
+        raise ValueError(f"unknown test scope: {scope}")
+    if target_kind != "package" and (scope == "direct" or scope == "related" and not direct.isEmpty()):
         rows = rows.filter("direct")
     return rows.orderBy("package", "file", "name")
 

@@ -12,13 +12,13 @@ from graphloom.functions import names as N
 
 
 def term_score(term: str, shown: Column) -> Column:
-    """Best single rule of a lower-case term: exact, prefix, segment prefix, containment, package name, package path, qualified name."""
-    low = F.lower(shown)
+    """Best single rule of a lower-case term: exact, prefix, segment prefix, containment (name or display name), package name, package path, qualified name."""
+    low, name = F.lower(shown), F.lower("name")
     rules = [
-        (low == term, 100),
-        (low.startswith(term), 80),
+        ((low == term) | (name == term), 100),
+        (low.startswith(term) | name.startswith(term), 80),
         (F.exists(N.segments(shown), lambda s: s.startswith(term)), 70),
-        (low.contains(term), 60),
+        (low.contains(term) | name.contains(term), 60),
         (F.lower("package_name").contains(term), 35),
         (F.lower("package").contains(term), 30),
         (F.lower("qualified_name").contains(term), 20),
@@ -54,19 +54,21 @@ def filter_symbols(symbols: DataFrame, *, kind: str | None = None, package: str
 
 
 class AmbiguousTarget(ValueError):
-    """More than one symbol matches; carries the sorted candidates."""
+    """More than one symbol matches; carries their number and the first ones in order."""
 
-    def __init__(self, text: str, candidates: list[str]) -> None:
-        super().__init__(f"{text} is ambiguous: {', '.join(candidates)}")
-        self.candidates = candidates
+    def __init__(self, text: str, candidates: list[str], count: int) -> None:
+        more = f" and {count - len(candidates)} more" if count > len(candidates) else ""
+        super().__init__(f"{text} is ambiguous: {', '.join(candidates)}{more}")
+        self.candidates, self.count = candidates, count
 
 
-def resolve(symbols: DataFrame, text: str, *, module: str = "", function: bool = False) -> DataFrame:
-    """The one symbol that a target text names; raises if none or several match."""
+def resolve(symbols: DataFrame, text: str, *, module: str = "", function: bool = False, shown: int = 20) -> DataFrame:
+    """The one symbol that a target text names; raises if none or several match (naming the first ``shown`` in order, as a report does)."""
     found = symbols.filter(N.matches_target(N.parse_target(text, module), function=function))
-    rows = found.select(N.qualified_target(F.col("package"), F.col("receiver"), F.col("name"), module or ".").alias("t")).limit(20).collect()
+    named = found.select(N.qualified_target(F.col("package"), F.col("receiver"), F.col("name"), module or ".").alias("t"))
+    rows = named.orderBy("t").limit(shown).collect()
     if not rows:
         raise LookupError(f"no symbol matches {text}")
     if len(rows) > 1:
-        raise AmbiguousTarget(text, sorted(r.t for r in rows))
+        raise AmbiguousTarget(text, [r.t for r in rows], named.count())
     return found

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.sources.shared import stored
+
 FACTS = {
     "parts": "SELECT * FROM {part}",
     "orders": "SELECT * FROM {orders}",
@@ -78,11 +80,22 @@ FACTS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
+#: Facts made by joining lineitem with itself; written once for each session and input, then read.
+STORED = ("calls", "imports", "strong_imports", "methods")
+_STORED: dict[tuple, DataFrame] = {}
+
+
 def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fact table as a DataFrame."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _STORED:
+        return _STORED[key]
     sql = FACTS[name].replace("VARCHAR(4)", "STRING").replace("VARCHAR(8)", "STRING").replace("VARCHAR(12)", "STRING").replace("VARCHAR(20)", "STRING")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    rows = spark.sql(sql, **used)
+    if name in STORED:
+        rows = _STORED[key] = stored(rows, f"fact-{name}")
+    return rows
 
 
 def ctes(*names: str) -> str:

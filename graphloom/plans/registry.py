@@ -152,15 +152,15 @@ def package_risk(get, spark):
     + CLOSURE_SQL
     + """, k AS (SELECT (SELECT count(*) FROM comp) AS cycles, (SELECT max(imported_by) FROM summary) AS fi, (SELECT max(local_imports) FROM summary) AS fo,
             (SELECT count(*) FROM symbols WHERE regexp_matches(name, '^[A-Z]') AND NOT file LIKE '%\\_test.go' ESCAPE '\\') AS ex,
-            (SELECT count(*) FROM symbols WHERE kind = 'interface' AND NOT file LIKE '%\\_test.go' ESCAPE '\\') AS ifs, (SELECT count(*) FROM events) AS t)
-    SELECT 'cycles' AS factor, 4 AS points FROM k WHERE cycles > 0
+            (SELECT count(*) FROM symbols WHERE kind = 'interface' AND NOT file LIKE '%\\_test.go' ESCAPE '\\') AS ifs, (SELECT count(*) FROM summary) AS packages, (SELECT count(*) FROM summary WHERE has_tests) AS t)
+    SELECT 'dependency_cycles' AS factor, 4 AS points FROM k WHERE cycles > 0
     UNION ALL SELECT 'fan_in', CASE WHEN fi >= 5 THEN 3 ELSE 1 END FROM k WHERE fi > 0 UNION ALL SELECT 'fan_out', CASE WHEN fo >= 5 THEN 2 ELSE 1 END FROM k WHERE fo > 0
     UNION ALL SELECT 'public_api', CASE WHEN ex >= 10 THEN 3 ELSE 1 END FROM k WHERE ex > 0 UNION ALL SELECT 'interfaces', CASE WHEN ifs >= 3 THEN 2 ELSE 1 END FROM k WHERE ifs > 0
-    UNION ALL SELECT 'tests', CASE WHEN t = 0 THEN 1 ELSE 0 END FROM k""",
+    UNION ALL SELECT 'tests', CASE WHEN t = 0 THEN 1 ELSE 0 END FROM k WHERE packages > 0""",
     SUMMARY_FACTS,
 )
 def repository_risk(get, spark):
-    return P.repository_risk(_summary(get), get("symbols"), G.cycles(_import_edges(get)), get("tests"))
+    return P.repository_risk(_summary(get), get("symbols"), G.cycles(_import_edges(get)))
 
 
 @_query(
@@ -175,8 +175,9 @@ def symbol_totals(get, spark):
 
 
 @_query(
-    """ SELECT symbol_id, priority FROM (SELECT *, CASE kind WHEN 'interface' THEN 0 WHEN 'struct' THEN 1 WHEN 'function' THEN 2 WHEN 'method' THEN 3 ELSE 4 END AS priority FROM symbols WHERE regexp_matches(name, '^[A-Z]'))
-        ORDER BY priority, package, name, file, line LIMIT 10""",
+    """ SELECT symbol_id, priority FROM (SELECT *, CASE kind WHEN 'interface' THEN 0 WHEN 'struct' THEN 1 WHEN 'alias' THEN 2 WHEN 'function' THEN 3 WHEN 'method' THEN 4 ELSE 5 END AS priority,
+            CASE WHEN receiver = '' THEN name ELSE receiver || '.' || name END AS shown FROM symbols WHERE regexp_matches(name, '^[A-Z]'))
+        ORDER BY priority, package, shown, file, line LIMIT 10""",
     ("symbols",),
 )
 def important_symbols(get, spark):
@@ -187,8 +188,8 @@ SEGMENTS_SQL = "list_transform(list_filter(string_split_regex(regexp_replace(sho
 
 
 def _term_sql(term: str) -> str:
-    return f"""CASE WHEN lower(shown) = '{term}' THEN 100 WHEN starts_with(lower(shown), '{term}') THEN 80 WHEN len(list_filter({SEGMENTS_SQL}, lambda x: starts_with(x, '{term}'))) > 0 THEN 70
-        WHEN contains(lower(shown), '{term}') THEN 60 WHEN contains(lower(package_name), '{term}') THEN 35 WHEN contains(lower(package), '{term}') THEN 30 WHEN contains(lower(qualified_name), '{term}') THEN 20 ELSE 0 END"""
+    return f"""CASE WHEN '{term}' IN (lower(shown), lower(name)) THEN 100 WHEN starts_with(lower(shown), '{term}') OR starts_with(lower(name), '{term}') THEN 80 WHEN len(list_filter({SEGMENTS_SQL}, lambda x: starts_with(x, '{term}'))) > 0 THEN 70
+        WHEN contains(lower(shown), '{term}') OR contains(lower(name), '{term}') THEN 60 WHEN contains(lower(package_name), '{term}') THEN 35 WHEN contains(lower(package), '{term}') THEN 30 WHEN contains(lower(qualified_name), '{term}') THEN 20 ELSE 0 END"""
 
 
 def _search_sql(terms: list[str], where: str, tail: str) -> str:
@@ -339,20 +340,29 @@ def interface_signals(get, spark):
 
 
 @_query(
-    """, back(target, caller, depth) AS (SELECT dst, src, 1 FROM calls WHERE dst = 0 UNION SELECT b.target, c.src, 0 FROM back b JOIN calls c ON b.caller = c.dst) SELECT DISTINCT target, caller FROM back""",
+    """, back(target, caller, depth) AS (SELECT dst, src, 1 FROM calls WHERE dst % 100 = 0 UNION SELECT b.target, c.src, b.depth + 1 FROM back b JOIN calls c ON b.caller = c.dst WHERE b.depth < 5),
+    least AS (SELECT target, caller, min(depth) AS depth FROM back GROUP BY target, caller)
+    SELECT l.target, l.caller, CAST(l.depth AS INTEGER) AS depth, min(struct_pack(f := c.file, l := c.line)).f AS file, min(struct_pack(f := c.file, l := c.line)).l AS line FROM least l
+    JOIN calls c ON c.src = l.caller LEFT JOIN least up ON up.target = l.target AND up.caller = c.dst AND up.depth = l.depth - 1
+    WHERE up.caller IS NOT NULL OR (l.depth = 1 AND c.dst = l.target) GROUP BY l.target, l.caller, l.depth""",
     ("calls",),
 )
 def transitive_callers(get, spark):
-    targets = spark.createDataFrame([(0,)], "target long")
-    return G.transitive_callers(get("calls"), targets).select("target", "caller")
+    """For every hundredth symbol as target, a set that grows with the table."""
+    return G.transitive_callers(get("calls"), _seeds(get, "target"))
+
+
+def _seeds(get: Callable, name: str) -> DataFrame:
+    return get("parts").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias(name))
 
 
 @_query(
-    """, fwd(seed, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey = 1 UNION SELECT f.seed, c.dst FROM fwd f JOIN calls c ON f.node = c.src) SELECT seed, node FROM fwd""",
+    """, fwd(seed, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 100 = 0 UNION SELECT f.seed, c.dst FROM fwd f JOIN calls c ON f.node = c.src) SELECT seed, node FROM fwd""",
     ("calls",),
 )
 def reachable_callees(get, spark):
-    return G.reachable(get("calls"), spark.createDataFrame([(1,)], "seed long")).select("seed", "node")
+    """For every hundredth symbol as seed, a set that grows with the table."""
+    return G.reachable(get("calls"), _seeds(get, "seed")).select("seed", "node")
 
 
 @_query(
@@ -373,7 +383,7 @@ def without_callers(get, spark):
 
 
 @_query(
-    """ SELECT symbol_id AS node, CASE WHEN package_name = 'main' AND name = 'main' THEN 'main' WHEN file LIKE '%\\_test.go' ESCAPE '\\' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)') THEN 'test'
+    """ SELECT symbol_id AS node, CASE WHEN receiver = '' AND package_name = 'main' AND name = 'main' THEN 'main' WHEN receiver = '' AND file LIKE '%\\_test.go' ESCAPE '\\' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)') THEN 'test'
         WHEN symbol_id % 9 = 0 THEN 'http' WHEN regexp_matches(name, '^[A-Z]') THEN 'exported' ELSE 'no-local-callers' END AS kind FROM symbols
         WHERE symbol_id % 9 = 0 OR regexp_matches(name, '^[A-Z]') OR symbol_id NOT IN (SELECT dst FROM calls WHERE src <> dst)""",
     ("symbols", "calls"),
@@ -383,23 +393,23 @@ def entry_kinds(get, spark):
 
 
 def _functions(get: Callable) -> DataFrame:
-    return get("symbols").select(F.col("symbol_id").alias("node"), "name", "package_name", "file", (F.col("symbol_id") % 9 == 0).alias("is_http"))
+    return get("symbols").select(F.col("symbol_id").alias("node"), "name", "receiver", "package_name", "file", (F.col("symbol_id") % 9 == 0).alias("is_http"))
 
 
 @_query(
-    """, direct(node) AS (SELECT 0 UNION SELECT c.src FROM direct d JOIN calls c ON c.dst = d.node),
+    """, direct(target, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 100 = 0 UNION SELECT d.target, c.src FROM direct d JOIN calls c ON c.dst = d.node),
     followed AS (SELECT DISTINCT src, dst FROM possible WHERE reason IN ('goroutine', 'function-literal', 'http-handler') AND scope = 'local'),
-    edge AS (SELECT src, dst FROM calls UNION SELECT src, dst FROM followed), anyway(node) AS (SELECT 0 UNION SELECT e.src FROM anyway d JOIN edge e ON e.dst = d.node),
-    kinds AS (SELECT symbol_id AS node, CASE WHEN package_name = 'main' AND name = 'main' THEN 'main' WHEN file LIKE '%\\_test.go' ESCAPE '\\' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)') THEN 'test'
+    edge AS (SELECT src, dst FROM calls UNION SELECT src, dst FROM followed), anyway(target, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 100 = 0 UNION SELECT d.target, e.src FROM anyway d JOIN edge e ON e.dst = d.node),
+    kinds AS (SELECT symbol_id AS node, CASE WHEN receiver = '' AND package_name = 'main' AND name = 'main' THEN 'main' WHEN receiver = '' AND file LIKE '%\\_test.go' ESCAPE '\\' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)') THEN 'test'
         WHEN symbol_id % 9 = 0 THEN 'http' WHEN regexp_matches(name, '^[A-Z]') THEN 'exported' ELSE 'no-local-callers' END AS kind FROM symbols
         WHERE symbol_id % 9 = 0 OR regexp_matches(name, '^[A-Z]') OR symbol_id NOT IN (SELECT dst FROM calls WHERE src <> dst))
-    SELECT CAST(0 AS BIGINT) AS target, k.node, kind, CASE WHEN kind IN ('http', 'exported', 'no-local-callers') OR d.node IS NULL THEN 'possible' ELSE 'direct' END AS certainty
-    FROM anyway a JOIN kinds k ON a.node = k.node LEFT JOIN direct d ON d.node = a.node""",
+    SELECT a.target, k.node, kind, CASE WHEN kind IN ('http', 'exported', 'no-local-callers') OR d.node IS NULL THEN 'possible' ELSE 'direct' END AS certainty
+    FROM anyway a JOIN kinds k ON a.node = k.node LEFT JOIN direct d ON d.node = a.node AND d.target = a.target""",
     ("symbols", "calls", "possible"),
 )
 def entry_points(get, spark):
-    targets = spark.createDataFrame([(0,)], "target long")
-    return L.entry_points(_functions(get), get("calls"), get("possible"), targets).drop("reason")
+    """For every hundredth symbol as target, a set that grows with the table."""
+    return L.entry_points(_functions(get), get("calls"), get("possible"), _seeds(get, "target")).drop("reason")
 
 
 @_query(
@@ -447,7 +457,7 @@ def test_plan(get, spark):
 
 
 @_query(
-    """, o AS (SELECT path, side, start_line, end_line, max(end_line) OVER (PARTITION BY path, side ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranges),
+    """, o AS (SELECT path, side, start_line, greatest(start_line, end_line) AS end_line, max(end_line) OVER (PARTITION BY path, side ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranges),
     g AS (SELECT *, sum(CASE WHEN start_line <= before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY path, side ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM o)
     SELECT path, side, min(start_line) AS "start", max(end_line) AS "end" FROM g GROUP BY path, side, island""",
     ("ranges",),
@@ -538,11 +548,11 @@ def explain_risk(get, spark):
 @_query(
     """WITH sig AS (SELECT p_partkey AS id, p_size % 4 AS a, p_size % 7 AS b, p_size % 3 AS c, p_size % 6 AS d FROM part),
     s AS (SELECT id, CASE WHEN a > 1 THEN 2 WHEN a = 1 THEN 1 ELSE 0 END + CASE WHEN c > 0 THEN 2 ELSE 0 END AS base, a, b, c, d FROM sig),
-    t AS (SELECT id, base + CASE WHEN d = 0 THEN 1 ELSE 0 END + CASE WHEN b > 5 THEN 2 WHEN b > 2 THEN 1 ELSE 0 END AS file_score, base + CASE WHEN d = 0 THEN 1 ELSE 0 END + CASE WHEN d > 5 THEN 2 WHEN d > 1 THEN 1 ELSE 0 END + CASE WHEN b > 10 THEN 2 WHEN b > 4 THEN 1 ELSE 0 END AS package_score, base + CASE WHEN d = 0 AND b > 0 THEN 1 ELSE 0 END AS diff_score FROM s)
+    t AS (SELECT id, base + CASE WHEN d = 0 AND a <> 3 THEN 1 ELSE 0 END + CASE WHEN b > 5 THEN 2 WHEN b > 2 THEN 1 ELSE 0 END AS file_score, base + CASE WHEN d = 0 AND a <> 3 THEN 1 ELSE 0 END + CASE WHEN d > 5 THEN 2 WHEN d > 1 THEN 1 ELSE 0 END + CASE WHEN b > 10 THEN 2 WHEN b > 4 THEN 1 ELSE 0 END AS package_score, base + CASE WHEN d = 0 AND c > 0 THEN 1 ELSE 0 END AS diff_score FROM s)
     SELECT id, CAST(file_score AS INTEGER) AS file_score, CAST(package_score AS INTEGER) AS package_score, CAST(diff_score AS INTEGER) AS diff_score FROM t""",
 )
 def context_risk(get, spark):
-    rows = _signals(get).selectExpr("id", "a AS packages", "c AS interface_signals", "d AS tests", "b AS symbols", "d AS files")
+    rows = _signals(get).selectExpr("id", "a AS packages", "c AS interface_signals", "d AS tests", "b AS symbols", "d AS files", "c AS changed_packages", "CASE WHEN a <> 3 THEN './p' ELSE '' END AS package")
     out = rows
     for kind in ("file", "package", "diff"):
         out = C.context_risk(out, kind).withColumnRenamed("score", f"{kind}_score").drop("level")
@@ -550,10 +560,10 @@ def context_risk(get, spark):
 
 
 @_query(
-    """SELECT p_partkey AS id, CASE WHEN p_size % 7 > 5 OR p_size % 5 = 0 THEN 'high' WHEN p_size % 3 > 0 OR p_size % 4 > 1 OR p_size % 6 = 0 THEN 'medium' ELSE 'low' END AS level FROM part""",
+    """SELECT p_partkey AS id, CASE WHEN p_size % 7 > 5 OR p_size % 5 = 0 THEN 'high' WHEN p_size % 3 > 0 OR p_size % 4 > 1 OR (p_size % 6 = 0 AND p_size % 4 > 0) THEN 'medium' ELSE 'low' END AS level FROM part""",
 )
 def review_risk(get, spark):
-    rows = _signals(get).selectExpr("id", "greatest(b - 5, 0) AS warnings", "CASE WHEN f THEN 1 ELSE 0 END AS interfaces", "c AS dependents", "a AS packages", "d AS symbols")
+    rows = _signals(get).selectExpr("id", "greatest(b - 5, 0) AS warnings", "CASE WHEN f THEN 1 ELSE 0 END AS interfaces", "c AS dependents", "a AS packages", "a AS files", "d AS symbols")
     return C.review_risk(rows).select("id", "level")
 
 
@@ -589,7 +599,7 @@ def generated_packages(get, spark):
 
 
 @_query(
-    """ SELECT package, count(*) AS files, sum(CASE WHEN is_test THEN 1 ELSE 0 END)::BIGINT AS tests, sum(CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[1:20], chr(10)), '(?m)^// Code generated .* DO NOT EDIT\\.$') THEN 1 ELSE 0 END)::BIGINT AS generated FROM files GROUP BY package""",
+    """ SELECT package, count(*) AS files, sum(CASE WHEN is_test THEN 1 ELSE 0 END)::BIGINT AS tests, sum(CASE WHEN regexp_matches(array_to_string(string_split(text, chr(10))[1:20], chr(10)), '(?m)^[ \\t\\r]*// Code generated .* DO NOT EDIT\\.[ \\t\\r]*$') THEN 1 ELSE 0 END)::BIGINT AS generated FROM files GROUP BY package""",
     ("files",),
 )
 def file_totals(get, spark):
@@ -597,13 +607,12 @@ def file_totals(get, spark):
 
 
 @_query(
-    """, f AS (SELECT './' AS root, regexp_extract(path, '^(.*/)?', 0) AS folder, path, path || chr(0) || CAST(size AS VARCHAR) || chr(0) || CAST(mtime_ns AS VARCHAR) || chr(0) || sha256(text) || chr(0) AS line FROM files),
-    d AS (SELECT root, folder, sha256(string_agg(line, '' ORDER BY path, line)) AS digest FROM f GROUP BY root, folder)
-    SELECT root, sha256(string_agg(folder || chr(0) || digest || chr(0), '' ORDER BY folder)) AS fingerprint FROM d GROUP BY root""",
+    """, f AS (SELECT package AS root, path, path || chr(0) || CAST(size AS VARCHAR) || chr(0) || CAST(mtime_ns AS VARCHAR) || chr(0) || sha256(text) || chr(0) AS line FROM files)
+    SELECT root, sha256(string_agg(line, '' ORDER BY path, line)) AS fingerprint FROM f GROUP BY root""",
     ("files",),
 )
 def snapshot_fingerprint(get, spark):
-    return R.fingerprint(get("files").select(F.lit("./").alias("root"), "path", "size", "mtime_ns", F.sha2("text", 256).alias("sha256")))
+    return R.fingerprint(get("files").select(F.col("package").alias("root"), "path", "size", "mtime_ns", F.sha2("text", 256).alias("sha256")))
 
 
 @_query(
