@@ -41,7 +41,7 @@ END = np.uint64(0x51ED270B0A1F39C1)
 #: Words a counting task holds before it passes them on.
 HELD = 2_000_000
 #: Runs of a shard, about.
-SHARD_RUNS = 3_000_000
+SHARD_RUNS = 4_000_000
 #: Values of a run: its count; total and number of runs met once, twice and more often that have it as context.
 VALUES = 5
 #: Classes: what stands before the start of a text, the start, then the words.
@@ -166,8 +166,8 @@ def _keys(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _merged(columns: list[np.ndarray], values: list[np.ndarray], key: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """The distinct rows of the columns with their values summed, and their keys; by ``key`` if it is given, else by the columns where those fit in one number."""
+def _grouped(columns: list[np.ndarray], key: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys and columns of the distinct rows, the order that brings equal rows together, and where each begins in it; by ``key`` if it is given, else by the columns where those fit in one number."""
     if key is None:
         widths = [int(c.max(initial=0)).bit_length() for c in columns]
         if sum(widths) < 64:
@@ -180,7 +180,11 @@ def _merged(columns: list[np.ndarray], values: list[np.ndarray], key: np.ndarray
     key = key[order]
     at = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
     pick = order[at]
-    return key[at], [c[pick] for c in columns], [np.add.reduceat(v[order], at, dtype=np.int64) if len(at) else v.astype(np.int64) for v in values]
+    return key[at], [c[pick] for c in columns], order, at
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -203,23 +207,25 @@ def _unpacked(data: bytes, width: int) -> list[np.ndarray]:
     return out
 
 
-_PASSED = "level int, shard int, data binary, n long, once long, twice long, thrice long, fourth long"
+#: Rows between tasks: data of a shard (ends: a run and its count; else a context and its four values), or the sizes of a finished one.
+_PASSED = "level int, shard int, ends boolean, data binary, n long, once long, twice long, thrice long, fourth long"
 _NAMES = [x.split()[0] for x in _PASSED.split(", ")]
 
 
 def _passed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], _NAMES)
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)], _NAMES)
 
 
-def _dealt(level: int, bits: int, columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _dealt(level: int, bits: int, ends: bool, columns: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows for the shards of a level."""
-    shard = (_keys(columns) >> np.uint64(64 - bits)).astype(np.int64)
+    shard = (_keys(columns) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
-    for s in np.flatnonzero(np.diff(cuts)).tolist():
-        at = order[cuts[s] : cuts[s + 1]]
-        yield _passed([(level, s, _packed([x[at] for x in (*columns, *values)]), *[None] * 5)])
+    cuts = np.searchsorted(shard[order], np.arange(1 << bits), "left").tolist() + [len(shard)]
+    for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            at = order[a:b]
+            yield _passed([(level, s, ends, _packed([x[at] for x in (*columns, *values)]), *[None] * 5)])
 
 
 def _count_runs(rows: DataFrame, model: Model) -> DataFrame:
@@ -238,9 +244,9 @@ def _count_runs(rows: DataFrame, model: Model) -> DataFrame:
             by = np.argsort(names, kind="stable")
             short = np.empty(len(by), np.int64)
             short[by] = np.arange(FIRST, len(by) + FIRST)
-            _, columns, values = _merged(_runs(short[back], counts, order), [np.ones(len(back), np.uint8)])
+            _, columns, _, at = _grouped(_runs(short[back], counts, order))
             names = np.concatenate(([NONE, START], names[by]))
-            yield from _dealt(order, bits, [names[c] for c in columns], values)
+            yield from _dealt(order, bits, True, [names[c] for c in columns], [np.diff(at, append=len(back))])
 
         for batch in batches:
             for part in token_stream(batch.column(0)):
@@ -254,49 +260,57 @@ def _count_runs(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("text").mapInArrow(run, _PASSED)
 
 
+def _joined(parts: list[bytes], level: int, width: int) -> list[np.ndarray]:
+    """The columns of packed parts."""
+    return [np.concatenate(c) for c in zip(*(_unpacked(x, level + width) for x in parts))] if parts else [np.zeros(0, np.int64)] * (level + width)
+
+
 def _add_up(rows: DataFrame, model: Model, level: int) -> DataFrame:
     """Writes the table of a level and deals what its runs say about those of the level below; rows without data, one a shard, tell its size and counts of counts."""
-    bits, order, folder, top = model.bits, model.order, local_path(model.levels[level]), level == model.order
-    width = 1 if top else VALUES
-
-    def close(shard: int, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        unpacked = [_unpacked(x, level + width) for x in parts]
-        joined = [np.concatenate(c) for c in zip(*unpacked)]
-        del unpacked
-        key, columns, values = _merged(joined[:level], joined[level:], _keys(joined[:level]))
-        del joined
+    bits, folder, top = model.bits, local_path(model.levels[level]), level == model.order
+
+    def close(shard: int, ends: list[bytes], contexts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        *columns, n = _joined(ends, level, 1)
+        key, columns, by, at = _grouped(columns, _keys(columns))
+        n = _sums(n[by], at)
         inside = columns[0] != NONE
-        key, kept = key[inside], [v[inside] for v in values]
-        write_coded_shard(folder, shard, key, kept)
-        met = [int((kept[0] == k).sum()) for k in (1, 2, 3, 4)]
-        totals = [int(kept[0].sum()), int((kept[0] > 0).sum())] if level == 1 else [None, None]
-        yield _passed([(level, shard, None, len(key), *met)] + ([(0, shard, None, *totals, None, None, None)] if level == 1 else []))
+        own, values = key[inside], [n[inside]]
+        met = [int((values[0] == k).sum()) for k in (1, 2, 3, 4)]
+        totals = int(values[0].sum()), int((values[0] > 0).sum())
+        del key, by, at
+        if not top:
+            *names, c, n1, n2, n3 = _joined(contexts, level, 4)
+            key, _, by, at = _grouped(names, _keys(names))
+            every = np.union1d(own, key)
+            to_own, to_context = np.searchsorted(every, own), np.searchsorted(every, key)
+            full = [np.zeros(len(every), np.int64) for _ in range(VALUES)]
+            full[0][to_own] = values[0]
+            for v, part in zip(full[1:], (c, n1, n2, n3)):
+                v[to_context] = _sums(part[by], at)
+            own, values = every, full
+        write_coded_shard(folder, shard, own, values)
+        yield _passed([(level, shard, None, None, len(own), *met)] + ([(0, shard, None, None, *totals, None, None, None)] if level == 1 else []))
         if level == 1:
             return
-        if not top:  # what was only a context is no run of this level
-            real = values[0] > 0
-            columns, values, inside = [c[real] for c in columns], [values[0][real]], inside[real]
-        n, none = values[0], np.zeros(len(values[0]), np.int64)
-        context = [c[inside] for c in columns[:-1]]
-        m = n[inside]
-        ids = [np.concatenate(x) for x in zip(columns[1:], context)]
-        zeros = np.zeros(len(m), np.int64)
-        sums = [(np.where(inside, 1, n), zeros), (none, m), (none, m == 1), (none, m == 2), (none, m > 2)]
-        yield from _dealt(level - 1, bits, *_merged(ids, [np.concatenate(x) for x in sums])[1:])
+        _, shorter, by, at = _grouped(columns[1:])
+        yield from _dealt(level - 1, bits, True, shorter, [_sums(np.where(inside, 1, n)[by], at)])
+        _, shorter, by, at = _grouped([c[inside] for c in columns[:-1]])
+        m = n[inside][by]
+        yield from _dealt(level - 1, bits, False, shorter, [_sums(m, at), *(_sums(x, at) for x in (m == 1, m == 2, m > 2))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = -1, []
+        shard, held = -1, {True: [], False: []}
         for batch in batches:
-            for at, s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for at, s, ends, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 if at == level and data.is_valid:
-                    if s != shard and held:
-                        yield from close(shard, held)
-                        held = []
+                    if s != shard and any(held.values()):
+                        yield from close(shard, held.pop(True), held.pop(False))
+                        held = {True: [], False: []}
                     shard = s
-                    held.append(data.as_buffer().to_pybytes())
-            yield batch.filter(pa.compute.is_null(batch.column(2)))
-        if held:
-            yield from close(shard, held)
+                    held[ends].append(data.as_buffer().to_pybytes())
+            yield batch.filter(pa.compute.is_null(batch.column(3)))
+        if any(held.values()):
+            yield from close(shard, held[True], held[False])
 
     return rows.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(run, _PASSED)
 
@@ -322,7 +336,7 @@ def train(rows: DataFrame, *, order: int = 3, min_count: int = 1) -> Model:
     model.sizes = {k: [0] * (1 << model.bits) for k in model.levels}
     met = {k: [0] * 4 for k in model.levels}
     model.kinds = seen = 0
-    for level, shard, _, n, *counts in passed.collect():  # a row for each shard of a level
+    for level, shard, _, _, n, *counts in passed.collect():  # a row for each shard of a level
         if level:
             model.sizes[level][shard] = n
             met[level] = [a + b for a, b in zip(met[level], counts)]

@@ -55,13 +55,22 @@ def write_shard(folder: str, shard: int, columns: dict[str, list[np.ndarray]]) -
 
 def write_coded_shard(folder: str, shard: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
     """Write sorted keys with rows of small whole numbers, of which few differ: a code for each key, and the distinct rows."""
+    plain = np.ones(len(keys), bool)  # rows of zeros and ones alone, which are most, have their bits as code
     code = np.zeros(len(keys), np.int64)
     for v in values:
-        small = v if v.max(initial=0) < 1 << 32 else np.unique(v, return_inverse=True)[1]
-        code = np.unique(code * (int(small.max(initial=0)) + 1) + small, return_inverse=True)[1]
-    at = np.unique(code, return_index=True)[1]
-    kind = next(k for k in ("u1", "u2", "u4") if len(at) <= np.iinfo(k).max + 1)
-    write_shard(folder, shard, {"key": [keys], "code": [code.astype(kind)], "rows": [np.stack([v[at] for v in values], axis=1).astype("i8")]})
+        plain &= v <= 1
+        code = code * 2 + v
+    rows = (np.arange(1 << len(values))[:, None] >> np.arange(len(values))[::-1]) & 1
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        own = np.zeros(len(rest), np.int64)
+        for v in values:
+            own = np.unique(own * len(rest) + np.unique(v[rest], return_inverse=True)[1], return_inverse=True)[1]
+        at = rest[np.unique(own, return_index=True)[1]]
+        code[rest] = own + len(rows)
+        rows = np.concatenate((rows, np.stack([v[at] for v in values], axis=1)))
+    kind = next(k for k in ("u1", "u2", "u4") if len(rows) <= np.iinfo(k).max + 1)
+    write_shard(folder, shard, {"key": [keys], "code": [code.astype(kind)], "rows": [rows.astype("i8")]})
 
 
 def write_table(rows: DataFrame, path: str, kinds: dict[str, str], size: int | None = None) -> list[int]:
