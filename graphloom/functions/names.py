@@ -119,3 +119,16 @@ def matches_target(target: tuple[str | None, str | None, str], *, function: bool
     if receiver is not None or package is not None or function:
         out &= F.coalesce(F.col("receiver"), F.lit("")) == (receiver or "")
     return out
+
+
+def is_exported_method(kind: Column, receiver: Column, name: Column) -> Column:
+    """A method whose name or receiver is exported."""
+    return (kind == "method") & (is_exported(name) | is_exported(F.coalesce(receiver, F.lit(""))))
+
+
+def confidence(warnings: Column, *modes: Column) -> Column:
+    """low where there are warnings or an analysis fell back to syntax, else medium."""
+    fallen = F.lit(False)
+    for mode in modes:
+        fallen |= F.coalesce(mode, F.lit("")).contains("ast-fallback")
+    return F.when((warnings > 0) | fallen, "low").otherwise("medium")

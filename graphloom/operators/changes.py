@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from graphloom.functions import names as N
 from graphloom.operators.packages import level
 
+#: Stands for every package in a test plan.
+WHOLE_REPOSITORY = "./..."
+#: Risk scopes, from the narrowest to the widest.
+SCOPES = ("local", "package", "cross-package", "exported-api", "interface-contract")
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -18,10 +22,12 @@ def hunk_ranges(lines: DataFrame) -> DataFrame:
     lines has n (line number) and value. Counts default to one, starts are one at
     least, and an empty side gives no range.
     """
-    path = lambda text: F.when(text == "/dev/null", None).otherwise(F.regexp_replace(F.regexp_replace(text, '^"(.*)"$', "$1"), "^[ab]/", ""))
+    path = lambda text: F.when(text == "/dev/null", "").otherwise(F.regexp_replace(F.regexp_replace(text, '^"(.*)"$', "$1"), "^[ab]/", ""))
     rows = lines.select("file", "n", "value").withColumn("old_path", F.when(F.col("value").startswith("--- "), path(F.substring("value", 5, 100_000)))).withColumn("new_path", F.when(F.col("value").startswith("+++ "), path(F.substring("value", 5, 100_000))))
     so_far = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("old_path", F.last("old_path", True).over(so_far)).withColumn("new_path", F.last("new_path", True).over(so_far)).filter(F.col("value").rlike(HUNK))
+    for c in ("old_path", "new_path"):  # no path: the file is not there on that side
+        rows = rows.withColumn(c, F.nullif(F.last(c, True).over(so_far), F.lit("")))
+    rows = rows.filter(F.col("value").rlike(HUNK))
     number = lambda k, empty: F.coalesce(F.nullif(F.regexp_extract("value", HUNK, k), F.lit("")).cast("int"), F.lit(empty))
     sides = F.array(*(F.struct(F.lit(side).alias("side"), F.greatest(number(a, 1), F.lit(1)).alias("start"), number(b, 1).alias("count")) for side, a, b in (("old", 1, 2), ("new", 3, 4))))
     out = rows.select(F.coalesce("new_path", "old_path").alias("path"), "old_path", F.explode(sides).alias("s")).filter("s.count > 0")
@@ -153,8 +159,15 @@ def architecture_role(signals: DataFrame) -> DataFrame:
 
 def widest_scope(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The widest risk scope of each group."""
-    ranks = F.create_map(*(F.lit(x) for pair in zip(("local", "package", "cross-package", "exported-api", "interface-contract"), range(1, 6)) for x in pair))
-    return rows.groupBy(keys).agg(F.max_by("scope", ranks[F.col("scope")]).alias("scope"))
+    rank = F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope"))
+    return rows.groupBy(keys).agg(F.max_by("scope", rank).alias("scope"))
+
+
+def plan_confidence(plan: DataFrame, *, signals: int = 0) -> str:
+    """low where generated or skipped packages or warnings play in, the whole repository falls back, nothing but fallback is planned, or a fallback has no direct test; else medium."""
+    of = plan.agg(F.count_if(F.col("bucket") == "direct").alias("direct"), F.count_if(F.col("bucket") == "fallback").alias("spare"), F.count("*").alias("all"), F.count_if(F.col("package") == WHOLE_REPOSITORY).alias("broad")).first()
+    low = signals or of["broad"] or of["all"] == of["spare"] or of["spare"] and not of["direct"]
+    return "low" if low else "medium"
 
 
 def plan_tests(tests: DataFrame, target: DataFrame, contract: DataFrame, caller: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -68,6 +68,13 @@ def transitive_callers(calls: DataFrame, targets: DataFrame) -> DataFrame:
         front = step.select("target", F.col("caller").alias("node"))
 
 
+def path_options(limit: int | None, max_depth: int | None, *, functions: int) -> tuple[int, int]:
+    """(limit, depth) of a path search: one path and as many steps as there are functions where nothing or zero is asked for."""
+    if (limit or 0) < 0 or (max_depth or 0) < 0:
+        raise ValueError("limit and depth must not be negative")
+    return limit or 1, max_depth or functions
+
+
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, max_depth: int, limit: int | None = None) -> DataFrame:
     """(path, depth): paths without repeated nodes from a source to a target, the shortest first, then in edge order.
 

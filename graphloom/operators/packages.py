@@ -25,21 +25,25 @@ def package_summary(files: DataFrame, symbols: DataFrame, imports: DataFrame, *,
         symbols, imports = symbols.filter(~N.is_test_file(F.col("file"))), imports.filter(~F.col("is_test"))
     named = symbols.groupBy("package").agg(F.count("*").alias("symbols"))
     own = imports.select("package", "import_path").distinct()
-    used = own.groupBy("package").agg(F.count("*").alias("imports"), F.count_if(F.col("import_path").startswith(".")).alias("local_imports"))
+    used = own.groupBy("package").agg(F.count("*").alias("imports"), F.count_if(is_local(F.col("import_path"))).alias("local_imports"))
     by = own.filter("package <> import_path").groupBy(F.col("import_path").alias("package")).agg(F.count("*").alias("imported_by"))
     out = base.join(named, "package", "left").join(used, "package", "left").join(by, "package", "left")
     out = out.na.fill(0, ["symbols", "imports", "local_imports", "imported_by"])
     return out.withColumn("external_imports", F.col("imports") - F.col("local_imports")).withColumn("has_tests", F.col("test_files") > 0)
 
 
-def dependencies(imports: DataFrame) -> DataFrame:
-    """Per package its imports, split in local and external, and the packages that use it; arrays sorted, never null."""
+def is_local(path: Column) -> Column:
+    """Whether an import path is the repository root or below it."""
+    return (path == ".") | path.startswith("./")
+
+
+def dependencies(imports: DataFrame, *, local=is_local) -> DataFrame:
+    """Per package its imports, split in local and external ones by ``local``, and the packages that use it; arrays sorted, never null."""
     own = imports.select("package", "import_path").distinct()
     out = own.groupBy("package").agg(F.array_sort(F.collect_set("import_path")).alias("imports"))
     by = own.filter("package <> import_path").groupBy(F.col("import_path").alias("package")).agg(F.array_sort(F.collect_set(own["package"])).alias("used_by"))
     out = out.join(by, "package", "left").withColumn("used_by", F.coalesce("used_by", F.array()))
-    local = lambda x: x.startswith(".")
-    return out.withColumn("local_imports", F.filter("imports", local)).withColumn("external_imports", F.filter("imports", lambda x: ~x.startswith(".")))
+    return out.withColumn("local_imports", F.filter("imports", lambda x: local(x))).withColumn("external_imports", F.filter("imports", lambda x: ~local(x)))
 
 
 def _ranked(rows: DataFrame, score: Column, limit: int, *, drop_zero: bool = True) -> DataFrame:

@@ -94,6 +94,27 @@ def implementations(methods: DataFrame, *, with_empty: DataFrame | None = None)
     return out
 
 
+def interface_view(methods: DataFrame, pairs: DataFrame, uses: DataFrame) -> DataFrame:
+    """(interface, part, name, file, line, col): the methods of each interface, its implementers, uses of its methods, and references to it.
+
+    pairs: interface, type. uses: owner, method (empty for the interface itself),
+    kind, file, line, col; uses of owners that are no interfaces go.
+    """
+    own = methods.filter("owner_kind = 'interface'").select(F.col("owner_qualified").alias("interface"), "method").distinct()
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("line", "int"), ("col", "int"))]
+    out = own.select("interface", F.lit("method").alias("part"), F.col("method").alias("name"), *none)
+    out = out.union(pairs.select("interface", F.lit("implementer"), "type", *none))
+    used = uses.withColumnRenamed("owner", "interface").join(own.select("interface").distinct(), "interface", "left_semi")
+    part = F.when(F.coalesce("method", F.lit("")) == "", "reference").otherwise("method_usage")
+    return out.union(used.select("interface", part, "method", "file", "line", "col"))
+
+
+def interface_records(pairs: DataFrame) -> DataFrame:
+    """(kind, owner, other): two records of each satisfied pair, one from either side."""
+    sides = F.explode(F.array(F.struct(F.lit("implementation").alias("kind"), F.col("interface").alias("owner"), F.col("type").alias("other")), F.struct(F.lit("satisfied").alias("kind"), F.col("type").alias("owner"), F.col("interface").alias("other"))))
+    return pairs.select(sides.alias("s")).select("s.kind", "s.owner", "s.other")
+
+
 def method_sets(methods: DataFrame, embeds: DataFrame) -> DataFrame:
     """(interface, method, signature, conflict) with inherited methods; two signatures of one method are a conflict that nothing satisfies."""
     up = embeds.select(F.col("iface_qualified").alias("src"), F.col("embedded_qualified").alias("dst"))

@@ -66,9 +66,9 @@ def resolve(symbols: DataFrame, text: str, *, module: str = "", function: bool =
     """The one symbol that a target text names; raises if none or several match (naming the first ``shown`` in order, as a report does)."""
     found = symbols.filter(N.matches_target(N.parse_target(text, module), function=function))
     named = found.select(N.qualified_target(F.col("package"), F.col("receiver"), F.col("name"), module or ".").alias("t"))
-    rows = named.orderBy("t").limit(shown).collect()
+    rows = named.orderBy("t").limit(shown + 1).collect()
     if not rows:
         raise LookupError(f"no symbol matches {text}")
     if len(rows) > 1:
-        raise AmbiguousTarget(text, [r.t for r in rows], named.count())
+        raise AmbiguousTarget(text, [r.t for r in rows[:shown]], named.count())
     return found

@@ -14,6 +14,7 @@ from graphloom.sources.shared import stored
 FACTS = {
     "parts": "SELECT * FROM {part}",
     "orders": "SELECT * FROM {orders}",
+    "lineitem": "SELECT * FROM {lineitem}",
     "symbols": """
         SELECT p_partkey AS symbol_id, './' || lower(p_type) || '/' || lower(replace(p_brand, '#', '')) AS package,
                lower(replace(p_brand, '#', '')) AS package_name,

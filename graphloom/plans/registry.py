@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import names as N
 from graphloom.operators import changes as C
 from graphloom.operators import graph as G
+from graphloom.operators import impact as I
+from graphloom.operators import orders as O
 from graphloom.operators import packages as P
 from graphloom.operators import records as R
 from graphloom.operators import relations as L
@@ -671,6 +673,17 @@ def within_bytes(get, spark):
     return rows.select("package", "symbol_id", "bytes")
 
 
+@_query(
+    """, f AS (SELECT package, symbol_id, kind, CASE kind WHEN 'alias' THEN 0 WHEN 'method' THEN 1 ELSE 2 END AS rank, octet_length(encode(qualified_name)) AS own FROM symbols),
+    g AS (SELECT *, sum(own) OVER (PARTITION BY package) - coalesce(sum(own) OVER (PARTITION BY package ORDER BY rank, symbol_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM f) SELECT package, symbol_id FROM g WHERE rest <= 400""",
+    ("symbols",),
+)
+def reduced_reports(get, spark):
+    rank = F.when(F.col("kind") == "alias", 0).when(F.col("kind") == "method", 1).otherwise(2)
+    rows = get("symbols").select("package", "symbol_id", "qualified_name", rank.alias("rank"), F.col("symbol_id").alias("place"))
+    return R.reduced(rows, ["package"], F.octet_length("qualified_name"), 400).select("package", "symbol_id")
+
+
 @_query(
     """WITH c AS (SELECT p_brand AS section, sum(p_size % 2) AS symbols, sum(p_size % 3) AS tests FROM part GROUP BY p_brand) SELECT section, 'symbols' AS field, CAST(symbols AS BIGINT) AS n FROM c WHERE symbols > 0 UNION ALL SELECT section, 'tests', CAST(tests AS BIGINT) FROM c WHERE tests > 0""",
 )
@@ -692,6 +705,118 @@ def reading_order(get, spark):
     return R.reading_order(get("symbols").select(F.col("symbol_id").alias("target")), end("src", "dst"), end("dst", "src"), tests)
 
 
+TESTS_SQL = "SELECT DISTINCT package, name, file FROM symbols WHERE kind = 'function' AND file LIKE '%\\_test.go' ESCAPE '\\'"
+
+
+def _test_functions(get: Callable) -> DataFrame:
+    return get("symbols").filter("kind = 'function' AND endswith(file, '_test.go')").select("symbol_id", "package", "name", "file")
+
+
+def _test_calls(get: Callable) -> DataFrame:
+    """Calls of test functions: target, package, name, file."""
+    return get("calls").join(_test_functions(get).withColumnRenamed("symbol_id", "src"), "src").select(F.col("dst").alias("target"), "package", "name", _test_file())
+
+
+def _test_file() -> F.Column:
+    return F.concat(F.substring_index("package", "./", -1), F.lit("/x_test.go")).alias("file")
+
+
+@_query(
+    f""", t AS ({TESTS_SQL}), every AS (SELECT DISTINCT package FROM symbols), users AS (SELECT DISTINCT import_path AS target, package FROM imports WHERE package <> import_path AND import_path IN (SELECT package FROM every)),
+    pk AS (SELECT target, package FROM users UNION SELECT package, package FROM every), fan AS (SELECT target, count(*) AS n FROM users GROUP BY target),
+    one AS (SELECT target, count(*) AS affected_packages, bool_or(package NOT IN (SELECT package FROM t)) AS fallback FROM pk GROUP BY target), n AS (SELECT target, count(*) AS tests FROM pk JOIN t ON t.package = pk.package GROUP BY target),
+    s AS (SELECT one.*, coalesce(fan.n, 0) AS fan_in, coalesce(n.tests, 0) AS tests FROM one LEFT JOIN fan ON fan.target = one.target LEFT JOIN n ON n.target = one.target),
+    k AS (SELECT *, 2 + CASE WHEN affected_packages > 1 THEN 2 ELSE 0 END + CASE WHEN fan_in > 0 THEN 1 ELSE 0 END + CASE WHEN fan_in >= 5 THEN 2 ELSE 0 END + CASE WHEN fallback THEN 1 ELSE 0 END AS score FROM s)
+    SELECT target, CAST(affected_packages AS INTEGER) AS affected_packages, fan_in, tests, fallback, CAST(score AS INTEGER) AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level, CASE WHEN affected_packages > 1 THEN 'cross-package' ELSE 'package' END AS scope FROM k""",
+    ("symbols", "imports"),
+)
+def package_impact(get, spark):
+    out = I.package_impact(get("imports"), _test_functions(get).drop("symbol_id"), get("symbols").select("package"))
+    return out.select("target", "affected_packages", "fan_in", "tests", "fallback", "score", "level", "scope")
+
+
+@_query(
+    f""", t AS ({TESTS_SQL}), seeds AS (SELECT symbol_id AS target, package, receiver, name, kind FROM symbols WHERE symbol_id % 100 = 0),
+    back(target, caller) AS (SELECT dst, src FROM calls WHERE dst % 100 = 0 UNION SELECT b.target, c.src FROM back b JOIN calls c ON b.caller = c.dst),
+    r AS (SELECT l_partkey AS target, l_returnflag <> 'N' AS used, './d' || CAST(l_suppkey % 5 AS VARCHAR) AS package FROM lineitem WHERE l_partkey % 100 = 0),
+    up AS (SELECT target, caller, './f' || CAST(caller % 10 AS VARCHAR) AS package FROM back), pk AS (SELECT target, package FROM r UNION SELECT target, package FROM up),
+    cover AS (SELECT target, package FROM pk UNION SELECT target, package FROM seeds),
+    dt AS (SELECT DISTINCT c.dst AS target, s.package, s.name, s.file FROM calls c JOIN symbols s ON s.symbol_id = c.src WHERE c.dst % 100 = 0 AND s.kind = 'function' AND s.file LIKE '%\\_test.go' ESCAPE '\\'),
+    every AS (SELECT target, package, name, file, bool_or(direct) AS direct FROM (SELECT c.target, t.package, t.name, t.file, false AS direct FROM cover c JOIN t ON t.package = c.package UNION ALL SELECT target, package, name, file, true FROM dt) GROUP BY ALL),
+    sig AS (SELECT s.target, regexp_matches(s.name, '^[A-Z]') AS exported, s.kind = 'method' AND (regexp_matches(s.name, '^[A-Z]') OR regexp_matches(s.receiver, '^[A-Z]')) AS exported_method,
+        (SELECT count(*) FROM pk WHERE pk.target = s.target) AS affected_packages, (SELECT count(*) FROM r WHERE r.target = s.target AND used) AS direct_references,
+        (SELECT count(*) FROM up WHERE up.target = s.target) AS transitive_callers, (SELECT count(DISTINCT package) FROM up WHERE up.target = s.target) AS caller_packages,
+        (SELECT count(DISTINCT i.package) FROM imports i WHERE i.import_path = s.package AND i.package <> i.import_path) AS fan_in, (SELECT count(*) FROM possible p WHERE p.src = s.target) AS possible_calls,
+        (SELECT count(*) FROM every e WHERE e.target = s.target) AS tests, coalesce((SELECT bool_or(direct) FROM every e WHERE e.target = s.target), false) AS has_direct_test,
+        EXISTS (SELECT 1 FROM cover c WHERE c.target = s.target AND NOT EXISTS (SELECT 1 FROM every e WHERE e.target = c.target AND e.package = c.package)) AS fallback FROM seeds s),
+    k AS (SELECT *, CASE WHEN affected_packages > 1 THEN 2 WHEN affected_packages = 1 THEN 1 ELSE 0 END + CASE WHEN direct_references > 0 THEN 1 ELSE 0 END + CASE WHEN direct_references >= 5 THEN 1 ELSE 0 END + CASE WHEN transitive_callers > 0 THEN 1 ELSE 0 END
+        + CASE WHEN caller_packages > 1 THEN 1 ELSE 0 END + CASE WHEN exported_method THEN 3 WHEN exported THEN 2 ELSE 0 END + CASE WHEN fan_in > 0 THEN 1 ELSE 0 END + CASE WHEN fan_in >= 5 THEN 2 ELSE 0 END + CASE WHEN has_direct_test THEN 0 ELSE 1 END
+        + CASE WHEN fallback THEN 1 ELSE 0 END + CASE WHEN possible_calls > 0 THEN 1 ELSE 0 END AS score FROM sig)
+    SELECT target, CAST(affected_packages AS INTEGER) AS affected_packages, direct_references, transitive_callers, caller_packages, exported_method, fan_in, possible_calls, tests, has_direct_test, fallback, CAST(score AS INTEGER) AS score,
+        CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level,
+        CASE WHEN exported_method OR exported THEN 'exported-api' WHEN caller_packages > 1 OR affected_packages > 1 THEN 'cross-package' WHEN affected_packages = 1 THEN 'package' ELSE 'local' END AS scope FROM k""",
+    ("symbols", "calls", "possible", "imports"),
+)
+def symbol_impact(get, spark):
+    """For every hundredth symbol as target, a set that grows with the table."""
+    symbols = get("symbols").withColumnRenamed("symbol_id", "node")
+    refs = get("lineitem").select(F.col("l_partkey").alias("target"), F.when(F.col("l_returnflag") == "N", "definition").otherwise("call").alias("kind"), F.format_string("d%d/a.go", F.col("l_suppkey") % 5).alias("file"))
+    calls = get("calls").withColumn("file", F.concat("file", F.lit("/x.go")))
+    out = I.symbol_impact(symbols, refs, calls, get("possible"), get("imports"), _test_functions(get).drop("symbol_id"), _test_calls(get), _seeds(get, "target"))
+    return out.select("target", "affected_packages", "direct_references", "transitive_callers", "caller_packages", "exported_method", "fan_in", "possible_calls", "tests", "has_direct_test", "fallback", "score", "level", "scope")
+
+
+@_query(
+    f""", t AS ({TESTS_SQL}), files AS (SELECT DISTINCT symbol_id % 50 AS change, package, file FROM symbols WHERE line % 3 = 0), names AS (SELECT DISTINCT symbol_id % 50 AS change, package, name FROM symbols WHERE line % 3 = 0 AND kind = 'function'),
+    contracts AS (SELECT DISTINCT symbol_id % 50 AS change, qualified_name AS name FROM symbols WHERE line % 30 = 0 AND kind = 'interface'), users AS (SELECT DISTINCT import_path, package FROM imports WHERE package <> import_path),
+    reached AS (SELECT change, package FROM files UNION SELECT f.change, u.package FROM files f JOIN users u ON u.import_path = f.package),
+    dt AS (SELECT DISTINCT n.change, s.package, s.name, s.file FROM names n JOIN symbols d ON d.package = n.package AND d.name = n.name JOIN calls c ON c.dst = d.symbol_id JOIN symbols s ON s.symbol_id = c.src WHERE s.kind = 'function' AND s.file LIKE '%\\_test.go' ESCAPE '\\'),
+    every AS (SELECT change, package, name, file, bool_or(direct) AS direct FROM (SELECT r.change, t.package, t.name, t.file, false AS direct FROM reached r JOIN t ON t.package = r.package UNION ALL SELECT change, package, name, file, true FROM dt) GROUP BY ALL),
+    sig AS (SELECT change, count(DISTINCT file) AS changed_files, count(DISTINCT package) AS changed_packages, (SELECT count(*) FROM reached r WHERE r.change = f.change) AS affected_packages, (SELECT count(DISTINCT name) FROM names n WHERE n.change = f.change) AS changed_symbols,
+        (SELECT count(*) FROM contracts c WHERE c.change = f.change) AS contracts, (SELECT count(*) FROM every e WHERE e.change = f.change) AS tests, coalesce((SELECT bool_or(direct) FROM every e WHERE e.change = f.change), false) AS has_direct_test,
+        EXISTS (SELECT 1 FROM reached r WHERE r.change = f.change AND NOT EXISTS (SELECT 1 FROM every e WHERE e.change = r.change AND e.package = r.package)) AS fallback FROM files f GROUP BY change),
+    k AS (SELECT *, CASE WHEN affected_packages > 1 THEN 2 WHEN affected_packages = 1 THEN 1 ELSE 0 END + CASE WHEN changed_packages > 1 THEN 1 ELSE 0 END + CASE WHEN contracts > 0 THEN 3 ELSE 0 END + CASE WHEN changed_symbols = 0 THEN 2 ELSE 0 END + CASE WHEN has_direct_test THEN 0 ELSE 1 END + CASE WHEN fallback THEN 1 ELSE 0 END AS score FROM sig)
+    SELECT change, changed_files, CAST(changed_packages AS INTEGER) AS changed_packages, CAST(affected_packages AS INTEGER) AS affected_packages, CAST(changed_symbols AS INTEGER) AS changed_symbols, CAST(contracts AS INTEGER) AS contracts, tests, has_direct_test, fallback,
+        CAST(score AS INTEGER) AS score, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level,
+        CASE WHEN contracts > 0 THEN 'interface-contract' WHEN changed_packages > 1 OR affected_packages > 1 THEN 'cross-package' ELSE 'package' END AS scope FROM k""",
+    ("symbols", "calls", "imports"),
+)
+def diff_impact(get, spark):
+    symbols = get("symbols").withColumn("change", F.col("symbol_id") % 50)
+    hit = symbols.filter("line % 3 = 0")
+    target = symbols.select(F.col("symbol_id").alias("target"), F.col("package").alias("target_package"), F.col("name").alias("target_name"))
+    refs = _test_calls(get).join(target, "target").select("target_package", F.col("target_name").alias("target"), "package", "name", "file")
+    names = hit.filter("kind = 'function'").select("change", "package", "name").distinct()
+    contracts = hit.filter("kind = 'interface' AND line % 30 = 0").select("change", F.col("qualified_name").alias("name")).distinct()
+    out = I.diff_impact(hit.select("change", F.col("file").alias("path")).distinct(), names, contracts, get("imports"), _test_functions(get).drop("symbol_id"), refs)
+    return out.select("change", "changed_files", "changed_packages", "affected_packages", "changed_symbols", "contracts", "tests", "has_direct_test", "fallback", "score", "level", "scope")
+
+
+@_query(
+    """, k AS (SELECT symbol_id, row_number() OVER (PARTITION BY package ORDER BY file, line, CASE WHEN receiver = '' THEN name ELSE receiver || '.' || name END) AS place, package FROM symbols) SELECT package, symbol_id, place FROM k""",
+    ("symbols",),
+)
+def symbols_in_order(get, spark):
+    from pyspark.sql import Window
+
+    rows = O.symbols(get("symbols"))
+    order = Window.partitionBy("package").orderBy("file", "line", N.display_name(F.col("receiver"), F.col("name")))
+    return rows.select("package", "symbol_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@_query(
+    """, own AS (SELECT DISTINCT owner_qualified AS interface, method FROM methods WHERE owner_kind = 'interface'), w AS (SELECT owner_qualified AS i, method, signature FROM methods WHERE owner_kind = 'interface'), h AS (SELECT owner_qualified AS t, method, signature FROM methods WHERE owner_kind = 'type'),
+    sizes AS (SELECT i, count(*) AS n FROM w GROUP BY i), pairs AS (SELECT w.i AS interface, h.t AS type FROM w JOIN h ON w.method = h.method AND w.signature = h.signature JOIN sizes s ON s.i = w.i GROUP BY w.i, h.t, s.n HAVING count(*) = s.n)
+    SELECT interface, 'method' AS part, count(*) AS n FROM own GROUP BY interface UNION ALL SELECT interface, 'implementer', count(*) FROM pairs GROUP BY interface UNION ALL
+    SELECT u.owner, 'method_usage', count(*) FROM (SELECT './' || lower(p_type) || '/s' || CAST(p_size AS VARCHAR) || '.I' AS owner FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1) u GROUP BY u.owner""",
+    ("methods",),
+)
+def interface_views(get, spark):
+    lines = get("lineitem").filter("l_linenumber = 1").join(get("parts"), F.col("l_partkey") == F.col("p_partkey"))
+    uses = lines.select(F.concat(F.lit("./"), F.lower("p_type"), F.lit("/s"), F.col("p_size").cast("string"), F.lit(".I")).alias("owner"), F.col("p_brand").alias("method"), F.lit("call").alias("kind"), F.lit("a.go").alias("file"), F.col("l_orderkey").cast("int").alias("line"), F.lit(1).alias("col"))
+    return L.interface_view(get("methods"), L.implementations(get("methods")), uses).groupBy("interface", "part").agg(F.count("*").alias("n"))
+
+
 def _by(a: str, b: str):
     from pyspark.sql import Window
 
