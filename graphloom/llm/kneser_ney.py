@@ -39,9 +39,12 @@ from graphloom.llm.sorted_table import SortedTable, local_path, open_table, rele
 
 END = np.uint64(0x51ED270B0A1F39C1)
 #: Words a counting task holds before it passes them on.
-HELD = 2_000_000
+HELD = 4_000_000
 #: Runs of a shard, about.
 SHARD_RUNS = 4_000_000
+#: Words met as often have ranks of their own; the others are numbered after them.
+FREQUENT = 8
+_ZSTD = pa.Codec("zstd", compression_level=3)
 #: Values of a run: its count; total and number of runs met once, twice and more often that have it as context.
 VALUES = 5
 #: Classes: what stands before the start of a text, the start, then the words.
@@ -113,7 +116,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for tokens, _ in token_stream(batch.column(0)):
                 tally.add(tokens)
-                if tally.size > HELD and len(tally.merged()[0]) > HELD // 2:
+                if tally.size > HELD // 2 and len(tally.merged()[0]) > HELD // 4:
                     yield _word_rows(*tally.merged())
                     tally = _Tally()
         if tally.parts:
@@ -122,14 +125,15 @@ def _count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _ranked(words: DataFrame) -> DataFrame:
-    """Adds each word's rank by count: frequent words get small numbers, which compress well."""
+def _ranked(words: DataFrame) -> tuple[DataFrame, int]:
+    """Words with rank: the place by count from 1 of those met ``FREQUENT`` times, which thus get small numbers that compress well, else 0; and how many have one."""
     spark, order = words.sparkSession, (F.desc("n"), "key")
-    placed = stored(words.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "lm-words")
+    placed = stored(words.filter(F.col("n") >= FREQUENT).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "lm-ranks")
     sizes = sorted(placed.groupBy(F.shiftrightunsigned("m", 33).alias("part")).count().collect())  # one row per partition
-    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    starts = np.cumsum([1, *(n for _, n in sizes)]).tolist()
     parts = spark.createDataFrame([(part, first - (part << 33)) for (part, _), first in zip(sizes, starts)], "part long, shift long")
-    return placed.withColumn("part", F.shiftrightunsigned("m", 33)).join(F.broadcast(parts), "part").select("key", "n", (F.col("m") + F.col("shift")).alias("rank"))
+    ranked = placed.withColumn("part", F.shiftrightunsigned("m", 33)).join(F.broadcast(parts), "part").select("key", "n", (F.col("m") + F.col("shift")).alias("rank"))
+    return words.filter(F.col("n") < FREQUENT).select("key", "n", F.lit(0).cast("long").alias("rank")).union(ranked), starts[-1] - 1
 
 
 def _word_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -139,8 +143,9 @@ def _word_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 def classes(table: SortedTable, tokens: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The classes of the distinct tokens (rare and unseen ones share a class), their counts, and for each token which of them it is."""
     unique, back = np.unique(tokens, return_inverse=True)
-    _, n, rank = table.find(unique, "n", "rank")
-    return np.where(n >= model.min_count, rank.astype(np.int64) + FIRST, model.rare), n, back
+    place, n, rank = table.find(unique, "n", "rank")
+    own = np.where(rank > 0, rank.astype(np.int64) - 1, place + model.frequent) + FIRST
+    return np.where((place >= 0) & (n >= model.min_count), own, model.rare), n.astype(np.int64), back
 
 
 def _before(ids: np.ndarray, counts: np.ndarray, far: int) -> np.ndarray:
@@ -194,12 +199,12 @@ def _packed(columns: list[np.ndarray]) -> bytes:
     columns = [np.diff(first, prepend=0), *columns[1:]] if rising else [first, *columns[1:]]
     columns = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
     head = np.array([len(first), rising, *(c.itemsize for c in columns)], "<u4").tobytes()
-    return head + pa.compress(b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+    return head + _ZSTD.compress(b"".join(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns), asbytes=True)
 
 
 def _unpacked(data: bytes, width: int) -> list[np.ndarray]:
     n, rising, *sizes = np.frombuffer(data, "<u4", width + 2).tolist()
-    body = np.frombuffer(pa.decompress(memoryview(data)[4 * (width + 2) :], decompressed_size=n * sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    body = np.frombuffer(_ZSTD.decompress(memoryview(data)[4 * (width + 2) :], decompressed_size=n * sum(sizes), asbytes=True), np.uint8)
     starts = np.cumsum([0, *(n * s for s in sizes)]).tolist()
     out = [np.ascontiguousarray(body[a : a + n * s].reshape(s, n).T).view(f"<u{s}").ravel() for s, a in zip(sizes, starts)]
     if rising:
@@ -288,7 +293,7 @@ def _add_up(rows: DataFrame, model: Model, level: int) -> DataFrame:
             for v, part in zip(full[1:], (c, n1, n2, n3)):
                 v[to_context] = _sums(part[by], at)
             own, values = every, full
-        write_coded_shard(folder, shard, own, values)
+        write_coded_shard(folder, shard, bits, own, values)
         yield _passed([(level, shard, None, None, len(own), *met)] + ([(0, shard, None, None, *totals, None, None, None)] if level == 1 else []))
         if level == 1:
             return
@@ -321,12 +326,15 @@ def train(rows: DataFrame, *, order: int = 3, min_count: int = 1) -> Model:
         raise ValueError("order must be 2 or more")
     spark = rows.sparkSession
     bounded_batches(spark)
-    words = _ranked(_count_words(rows))
-    total, distinct, rare_n, rare_v = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") < min_count, F.col("n"))), F.count(F.when(F.col("n") < min_count, 1))).first()
-    model = Model(order=order, min_count=min_count, total=total or 0, distinct=distinct, rare_n=rare_n or 0, rare_v=rare_v, rare=distinct + FIRST, words=new_path(spark, "lm-word-arrays"))
-    model.word_kinds = {"n": "i8", "rank": "u4" if distinct < 1 << 32 else "i8"}
-    model.word_counts = write_table(words, model.words, model.word_kinds, distinct)
-    dropped(words)
+    words = stored(_count_words(rows), "lm-words")
+    total, distinct, most, rare_n, rare_v = words.agg(F.sum("n"), F.count("*"), F.max("n"), F.sum(F.when(F.col("n") < min_count, F.col("n"))), F.count(F.when(F.col("n") < min_count, 1))).first()
+    model = Model(order=order, min_count=min_count, total=total or 0, distinct=distinct, rare_n=rare_n or 0, rare_v=rare_v, words=new_path(spark, "lm-word-arrays"))
+    ranked, model.frequent = _ranked(words)
+    model.rare = distinct + model.frequent + FIRST
+    small = lambda x: "u4" if (x or 0) < 1 << 32 else "i8"
+    model.word_kinds = {"n": small(most), "rank": small(model.frequent + 1)}
+    model.word_counts = write_table(ranked, model.words, model.word_kinds, distinct)
+    dropped(ranked)
 
     model.bits = shard_bits(model.total, SHARD_RUNS)
     model.levels = {k: new_path(spark, f"lm-arrays-{k}") for k in range(order, 0, -1)}
@@ -355,18 +363,27 @@ def _after_cut(n: np.ndarray, cuts: tuple[float, float, float]) -> np.ndarray:
 
 
 def probabilities(ids: np.ndarray, counts: np.ndarray, model: Model) -> np.ndarray:
-    """Probability of each class of texts of ``counts`` tokens after the classes before it."""
+    """Probability of each class of texts of ``counts`` tokens after the classes before it.
+
+    The context of a run is the run that ends one token earlier, so each level is
+    looked up once; before the first token the context is the start of the text,
+    which has longer contexts nowhere.
+    """
     tables = {k: SortedTable(path, model.sizes[k], coded=1 if k == model.order else VALUES) for k, path in model.levels.items()}
-    unique, at = np.unique(ids, return_inverse=True)
-    (n,) = tables[1].find_rows(_keys([unique]), 0)
-    p = (_after_cut(n, model.cuts[1]) / max(model.kinds, 1) + model.uniform)[at]
+    first = np.cumsum(counts) - counts
+    unique, at = np.unique(np.append(ids, START), return_inverse=True)
+    rows = [v[at] for v in tables[1].find_rows(_keys([unique]), *range(VALUES))]
+    start, rows = [v[-1] for v in rows], [v[:-1] for v in rows]
+    p = _after_cut(rows[0], model.cuts[1]) / max(model.kinds, 1) + model.uniform
     runs = _runs(ids, counts, model.order)
     for k in range(2, model.order + 1):
-        own = runs[model.order - k :]
-        c, *by = tables[k - 1].find_rows(_keys(own[:-1]), 1, 2, 3, 4)
-        (n,) = tables[k].find_rows(_keys(own), 0)
+        before = [np.concatenate(([0], v[:-1])) for v in rows[1:]]
+        for v, s in zip(before, start[1:]):
+            v[first] = s if k == 2 else 0
+        rows = tables[k].find_rows(_keys(runs[model.order - k :]), *range(VALUES if k < model.order else 1))
+        c, *by = before
         freed = sum(d * x for d, x in zip(model.cuts[k], by))
-        p = np.where(c > 0, (_after_cut(n, model.cuts[k]) + freed * p) / np.maximum(c, 1), p)
+        p = np.where(c > 0, (_after_cut(rows[0], model.cuts[k]) + freed * p) / np.maximum(c, 1), p)
         release_maps()
     return p
 

@@ -46,6 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of stored tables that no plan reads any more."""
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,10 +1,12 @@
 """Sorted hash arrays: written by Spark tasks to the shared folder, memory-mapped by workers.
 
 A table is a set of shards by the leading bits of a 64-bit key; each shard is one
-file of sorted keys and one file for each value, or, in a coded table, one file of
-codes and one of the distinct rows that the codes stand for. A file is written
-under a name of its own and then renamed, so a repeated task leaves the same
-complete files. Workers map a shard when it is asked for, and keep a bounded number.
+file of sorted keys and one file for each value. In a coded table there is one file
+of codes and one of the distinct rows that they stand for, and of the keys only the
+bits after the shard's and the bucket's, six bytes, beside the first place of each
+of 65,536 buckets. A file is written under a name of its own and then renamed, so a
+repeated task leaves the same complete files. Workers map a shard when it is asked
+for, and keep a bounded number.
 """
 
 from __future__ import annotations
@@ -53,7 +55,13 @@ def write_shard(folder: str, shard: int, columns: dict[str, list[np.ndarray]]) -
         os.replace(own, f"{folder}/{shard:06d}.{name}")
 
 
-def write_coded_shard(folder: str, shard: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
+def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key of a shard (the 16 bits after the shard's), and the rest of the key."""
+    rest = keys << np.uint64(bits)
+    return (rest >> np.uint64(48)).astype(np.int64), (rest << np.uint64(16)) >> np.uint64(16)
+
+
+def write_coded_shard(folder: str, shard: int, bits: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
     """Write sorted keys with rows of small whole numbers, of which few differ: a code for each key, and the distinct rows."""
     plain = np.ones(len(keys), bool)  # rows of zeros and ones alone, which are most, have their bits as code
     code = np.zeros(len(keys), np.int64)
@@ -70,7 +78,9 @@ def write_coded_shard(folder: str, shard: int, keys: np.ndarray, values: list[np
         code[rest] = own + len(rows)
         rows = np.concatenate((rows, np.stack([v[at] for v in values], axis=1)))
     kind = next(k for k in ("u1", "u2", "u4") if len(rows) <= np.iinfo(k).max + 1)
-    write_shard(folder, shard, {"key": [keys], "code": [code.astype(kind)], "rows": [rows.astype("i8")]})
+    bucket, rest = _split(keys, bits)
+    first = np.searchsorted(bucket, np.arange((1 << 16) + 1)).astype("u4")
+    write_shard(folder, shard, {"first": [first], "high": [(rest >> np.uint64(16)).astype("u4")], "low": [rest.astype("u2")], "code": [code.astype(kind)], "rows": [rows.astype("i8")]})
 
 
 def write_table(rows: DataFrame, path: str, kinds: dict[str, str], size: int | None = None) -> list[int]:
@@ -130,7 +140,7 @@ class SortedTable:
             return _MAPS[name]
         kinds = {"key": "u8", **self.kinds}
         if self.coded:
-            kinds = {"key": "u8", "code": f"u{os.path.getsize(f'{name}.code') // self.counts[s]}"}
+            kinds = {"first": "u4", "high": "u4", "low": "u2", "code": f"u{os.path.getsize(f'{name}.code') // self.counts[s]}"}
         out: dict[str, np.ndarray] = {k: np.memmap(f"{name}.{k}", kind, "r") for k, kind in kinds.items()}
         if self.coded:
             out["rows"] = np.fromfile(f"{name}.rows", "i8").reshape(-1, self.coded)
@@ -148,11 +158,28 @@ class SortedTable:
             if not self.counts[s]:
                 continue
             shard = self._shard(s)
-            have, part, to = shard["key"], asked[cuts[s] : cuts[s + 1]], order[cuts[s] : cuts[s + 1]]
-            at = np.minimum(np.searchsorted(have, part), len(have) - 1)
-            hit = have[at] == part
+            part, to = asked[cuts[s] : cuts[s + 1]], order[cuts[s] : cuts[s + 1]]
+            if self.coded:
+                at, hit = self._in_buckets(shard, part)
+            else:
+                at = np.minimum(np.searchsorted(shard["key"], part), len(shard["key"]) - 1)
+                hit = shard["key"][at] == part
             yield shard, at[hit], to[hit], int(self.offsets[s])
 
+    def _in_buckets(self, shard: dict[str, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there, by binary search of all keys at once in their buckets."""
+        bucket, rest = _split(keys, 64 - int(self.bits))
+        at, stop = shard["first"][bucket].astype(np.int64), shard["first"][bucket + 1].astype(np.int64)
+        last, high, low = len(shard["high"]) - 1, shard["high"], shard["low"]
+        end = stop
+        for _ in range(int((stop - at).max(initial=0)).bit_length()):
+            mid = (at + end) >> 1
+            place = np.minimum(mid, last)
+            less = (at < end) & ((high[place].astype(np.uint64) << np.uint64(16) | low[place]) < rest)
+            at, end = np.where(less, mid + 1, at), np.where(less, end, mid)
+        place = np.minimum(at, last)
+        return place, (at < stop) & ((high[place].astype(np.uint64) << np.uint64(16) | low[place]) == rest)
+
     def find(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
         """For each key its place in the whole table (-1 if absent), then the named values (0 if absent)."""
         place = np.full(len(keys), -1, np.int64)
