@@ -9,8 +9,10 @@ anchor together with the windows that share it is a context.
    shared folder.
 2. Contexts of these anchors are reduced to the distinct ones with their earliest
    place. Any later copy of a context lies wholly in repeated windows.
-3. Anchors with several distinct contexts make the shards: a task joins the bytes
-   of the contexts of some anchors, sorts their suffixes by Larsson-Sadakane
+3. A window has at least 42 of its 84 other bytes on one side of its anchor, so two
+   distinct contexts with a common window agree on the 42 bytes before or on those
+   after it. Contexts that agree with no other go no further. The rest make the
+   shards: a task joins the bytes of the contexts of some anchors, sorts their suffixes by Larsson-Sadakane
    refinement, takes the common prefixes of neighbours by Kasai's method, and
    marks, in each run of suffixes that share 100 bytes, all but the earliest.
    Contexts of a frequent anchor are split over several shards; the sorted
@@ -39,6 +41,9 @@ from graphloom.llm.shared import bounded_batches, new_path, stored
 from graphloom.llm.sorted_table import open_table, write_table
 
 SPAN, GRAM = 100, 16
+#: Bytes on one side of an anchor that every window around it has, on the left or on the right.
+HALF = (SPAN - GRAM) // 2
+_LEFT, _RIGHT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
 #: Contexts of an anchor above which its shard is split, and bytes after which a shard is closed.
 SPLIT, SHARD_BYTES = 2048, 2 << 20
 PLACE = {"doc": "i8", "at": "i8"}
@@ -64,10 +69,10 @@ def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Contexts of some texts: anchor hash, key, first and last window start, and text number."""
+    """Contexts of some texts: anchor hash, key, first and last window start, text number, and hashes of the anchor with the half window before and after it (0 where there is none)."""
     n, none = len(buf), np.zeros(0, np.int64)
     if n < SPAN:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     eight = _packed(buf)
     grams = eight[: n - GRAM + 1] * _P1 + eight[8 : n - GRAM + 9] * _P2
     grams = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64)  # the leftmost of equal hashes is the smallest
@@ -86,8 +91,12 @@ def contexts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.flatnonzero(stop & valid)
     where = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     anchor = T.mix(eight[where] * _P2 + T.mix(eight[where + 8] * _P3))
-    key = T.mix(T.span_hashes(T.byte_values(buf), first, last + SPAN) + anchor * _P1)
-    return anchor, key, first, last, np.searchsorted(offsets, first, "right") - 1
+    whole, left, right = where - first >= HALF, np.maximum(where - HALF, first), np.minimum(where + GRAM + HALF, last + SPAN)
+    hashes = T.span_hashes(T.byte_values(buf), np.concatenate((first, left, where)), np.concatenate((last + SPAN, where, right)))
+    key, before, after = (T.mix(h + anchor * x) for h, x in zip(np.split(hashes, 3), (_P1, _LEFT, _RIGHT)))
+    before = np.where(whole, before, np.uint64(0))
+    after = np.where(right - where == GRAM + HALF, after, np.uint64(0))
+    return anchor, key, first, last, np.searchsorted(offsets, first, "right") - 1, before, after
 
 
 def suffix_array(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +174,8 @@ def _batches_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     ids = batch.column(0).fill_null(-1).to_numpy()
     for i, j in T.chunks(offsets):
         part, own = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        anchor, key, first, last, text = contexts(part, own)
-        yield i, j, part, own, anchor, key, first, last, ids[i + text], first - own[text], text
+        anchor, key, first, last, text, before, after = contexts(part, own)
+        yield i, j, part, own, anchor, key, first, last, ids[i + text], first - own[text], text, before, after
 
 
 def _anchors(rows: DataFrame) -> DataFrame:
@@ -180,27 +189,41 @@ def _anchors(rows: DataFrame) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, path: str, counts: list[int]) -> DataFrame:
-    """(key, anchor, doc, at, n): distinct contexts of the anchors met twice, with their earliest place."""
+    """(key, anchor, before, after, doc, at, n): distinct contexts of the anchors met twice, with their earliest place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = open_table(path, counts, {})
         for batch in batches:
             held = []
-            for *_, anchor, key, _, _, doc, at, _ in _batches_of(batch):
+            for *_, anchor, key, _, _, doc, at, _, before, after in _batches_of(batch):
                 use = table.find(anchor)[0] >= 0
-                held.append((key[use], anchor[use], doc[use], at[use]))
+                held.append([x[use] for x in (key, anchor, before, after, doc, at)])
             if not held:
                 continue
-            key, anchor, doc, at = (np.concatenate(x) for x in zip(*held))
+            key, anchor, before, after, doc, at = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((at, doc, key))
-            key, anchor, doc, at = (x[order] for x in (key, anchor, doc, at))
+            key = key[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(key)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (key, anchor)), pa.array(doc[first]), pa.array(at[first]), pa.array(n)], ["key", "anchor", "doc", "at", "n"])
+            n, pick = np.diff(np.append(first, len(key))), order[first]
+            columns = [key[first], *(x[pick] for x in (anchor, before, after, doc, at))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(n)], ["key", "anchor", "before", "after", "doc", "at", "n"])
 
-    found = rows.mapInArrow(run, "key long, anchor long, doc long, at long, n long")
-    merged = found.groupBy("key", "anchor").agg(F.min(F.struct("doc", "at")).alias("p"), F.sum("n").alias("n"))
-    return merged.select("key", "anchor", "p.doc", "p.at", "n")
+    found = rows.mapInArrow(run, "key long, anchor long, before long, after long, doc long, at long, n long")
+    merged = found.groupBy("key", "anchor", "before", "after").agg(F.min(F.struct("doc", "at")).alias("p"), F.sum("n").alias("n"))
+    return merged.select("key", "anchor", "before", "after", "p.doc", "p.at", "n")
+
+
+def _agreeing(met: DataFrame, path: str, counts: list[int]) -> DataFrame:
+    """(key, anchor, doc, at) of the contexts that agree with another distinct one on a side of their anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = open_table(path, counts, {})
+        for batch in batches:
+            sides = (batch.column(k).to_numpy().view(np.uint64) for k in (4, 5))
+            keep = np.logical_or(*((s != 0) & (table.find(s)[0] >= 0) for s in sides))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+
+    return met.select("key", "anchor", "doc", "at", "before", "after").mapInArrow(run, "key long, anchor long, doc long, at long")
 
 
 def _context_bytes(rows: DataFrame, path: str, counts: list[int], docs_path: str, docs_counts: list[int]) -> DataFrame:
@@ -211,7 +234,7 @@ def _context_bytes(rows: DataFrame, path: str, counts: list[int], docs_path: str
         for batch in batches:
             ids = T.mix(batch.column(0).to_numpy().view(np.uint64))
             batch = batch.filter(pa.array(with_any.find(ids)[0] >= 0))
-            for _, _, buf, _, anchor, key, first, last, doc, at, _ in _batches_of(batch):
+            for _, _, buf, _, anchor, key, first, last, doc, at, *_ in _batches_of(batch):
                 place, d, a, parts = table.find(key, "doc", "at", "parts")
                 use = np.flatnonzero((place >= 0) & (d == doc) & (a == at))
                 use = use[np.unique(key[use], return_index=True)[1]]  # a repeated row repeats its contexts
@@ -309,17 +332,23 @@ def _merged(survivors: DataFrame) -> DataFrame:
     return survivors.repartitionByRange("window").sortWithinPartitions("window", "doc", "start").mapInArrow(run, "key long, m1 long, m2 long")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), with keep_text the remaining text (null stays null, a character cut in half goes), and the carried columns."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = (), split: int = SPLIT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), with keep_text the remaining text (null stays null, a character cut in half goes), and the carried columns.
+
+    Contexts of an anchor with more than ``split`` of them go to several shards.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     known = rows.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    paths = {name: new_path(spark, f"suffix-{name}") for name in ("anchors", "edges", "docs", "found")}
+    paths = {name: new_path(spark, f"suffix-{name}") for name in ("anchors", "sides", "edges", "docs", "found")}
     anchors = write_table(stored(_anchors(known).filter("n > 1").select("key"), "suffix-shared"), paths["anchors"], {})
     met = stored(_contexts(known, paths["anchors"], anchors), "suffix-contexts")
-    several = stored(met.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "suffix-several")
-    edges = stored(met.join(several.hint("merge"), "anchor").select("key", "doc", "at", F.ceil(F.col("contexts") / SPLIT).alias("parts")), "suffix-edges")
+    sides = met.select(F.explode(F.array("before", "after")).alias("key")).filter("key <> 0").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    side_counts = write_table(stored(sides.select("key"), "suffix-sides"), paths["sides"], {})
+    near = stored(_agreeing(met, paths["sides"], side_counts), "suffix-near")
+    several = near.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    edges = stored(near.join(several.hint("merge"), "anchor").select("key", "doc", "at", F.ceil(F.col("contexts") / split).alias("parts")), "suffix-edges")
     edge_counts = write_table(edges, paths["edges"], EDGE)
     ids = edges.select("doc").distinct()
     mixed = stored(ids.mapInArrow(_mix_ids, "key long"), "suffix-docs")
@@ -337,7 +366,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             null, no_text = np.asarray(batch.column(0).is_null()), batch.column(1).is_null().to_pylist()
             n_bytes, n_removed, n_spans, digests, texts = [], [], [], [], []
-            for i, j, buf, own, anchor, key, first, last, doc, at, text in _batches_of(batch):
+            for i, j, buf, own, anchor, key, first, last, doc, at, text, *_ in _batches_of(batch):
                 place, named, d, a, m1, m2 = table.find(key, "anchor", "doc", "at", "m1", "m2")
                 hit = (place >= 0) & (named == anchor) & ~null[i + text]
                 copy = hit & ((d != doc) | (a != at))
