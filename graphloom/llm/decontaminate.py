@@ -7,9 +7,11 @@ are joined; each hit is extended to the item windows around it and checked word
 by word. Items shorter than ``span`` words are one window each and are looked up
 by the hash of all their words at every place.
 
-Everything here is DataFrame and SQL expressions. The benchmark side is broadcast
-only while its words are few enough (``broadcast_words``); beyond that the same
-join is shuffled.
+Everything here is DataFrame and SQL expressions. The first pass over the texts
+joins fingerprints alone; its hits, with the words of their items, are kept in the
+shared folder, and the second pass compares words where there are hits. Both small
+sides are broadcast behind a check of their size; beyond it the same joins are
+shuffled. Texts are shuffled only if the hits are too many to broadcast.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words matches nothing; a repeated row gets a repeated result, and rows of one id or of none are judged each by its text; items with the same
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import stored
+
 #: Bytes that separate words before lower-casing A-Z.
 WORD_BREAK = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _LOWER = "if(octet_length(w) = char_length(w), lower(w), translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
@@ -70,37 +74,46 @@ def _short(span: int) -> str:
     return "CASE size(hw) " + " ".join(f"WHEN {m} THEN xxhash64({', '.join(f'get(hw, {k})' for k in range(m))})" for m in range(1, span)) + " END"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_words: int = 1_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document."""
-    items = _prepared(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("item_text")), "item_text", gram, span)
-    items = items.filter("size(words) > 0 AND item IS NOT NULL").withColumnRenamed("words", "item_words")
-    total, *short = items.select(F.size("item_words").alias("n")).groupBy(F.when(F.col("n") < span, F.col("n")).alias("m")).agg(F.sum("n").alias("words")).agg(F.sum("words"), F.collect_set("m")).first() or (0, [])
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_words: int = 1_000_000, broadcast_hits: int = 50_000, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the kept columns of docs (as kept_0, kept_1, ...): one row per document.
+
+    The fingerprints of the benchmark are broadcast while its words, and its
+    fingerprints are fewer, are at most ``broadcast_words``; the hits while they are
+    at most ``broadcast_hits``.
+    """
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("item_text")).filter("item IS NOT NULL").distinct()
+    items = items.withColumn("name", F.xxhash64("item", "item_text"))  # an id may come with several texts
+    prepared = _prepared(items, "item_text", gram, span).filter("size(words) > 0")
+    total, *short = prepared.select(F.size("words").alias("n")).groupBy(F.when(F.col("n") < span, F.col("n")).alias("m")).agg(F.sum("n").alias("words")).agg(F.sum("words"), F.collect_set("m")).first() or (0, [])
     short = sorted(short[0]) if short else []  # lengths below span: fewer than span values
-    marks = items.withColumn("marks", F.expr(f"if(size(item_words) < {span}, array(struct(1 as pos, {_short(span)} as h, size(hw) as len)), marks)"))
-    marks = marks.select("item", "item_words", F.explode("marks").alias("m")).select("item", "item_words", F.col("m.pos").alias("ipos"), F.col("m.h").alias("h"), F.col("m.len").alias("len"))
-    if (total or 0) <= broadcast_words:
-        marks = F.broadcast(marks)
+    few = (total or 0) <= broadcast_words
+    marks = prepared.select("item", "name", F.expr(f"if(size(words) < {span}, array(struct(1 as pos, {_short(span)} as h, size(hw) as len)), marks)").alias("marks"))
+    marks = marks.select("item", "name", F.explode("marks").alias("m")).select("item", "name", F.col("m.pos").alias("ipos"), F.col("m.h").alias("h"), F.col("m.len").alias("len"))
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"))
-    rows = _prepared(source, "doc_text", gram, span)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
+    rows = _prepared(source.select("doc_id", "doc_text"), "doc_text", gram, span)
     extra = "".join(f", if(size(hw) >= {m}, transform(sequence(1, size(hw) - {m - 1}), i -> struct(i as pos, xxhash64({', '.join(f'get(hw, i + {k - 1})' for k in range(m))}) as h, {m} as len)), array())" for m in short)
-    rows = rows.select("doc_id", F.size("words").alias("n_words"), F.expr(f"concat(marks{extra}, array(struct(0 as pos, 0L as h, 0 as len)))").alias("marks"))  # place 0 stands for the document itself
-    rows = rows.select("doc_id", "n_words", F.explode("marks").alias("d")).select("doc_id", "n_words", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
-    hits = rows.join(marks, ["h", "len"], "left").filter("item IS NOT NULL OR pos = 0")
-    hits = hits.groupBy("doc_id").agg(F.min("n_words").alias("least_words"), F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("item").isNotNull(), F.struct("item", "item_words", "pos", "ipos"))).alias("hits"))
-
-    # back to the texts, which alone are long: words are compared only in documents with hits
-    both = source.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    # rows of one id (or without one) can have texts of different lengths; then each counts its own words
-    both = both.select("doc_id", "least_words", "n_words", "hits", F.expr(f"if(size(hits) > 0 or least_words < n_words, {_words('doc_text')}, array())").alias("words"))
-    both = both.withColumn("n_words", F.expr("if(least_words < n_words, size(words), n_words)"))
+    rows = rows.select("doc_id", F.explode(F.expr(f"concat(marks{extra})")).alias("d")).select("doc_id", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
+    found = rows.join(F.broadcast(marks) if few else marks, ["h", "len"]).select("doc_id", "item", "name", "pos", "ipos")
+    words = prepared.select("name", F.col("words").alias("item_words"))
+    found = found.join(F.broadcast(words) if few else words, "name")
+    hits = stored(found.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(F.struct("item", "item_words", "pos", "ipos")).alias("hits")), "decontaminate-hits")
+    if few and hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0] <= broadcast_hits:
+        hits = F.broadcast(hits)
+
+    # each text is judged by itself, whatever other texts have its id; words are compared only where there are hits
+    both = source.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id").withColumn("words", F.expr(_words("doc_text"))).drop("doc_text")
     low, high = f"greatest(x.ipos - {span - gram}, x.ipos - x.pos + 1, 1)", f"least(x.ipos, size(x.item_words) - {span - 1}, size(words) - x.pos + x.ipos - {span - 1})"
     same = f"filter(if({low} <= {high}, sequence({low}, {high}), array()), j -> forall(sequence(0, {span - 1}), k -> get(words, x.pos - x.ipos + j + k - 1) = get(x.item_words, j + k - 1)))"
-    spans = f"""flatten(transform(hits, x -> if(size(x.item_words) < {span},
+    spans = f"""if(hits is null, array(), flatten(transform(hits, x -> if(size(x.item_words) < {span},
         if(forall(sequence(0, size(x.item_words) - 1), k -> get(words, x.pos + k - 1) = get(x.item_words, k)), array(struct(x.pos as at, size(x.item_words) as n, x.item as item)), array()),
-        transform({same}, j -> struct(x.pos - x.ipos + j as at, {span} as n, x.item as item)))))"""
-    merged = both.select("doc_id", "n_words", F.expr(spans).alias("spans"))
-    merged = merged.select("doc_id", "n_words", F.expr("array_sort(array_distinct(transform(spans, s -> struct(s.at, s.n))))").alias("places"), F.expr("array_sort(array_distinct(transform(spans, s -> s.item)))").alias("items"))
+        transform({same}, j -> struct(x.pos - x.ipos + j as at, {span} as n, x.item as item))))))"""
+    own = [f"kept_{k}" for k in range(len(keep))]
+    merged = both.select("doc_id", *own, F.expr("cast(size(words) as long)").alias("n_words"), F.expr(spans).alias("spans"))
+    merged = merged.select("doc_id", *own, "n_words", F.expr("array_sort(array_distinct(transform(spans, s -> struct(s.at, s.n))))").alias("places"), F.expr("array_sort(array_distinct(transform(spans, s -> s.item)))").alias("items"))
     hit = "aggregate(places, struct(0L as covered, 0 as until), (a, s) -> struct(a.covered + greatest(s.at + s.n - greatest(s.at, a.until), 0) as covered, greatest(a.until, s.at + s.n) as until), a -> a.covered)"
-    out = merged.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.expr(hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    out = merged.select("doc_id", *own, "n_words", F.expr(hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    # the row number is not deterministic, so a caller's filter stays above the expressions and does not repeat them
+    return out.withColumn("contaminated", F.col("n_hit") > 0).withColumn("row", F.monotonically_increasing_id()).filter("row >= 0").drop("row")

@@ -167,7 +167,10 @@ def test_op7_brute_force(spark, docs, sf_dir):
                     items |= found
                     hit.update(range(k, k + n))
         expected.append((i, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)))
-    same(decontaminate.contamination(docs, bench), ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], expected)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    same(decontaminate.contamination(docs, bench), columns, expected)
+    same(decontaminate.contamination(docs, bench, broadcast_words=0), columns, expected)  # all joins shuffled
+    same(decontaminate.contamination(docs, bench, broadcast_hits=0), columns, expected)
 
 
 def test_op8_base_scores(docs):
