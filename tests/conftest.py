@@ -9,6 +9,7 @@ sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+CPUS = os.environ.get("TEST_CPUS", "8")
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +22,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g")
+        SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
