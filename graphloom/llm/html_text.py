@@ -7,10 +7,13 @@ article or (reader comments apart) most of its text outside links, on a page
 without articles most of the page's; nor do names such as has-sidebar or
 comments-open. For every node the density is its characters per tag,
 adjusted by the share of link text; the density sum of a node adds up the
-densities of its children. The node with the largest sum is the core. The lowest
-density on the path from the core up to the body is the threshold: the core grows
-to its enclosing article, or else to the subtrees whose density reaches it and the
-text that stands between them, except runs that are links for the most part.
+densities of its children. The node with the largest sum (the first one on ties) is
+the core. The lowest density on the path from the core up to the body is the
+threshold. What stands beside the path joins the core: in the body, or around an
+article if the path has one, subtrees whose density reaches the threshold; nearer to
+the core others, too, but for blocks of several links that are links for the most
+part; and text between them that is not links for the most part. Nothing outside an
+article on the path joins it.
 
 Defined cases: a null or empty page has the empty text; a page cut off inside a
 tag loses that tag only; unclosed elements end with their parent; very long pages
@@ -32,12 +35,14 @@ from pyspark.sql import DataFrame
 from graphloom.llm.shared import bounded_batches
 
 _WORDS = str.split
-RAW = set(_WORDS("script style noscript template iframe object svg math textarea title select canvas audio video"))
+RAW = set(_WORDS("script style noscript template iframe object svg textarea title select canvas audio video"))
 VOID = set(_WORDS("area base br col embed hr img input link meta param source track wbr"))
-SKIP = set(_WORDS("head nav footer aside form button dialog menu fieldset label option datalist")) | RAW
+SKIP = set(_WORDS("nav footer aside form button dialog menu fieldset label option datalist")) | RAW
 INLINE = set(_WORDS("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img"))
 MARKS = set(_WORDS("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead header topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager skip disclaimer"))
 COMMENTS = set(_WORDS("comment comments disqus reply replies respond"))
+#: Last parts of names of what holds reader comments.
+HOLDERS = COMMENTS | set(_WORDS("list section area thread form wrapper container box"))
 #: First and last parts of names that tell what a page has, not what an element is.
 HAS, STATES = set(_WORDS("has no with without")), set(_WORDS("open closed enabled disabled"))
 ROLES = set(_WORDS("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form"))
@@ -52,7 +57,7 @@ _PARTS = re.compile(r"[a-z0-9]+").findall
 
 
 def _unwanted(tag: str, attributes: str, inside_core: bool) -> int:
-    """0 for wanted elements, 1 for unwanted ones; 2 and, for reader comments, 3 where only a class or id says so."""
+    """0 for wanted elements, 1 for unwanted ones; 2 and, for reader comments, 3 where only a class or id says so; 4 for unwanted roles."""
     if tag in SKIP or tag == "header" and not inside_core:
         return 1
     if "=" not in attributes or tag in ("html", "body") or tag in CORE:
@@ -62,13 +67,13 @@ def _unwanted(tag: str, attributes: str, inside_core: bool) -> int:
         value = "".join(values).lower()
         if name.lower() == "role":
             if value in ROLES:
-                return 1
+                return 4
             continue
         for word in value.split():
             parts = _PARTS(word)
             marks = MARKS.intersection(parts) - ({"header"} if inside_core else set())
             if marks and parts[0] not in HAS and parts[-1] not in STATES:
-                out = max(out, 3 if marks & COMMENTS else 2)
+                out = max(out, 3 if marks & COMMENTS and parts[-1] in HOLDERS else 2)
     return out
 
 
@@ -116,7 +121,7 @@ def parse(page: str) -> Node:
                 depth_core -= _cores(at, node.parent)
                 at = node.parent
             continue
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             continue
         if tag in VOID:
             Node(tag, at)
@@ -198,7 +203,7 @@ def _prune(root: Node) -> None:
 
     def gone(node: Node) -> bool:
         beside = core[id(node)] is not main  # never of a page without articles
-        return node.marked > 0 and id(node) not in holds and (beside or node.marked == 3 or 2 * size[id(node)] <= size[id(main or root)])
+        return node.marked == 4 or node.marked > 0 and id(node) not in holds and (beside or node.marked == 3 or 2 * size[id(node)] <= size[id(main or root)])
 
     for node in nodes:
         node.items = [x for x in node.items if not isinstance(x, Node) or not gone(x)]
@@ -226,34 +231,51 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _links(x: Node | str) -> int:
+    """Characters of links."""
+    return 0 if isinstance(x, str) else x.chars if x.tag == "a" else x.link_chars
+
+
+def _chars(x: Node | str) -> int:
+    return _size(x) if isinstance(x, str) else x.chars
+
+
+def _beside(items: list[Node | str], low: float, outermost: bool) -> list[Node | str]:
+    """Of neighbours of the path those that join the core."""
+    out: list[Node | str] = []
+    for bare, run in groupby(items, lambda x: isinstance(x, str) or x.tag in INLINE):
+        run = list(run)
+        if bare and any(isinstance(x, str) and x.strip() for x in run) and 2 * sum(map(_links, run)) <= sum(map(_chars, run)):
+            out += run
+            continue
+        for x in run:
+            if isinstance(x, Node) and (x.density >= low or not outermost and (x.link_tags < 2 or 2 * _links(x) <= x.chars)):
+                out.append(x)
+    return out
+
+
 def _chosen(root: Node) -> list[Node | str]:
     """The subtrees that make up the main text, in page order."""
     nodes = _measure(root)
     core = max(nodes, key=lambda n: n.total)
-    if core.total <= 0:
-        return [root]
-    node, low, path = core, core.density, set()
-    while node is not root:
-        if node.tag in CORE:
-            article = node
-            while article.parent is not None and article.parent.tag in CORE:
-                article = article.parent
-            return [article]
-        low = min(low, node.density)
-        path.add(id(node))
-        node = node.parent
-    if core is root:
+    if core.total <= 0 or core is root:
         return [root]
-    out: list[Node | str] = []
-    for bare, items in groupby(root.items, lambda x: isinstance(x, str) or x.tag in INLINE):
-        items = list(items)
-        if bare and any(isinstance(x, str) and x.strip() for x in items):
-            links = sum(0 if isinstance(x, str) else x.chars if x.tag == "a" else x.link_chars for x in items)
-            if 2 * links <= sum(_size(x) if isinstance(x, str) else x.chars for x in items):
-                out += items
-                continue
-        out += [x for x in items if isinstance(x, Node) and (id(x) in path or x.density >= low)]
-    return out
+    path, low = [core], core.density
+    while path[-1].parent is not root:
+        path.append(path[-1].parent)
+        low = min(low, path[-1].density)
+    articles = [k for k, node in enumerate(path) if node.tag in CORE]
+    if articles:
+        path = path[: articles[-1] + 1]
+    before: list[Node | str] = []
+    after: list[list[Node | str]] = []
+    for below, node in reversed(list(zip(path, [*path[1:], path[-1].parent]))):
+        if articles and below is path[-1]:
+            continue
+        at = next(k for k, x in enumerate(node.items) if x is below)
+        before += _beside(node.items[:at], low, node is root)
+        after.append(_beside(node.items[at + 1 :], low, node is root))
+    return [*before, core, *(x for part in reversed(after) for x in part)]
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
