@@ -8,10 +8,12 @@ counted in Spark. The sorted hash arrays of all languages share their keys, so o
 search serves every language, and a worker scores a word once however often it
 occurs. The language with the lowest cross-entropy per character wins.
 
-Rejection is calibrated on sampled documents that the counting leaves out: for each
-language the cross-entropy that all but ``miss`` of its documents stay below, with
-three tenths of slack, and more for short texts. A language without such documents
-gets the limit of the others' documents together.
+Rejection is calibrated on sampled documents that the counting leaves out. A text's
+cross-entropy varies as one over the root of its length, so it is measured in such
+deviations from the language's mean; the limit is what all but the share ``miss`` of
+the language's documents stay below, and not less than a normal distribution's, as
+few documents say little of so small a share. A language without such documents gets the
+limit of the others' documents together.
 
 Defined cases: a text that is null or has no letter is ``und``, with score 0, and
 rejected; without labelled rows everything is ``und``; ties go to the first
@@ -21,16 +23,19 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import bounded_batches
+from graphloom.llm.shared import bounded_batches, stored
 
 ORDER = 5
 START, STOP = "\x02", "\x03"
@@ -55,29 +60,61 @@ def _first_hashes(n: int) -> np.ndarray:
     return np.full(n, _PRIME, np.uint64)
 
 
-def string_hash(gram: str) -> int:
-    h = _first_hashes(len(gram))
-    codes = np.array([ord(c) for c in gram], np.uint64)
-    for _ in gram:
-        h = longer_hashes(h, codes)
-    return int(h[-1])
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hash of each gram of one length, from a row of code points for each."""
+    h = _first_hashes(len(codes))
+    for column in codes.T:
+        h = (h ^ column) * _PRIME
+        h ^= h >> np.uint64(29)
+    return h
 
 
 class CharModels:
     """For each gram length, sorted hash arrays of all languages: discounted shares, and the weights of the shorter gram after it."""
 
-    def __init__(self, languages: list[str], grams: dict[str, np.ndarray], contexts: dict[str, np.ndarray], letters: int) -> None:
+    def __init__(self, languages: list[str], grams: pa.Table, letters: int) -> None:
+        """grams: g and rows, a list of (i, share, weight) of the languages that have it; weight is null where nothing follows."""
         self.languages, self.floor = languages, 1.0 / max(letters, 1)
+        n = len(languages)
+        texts = grams["g"].combine_chunks()
+        lists = grams["rows"].combine_chunks()
+        parts = lists.flatten()
+        owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        language = parts.field("i").to_numpy()
+        shares, weights = np.zeros((len(texts), n), np.float32), np.ones((len(texts), n), np.float32)
+        for table, name in ((shares, "share"), (weights, "weight")):
+            has = parts.field(name).is_valid().to_numpy(zero_copy_only=False)
+            table[owner[has], language[has]] = parts.field(name).drop_null().to_numpy()
+        size = pa.compute.utf8_length(texts).to_numpy()
+        self.start = weights[size == 0][0] if (size == 0).any() else np.ones(n, np.float32)
         self.levels = []
-        none, one = np.zeros(len(languages), np.float32), np.ones(len(languages), np.float32)
-        for n in range(1, ORDER + 1):
-            names = sorted({g for g in (*grams, *contexts) if len(g) == n})
-            keys = np.array([string_hash(g) for g in names], np.uint64)
+        for k in range(1, ORDER + 1):
+            own = np.flatnonzero(size == k)
+            codes = np.frombuffer("".join(texts.take(pa.array(own)).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, k)
+            keys = gram_hashes(codes)
             order = np.argsort(keys)
-            table = [np.array([t.get(g, d) for g in names], np.float32).reshape(len(names), len(languages))[order] for t, d in ((grams, none), (contexts, one))]
-            self.levels.append((keys[order], *table))
-        self.start = np.array(contexts.get("", one), np.float32)
-        self.limits = np.full(len(languages), np.inf)
+            self.levels.append((keys[order], shares[own[order]], weights[own[order]]))
+        #: Mean cross-entropy, its deviation for one character, and how many deviations are allowed.
+        self.mean, self.spread, self.allowed = np.zeros(n), np.ones(n), np.full(n, np.inf)
+
+    def limit(self, language: int, n: int) -> float:
+        """Cross-entropy up to which a text of n characters is accepted."""
+        return self.mean[language] + self.allowed[language] * self.spread[language] / math.sqrt(n)
+
+    def calibrate(self, owner: np.ndarray, sizes: np.ndarray, losses: np.ndarray, miss: float) -> None:
+        """Limits from documents (language, characters, cross-entropy): of each language all but the share ``miss`` are accepted."""
+        if not len(owner):
+            return
+        for k in [*range(len(self.languages)), -1]:
+            own = owner == k if k >= 0 else np.ones(len(owner), bool)
+            if not own.any():
+                continue
+            n, h = sizes[own], losses[own]
+            mean = np.average(h, weights=n)
+            spread = max(math.sqrt(np.mean(n * (h - mean) ** 2)), 1e-6)
+            z = max(float(np.quantile(np.sqrt(n) * (h - mean) / spread, 1 - miss, method="higher")), NormalDist().inv_cdf(1 - miss))
+            for i in [k] if k >= 0 else [i for i in range(len(self.languages)) if not (owner == i).any()]:
+                self.mean[i], self.spread[i], self.allowed[i] = mean, spread, z
 
     def word_losses(self, words: list[str]) -> np.ndarray:
         """Negative log probability of each word in each language, summed over its letters and end."""
@@ -107,6 +144,16 @@ class CharModels:
         return np.add.reduceat(loss, first, axis=0)
 
 
+def _bounded(words: list[str], size: int = 200_000) -> Iterator[list[str]]:
+    """Words in parts of about ``size`` characters."""
+    ends = np.cumsum([len(w) + 2 for w in words])
+    at = 0
+    while at < len(words):
+        stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")), at + 1)
+        yield words[at:stop]
+        at = stop
+
+
 class Scorer:
     """A worker's models with the words it has met."""
 
@@ -133,8 +180,7 @@ class Scorer:
 
     def _learn(self, new: list[str]) -> None:
         at = len(self.index)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for part in _bounded(new):
             losses = self.models.word_losses(part)
             if at + len(part) > len(self.losses):
                 grow = max(at + len(part), 5 * len(self.losses) // 4, 4096)
@@ -161,73 +207,54 @@ def _pieces(word: str) -> list[str]:
     return [word[k : k + PIECE + ORDER - 1] for k in range(0, max(len(word) - ORDER + 1, 1), PIECE)]
 
 
-def _allowed(limit: float, n: int) -> float:
-    """Cross-entropy up to which a text of n characters is accepted."""
-    return 1.3 * limit + 20.0 / n
-
-
 def train(labelled: DataFrame, *, docs_per_language: int = 2000, miss: float = 0.001) -> CharModels:
-    """Models from rows of (doc_id, text, lang); at most about ``docs_per_language`` of each language are read."""
-    bounded_batches(labelled.sparkSession)
+    """Models from rows of (doc_id, text, lang); at most about ``docs_per_language`` of each language are read, three tenths of them to calibrate."""
+    spark = labelled.sparkSession
+    bounded_batches(spark)
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("part", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 40)))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
     languages = sorted(sizes)
     if not languages:
-        return CharModels([], {}, {}, 1)
-    bounds = labelled.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, docs_per_language / n))) for k, n in sizes.items()], "lang string, bound long")
-    sample = usable.join(F.broadcast(bounds), "lang").filter("part < bound").select("lang", "text", (F.col("part") % 10 == 9).alias("calibrate"))
+        return CharModels([], pa.table({"g": pa.array([], pa.string()), "rows": pa.array([], pa.list_(pa.struct([("i", pa.int32()), ("share", pa.float32()), ("weight", pa.float32())])))}), 1)
+    bounds = spark.createDataFrame([(k, i, int((1 << 40) * min(1.0, docs_per_language / sizes[k]))) for i, k in enumerate(languages)], "lang string, i int, bound long")
+    sample = usable.join(F.broadcast(bounds), "lang").filter("part < bound").select("i", "text", (F.col("part") % 10 >= 7).alias("calibrate"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tally: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tally.update((lang, piece) for w in _LETTERS(text.lower()) for piece in _pieces(START + w + STOP))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], ["lang", "word", "n"])
-
-    words = sample.filter("NOT calibrate").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    cuts = words.select("lang", "n", F.explode(F.expr(f"flatten(transform(sequence(1, char_length(word)), i -> transform(sequence(1, least({ORDER}, char_length(word) - i + 1)), k -> substring(word, i, k))))")).alias("g"), "word")
-    grams = cuts.groupBy("lang", "g").agg(F.sum("n").alias("c"))
-    left = grams.filter("char_length(g) > 1").groupBy("lang", F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("kinds"))
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tally.update((i, piece) for w in _LETTERS(text.lower()) for piece in _pieces(START + w + STOP))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.int32()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], ["i", "word", "n"])
+
+    words = sample.filter("NOT calibrate").select("i", "text").mapInArrow(count, "i int, word string, n long").groupBy("i", "word").agg(F.sum("n").alias("n"))
+    cuts = words.select("i", "n", F.explode(F.expr(f"flatten(transform(sequence(1, char_length(word)), i -> transform(sequence(1, least({ORDER}, char_length(word) - i + 1)), k -> substring(word, i, k))))")).alias("g"), "word")
+    grams = cuts.groupBy("i", "g").agg(F.sum("n").alias("c"))
+    left = grams.filter("char_length(g) > 1").groupBy("i", F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("kinds"))
     raw = F.expr(f"char_length(g) = {ORDER} OR startswith(g, '{START}')")
-    table = grams.join(left, ["lang", "g"], "left").filter(f"g <> '{START}'").select("lang", "g", F.when(raw, F.col("c")).otherwise(F.coalesce("kinds", "c")).alias("c")).collect()  # bounded by the sample
-    of = {k: i for i, k in enumerate(languages)}
-    totals: dict[str, np.ndarray] = {}
-    met = np.zeros((len(languages), ORDER + 1, 3))
-    for lang, g, c in table:
-        i = of[lang]
-        row = totals.setdefault(g[:-1], np.zeros((len(languages), 2)))
-        row[i] += (c, 1)
-        if c < 3:
-            met[i, len(g), c] += 1
-    cut = np.where(met[..., 1] > 0, met[..., 1] / np.maximum(met[..., 1] + 2 * met[..., 2], 1), 0.5)
-    cut = np.clip(cut, 0.1, 0.95)
-    shares: dict[str, np.ndarray] = {}
-    for lang, g, c in table:
-        i = of[lang]
-        shares.setdefault(g, np.zeros(len(languages)))[i] = max(c - cut[i, len(g)], 0.0) / totals[g[:-1]][i, 0]
-    weights = {h: np.where(t[:, 0] > 0, cut[:, len(h) + 1] * t[:, 1] / np.maximum(t[:, 0], 1), 1.0) for h, t in totals.items()}
-    letters = len({g[-1] for g in shares}) + 1
-    models = CharModels(languages, shares, weights, letters)
-
-    shared = labelled.sparkSession.sparkContext.broadcast(models)
+    table = grams.join(left, ["i", "g"], "left").filter(f"g <> '{START}'").select("i", "g", F.when(raw, F.col("c")).otherwise(F.coalesce("kinds", "c")).alias("c"), F.char_length("g").alias("size"), F.expr("left(g, char_length(g) - 1)").alias("h"))
+    table = stored(table, "language-grams")
+    # one discount for each language and length, from its grams met once and twice
+    met = table.groupBy("i", "size").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
+    cut = met.select("i", "size", F.greatest(F.least(F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5), F.lit(0.95)), F.lit(0.1)).alias("cut"))
+    table = table.join(F.broadcast(cut), ["i", "size"])  # languages x ORDER rows
+    after = table.groupBy("i", "h", "cut").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    shares = table.join(after.select("i", "h", "total"), ["i", "h"]).select("g", "i", (F.greatest(F.col("c") - F.col("cut"), F.lit(0.0)) / F.col("total")).cast("float").alias("share"), F.lit(None).cast("float").alias("weight"))
+    weights = after.select(F.col("h").alias("g"), "i", F.lit(None).cast("float").alias("share"), (F.col("cut") * F.col("kinds") / F.col("total")).cast("float").alias("weight"))
+    gathered = shares.union(weights).groupBy("g").agg(F.collect_list(F.struct("i", "share", "weight")).alias("rows"))
+    letters = table.select(F.expr("right(g, 1)")).distinct().count() + 1
+    models = CharModels(languages, gathered.toArrow(), letters)  # bounded by the sample
+
+    shared = spark.sparkContext.broadcast(models)
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
         for batch in batches:
-            langs, values = [], []
-            for lang, (n, h) in zip(batch.column(0).to_pylist(), scorer.entropies(batch.column(1).to_pylist())):
-                if n >= 20:
-                    langs.append(lang)
-                    values.append(float(h[of[lang]]) - 8.0 / n)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["lang", "h"])
-
-    held: dict[str, list[float]] = {}
-    for lang, h in sample.filter("calibrate").select("lang", "text").mapInArrow(calibrate, "lang string, h double").collect():  # bounded by the sample
-        held.setdefault(lang, []).append(h)
-    for lang, values in held.items():
-        models.limits[of[lang]] = np.quantile(values, 1 - miss)
-    if held:
-        models.limits[np.isinf(models.limits)] = np.quantile([h for values in held.values() for h in values], 1 - miss)
+            rows = [(i, n, float(h[i])) for i, (n, h) in zip(batch.column(0).to_pylist(), scorer.entropies(batch.column(1).to_pylist())) if n]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.float64()))], ["i", "n", "h"])
+
+    held = sample.filter("calibrate").select("i", "text").mapInArrow(calibrate, "i int, n long, h double").toArrow()  # bounded by the sample
+    models.calibrate(held["i"].to_numpy(), held["n"].to_numpy(), held["h"].to_numpy(), miss)
     return models
 
 
@@ -250,7 +277,7 @@ def identify(docs: DataFrame, models: CharModels, *, id_col: str = "doc_id", tex
                     rows.append(("und", 0.0, None, True))
                     continue
                 best = int(np.argmin(h))
-                rows.append((models.languages[best], float(1 / np.exp(h[best] - h).sum()), float(h[best]), bool(h[best] > _allowed(models.limits[best], n))))
+                rows.append((models.languages[best], float(1 / np.exp(h[best] - h).sum()), float(h[best]), bool(h[best] > models.limit(best, n))))
             out = list(zip(*rows)) or [()] * 4
             arrays = [pa.array(c, k) for c, k in zip(out, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), *arrays], [*columns, "lang_pred", "score", "entropy", "rejected"])

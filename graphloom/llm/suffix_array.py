@@ -226,6 +226,18 @@ def _agreeing(met: DataFrame, path: str, counts: list[int]) -> DataFrame:
     return met.select("key", "anchor", "doc", "at", "before", "after").mapInArrow(run, "key long, anchor long, doc long, at long")
 
 
+def _edges(near: DataFrame, path: str, counts: list[int]) -> DataFrame:
+    """(key, doc, at, parts): contexts with the number of shards of their anchor, looked up in the table of frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = open_table(path, counts, {"parts": "i8"})
+        for batch in batches:
+            parts = table.find(batch.column(1).to_numpy().view(np.uint64), "parts")[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.maximum(parts, 1))], ["key", "doc", "at", "parts"])
+
+    return near.mapInArrow(run, "key long, doc long, at long, parts long")
+
+
 def _context_bytes(rows: DataFrame, path: str, counts: list[int], docs_path: str, docs_counts: list[int]) -> DataFrame:
     """(anchor, part, key, doc, at, bytes) of the contexts in the table, each from its earliest place."""
 
@@ -341,14 +353,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     known = rows.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    paths = {name: new_path(spark, f"suffix-{name}") for name in ("anchors", "sides", "edges", "docs", "found")}
+    paths = {name: new_path(spark, f"suffix-{name}") for name in ("anchors", "sides", "parts", "edges", "docs", "found")}
     anchors = write_table(stored(_anchors(known).filter("n > 1").select("key"), "suffix-shared"), paths["anchors"], {})
     met = stored(_contexts(known, paths["anchors"], anchors), "suffix-contexts")
     sides = met.select(F.explode(F.array("before", "after")).alias("key")).filter("key <> 0").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     side_counts = write_table(stored(sides.select("key"), "suffix-sides"), paths["sides"], {})
     near = stored(_agreeing(met, paths["sides"], side_counts), "suffix-near")
-    several = near.groupBy("anchor").agg(F.count("*").alias("contexts"))
-    edges = stored(near.join(several.hint("merge"), "anchor").select("key", "doc", "at", F.ceil(F.col("contexts") / split).alias("parts")), "suffix-edges")
+    frequent = near.groupBy("anchor").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > split).select(F.col("anchor").alias("key"), F.ceil(F.col("contexts") / split).alias("parts"))
+    part_counts = write_table(stored(frequent, "suffix-frequent"), paths["parts"], {"parts": "i8"})
+    edges = stored(_edges(near, paths["parts"], part_counts), "suffix-edges")
     edge_counts = write_table(edges, paths["edges"], EDGE)
     ids = edges.select("doc").distinct()
     mixed = stored(ids.mapInArrow(_mix_ids, "key long"), "suffix-docs")

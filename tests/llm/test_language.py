@@ -31,6 +31,6 @@ def test_language_without_calibration_documents_rejects(spark):
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
     rows = [(k, " ".join(rng.choice(words) for _ in range(30)), "aa") for k in range(120)] + [(500 + k, "xyz zyx", "cc") for k in range(3)]
     models = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert np.isfinite(models.limits).all()
+    assert np.isfinite(models.allowed).all()
     noise = "".join(rng.choice("xyzqwvutsr") for _ in range(400))
     assert language.identify(spark.createDataFrame([(1, noise)], "doc_id long, text string"), models).first().rejected
