@@ -7,11 +7,11 @@ are joined; each hit is extended to the item windows around it and checked word
 by word. Items shorter than ``span`` words are one window each and are looked up
 by the hash of all their words at every place.
 
-Everything here is DataFrame and SQL expressions. The first pass over the texts
-joins fingerprints alone; its hits, with the words of their items, are kept in the
-shared folder, and the second pass compares words where there are hits. Both small
-sides are broadcast behind a check of their size; beyond it the same joins are
-shuffled. Texts are shuffled only if the hits are too many to broadcast.
+Everything here is DataFrame and SQL expressions. A bitmap of the benchmark's
+fingerprints, of bounded size, tells in the first pass which fingerprints of a text
+may be an item's; most texts have none and are done. Only the others are joined with
+the fingerprints, which are broadcast behind a check of their size (beyond it the
+same join is shuffled), and only their texts are shuffled, to meet their hits.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words matches nothing; a repeated row gets a repeated result, and rows of one id or of none are judged each by its text; items with the same
@@ -74,14 +74,27 @@ def _short(span: int) -> str:
     return "CASE size(hw) " + " ".join(f"WHEN {m} THEN xxhash64({', '.join(f'get(hw, {k})' for k in range(m))})" for m in range(1, span)) + " END"
 
 
+def _in_bitmap(marks: DataFrame) -> str:
+    """SQL: whether the hash of a fingerprint m may be among the marks: three of its bits are set in a bitmap of 64 bits a mark, at most 2**22."""
+    n = marks.count()
+    bits = 1 << min(max((64 * n - 1).bit_length(), 6), 22) if n else 64
+    places = F.explode(F.array(*(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(bits - 1).cast("long")) for k in (0, 21, 42))))
+    set_ = marks.select(places.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+    table = [0] * (bits // 64)
+    for word, value in set_.collect():  # one row for each word of the bitmap at most
+        table[word] = value
+    array = f"cast(split('{','.join(map(str, table))}', ',') as array<long>)"  # folded to one literal
+    test = lambda k: f"(shiftrightunsigned(get({array}, cast(shiftrightunsigned(shiftrightunsigned(m.h, {k}) & {bits - 1}L, 6) as int)), cast(shiftrightunsigned(m.h, {k}) & 63L as int)) & 1L) = 1L"
+    return " AND ".join(map(test, (0, 21, 42)))
+
+
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_words: int = 1_000_000, broadcast_hits: int = 50_000, keep: tuple[str, ...] = ()
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_words: int = 1_000_000, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the kept columns of docs (as kept_0, kept_1, ...): one row per document.
 
-    The fingerprints of the benchmark are broadcast while its words, and its
-    fingerprints are fewer, are at most ``broadcast_words``; the hits while they are
-    at most ``broadcast_hits``.
+    The fingerprints of the benchmark, and the words of its items, are broadcast while
+    it has at most ``broadcast_words`` words.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("item_text")).filter("item IS NOT NULL").distinct()
     items = items.withColumn("name", F.xxhash64("item", "item_text"))  # an id may come with several texts
@@ -92,26 +105,31 @@ def contamination(
     marks = prepared.select("item", "name", F.expr(f"if(size(words) < {span}, array(struct(1 as pos, {_short(span)} as h, size(hw) as len)), marks)").alias("marks"))
     marks = marks.select("item", "name", F.explode("marks").alias("m")).select("item", "name", F.col("m.pos").alias("ipos"), F.col("m.h").alias("h"), F.col("m.len").alias("len"))
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
-    rows = _prepared(source.select("doc_id", "doc_text"), "doc_text", gram, span)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), F.col(text_col).alias("own_text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
+    rows = _prepared(source, "doc_text", gram, span)
     extra = "".join(f", if(size(hw) >= {m}, transform(sequence(1, size(hw) - {m - 1}), i -> struct(i as pos, xxhash64({', '.join(f'get(hw, i + {k - 1})' for k in range(m))}) as h, {m} as len)), array())" for m in short)
-    rows = rows.select("doc_id", F.explode(F.expr(f"concat(marks{extra})")).alias("d")).select("doc_id", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
-    found = rows.join(F.broadcast(marks) if few else marks, ["h", "len"]).select("doc_id", "item", "name", "pos", "ipos")
+    own = [f"kept_{k}" for k in range(len(keep))]
+    # the first pass keeps the text, and the marks that may be an item's, of the few rows that have such marks
+    rows = rows.select("row", "doc_id", *own, F.expr("cast(size(words) as long)").alias("n_words"), "own_text", F.expr(f"filter(concat(marks{extra}), m -> {_in_bitmap(marks)})").alias("marks"))
+    met = F.size("marks") > 0
+    rows = rows.withColumn("doc_text", F.when(met, F.col("own_text"))).withColumn("marks", F.when(met, F.col("marks"))).drop("own_text")
+    rows = stored(rows.withColumn("r", F.monotonically_increasing_id()).filter("r >= 0").drop("r"), "decontaminate-rows")
+    maybe = rows.filter("marks IS NOT NULL")
+    found = maybe.select("row", F.explode("marks").alias("d")).select("row", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
+    found = found.join(F.broadcast(marks) if few else marks, ["h", "len"]).select("row", "item", "name", "pos", "ipos")
     words = prepared.select("name", F.col("words").alias("item_words"))
-    found = found.join(F.broadcast(words) if few else words, "name")
-    hits = stored(found.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(F.struct("item", "item_words", "pos", "ipos")).alias("hits")), "decontaminate-hits")
-    if few and hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0] <= broadcast_hits:
-        hits = F.broadcast(hits)
+    hits = found.join(F.broadcast(words) if few else words, "name").groupBy("row").agg(F.collect_set(F.struct("item", "item_words", "pos", "ipos")).alias("hits"))
 
-    # each text is judged by itself, whatever other texts have its id; words are compared only where there are hits
-    both = source.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id").withColumn("words", F.expr(_words("doc_text"))).drop("doc_text")
+    # each text is judged by itself, whatever other texts have its id
+    both = maybe.drop("marks").join(hits.hint("merge"), "row", "left").withColumn("words", F.expr(f"if(hits is null, array(), {_words('doc_text')})"))
+    none = rows.filter("marks IS NULL").drop("marks").withColumn("hits", F.lit(None).cast(hits.schema["hits"].dataType)).withColumn("words", F.array().cast("array<string>"))
+    both = both.unionByName(none)
     low, high = f"greatest(x.ipos - {span - gram}, x.ipos - x.pos + 1, 1)", f"least(x.ipos, size(x.item_words) - {span - 1}, size(words) - x.pos + x.ipos - {span - 1})"
     same = f"filter(if({low} <= {high}, sequence({low}, {high}), array()), j -> forall(sequence(0, {span - 1}), k -> get(words, x.pos - x.ipos + j + k - 1) = get(x.item_words, j + k - 1)))"
     spans = f"""if(hits is null, array(), flatten(transform(hits, x -> if(size(x.item_words) < {span},
         if(forall(sequence(0, size(x.item_words) - 1), k -> get(words, x.pos + k - 1) = get(x.item_words, k)), array(struct(x.pos as at, size(x.item_words) as n, x.item as item)), array()),
         transform({same}, j -> struct(x.pos - x.ipos + j as at, {span} as n, x.item as item))))))"""
-    own = [f"kept_{k}" for k in range(len(keep))]
-    merged = both.select("doc_id", *own, F.expr("cast(size(words) as long)").alias("n_words"), F.expr(spans).alias("spans"))
+    merged = both.select("doc_id", *own, "n_words", F.expr(spans).alias("spans"))
     merged = merged.select("doc_id", *own, "n_words", F.expr("array_sort(array_distinct(transform(spans, s -> struct(s.at, s.n))))").alias("places"), F.expr("array_sort(array_distinct(transform(spans, s -> s.item)))").alias("items"))
     hit = "aggregate(places, struct(0L as covered, 0 as until), (a, s) -> struct(a.covered + greatest(s.at + s.n - greatest(s.at, a.until), 0) as covered, greatest(a.until, s.at + s.n) as until), a -> a.covered)"
     out = merged.select("doc_id", *own, "n_words", F.expr(hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))

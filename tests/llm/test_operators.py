@@ -170,7 +170,6 @@ def test_op7_brute_force(spark, docs, sf_dir):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     same(decontaminate.contamination(docs, bench), columns, expected)
     same(decontaminate.contamination(docs, bench, broadcast_words=0), columns, expected)  # all joins shuffled
-    same(decontaminate.contamination(docs, bench, broadcast_hits=0), columns, expected)
 
 
 def test_op8_base_scores(docs):
