@@ -219,7 +219,41 @@ def test_op10_brute_force(docs):
                 p, q = sorted((root(a), root(b)))
                 parent[q] = p
     expected = [(i, len(sets[i, t]), None if i is None else root(i), i is None or root(i) == i) for i, t in rows]
-    same(minhash.near_duplicates(docs), ["doc_id", "n_shingles", "component_id", "kept"], expected)
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    same(minhash.near_duplicates(docs), columns, expected)
+    same(minhash.near_duplicates(docs, block=1), columns, expected)  # every bucket is a star, mixed ones are joined by prefixes
+
+
+def test_op10_hot_bands(spark):
+    """Three texts whose variants share bands by the hundred, and unlike texts beside them."""
+    import random
+
+    rng = random.Random(1)
+    rows, groups = [], []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(300)]
+        groups.append([])
+        for v in range(150):
+            words = list(base)
+            words[rng.randrange(300)] = f"x{g}y{v}"
+            groups[-1].append(len(rows))
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + k, " ".join(f"r{rng.randrange(10**6)}" for _ in range(80))) for k in range(100)]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all({out[k] for k in g} == {g[0]} for g in groups) and all(out[k] == k for k in range(450, 550))
+
+
+def test_op10_recall(real):
+    """Links found by one pass over the bands against all pairs with enough in common."""
+    sets = {}
+    for i, t in texts(real):
+        w = WORD((t or "").translate(LOWER))
+        if w:
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    linked = {a for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    out = minhash.near_duplicates(real).groupBy("component_id").agg({"doc_id": "collect_list"}).collect()
+    ours = {i for r in out if len(r[1]) > 1 for i in r[1]}
+    assert linked and len(linked & ours) >= 0.9 * len(linked) and ours <= linked
 
 
 def test_empty_tables(spark, odd, sf_dir):
