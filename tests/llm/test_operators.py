@@ -148,6 +148,44 @@ def test_op6_brute_force(docs):
     same(recompression.remove_repeats(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"], expected)
 
 
+def test_op6_windows_around_dead_symbols_are_not_repeated():
+    """Rounds by hand: only windows that two texts share stay, and of the shared ones none goes."""
+    import random
+
+    import numpy as np
+
+    from graphloom.llm import recompression as R
+
+    class Names:
+        def __init__(self, keys):
+            self.keys = np.array(sorted(keys), np.uint64)
+
+        def find(self, asked):
+            at = np.minimum(np.searchsorted(self.keys, asked), max(len(self.keys) - 1, 0))
+            return [np.where(self.keys[at] == asked, at, -1) if len(self.keys) else np.full(len(asked), -1)]
+
+    rng = random.Random(5)
+    shared = [rng.randrange(40) for _ in range(60)]
+    texts = [[rng.randrange(1000) for _ in range(50)] + shared + [rng.randrange(1000)] * 5, [7] * 20 + shared[5:50] + [rng.randrange(1000) for _ in range(40)], [rng.randrange(30) for _ in range(200)]]
+    words = np.array([w * 0x9E3779B97F4A7C15 % 2**64 for t in texts for w in t], np.uint64)
+    first = np.cumsum([0, *map(len, texts)])
+    tables = []
+    for _ in range(R.ROUNDS):
+        _, names, text = R.rounds(words, first, 13, tables, True)
+        owners = defaultdict(set)
+        for n, t in zip(names.tolist(), text.tolist()):
+            owners[n].add(t)
+        tables.append(Names([n for n, o in owners.items() if len(o) > 1]))
+    dead = R.rounds(words, first, 13, tables, False)[0]
+    seen = defaultdict(set)
+    places = [(t, k) for t, w in enumerate(texts) for k in range(len(w) - 12)]
+    for t, k in places:
+        seen[tuple(texts[t][k : k + 13])].add(t)
+    repeated = [(t, k) for t, k in places if len(seen[tuple(texts[t][k : k + 13])]) > 1]
+    assert len(repeated) >= 60 and not any(dead[first[t] + k] for t, k in repeated)
+    assert sum(dead[first[t] + k] for t, k in places) > 0.7 * (len(places) - len(repeated))
+
+
 def test_op7_brute_force(spark, docs, sf_dir):
     odd_items = [(900, "one two three"), (901, PASSAGE), (901, PASSAGE), (902, ""), (903, None), (None, "spam spam"), (904, "日本語 テキスト")]
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame(odd_items, "item_id long, text string"))
