@@ -82,6 +82,28 @@ def test_op2_round_trip_of_payloads(spark, tmp_path):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_op2_foreign_archives(spark, tmp_path):
+    import base64
+    import gzip
+
+    def record(kind, block, *more, name="<urn:x:1>"):
+        head = [f"WARC-Type:{kind}", f"WARC-RECORD-ID: {name}", *more, f"content-length: {len(block)}"]
+        return gzip.compress(b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = b"<p>hello</p>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nTRANSFER-ENCODING: Chunked\r\n\r\n" + warc.chunked(body, 5)
+    data = record("warcinfo", b"software: x\r\n") + record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http;msgtype=request") + record("response", http, "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Target-URI: http://a/") + record("metadata", b"a: b")
+    data += record("response", http[:20], "WARC-Segment-Number: 1", "Content-Type: application/http", name="<urn:x:9>") + record("continuation", http[20:], "WARC-Segment-Number: 2", "WARC-Segment-Origin-ID: <urn:x:9>", f"WARC-Segment-Total-Length: {len(http)}")
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    rows = [(r.record_type, bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == sorted([("warcinfo", b"software: x\r\n"), ("request", b""), ("response", body), ("metadata", b"a: b"), ("response", body)])
+    with pytest.raises(ValueError):
+        warc.dechunked(warc.chunked(body, 5)[:-2])
+    with pytest.raises(ValueError):
+        warc.decode_record({"warc-type": "resource", "warc-payload-digest": "sha256:" + "0" * 64}, body)
+
+
 def test_op3_equals_library(docs):
     import public_tokenizers
     import sentencepiece
