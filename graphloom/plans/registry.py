@@ -213,9 +213,13 @@ def search_all_terms(get, spark):
     return S.search(get("symbols"), ["Red", " bolt", "red"], kind="function").select("symbol_id", "score")
 
 
-@_query(_search_sql(["widget"], "true", "ORDER BY score DESC, lower(shown), lower(package), file, line LIMIT 25"), ("symbols",))
+@_query(_search_sql(["widget"], "true", "ORDER BY score DESC, lower(shown), lower(package), file, line LIMIT 25").replace("SELECT symbol_id, CAST(", "SELECT symbol_id, row_number() OVER (ORDER BY s0 + CASE WHEN lower(shown) IN ('widget', 'widget') THEN 100 ELSE 0 END DESC, lower(shown), lower(package), file, line) AS place, CAST("), ("symbols",))
 def search_top(get, spark):
-    return S.search(get("symbols"), ["widget"], limit=25).select("symbol_id", "score")
+    from pyspark.sql import Window
+
+    found = S.search(get("symbols"), ["widget"], limit=25)
+    order = Window.orderBy(F.desc("score"), F.lower("display_name"), F.lower("package"), "file", "line")  # over 25 rows
+    return found.select("symbol_id", "score", F.row_number().over(order).cast("long").alias("place"))
 
 
 @_query(" SELECT symbol_id FROM symbols WHERE kind = 'function' AND (starts_with(name, 'Test') OR file LIKE '%\\_test.go' ESCAPE '\\')", ("symbols",))
@@ -618,16 +622,22 @@ def snapshot_fingerprint(get, spark):
 
 
 @_query(
-    """SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 1 AND o_orderstatus <> 'F' THEN 'relationship metadata missing,' ELSE '' END || CASE WHEN o_orderpriority <> '5-LOW' THEN 'repository files changed' ELSE '' END AS reasons FROM orders""",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 19 = 0 THEN 'snapshot format version changed,' ELSE '' END || CASE WHEN o_custkey % 2 = 1 AND o_orderstatus <> 'F' AND o_orderkey % 19 <> 0 THEN 'relationship metadata missing,' ELSE '' END
+        || CASE WHEN o_orderkey % 7 = 0 THEN 'repository root changed,' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN 'module path changed,' ELSE '' END || CASE WHEN o_orderkey % 13 = 0 THEN 'build tags changed,' ELSE '' END
+        || CASE WHEN o_orderkey % 17 = 0 THEN 'git state changed,' ELSE '' END || CASE WHEN o_orderpriority <> '5-LOW' THEN 'repository files changed,' ELSE '' END AS reasons FROM orders""",
 )
 def stale_reasons(get, spark):
     orders = get("orders")
-    same = dict(root=F.lit("/r"), module_path=F.lit("m"), build_tags=F.array(F.lit("x")), git_state=F.lit("g"))
-    frame = lambda fp, rel: orders.select(F.col("o_orderkey").alias("id"), F.lit(2).alias("format_version"), rel.alias("relationships"), *(v.alias(k) for k, v in same.items()), fp.alias("fingerprint"))
-    stored = frame(F.col("o_orderpriority"), ~((F.col("o_custkey") % 2 == 1) & (F.col("o_orderstatus") != "F")))
-    out = R.stale_reasons(stored, frame(F.lit("5-LOW"), F.lit(True)))
-    missing = F.when(F.array_contains("reasons", "relationship metadata missing"), "relationship metadata missing,").otherwise("")
-    return out.select("id", F.concat(missing, F.when(F.array_contains("reasons", "repository files changed"), "repository files changed").otherwise("")).alias("reasons"))
+    key = F.col("o_orderkey")
+    other = lambda k, value: F.when(key % k == 0, "other").otherwise(value)
+    fields = {"format_version": F.lit(2), "relationships": F.lit(True), "root": F.lit("/r"), "module_path": F.lit("m"), "build_tags": F.array(F.lit("x")), "git_state": F.lit("g"), "fingerprint": F.lit("5-LOW")}
+    changed = {
+        "format_version": F.when(key % 19 == 0, 1).otherwise(2), "relationships": ~((F.col("o_custkey") % 2 == 1) & (F.col("o_orderstatus") != "F")), "root": other(7, "/r"), "module_path": other(11, "m"),
+        "build_tags": F.array(other(13, "x")), "git_state": other(17, "g"), "fingerprint": F.col("o_orderpriority"),
+    }
+    frame = lambda columns: orders.select(key.alias("id"), *(v.alias(k) for k, v in columns.items()))
+    out = R.stale_reasons(frame(changed), frame(fields))
+    return out.select("id", F.array_join(F.transform("reasons", lambda x: F.concat(x, F.lit(","))), "").alias("reasons"))
 
 
 @_query(
@@ -694,14 +704,15 @@ def truncation_counters(get, spark):
 @_query(
     """, x AS (SELECT symbol_id AS target, 0 AS part, 1 AS k, 'Definition' AS title FROM symbols UNION ALL
         SELECT * FROM (SELECT src, 1, row_number() OVER (PARTITION BY src ORDER BY file, line, dst) AS k, 'Callee: ' || CAST(dst AS VARCHAR) FROM calls) WHERE k <= 3 UNION ALL
-        SELECT * FROM (SELECT dst, 2, row_number() OVER (PARTITION BY dst ORDER BY file, line, src) AS k, 'Caller: ' || CAST(src AS VARCHAR) FROM calls) WHERE k <= 3)
+        SELECT * FROM (SELECT dst, 2, row_number() OVER (PARTITION BY dst ORDER BY file, line, src) AS k, 'Caller: ' || CAST(src AS VARCHAR) FROM calls) WHERE k <= 3 UNION ALL
+        SELECT * FROM (SELECT c.dst, 3, row_number() OVER (PARTITION BY c.dst ORDER BY c.file, c.line, s.name, c.src) AS k, 'Test: ' || s.name FROM calls c JOIN symbols s ON s.symbol_id = c.src WHERE s.kind = 'function' AND s.file LIKE '%\\_test.go' ESCAPE '\\') WHERE k <= 3)
     SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY part, k) AS INTEGER) AS step, title FROM x""",
     ("symbols", "calls"),
 )
 def reading_order(get, spark):
     calls = get("calls")
     end = lambda a, b: calls.withColumn("k", F.row_number().over(_by(a, b))).filter("k <= 3").select(F.col(a).alias("target"), F.lit("f").alias("file"), F.col("k").alias("line"), F.col(b).cast("string").alias("name"))
-    tests = calls.limit(0).select(F.col("src").alias("target"), "file", "line", F.lit("").alias("name"))
+    tests = calls.join(_test_functions(get).select(F.col("symbol_id").alias("src"), "name"), "src").select(F.col("dst").alias("target"), "file", "line", "name")
     return R.reading_order(get("symbols").select(F.col("symbol_id").alias("target")), end("src", "dst"), end("dst", "src"), tests)
 
 
