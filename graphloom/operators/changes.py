@@ -163,6 +163,25 @@ def widest_scope(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(keys).agg(F.max_by("scope", rank).alias("scope"))
 
 
+PLAN_BUCKETS = ("direct", "related", "contract", "caller", "fallback")
+
+
+def plan_commands(plan: DataFrame, *, whole_repository: bool = False) -> DataFrame:
+    """(place, command): each command of a plan once, sorted; a review ends with that of the whole repository."""
+    rows = plan.select("command").distinct().select("command", F.lit(0).alias("last"))
+    if whole_repository:
+        whole = f"go test {WHOLE_REPOSITORY}"
+        rows = rows.filter(F.col("command") != whole).union(plan.sparkSession.createDataFrame([(whole, 1)], "command string, last int"))
+    return rows.select(F.row_number().over(W.orderBy("last", "command")).alias("place"), "command").orderBy("place")
+
+
+def fallback_plan(commands: DataFrame) -> DataFrame:
+    """A plan of given commands alone: all fallback, whose confidence is low."""
+    package = F.regexp_extract("command", r"^go test (\S+)$", 1)
+    none = F.array().cast("array<string>")
+    return commands.select("command").distinct().select(F.lit("fallback").alias("bucket"), package.alias("package"), none.alias("tests"), none.alias("targets"), "command")
+
+
 def plan_confidence(plan: DataFrame, *, signals: int = 0) -> str:
     """low where generated or skipped packages or warnings play in, the whole repository falls back, nothing but fallback is planned, or a fallback has no direct test; else medium."""
     of = plan.agg(F.count_if(F.col("bucket") == "direct").alias("direct"), F.count_if(F.col("bucket") == "fallback").alias("spare"), F.count("*").alias("all"), F.count_if(F.col("package") == WHOLE_REPOSITORY).alias("broad")).first()

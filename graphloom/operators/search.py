@@ -53,6 +53,18 @@ def filter_symbols(symbols: DataFrame, *, kind: str | None = None, package: str
     return rows
 
 
+def symbols_in(symbols: DataFrame, *, file: str | None = None, package: str | None = None) -> DataFrame:
+    """Symbols of a file or a package."""
+    if (file is None) == (package is None):
+        raise ValueError("name a file or a package")
+    return symbols.filter(F.col("package") == package if file is None else N.clean_path(F.col("file")) == file.removeprefix("./"))
+
+
+def first_exact(symbols: DataFrame, name: str) -> DataFrame:
+    """The first symbol of a name in the order of package, file and line; empty if there is none."""
+    return symbols.filter(F.col("name") == name).orderBy("package", "file", "line").limit(1)
+
+
 class AmbiguousTarget(ValueError):
     """More than one symbol matches; carries their number and the first ones in order."""
 

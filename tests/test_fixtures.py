@@ -317,3 +317,44 @@ def test_orders(spark, repo):
     assert N.confidence(F.lit(0), F.lit("typechecked")) is not None
     frame = spark.createDataFrame([(0, "typechecked"), (1, "typechecked"), (0, "typechecked+ast-fallback")], "w int, mode string")
     assert [r.c for r in frame.select(N.confidence(F.col("w"), F.col("mode")).alias("c")).collect()] == ["medium", "low", "low"]
+
+
+def test_file_sources(spark, tmp_path):
+    from graphloom.sources import files
+
+    for path, text in {"go.mod": "module m", "a.go": "package m", "b/c/d_test.go": "package c", "x/go.mod": "module x", "x/y.go": "package x", "x/z/w.go": "package z", "vendor/v/go.mod": "", "vendor/v/v.go": "package v", "b/n.txt": ""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    root = f"file://{tmp_path}"
+    found = files.scan(spark, root, texts=True)
+    assert sorted(rows(found, "path", "package", "is_test", "size", "text")) == [("a.go", ".", False, 9, "package m"), ("b/c/d_test.go", "./b/c", True, 9, "package c"), ("vendor/v/v.go", "./vendor/v", False, 9, "package v")]
+    assert {r.sha256 for r in found.filter("path = 'a.go'").collect()} == {hashlib.sha256(b"package m").hexdigest()}
+    assert rows(files.nested_modules(spark, root), "folder") == [("x",)]
+    assert rows(files.layout(found, files.nested_modules(spark, root)), "go_files", "test_files", "packages", "nested_modules") == [(3, 1, 3, 1)]
+    assert sorted(rows(files.packages(found), "package", "files", "paths")) == [(".", 1, ["a.go"]), ("./b/c", 1, ["b/c/d_test.go"]), ("./vendor/v", 1, ["vendor/v/v.go"])]
+    modules = spark.createDataFrame([(0, "example.com/m", ""), (1, "example.com/m/sub", "sub"), (2, "other.org/t", "tools/t")], "ordinal int, module_path string, folder string")
+    imports = spark.createDataFrame([("example.com/m",), ("example.com/m/a/b",), ("example.com/m/sub/c",), ("other.org/t/u",), ("other.org/tt",), ("fmt",), ("./x",)], "import_path string")
+    assert dict(rows(files.local_packages(imports, modules), "import_path", "local_package")) == {"example.com/m": ".", "example.com/m/a/b": "./a/b", "example.com/m/sub/c": "./sub/c", "other.org/t/u": "./tools/t/u", "other.org/tt": None, "fmt": None, "./x": None}
+
+
+def test_plan_commands(spark, repo):
+    plan = spark.createDataFrame([("direct", ".", "go test ."), ("fallback", "./cmd/app", "go test ./cmd/app"), ("related", ".", "go test .")], "bucket string, package string, command string")
+    assert [r.command for r in changes.plan_commands(plan, whole_repository=True).collect()] == ["go test .", "go test ./cmd/app", "go test ./..."]
+    spare = changes.fallback_plan(plan.select("command"))
+    assert sorted(rows(spare, "bucket", "package")) == [("fallback", "."), ("fallback", "./cmd/app")] and changes.plan_confidence(spare) == "low"
+    assert rows(search.symbols_in(repo.symbols, file="./service_test.go"), "name") == [("TestTarget",)] and search.symbols_in(repo.symbols, package="./cmd/app").count() == 1
+    assert rows(search.first_exact(repo.symbols, "First"), "node") == [(4,)]
+
+
+def test_names_and_counts(spark):
+    frame = spark.createDataFrame([("method", "T", "m"), ("method", "t", "M"), ("method", "t", "m"), ("function", "", "F")], "kind string, receiver string, name string")
+    assert [r.e for r in frame.select(N.is_exported_method(F.col("kind"), F.col("receiver"), F.col("name")).alias("e")).collect()] == [True, True, False, False]
+    tags = spark.createDataFrame([("b, a a",)], "t string")
+    assert tags.select(N.build_tags(F.col("t")).alias("t")).first().t == ["a", "b"]
+    assert relations.reference_kind(" def ") == "definition" and relations.reference_kind("Type-Usage") == "type_usage"
+    costs = spark.createDataFrame([(-1, 2)], "a int, b int")
+    assert tuple(records.cost(costs).first()) == (0, 2)
+    notes = records.diagnostics(spark.createDataFrame([("b.go", " m ", ""), ("b.go", "m", "load"), ("a.go", "n", "parse")], "file string, message string, kind string"))
+    assert rows(notes, "file", "message", "kind") == [("a.go", "n", "parse"), ("b.go", "m", "load")]
+    rows_ = changes.changed_packages(spark.createDataFrame([("a/x.go",), ("a/y.go",), ("n.txt",)], "path string"))
+    assert rows(rows_, "package") == [("./a",)]
