@@ -1,28 +1,12 @@
-"""Intermediate tables in the folder that all executors share."""
+"""What the operators share: stored tables, bounded Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
+from graphloom.sources.shared import new_path, remove, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset and Spark is local, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="graphloom-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return _OWN[0]
+__all__ = ["bounded_batches", "dropped", "new_path", "stored"]
 
 
 def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
@@ -31,22 +15,8 @@ def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
     spark.conf.set(key, spark.conf.get(key, limit))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: no executor's loss undoes them."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of stored tables that no plan reads any more."""
     for df in tables:
-        folders = {file.rpartition("/")[0] for file in df.inputFiles()}
-        for folder in folders:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            remove(df.sparkSession, folder)

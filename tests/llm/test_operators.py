@@ -68,6 +68,40 @@ def test_op1_keeps_trusted(spark, real, sf_dir):
     assert good.filter("NOT kept").count() <= 0.02 * good.count()
 
 
+def test_op1_verdict_brute_force(spark, real, sf_dir):
+    import struct
+
+    import xxhash
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_long = lambda v, seed: xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+
+    def grams(words):
+        h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+        pairs = [of_long(b, of_long(a, 42)) for a, b in zip(h, h[1:])] + [of_long(a, 42) for a in h[-1:]]
+        return [x % 8192 for x in h] + [signed(x) % 8192 for x in pairs]
+
+    rows = [(i, WORD(t or "")) for i, t in texts(real)]
+    found = {i: grams(w) for i, w in rows}
+    raw, target = Counter(range(8192)), Counter(range(8192))
+    for i, g in found.items():
+        raw.update(g)
+        if i in trusted:
+            target.update(g)
+    shift = math.log(sum(target.values())) - math.log(sum(raw.values()))
+    weight = [math.log(target[b]) - math.log(raw[b]) - shift for b in range(8192)]
+    mean = {i: sum(weight[b] for b in found[i]) / max(2 * len(w), 1) for i, w in rows}
+    known = sorted(math.floor(mean[i] / 0.001) for i, w in rows if i in trusted and len(w) >= 20)
+    threshold = known[int(0.005 * len(known))] * 0.001
+    out = quality.quality_rules(real, labels).collect()
+    assert len({r.threshold for r in out}) == 1 and abs(out[0].threshold - threshold) <= 0.0011
+    for r in out:
+        assert math.isclose(r.score, mean[r.doc_id], rel_tol=1e-5, abs_tol=1e-6)
+        assert r.kept == (not r.base_failed and r.score >= r.threshold)
+
+
 def test_op2_round_trip_of_payloads(spark, tmp_path):
     big = "".join(chr(0x100 + k % 5000) for k in range(60_000))
     rows = [(1, "u", big), (2, None, big), (3, "u", None), (4, "u", ""), (None, "u", "x" * 200), (5, "u", "short"), (6, "u", "short"), (7, "u\r\nX: y", "a\r\n\r\nWARC/1.1" * 20)]
