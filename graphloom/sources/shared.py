@@ -26,8 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the session's part of the shared folder."""
+    return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: no executor's loss undoes them."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this session has stored; DataFrames that read it cannot be used afterwards."""
+    remove(spark, f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}")

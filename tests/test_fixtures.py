@@ -337,6 +337,15 @@ def test_file_sources(spark, tmp_path):
     assert dict(rows(files.local_packages(imports, modules), "import_path", "local_package")) == {"example.com/m": ".", "example.com/m/a/b": "./a/b", "example.com/m/sub/c": "./sub/c", "other.org/t/u": "./tools/t/u", "other.org/tt": None, "fmt": None, "./x": None}
 
 
+def test_stored_tables_are_cleared(spark, monkeypatch, tmp_path):
+    from graphloom.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert shared.stored(spark.range(3), "numbers").count() == 3 and list(tmp_path.glob("graphloom/*/numbers-*"))
+    shared.clear(spark)
+    assert not list(tmp_path.glob("graphloom/*"))
+
+
 def test_plan_commands(spark, repo):
     plan = spark.createDataFrame([("direct", ".", "go test ."), ("fallback", "./cmd/app", "go test ./cmd/app"), ("related", ".", "go test .")], "bucket string, package string, command string")
     assert [r.command for r in changes.plan_commands(plan, whole_repository=True).collect()] == ["go test .", "go test ./cmd/app", "go test ./..."]
