@@ -163,6 +163,18 @@ def widest_scope(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(keys).agg(F.max_by("scope", rank).alias("scope"))
 
 
+def plan_details(plan: DataFrame, external: DataFrame, signals: DataFrame) -> DataFrame:
+    """A plan with the category and confidence of each item. external: packages with tests from outside; signals: generated or skipped packages."""
+    rows = plan.join(external.select("package", F.lit(True).alias("outside")).distinct(), "package", "left").join(signals.select("package", F.lit(True).alias("signal")).distinct(), "package", "left")
+    bucket, outside = F.col("bucket"), F.col("outside").isNotNull()
+    category = (
+        F.when(bucket == "contract", "contract").when(bucket == "caller", "caller-package").when((bucket == "fallback") & (F.col("package") == WHOLE_REPOSITORY), "broad-fallback")
+        .when(bucket == "fallback", "fast").when(outside, "integration-like").when(bucket == "direct", "focused").otherwise("fast")
+    )
+    confidence = F.when((bucket == "fallback") | F.col("signal").isNotNull(), "low").otherwise("medium")
+    return rows.withColumn("category", category).withColumn("confidence", confidence).drop("outside", "signal")
+
+
 PLAN_BUCKETS = ("direct", "related", "contract", "caller", "fallback")
 
 

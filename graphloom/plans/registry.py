@@ -19,6 +19,7 @@ from graphloom.operators import orders as O
 from graphloom.operators import packages as P
 from graphloom.operators import records as R
 from graphloom.operators import relations as L
+from graphloom.operators import reports as T
 from graphloom.operators import search as S
 from graphloom.plans.facts import ctes, fact
 
@@ -746,8 +747,7 @@ def package_impact(get, spark):
     return out.select("target", "affected_packages", "fan_in", "tests", "fallback", "score", "level", "scope")
 
 
-@_query(
-    f""", t AS ({TESTS_SQL}), seeds AS (SELECT symbol_id AS target, package, receiver, name, kind FROM symbols WHERE symbol_id % 100 = 0),
+IMPACT_SQL = f""", t AS ({TESTS_SQL}), seeds AS (SELECT symbol_id AS target, package, receiver, name, kind FROM symbols WHERE symbol_id % 100 = 0),
     back(target, caller) AS (SELECT dst, src FROM calls WHERE dst % 100 = 0 UNION SELECT b.target, c.src FROM back b JOIN calls c ON b.caller = c.dst),
     r AS (SELECT l_partkey AS target, l_returnflag <> 'N' AS used, './d' || CAST(l_suppkey % 5 AS VARCHAR) AS package FROM lineitem WHERE l_partkey % 100 = 0),
     up AS (SELECT target, caller, './f' || CAST(caller % 10 AS VARCHAR) AS package FROM back), pk AS (SELECT target, package FROM r UNION SELECT target, package FROM up),
@@ -763,18 +763,84 @@ def package_impact(get, spark):
     k AS (SELECT *, CASE WHEN affected_packages > 1 THEN 2 WHEN affected_packages = 1 THEN 1 ELSE 0 END + CASE WHEN direct_references > 0 THEN 1 ELSE 0 END + CASE WHEN direct_references >= 5 THEN 1 ELSE 0 END + CASE WHEN transitive_callers > 0 THEN 1 ELSE 0 END
         + CASE WHEN caller_packages > 1 THEN 1 ELSE 0 END + CASE WHEN exported_method THEN 3 WHEN exported THEN 2 ELSE 0 END + CASE WHEN fan_in > 0 THEN 1 ELSE 0 END + CASE WHEN fan_in >= 5 THEN 2 ELSE 0 END + CASE WHEN has_direct_test THEN 0 ELSE 1 END
         + CASE WHEN fallback THEN 1 ELSE 0 END + CASE WHEN possible_calls > 0 THEN 1 ELSE 0 END AS score FROM sig)
-    SELECT target, CAST(affected_packages AS INTEGER) AS affected_packages, direct_references, transitive_callers, caller_packages, exported_method, fan_in, possible_calls, tests, has_direct_test, fallback, CAST(score AS INTEGER) AS score,
+"""
+
+
+@_query(
+    IMPACT_SQL
+    + """SELECT target, CAST(affected_packages AS INTEGER) AS affected_packages, direct_references, transitive_callers, caller_packages, exported_method, fan_in, possible_calls, tests, has_direct_test, fallback, CAST(score AS INTEGER) AS score,
         CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS level,
         CASE WHEN exported_method OR exported THEN 'exported-api' WHEN caller_packages > 1 OR affected_packages > 1 THEN 'cross-package' WHEN affected_packages = 1 THEN 'package' ELSE 'local' END AS scope FROM k""",
     ("symbols", "calls", "possible", "imports"),
 )
 def symbol_impact(get, spark):
     """For every hundredth symbol as target, a set that grows with the table."""
+    return _symbol_impact(get).select("target", "affected_packages", "direct_references", "transitive_callers", "caller_packages", "exported_method", "fan_in", "possible_calls", "tests", "has_direct_test", "fallback", "score", "level", "scope")
+
+
+def _symbol_impact(get: Callable) -> DataFrame:
     symbols = get("symbols").withColumnRenamed("symbol_id", "node")
     refs = get("lineitem").select(F.col("l_partkey").alias("target"), F.when(F.col("l_returnflag") == "N", "definition").otherwise("call").alias("kind"), F.format_string("d%d/a.go", F.col("l_suppkey") % 5).alias("file"))
     calls = get("calls").withColumn("file", F.concat("file", F.lit("/x.go")))
-    out = I.symbol_impact(symbols, refs, calls, get("possible"), get("imports"), _test_functions(get).drop("symbol_id"), _test_calls(get), _seeds(get, "target"))
-    return out.select("target", "affected_packages", "direct_references", "transitive_callers", "caller_packages", "exported_method", "fan_in", "possible_calls", "tests", "has_direct_test", "fallback", "score", "level", "scope")
+    return I.symbol_impact(symbols, refs, calls, get("possible"), get("imports"), _test_functions(get).drop("symbol_id"), _test_calls(get), _seeds(get, "target"))
+
+
+@_query(
+    IMPACT_SQL
+    + """, c AS (SELECT sig.*, s.kind, (SELECT count(DISTINCT src) FROM calls WHERE dst = sig.target) AS callers, (SELECT count(DISTINCT dst) FROM calls WHERE src = sig.target) AS callees FROM sig JOIN symbols s ON s.symbol_id = sig.target),
+    p AS (SELECT *, CASE WHEN exported THEN 1 ELSE 0 END + CASE WHEN affected_packages > 1 THEN 2 ELSE 0 END + CASE WHEN callers >= 3 THEN 2 WHEN callers > 0 THEN 1 ELSE 0 END + CASE WHEN tests = 0 THEN 1 ELSE 0 END AS score FROM c)
+    SELECT target, callers, callees, CAST(score AS INTEGER) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level, 'medium' AS confidence,
+        CASE WHEN kind = 'interface' THEN 'interface_contract' WHEN kind = 'struct' THEN 'data_type' WHEN callers > 0 AND callees > 0 THEN 'connector' WHEN callers > 0 THEN 'leaf_dependency' WHEN callees > 0 THEN 'entry_point' ELSE 'local_symbol' END AS role FROM p""",
+    ("symbols", "calls", "possible", "imports"),
+)
+def explained_symbols(get, spark):
+    """For every hundredth symbol as target, a set that grows with the table."""
+    return T.explained(_symbol_impact(get), get("calls"), get("symbols").withColumnRenamed("symbol_id", "node")).select("target", "callers", "callees", "score", "level", "confidence", "role")
+
+
+@_query(
+    f""", names AS (SELECT symbol_id AS node, name FROM symbols), x AS (
+        SELECT c.dst AS target, 'callers' AS section, row_number() OVER (PARTITION BY c.dst ORDER BY c.file, c.line, n.name, c.src) AS place, count(*) OVER (PARTITION BY c.dst) AS total, n.name AS text FROM calls c JOIN names n ON n.node = c.src
+        UNION ALL SELECT c.src, 'callees', row_number() OVER (PARTITION BY c.src ORDER BY c.file, c.line, n.name, c.dst), count(*) OVER (PARTITION BY c.src), n.name FROM calls c JOIN names n ON n.node = c.dst
+        UNION ALL SELECT l_partkey, 'references', row_number() OVER (PARTITION BY l_partkey ORDER BY 'a.go', l_orderkey, l_returnflag), count(*) OVER (PARTITION BY l_partkey), l_returnflag || ' a.go:' || CAST(l_orderkey AS VARCHAR) FROM lineitem
+        UNION ALL SELECT d.dst, 'tests', row_number() OVER (PARTITION BY d.dst ORDER BY d.package, d.file, d.name), count(*) OVER (PARTITION BY d.dst), d.name FROM (SELECT DISTINCT c.dst, s.package, s.name, s.file FROM calls c JOIN symbols s ON s.symbol_id = c.src WHERE s.kind = 'function' AND s.file LIKE '%\\_test.go' ESCAPE '\\') d)
+    SELECT target, section, CAST(place AS INTEGER) AS place, text, greatest(total - 25, 0) AS omitted FROM x WHERE place <= 25""",
+    ("symbols", "calls"),
+)
+def symbol_contexts(get, spark):
+    refs = get("lineitem").select(F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("kind"), F.lit("a.go").alias("file"), F.col("l_orderkey").alias("line"))
+    tests = _test_calls(get).distinct().withColumn("direct", F.lit(True))
+    return T.symbol_context(get("symbols").withColumnRenamed("symbol_id", "node"), refs, get("calls"), tests, get("parts").select(F.col("p_partkey").alias("target")))
+
+
+CONTEXT_SQL = f""", t AS ({TESTS_SQL}), every AS (SELECT DISTINCT package FROM symbols), users AS (SELECT DISTINCT import_path AS target, package FROM imports WHERE package <> import_path AND import_path IN (SELECT package FROM every)),
+    pk AS (SELECT target, package FROM users UNION SELECT package, package FROM every), n AS (SELECT pk.target, count(t.name) AS tests FROM pk LEFT JOIN t ON t.package = pk.package GROUP BY pk.target),
+    i AS (SELECT target, count(*) AS packages FROM pk GROUP BY target)
+"""
+
+
+@_query(
+    CONTEXT_SQL
+    + """, r AS (SELECT s.package, count(DISTINCT s.file) AS files, count(*) AS symbols, any_value(i.packages) AS packages, any_value(n.tests) AS tests FROM symbols s JOIN i ON i.target = s.package JOIN n ON n.target = s.package GROUP BY s.package),
+    k AS (SELECT *, CASE WHEN packages > 1 THEN 2 ELSE 1 END + CASE WHEN tests = 0 THEN 1 ELSE 0 END + CASE WHEN files > 5 THEN 2 WHEN files > 1 THEN 1 ELSE 0 END + CASE WHEN symbols > 10 THEN 2 WHEN symbols > 4 THEN 1 ELSE 0 END AS score FROM r)
+    SELECT package, files, symbols, CAST(packages AS INTEGER) AS packages, tests, CAST(score AS INTEGER) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM k""",
+    ("symbols", "imports"),
+)
+def package_contexts(get, spark):
+    impact = I.package_impact(get("imports"), _test_functions(get).drop("symbol_id"), get("symbols").select("package"))
+    return T.package_context(get("symbols").select("package", "file"), get("symbols"), impact).select("package", "files", "symbols", "packages", "tests", "score", "level")
+
+
+@_query(
+    CONTEXT_SQL
+    + """, r AS (SELECT s.file, './' || regexp_replace(s.file, '/[^/]*$', '') AS package, count(*) AS symbols FROM symbols s GROUP BY s.file),
+    k AS (SELECT r.*, i.packages, n.tests, CASE WHEN packages > 1 THEN 2 ELSE 1 END + CASE WHEN tests = 0 THEN 1 ELSE 0 END + CASE WHEN symbols > 5 THEN 2 WHEN symbols > 2 THEN 1 ELSE 0 END AS score FROM r JOIN i ON i.target = r.package JOIN n ON n.target = r.package)
+    SELECT file, package, symbols, CAST(packages AS INTEGER) AS packages, tests, CAST(score AS INTEGER) AS score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM k""",
+    ("symbols", "imports"),
+)
+def file_contexts(get, spark):
+    impact = I.package_impact(get("imports"), _test_functions(get).drop("symbol_id"), get("symbols").select("package"))
+    return T.file_context(get("symbols"), impact).select("file", "package", "symbols", "packages", "tests", "score", "level")
 
 
 @_query(

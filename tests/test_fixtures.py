@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as N
-from graphloom.operators import changes, graph, impact, packages, records, relations, search
+from graphloom.operators import changes, graph, impact, packages, records, relations, reports, search
 from graphloom.operators import orders as O
 
 MODULE = "example.com/golden"
@@ -367,3 +367,29 @@ def test_names_and_counts(spark):
     assert rows(notes, "file", "message", "kind") == [("a.go", "n", "parse"), ("b.go", "m", "load")]
     rows_ = changes.changed_packages(spark.createDataFrame([("a/x.go",), ("a/y.go",), ("n.txt",)], "path string"))
     assert rows(rows_, "package") == [("./a",)]
+
+
+def test_generated_files_come_last(spark):
+    steps = spark.createDataFrame([(1, 1, "Changed symbol: A", "a.go"), (1, 2, "Changed file: a.go", "a.go"), (1, 3, "Changed file: g.go", "g.go"), (1, 4, "Changed file: h.go", "h.go"), (1, 5, "Test: T", "a_test.go"), (2, 1, "Changed file: g.go", "g.go"), (3, 1, "Changed file: g.go", "g.go"), (3, 2, "Changed file: a.go", "a.go")], "change long, step int, title string, file string")
+    out = reports.generated_last(steps, spark.createDataFrame([("g.go", 40_000), ("h.go", 32 * 1024), ("a.go", 10)], "file string, size long"))
+    titles = {k: [r.title for r in out.filter(F.col("change") == k).orderBy("step").collect()] for k in (1, 2, 3)}
+    assert titles[1] == ["Changed symbol: A", "Changed file: a.go", "Test: T", "Generated files summary: 2 large changed files"]
+    assert titles[2] == ["Generated file summary: g.go"] and titles[3] == ["Changed file: g.go", "Changed file: a.go"]
+
+
+def test_plan_details_and_workflow(spark):
+    plan = spark.createDataFrame([("direct", "a"), ("direct", "b"), ("related", "a"), ("related", "c"), ("contract", "b"), ("caller", "c"), ("fallback", "c"), ("fallback", "./...")], "bucket string, package string")
+    named = lambda *x: spark.createDataFrame([(p,) for p in x], "package string")
+    out = {(r.bucket, r.package): (r.category, r.confidence) for r in changes.plan_details(plan, named("b"), named("c")).collect()}
+    assert out == {("direct", "a"): ("focused", "medium"), ("direct", "b"): ("integration-like", "medium"), ("related", "a"): ("fast", "medium"), ("related", "c"): ("fast", "low"), ("contract", "b"): ("contract", "medium"), ("caller", "c"): ("caller-package", "low"), ("fallback", "c"): ("fast", "low"), ("fallback", "./..."): ("broad-fallback", "low")}
+    states = spark.createDataFrame([(0, "medium", "medium", False, False), (1, "medium", "medium", False, False), (0, "low", "medium", False, False), (0, "medium", "medium", True, False), (0, "medium", "medium", True, True)], "warnings int, readiness string, context string, snapshot_requested boolean, snapshot_used boolean")
+    assert [r.confidence for r in reports.workflow_confidence(states).collect()] == ["medium", "low", "low", "low", "medium"]
+
+
+def test_contexts(spark, repo):
+    found = reports.symbol_context(repo.symbols, repo.refs, repo.calls, repo.test_refs.withColumn("direct", F.lit(True)), spark.createDataFrame([(6,)], "target long"))
+    assert sorted(rows(found, "section", "place", "text", "omitted")) == [("callers", 1, "First", 0), ("callers", 2, "Second", 0), ("references", 1, "call service.go:11", 0), ("references", 2, "call service.go:15", 0), ("references", 3, "definition service.go:18", 0), ("tests", 1, "TestTarget", 0)]
+    out = impact.symbol_impact(repo.symbols, repo.refs, repo.calls, repo.possible, repo.imports, repo.tests, repo.test_refs, spark.createDataFrame([(6,)], "target long"))
+    assert rows(reports.explained(out, repo.calls, repo.symbols), "level", "role", "confidence") == [("medium", "leaf_dependency", "medium")]
+    changed = spark.createDataFrame([(1, 1, 2, 0, 1, 0)], "change long, changed_packages int, affected_packages int, contracts int, tests int, warnings int")
+    assert rows(reports.diff_context(changed), "score", "level", "confidence") == [(2, "medium", "medium")]
