@@ -80,9 +80,11 @@ class _Tally:
         self.size = 0
 
     def add(self, keys: np.ndarray) -> None:
-        part = _summed(keys, np.ones(len(keys), np.int64))
-        self.parts.append(part)
-        self.size += len(part[0])
+        self.extend(*_summed(keys, np.ones(len(keys), np.int64)))
+
+    def extend(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
@@ -111,18 +113,46 @@ class Model:
 
 
 def _count_words(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): word hashes with their counts. Tasks sum up, and pass sorted parts on to the shard of their leading bits."""
+    bits = max(4, (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    rest = np.uint64(64 - bits)
+
+    def dealt(tally: _Tally) -> Iterator[pa.RecordBatch]:
+        keys, counts = tally.merged()
+        cuts = np.searchsorted(keys >> rest, np.arange(1 << bits)).tolist() + [len(keys)]
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                data = _packed([keys[a:b] - (np.uint64(s) << rest), counts[a:b]])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
         for batch in batches:
             for tokens, _ in token_stream(batch.column(0)):
                 tally.add(tokens)
                 if tally.size > HELD // 2 and len(tally.merged()[0]) > HELD // 4:
-                    yield _word_rows(*tally.merged())
+                    yield from dealt(tally)
                     tally = _Tally()
+        if tally.parts:
+            yield from dealt(tally)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, tally, least = -1, _Tally(), HELD
+        for batch in batches:
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if s != shard and tally.parts:
+                    yield _word_rows(*tally.merged())
+                    tally, least = _Tally(), HELD
+                shard = s
+                keys, counts = _unpacked(data, 2)
+                tally.extend(keys.view(np.uint64) + (np.uint64(s) << rest), counts.astype(np.int64))
+                if tally.size > least:  # equal words of many tasks become one
+                    least = 2 * len(tally.merged()[0]) + HELD
         if tally.parts:
             yield _word_rows(*tally.merged())
 
-    return rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    parts = rows.select("text").mapInArrow(count, "shard int, data binary")
+    return parts.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(add_up, "key long, n long")
 
 
 def _ranked(words: DataFrame) -> tuple[DataFrame, int]:
@@ -194,7 +224,7 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _packed(columns: list[np.ndarray]) -> bytes:
     """Columns of whole numbers, compressed: the first, which is in order, as steps; of each the low bytes, then the next ones."""
-    first = columns[0].astype(np.int64)
+    first = columns[0].astype(np.int64)  # under 2**63
     rising = bool((first[1:] >= first[:-1]).all())
     columns = [np.diff(first, prepend=0), *columns[1:]] if rising else [first, *columns[1:]]
     columns = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
