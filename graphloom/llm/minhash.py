@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same = stored(sets.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), "minhash-same")
     member = sets.join(same.hint("merge"), ["d1", "d2", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = member.filter("n_shingles > 0 AND doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.min_by("sig", "d1").alias("value"))
+    reps = stored(reps, "minhash-reps")  # bands and both sides of the comparison read it
 
     bands = reps.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("value"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
     bands = stored(bands, "minhash-bands")
