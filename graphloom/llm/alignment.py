@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 from graphloom.llm.sentencepiece_bpe import SPACE, PieceCodec, codec
-from graphloom.llm.shared import bounded_batches, stored
+from graphloom.llm.shared import bounded_batches, headed, stored
 
 #: Text of a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -235,19 +235,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
         return pa.RecordBatch.from_pydict(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, parts = None, []
-        for batch in batches:
-            code = batch.column(1).to_numpy()
-            starts = np.flatnonzero(code == -1).tolist()
-            # what stands before the first head goes on with the block of the batch before
-            for a, b in zip([-1, *starts], [*starts, len(code)]):
-                if a >= 0:
-                    if head is not None:
-                        yield decoded(head, parts)
-                    head, parts = batch.slice(a, 1).to_pylist()[0], []
-                if b > a + 1:
-                    parts.append(batch.slice(a + 1, b - a - 1).select([*_SUMS, "groups"]))
-        if head is not None:
+        for head, parts in headed(batches, lambda batch: batch.column(1).to_numpy() == -1):
             yield decoded(head, parts)
 
     return rows.repartition("block").sortWithinPartitions("block", "code").mapInArrow(run, f"{id_col} long, {', '.join(f'{c} long' for c in _SUMS)}, groups_sha256 string{extra}")

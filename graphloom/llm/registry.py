@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import alignment, decontaminate, html_text, kneser_ney, language, minhash, quality, recompression, sentencepiece_bpe, suffix_array, warc
+from graphloom.llm import alignment, decontaminate, html_text, kneser_ney, language, minhash, quality, ranked_search, recompression, sentencepiece_bpe, sharding, suffix_array, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffled(_table(spark, sf_dir, "documents"), 40, at_rest=True)
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_kneser_ney": op8_kneser_ney,
         "op9_html_text": op9_html_text,
         "op10_minhash": op10_minhash,
+        "op11_hypergeometric": op11_hypergeometric,
+        "op12_maxscore": op12_maxscore,
         "op13_alignment": op13_alignment,
     }
 
@@ -119,5 +132,31 @@ FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.do
 """
 
 
+OP12_SQL = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+    FROM documents
+), docs AS (
+    SELECT r, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0
+), stats AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), postings AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term
+), asked AS (
+    SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM postings, stats GROUP BY term, n_docs
+), scored AS (
+    SELECT a.item_id, d.doc_id, d.r, CAST(sum(w.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 90 + (90 * d.n * s.n_docs) // s.n_terms)))) AS BIGINT) AS score
+    FROM asked a JOIN postings p ON a.term = p.term JOIN weights w ON a.term = w.term JOIN docs d ON p.r = d.r, stats s
+    GROUP BY a.item_id, d.doc_id, d.r
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS place FROM scored WHERE score > 0)
+WHERE place <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op7_decontaminate": OP7_SQL, "op12_maxscore": OP12_SQL}

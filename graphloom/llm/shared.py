@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.sources.shared import new_path, remove, stored
 
-__all__ = ["bounded_batches", "dropped", "new_path", "stored"]
+__all__ = ["bounded_batches", "dropped", "headed", "new_path", "stored"]
+
+
+def headed(batches: Iterator[pa.RecordBatch], is_head: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[dict, list[pa.RecordBatch]]]:
+    """Groups of sorted rows, each opened by a head: the head, and the rows that follow it."""
+    head, parts = None, []
+    for batch in batches:
+        starts = np.flatnonzero(is_head(batch)).tolist()
+        # what stands before the first head goes on with the group of the batch before
+        for a, b in zip([-1, *starts], [*starts, len(batch)]):
+            if a >= 0:
+                if head is not None:
+                    yield head, parts
+                head, parts = batch.slice(a, 1).to_pylist()[0], []
+            if b > a + 1:
+                parts.append(batch.slice(a + 1, b - a - 1))
+    if head is not None:
+        yield head, parts
 
 
 def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:

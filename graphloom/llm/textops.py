@@ -91,11 +91,11 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than ASCII white space): starts, ends, and per document the index of its first word (n + 1 values)."""
+def words(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are not in ``gap``, ASCII white space if nothing else is said): starts, ends, and per document the index of its first word (n + 1 values)."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = IS_SPACE[buf]
+    space = gap[buf]
     before = np.empty(len(buf), bool)
     before[0], before[1:] = True, space[:-1]
     after = np.empty(len(buf), bool)
