@@ -5,7 +5,7 @@ a visible character, some marks after a letter), so a text is a row of segments
 whose tokens depend on the segment alone. Segments repeat, and so each distinct one
 is aligned once, with its number of occurrences as weight:
 
-1. Blocks of about eight megabytes of texts become a dictionary of segments and
+1. Blocks of about 24 megabytes of texts become a dictionary of segments and
    codes; the dictionaries' segments are counted over the corpus.
 2. Each distinct segment is encoded twice; tokens are exploded with their places,
    windowed sums of byte lengths are their ends, and an equi-join on segment and end
@@ -39,17 +39,30 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 from graphloom.llm.sentencepiece_bpe import SPACE, PieceCodec, codec
-from graphloom.llm.shared import bounded_batches, headed, stored
+from graphloom.llm.shared import bounded_batches, dropped, headed, released, stored
 
-#: Text of a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
-_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: Text of a block, at least, but for a task's last one.
+BLOCK_BYTES = 24 << 20
+_SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
+_PACKED = ("ids", "known", "counts", "codes")
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Values compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return np.int64(len(values)).tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, size = int(np.frombuffer(data[:8], np.int64)[0]), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+
+
 class _Tokenizers:
     """What a worker needs of the two vocabularies."""
 
@@ -116,23 +129,36 @@ def _tokenizers(*paths: str) -> _Tokenizers:
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """For each block a row of its texts (code -1) and a row for each of its segments."""
 
+    def rows(block: int, held: list[tuple[pa.Array, np.ndarray, pa.DictionaryArray]]) -> Iterator[pa.RecordBatch]:
+        found = pa.chunked_array([h[2] for h in held]).unify_dictionaries()
+        names, codes = found.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in found.chunks])
+        n = np.bincount(codes, minlength=len(names))
+        order = np.argsort(-n, kind="stable")  # frequent segments get small codes
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        ids = pa.concat_arrays([h[0] for h in held])
+        packed = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), np.concatenate([h[1] for h in held]), rank[codes]]
+        yield pa.RecordBatch.from_pydict({"block": [block], "code": pa.array([-1], pa.int32()), "n": [0], "segment": pa.array([None], pa.string()), **{c: pa.array([_packed(p)], pa.binary()) for c, p in zip(_PACKED, packed)}})
+        k = len(names)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(k, block)), "code": pa.array(np.arange(k, dtype=np.int32)), "n": pa.array(n[order]), "segment": names.take(pa.array(order)), **{c: pa.nulls(k, pa.binary()) for c in _PACKED}})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, block = _tokenizers(a_path, b_path), TaskContext.get().partitionId() << 32
+        tools, block, held, size = _tokenizers(a_path, b_path), TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for i, j in T.chunks(T.string_buffer(batch.column(1))[1], BLOCK_BYTES):
-                ids, column = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
+            offsets = T.string_buffer(batch.column(1))[1]
+            for i, j in T.chunks(offsets, 4 * T.CHUNK_BYTES):
+                column = batch.column(1).slice(i, j - i)
                 used = pc.and_(pc.greater(pc.binary_length(column), 0), pc.invert(pc.match_substring(column, SPACE))).fill_null(False)
                 found, first = tools.segments(column.filter(used))
-                found = found.dictionary_encode()
-                codes, names = found.indices.to_numpy(), found.dictionary
                 count = np.zeros(len(column), np.int32)
                 count[used.to_numpy(zero_copy_only=False)] = np.diff(first)
-                known = ids.is_valid().to_numpy(zero_copy_only=False)
-                packed = [ids.fill_null(0).to_numpy().tobytes(), known.tobytes(), count.tobytes(), codes.tobytes()]
-                yield pa.RecordBatch.from_pydict({"block": [block], "code": pa.array([-1], pa.int32()), "n": [0], "segment": pa.array([None], pa.string()), **{c: pa.array([p], pa.binary()) for c, p in zip(("ids", "known", "counts", "codes"), packed)}})
-                n, k = np.bincount(codes, minlength=len(names)), len(names)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(k, block)), "code": pa.array(np.arange(k, dtype=np.int32)), "n": pa.array(n), "segment": names, **{c: pa.nulls(k, pa.binary()) for c in ("ids", "known", "counts", "codes")}})
-                block += 1
+                held.append((batch.column(0).slice(i, j - i), count, found.dictionary_encode()))
+                size += int(offsets[j] - offsets[i])
+                if size >= BLOCK_BYTES:
+                    yield from rows(block, held)
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield from rows(block, held)
 
     return docs.mapInArrow(run, "block long, code int, n long, segment string, ids binary, known binary, counts binary, codes binary")
 
@@ -186,16 +212,21 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     return pairs.join(most, "b_link").select("a_link", "b_link", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def _of_segments(units: DataFrame) -> DataFrame:
-    """Sums of each segment over its links, and its groups as text."""
-    linked = stored(links(units), "links")
+def aligned(units: DataFrame) -> DataFrame:
+    """Each unit with its links in order of their ends from the last, and its groups as text."""
     cut = F.when(F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull(), F.struct("a_pos", "b_pos"))
-    sums = linked.join(pair_counts(linked), ["a_link", "b_link"]).groupBy("seg").agg(
-        F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"), F.array_sort(F.collect_list(cut)).alias("cuts")
-    )
+    found = links(units).groupBy("seg").agg(F.collect_list(F.struct("a_link", "b_link")).alias("links"), F.array_sort(F.collect_list(cut)).alias("cuts"))
     part = "array_join(slice({0}, if(i = 0, 0, cuts[i - 1].{0}_pos + 1) + 1, x.{0}_pos - if(i = 0, -1, cuts[i - 1].{0}_pos)), ',')"
     groups = F.expr(f"array_join(transform(cuts, (x, i) -> concat({part.format('a')}, '|', {part.format('b')})), ';')")
-    return units.select("seg", "segment", "a", "b").join(sums, "seg").select("segment", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("cuts").alias("n_groups"), "n_links", "n_best", "count_sum", groups.alias("groups"))
+    both = units.select("seg", "segment", "n", "a", "b").repartition("seg").join(found, "seg")
+    return both.select("seg", "segment", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("cuts").alias("n_groups"), "links", groups.alias("groups"))
+
+
+def with_counts(units: DataFrame) -> DataFrame:
+    """Aligned units with n_best and count_sum over their links."""
+    pairs = pair_counts(units.select("n", F.inline("links")))
+    sums = units.select("seg", F.inline("links")).join(pairs, ["a_link", "b_link"]).groupBy("seg").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    return units.drop("links", "n").join(sums, "seg").select("segment", *_SUMS, "groups")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False) -> DataFrame:
@@ -208,22 +239,31 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     bounded_batches(docs.sparkSession)
     blocks = stored(_blocks(docs.select(F.col(id_col).cast("long"), text_col), a_path, b_path), "blocks")
     named = blocks.filter("code >= 0").select("block", "code", "segment", "n")
-    units = stored(encoded(named.groupBy("segment").agg(F.sum("n").alias("n")), a_path, b_path), "segments")
-    entries = named.select("block", "code", "segment").join(_of_segments(units), "segment").drop("segment")
-    empty = [F.lit(None).cast(t).alias(c) for c, t in [*((c, entries.schema[c].dataType) for c in (*_SUMS, "groups"))]]
-    packed = ("ids", "known", "counts", "codes")
-    heads = blocks.filter("code = -1").select("block", "code", *empty, *packed)
-    rows = heads.union(entries.select("block", "code", *_SUMS, "groups", *(F.lit(None).cast("binary").alias(c) for c in packed)))
-    extra = ", groups string" if keep_groups else ""
+
+    def kept(rows: DataFrame, name: str, *old: DataFrame) -> DataFrame:
+        rows = stored(rows, name)
+        dropped(*old)
+        released(docs.sparkSession)
+        return rows
+
+    units = kept(encoded(named.groupBy("segment").agg(F.sum("n").alias("n")), a_path, b_path), "segments")
+    linked = kept(aligned(units), "aligned", units)
+    counted = kept(with_counts(linked), "counted", linked)
+    entries = named.select("block", "code", "segment").join(counted, "segment").drop("segment")
+    empty = [F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in (*_SUMS, "groups")]
+    heads = blocks.filter("code = -1").select("block", "code", *empty, *_PACKED)
+    rows = heads.union(entries.select("block", "code", *_SUMS, "groups", *(F.lit(None).cast("binary").alias(c) for c in _PACKED)))
+    columns = {id_col: "long", **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), "long"), "groups_sha256": "string"} | ({"groups": "string"} if keep_groups else {})
 
     def decoded(head: dict, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids, known = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["known"], bool)
-        count, codes = np.frombuffer(head["counts"], np.int32), np.frombuffer(head["codes"], np.int32)
+        ids, known, count, codes = (_unpacked(head[c], kind) for c, kind in zip(_PACKED, (np.int64, bool, np.int32, np.int32)))
         table = pa.Table.from_batches(parts) if parts else None
         first, out = np.concatenate(([0], np.cumsum(count))), {id_col: pa.array(ids, mask=~known)}
         for name in _SUMS:
             each = table.column(name).to_numpy().astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
             out[name] = pa.array(np.diff(np.concatenate(([0], np.cumsum(each)))[first]))
+        # each place where a token of either kind ends closes one link
+        out["n_links"] = pc.subtract(pc.add(out["n_a"], out["n_b"]), out["n_groups"])
         groups = table.column("groups").combine_chunks() if len(codes) else pa.array([], pa.string())
         texts: list[str] = []
         for i, j in T.chunks(first * 16, T.CHUNK_BYTES):  # about a megabyte of groups at a time
@@ -232,10 +272,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
         out["groups_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() if n else "" for t, n in zip(texts, count)], pa.string())
         if keep_groups:
             out["groups"] = pa.array(texts, pa.string())
-        return pa.RecordBatch.from_pydict(out)
+        return pa.RecordBatch.from_pydict({c: out[c] for c in columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, parts in headed(batches, lambda batch: batch.column(1).to_numpy() == -1):
             yield decoded(head, parts)
 
-    return rows.repartition("block").sortWithinPartitions("block", "code").mapInArrow(run, f"{id_col} long, {', '.join(f'{c} long' for c in _SUMS)}, groups_sha256 string{extra}")
+    return rows.repartition("block").sortWithinPartitions("block", "code").mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in columns.items()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.sources.shared import new_path, remove, stored
 
-__all__ = ["bounded_batches", "dropped", "headed", "new_path", "stored"]
+__all__ = ["bounded_batches", "dropped", "headed", "new_path", "released", "stored"]
 
 
 def headed(batches: Iterator[pa.RecordBatch], is_head: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[dict, list[pa.RecordBatch]]]:
@@ -41,3 +42,9 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
             remove(df.sparkSession, folder)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets shuffle files of finished jobs go: Spark deletes them once the driver has collected the plans that made them, which else may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
