@@ -35,7 +35,7 @@ from graphloom.llm.shared import stored
 #: Places of a block.
 BLOCK = 1 << 16
 #: Rows of a part of a shard, about.
-PART_ROWS = 1 << 18
+PART_ROWS = 1 << 16
 _SEEDS = {"tree": 1, "block": 2}
 
 
