@@ -44,23 +44,30 @@ from graphloom.llm.shared import bounded_batches, dropped, headed, released, sto
 #: Text of a block, at least, but for a task's last one.
 BLOCK_BYTES = 24 << 20
 _SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
-_PACKED = ("ids", "known", "counts", "codes")
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Values compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
-    return np.int64(len(values)).tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays compressed byte plane by byte plane."""
+    out = [np.int64(len(arrays)).tobytes()]
+    for values in arrays:
+        planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+        data = pa.compress(planes.tobytes(), "zstd", asbytes=True)
+        out += [np.array([len(values), len(data)], np.int64).tobytes(), data]
+    return b"".join(out)
 
 
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    n, size = int(np.frombuffer(data[:8], np.int64)[0]), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+def _unpacked(data: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    out, at = [], 8
+    for kind in kinds:
+        n, size = np.frombuffer(data[at : at + 16], np.int64).tolist()
+        planes = np.frombuffer(pa.decompress(data[at + 16 : at + 16 + size], n * np.dtype(kind).itemsize, "zstd", asbytes=True), np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, n).T).view(kind).reshape(n))
+        at += 16 + size
+    return out
 
 
 class _Tokenizers:
@@ -137,10 +144,10 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         ids = pa.concat_arrays([h[0] for h in held])
-        packed = [ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), np.concatenate([h[1] for h in held]), rank[codes]]
-        yield pa.RecordBatch.from_pydict({"block": [block], "code": pa.array([-1], pa.int32()), "n": [0], "segment": pa.array([None], pa.string()), **{c: pa.array([_packed(p)], pa.binary()) for c, p in zip(_PACKED, packed)}})
+        packed = _packed([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), np.concatenate([h[1] for h in held]), rank[codes]])
+        yield pa.RecordBatch.from_pydict({"block": [block], "code": pa.array([-1], pa.int32()), "n": [0], "segment": pa.array([None], pa.string()), "packed": pa.array([packed], pa.binary())})
         k = len(names)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(k, block)), "code": pa.array(np.arange(k, dtype=np.int32)), "n": pa.array(n[order]), "segment": names.take(pa.array(order)), **{c: pa.nulls(k, pa.binary()) for c in _PACKED}})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(k, block)), "code": pa.array(np.arange(k, dtype=np.int32)), "n": pa.array(n[order]), "segment": names.take(pa.array(order)), "packed": pa.nulls(k, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, block, held, size = _tokenizers(a_path, b_path), TaskContext.get().partitionId() << 32, [], 0
@@ -160,7 +167,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         if held:
             yield from rows(block, held)
 
-    return docs.mapInArrow(run, "block long, code int, n long, segment string, ids binary, known binary, counts binary, codes binary")
+    return docs.mapInArrow(run, "block long, code int, n long, segment string, packed binary")
 
 
 def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -249,29 +256,31 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     units = kept(encoded(named.groupBy("segment").agg(F.sum("n").alias("n")), a_path, b_path), "segments")
     linked = kept(aligned(units), "aligned", units)
     counted = kept(with_counts(linked), "counted", linked)
-    entries = named.select("block", "code", "segment").join(counted, "segment").drop("segment")
-    empty = [F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in (*_SUMS, "groups")]
-    heads = blocks.filter("code = -1").select("block", "code", *empty, *_PACKED)
-    rows = heads.union(entries.select("block", "code", *_SUMS, "groups", *(F.lit(None).cast("binary").alias(c) for c in _PACKED)))
+    # what a block's entry holds is one text: five sums, and the groups
+    entries = named.select("block", "code", "segment").join(counted, "segment").select("block", "code", F.concat_ws(" ", *_SUMS, "groups").cast("binary").alias("packed"))
+    rows = blocks.filter("code = -1").select("block", "code", "packed").union(entries)
     columns = {id_col: "long", **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), "long"), "groups_sha256": "string"} | ({"groups": "string"} if keep_groups else {})
 
     def decoded(head: dict, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids, known, count, codes = (_unpacked(head[c], kind) for c, kind in zip(_PACKED, (np.int64, bool, np.int32, np.int32)))
-        table = pa.Table.from_batches(parts) if parts else None
+        ids, known, count, codes = _unpacked(head["packed"], (np.int64, bool, np.int32, np.int32))
+        texts = pa.chunked_array([p.column("packed").cast(pa.string()) for p in parts], pa.string()).combine_chunks()
+        flat, width = pc.split_pattern(texts, " ", max_splits=len(_SUMS)).flatten(), len(_SUMS) + 1
+        field = lambda k: flat.take(pa.array(np.arange(k, len(flat), width)))
         first, out = np.concatenate(([0], np.cumsum(count))), {id_col: pa.array(ids, mask=~known)}
-        for name in _SUMS:
-            each = table.column(name).to_numpy().astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        for k, name in enumerate(_SUMS):
+            each = field(k).cast(pa.int64()).to_numpy()[codes]
             out[name] = pa.array(np.diff(np.concatenate(([0], np.cumsum(each)))[first]))
         # each place where a token of either kind ends closes one link
         out["n_links"] = pc.subtract(pc.add(out["n_a"], out["n_b"]), out["n_groups"])
-        groups = table.column("groups").combine_chunks() if len(codes) else pa.array([], pa.string())
-        texts: list[str] = []
+        groups, digests, kept_texts = field(len(_SUMS)), [], []
         for i, j in T.chunks(first * 16, T.CHUNK_BYTES):  # about a megabyte of groups at a time
             lists = pa.ListArray.from_arrays(pa.array((first[i : j + 1] - first[i]).astype(np.int32)), groups.take(pa.array(codes[first[i] : first[j]])))
-            texts += pc.binary_join(lists, ";").to_pylist()
-        out["groups_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() if n else "" for t, n in zip(texts, count)], pa.string())
+            joined = pc.binary_join(lists, ";").to_pylist()
+            digests += [hashlib.sha256(t.encode()).hexdigest() if n else "" for t, n in zip(joined, count[i:j].tolist())]
+            kept_texts += joined if keep_groups else []
+        out["groups_sha256"] = pa.array(digests, pa.string())
         if keep_groups:
-            out["groups"] = pa.array(texts, pa.string())
+            out["groups"] = pa.array(kept_texts, pa.string())
         return pa.RecordBatch.from_pydict({c: out[c] for c in columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
