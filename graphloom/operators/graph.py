@@ -98,6 +98,46 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, ma
     return out if limit is None else out.limit(limit)
 
 
+def limited_paths(edges: DataFrame, pairs: DataFrame, *, max_depth: int, limit: int = 1, order: tuple[str, ...] = ()) -> DataFrame:
+    """(source, target, place, depth, path): the first ``limit`` paths without repeated nodes of each pair, the shortest first, then in edge order.
+
+    edges: src, dst and the columns of ``order``, by which a node's edges go (dst comes
+    last); two edges between the same nodes make two paths. A pair of a node with
+    itself has the path of this node alone. Distances to the targets are found first,
+    and a walk grows only where it can still arrive within ``max_depth``; a pair that
+    has its paths is closed and grows no further.
+    """
+    ranked = edges.select("src", "dst", F.row_number().over(W.partitionBy("src").orderBy(*order, "dst")).alias("rank"))
+    ranked = _kept(ranked)
+    pair = ["source", "target"]
+    pairs = _kept(pairs.select(*pair).distinct())
+    found = [pairs.filter("source = target").select(*pair, F.lit(1).alias("place"), F.lit(0).alias("depth"), F.array("source").alias("path"))]
+    left = reachable(reversed_edges(ranked.select("src", "dst")), pairs.filter("source <> target").select(F.col("target").alias("seed")), max_depth=max_depth)
+    left = left.select(F.col("seed").alias("target"), "node", F.col("depth").alias("left"))
+    start = pairs.filter("source <> target").select(*pair, F.col("source").alias("node"), F.array("source").alias("path"), F.array().cast("array<int>").alias("ranks"))
+    front = start.join(left.filter(F.col("left") <= max_depth), ["target", "node"], "left_semi").select(start.columns)
+    had = None
+    for depth in range(1, max_depth + 1):
+        front = _kept(front)
+        if front.isEmpty():
+            break
+        last = ranked.select(F.col("src").alias("node"), F.col("dst").alias("target"), "rank")
+        hits = front.join(last, ["node", "target"]).select(*pair, F.concat("path", F.array("target")).alias("path"), F.concat("ranks", F.array("rank")).alias("ranks"))
+        # ranks compare as arrays, element by element
+        hits = hits.withColumn("place", F.row_number().over(W.partitionBy(*pair).orderBy("ranks"))).filter(F.col("place") <= limit)
+        if had is not None:
+            hits = hits.join(had, pair, "left").withColumn("place", F.col("place") + F.coalesce("had", F.lit(0))).filter(F.col("place") <= limit)
+        found.append(_kept(hits.select(*pair, "place", F.lit(depth).alias("depth"), "path")))
+        if depth == max_depth:
+            break
+        had = _all(found[1:]).groupBy(*pair).agg(F.max("place").alias("had"))
+        open_ = front.join(had.filter(F.col("had") >= limit), pair, "left_anti")
+        step = open_.join(ranked.select(F.col("src").alias("node"), "dst", "rank"), "node").filter((F.col("dst") != F.col("target")) & ~F.array_contains("path", F.col("dst")))
+        step = step.select(*pair, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("ranks", F.array("rank")).alias("ranks"))
+        front = step.join(left.filter(F.col("left") <= max_depth - depth), ["target", "node"], "left_semi")
+    return _all(found)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst): all pairs joined by a path of one edge or more, by doubling of path lengths."""
     pairs = _kept(edges.select("src", "dst").distinct())

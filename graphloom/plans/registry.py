@@ -898,3 +898,6 @@ def _by(a: str, b: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(a).orderBy("file", "line", b)
+
+
+from graphloom.plans import snapshot_queries  # noqa: E402, F401  registers its queries here
