@@ -1,6 +1,6 @@
 """Code facts derived from the star-schema tables, as SQL that Spark and DuckDB both read.
 
-Every fact but ``strong_imports`` covers its whole tables. Parts stand for symbols,
+Every fact covers its whole tables. Parts stand for symbols,
 parts met in one order for calls, orders for changed line ranges, events for tests,
 documents for source files, customers' purchases for method sets.
 """
@@ -37,15 +37,6 @@ FACTS = {
             FROM {lineitem} a JOIN {part} s ON a.l_partkey = s.p_partkey JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey JOIN {part} d ON b.l_partkey = d.p_partkey
             WHERE a.l_partkey <> b.l_partkey
             GROUP BY 1, 2) pairs WHERE package <> import_path""",
-    # For import_paths only: the two strongest local and external imports of a package. All imports have too many paths to list (README).
-    "strong_imports": """
-        SELECT package, import_path, CASE WHEN n % 2 = 0 THEN true ELSE false END AS is_test FROM (
-            SELECT package, import_path, n, row_number() OVER (PARTITION BY package, substring(import_path, 1, 1) ORDER BY n DESC, import_path) AS k FROM (
-                SELECT './' || lower(s.p_type) || '/' || lower(replace(s.p_brand, '#', '')) AS package,
-                       CASE WHEN d.p_size % 7 = 0 THEN 'ext/' || lower(d.p_type) ELSE './' || lower(d.p_type) || '/' || lower(replace(d.p_brand, '#', '')) END AS import_path, count(*) AS n
-                FROM {lineitem} a JOIN {part} s ON a.l_partkey = s.p_partkey JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey JOIN {part} d ON b.l_partkey = d.p_partkey
-                WHERE a.l_partkey <> b.l_partkey
-                GROUP BY 1, 2) pairs WHERE package <> import_path) ranked WHERE k <= 2""",
     "refs": """
         SELECT s.p_brand AS dst_package, '' AS dst_receiver, s.p_name AS dst_name,
                CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'read' ELSE 'definition' END AS kind,
@@ -82,7 +73,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 #: Facts made by joining lineitem with itself; written once for each session and input, then read.
-STORED = ("calls", "imports", "strong_imports", "methods")
+STORED = ("calls", "imports", "methods")
 _STORED: dict[tuple, DataFrame] = {}
 
 

@@ -373,15 +373,22 @@ def reachable_callees(get, spark):
 
 
 @_query(
-    CLOSURE_SQL
-    + """, paths(path, node, depth) AS (SELECT [src], src, 0 FROM (SELECT DISTINCT src FROM edge WHERE src LIKE './economy/%') UNION ALL SELECT list_append(p.path, e.dst), e.dst, depth + 1 FROM paths p JOIN edge e ON p.node = e.src WHERE NOT list_contains(p.path, e.dst) AND depth < 5 AND p.node NOT LIKE './small/%')
-    SELECT array_to_string(path, ',') AS path, depth FROM paths WHERE node LIKE './small/%'""",
-    ("imports=strong_imports",),
+    """, e AS (SELECT DISTINCT package AS src, import_path AS dst FROM imports WHERE import_path LIKE '.%' AND import_path <> package), pairs AS (SELECT DISTINCT dst AS source, src AS target FROM e),
+    one AS (SELECT source, target, 1 AS depth, [source, target] AS path FROM pairs JOIN e ON src = source AND dst = target),
+    two AS (SELECT source, target, 2 AS depth, [source, a.dst, target] AS path FROM pairs JOIN e a ON a.src = source JOIN e b ON b.src = a.dst AND b.dst = target WHERE a.dst NOT IN (source, target)),
+    shorter AS (SELECT source, target, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY source, target),
+    still AS (SELECT p.source, p.target FROM pairs p LEFT JOIN shorter s ON s.source = p.source AND s.target = p.target WHERE coalesce(n, 0) < 3),
+    three AS (SELECT source, target, 3 AS depth, [source, a.dst, b.dst, target] AS path FROM still JOIN e a ON a.src = source JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = target
+              WHERE a.dst NOT IN (source, target) AND b.dst NOT IN (source, target, a.dst))
+    SELECT source, target, place, depth, array_to_string(path, ',') AS path FROM (
+        SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY depth, path) AS place FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)) WHERE place <= 3""",
+    ("imports",),
 )
 def import_paths(get, spark):
-    edges = _import_edges(lambda name: get("strong_imports"))
-    source, target = edges.filter("src LIKE './economy/%'").select(F.col("src").alias("node")), edges.filter("dst LIKE './small/%'").select(F.col("dst").alias("node"))
-    return G.simple_paths(edges, source, target, max_depth=5).select(_joined("path"), "depth")
+    """For every local import, the first three paths back from what is imported."""
+    edges = _import_edges(get)
+    back = edges.select(F.col("dst").alias("source"), F.col("src").alias("target"))
+    return G.limited_paths(edges, back, max_depth=3, limit=3).select("source", "target", "place", "depth", _joined("path"))
 
 
 @_query(" SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM calls WHERE src <> dst)", ("calls",))
@@ -900,4 +907,4 @@ def _by(a: str, b: str):
     return Window.partitionBy(a).orderBy("file", "line", b)
 
 
-from graphloom.plans import snapshot_queries  # noqa: E402, F401  registers its queries here
+from graphloom.plans import batch_queries, snapshot_queries  # noqa: E402, F401  they register their queries here
