@@ -29,17 +29,18 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 from graphloom.llm.sentencepiece_bpe import SPACE, PieceCodec, codec
-from graphloom.llm.shared import bounded_batches, dropped, headed, released, stored
+from graphloom.llm.shared import bounded_batches, dropped, headed, released, stored_small
 
 #: Text of a block, at least, but for a task's last one.
 BLOCK_BYTES = 24 << 20
@@ -191,25 +192,25 @@ def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def token_ends(units: DataFrame, ids: str, sizes: str) -> DataFrame:
     """A row for each token: its place in the unit, its id, and the byte at which it ends."""
-    rows = units.select("seg", "n", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("size"))).alias(f"{ids}_pos", "t"))
+    rows = units.select("seg", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("size"))).alias(f"{ids}_pos", "t"))
     upto = Window.partitionBy("seg").orderBy(f"{ids}_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("seg", "n", f"{ids}_pos", F.col("t.id").alias(f"{ids}_id"), F.sum("t.size").over(upto).alias("end"))
+    return rows.select("seg", f"{ids}_pos", F.col("t.id").alias(f"{ids}_id"), F.sum("t.size").over(upto).alias("end"))
 
 
 def links(units: DataFrame) -> DataFrame:
-    """(seg, n, end, a_link, b_link, a_pos, b_pos, back) of units with tokens a and b: each row is a link of two tokens whose bytes overlap.
+    """(seg, end, a_link, b_link, a_pos, b_pos, back) of units with tokens a and b: each row is a link of two tokens whose bytes overlap.
 
     Where both tokens end the row has their places; elsewhere one of these is null.
     ``back`` numbers the groups between such cuts from the last one.
     """
     units = units.repartition("seg")
     a, b = token_ends(units, "a", "a_size"), token_ends(units, "b", "b_size")
-    ends = a.join(b.withColumnRenamed("n", "b_n"), ["seg", "end"], "full")
+    ends = a.join(b, ["seg", "end"], "full")
     down = Window.partitionBy("seg").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull()
     # the token that covers the stretch before an end is the next one of its kind to end
     covering = [F.last(f"{x}_id", True).over(down).alias(f"{x}_link") for x in "ab"]
-    return ends.select("seg", F.coalesce("n", "b_n").alias("n"), "end", *covering, "a_pos", "b_pos", F.sum(cut.cast("int")).over(down).alias("back"))
+    return ends.select("seg", "end", *covering, "a_pos", "b_pos", F.sum(cut.cast("int")).over(down).alias("back"))
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -219,6 +220,18 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     return pairs.join(most, "b_link").select("a_link", "b_link", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
+@contextmanager
+def _joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Rows that lie together by one key of a join are not dealt anew by all of its keys."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def aligned(units: DataFrame) -> DataFrame:
     """Each unit with its links in order of their ends from the last, and its groups as text."""
     cut = F.when(F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull(), F.struct("a_pos", "b_pos"))
@@ -244,17 +257,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     Tasks of the last stage hold a block: its codes and its dictionary.
     """
     bounded_batches(docs.sparkSession)
-    blocks = stored(_blocks(docs.select(F.col(id_col).cast("long"), text_col), a_path, b_path), "blocks")
+    blocks = stored_small(_blocks(docs.select(F.col(id_col).cast("long"), text_col), a_path, b_path), "blocks")
     named = blocks.filter("code >= 0").select("block", "code", "segment", "n")
 
     def kept(rows: DataFrame, name: str, *old: DataFrame) -> DataFrame:
-        rows = stored(rows, name)
+        rows = stored_small(rows, name)
         dropped(*old)
         released(docs.sparkSession)
         return rows
 
     units = kept(encoded(named.groupBy("segment").agg(F.sum("n").alias("n")), a_path, b_path), "segments")
-    linked = kept(aligned(units), "aligned", units)
+    with _joined_in_place(docs.sparkSession):
+        linked = kept(aligned(units), "aligned", units)
     counted = kept(with_counts(linked), "counted", linked)
     # what a block's entry holds is one text: five sums, and the groups
     entries = named.select("block", "code", "segment").join(counted, "segment").select("block", "code", F.concat_ws(" ", *_SUMS, "groups").cast("binary").alias("packed"))

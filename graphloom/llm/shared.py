@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.sources.shared import new_path, remove, stored
 
-__all__ = ["bounded_batches", "dropped", "headed", "new_path", "released", "stored"]
+__all__ = ["bounded_batches", "dropped", "headed", "new_path", "released", "stored", "stored_small"]
+
+
+def stored_small(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, more tightly compressed."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def headed(batches: Iterator[pa.RecordBatch], is_head: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[dict, list[pa.RecordBatch]]]:
