@@ -3,8 +3,9 @@
 Hashes of ``gram`` consecutive words are winnowed: of each window of
 ``span - gram + 1`` neighbouring hashes the smallest is kept, so every shared
 passage of ``span`` words leaves a common fingerprint on both sides. Fingerprints
-are joined; each hit is extended to the item windows around it and checked word
-by word. Items shorter than ``span`` words are one window each and are looked up
+are joined; each hit is extended to the windows of the text around it, and these
+are compared with the items' windows as text, so work is in proportion to the words
+of both sides, whatever repeats. Items shorter than ``span`` words are one window each and are looked up
 by the hash of all their words at every place.
 
 Everything here is DataFrame and SQL expressions. A bitmap of the benchmark's
@@ -43,7 +44,7 @@ def _ahead(a: str, by: int, how: str, b: str | None = None) -> str:
 
 
 def _prepared(rows: DataFrame, text: str, gram: int, span: int) -> DataFrame:
-    """Adds row, words, hw (their hashes) and marks (places and hashes of the winnowed fingerprints).
+    """Adds row, words, hw (their hashes) and marks (places and hashes of the winnowed fingerprints, with the length 0).
 
     Hashes, minima and maxima over neighbouring elements are built up from spans
     of two, four and so on, so an element costs a few steps whatever the text's
@@ -65,10 +66,15 @@ def _prepared(rows: DataFrame, text: str, gram: int, span: int) -> DataFrame:
     rows = rows.withColumn("m2", F.expr(_ahead("low", 1, "greatest(x, y)")))
     rows = rows.withColumn("m4", F.expr(_ahead("m2", 2, "greatest(x, y)")))
     rows = rows.withColumn("top", F.expr(_ahead("m4", 4, "greatest(x, y)", "m2"))).drop("m2", "m4", "low")
-    kept = f"filter(transform(zip_with(g, top, (x, y) -> if(x = y, x, null)), (h, i) -> struct(i + 1 as pos, h as h, {gram} as len)), x -> x.h is not null)"
+    kept = f"filter(transform(zip_with(g, top, (x, y) -> if(x = y, x, null)), (h, i) -> struct(i + 1 as pos, h as h, 0 as len)), x -> x.h is not null)"
     return rows.withColumn("marks", F.expr(kept)).drop("g", "top").withColumn("row", F.monotonically_increasing_id()).filter("row >= 0")
 
 
+def _window(at: str, span: int) -> str:
+    """SQL: the words of a window as text; words hold no space."""
+    return f"array_join(slice(words, {at}, {span}), ' ')"
+
+
 def _short(span: int) -> str:
     """SQL: hash of all words of an item of fewer than ``span``."""
     return "CASE size(hw) " + " ".join(f"WHEN {m} THEN xxhash64({', '.join(f'get(hw, {k})' for k in range(m))})" for m in range(1, span)) + " END"
@@ -89,21 +95,21 @@ def _in_bitmap(marks: DataFrame) -> str:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_words: int = 1_000_000, keep: tuple[str, ...] = ()
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_words: int = 200_000, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the kept columns of docs (as kept_0, kept_1, ...): one row per document.
 
-    The fingerprints of the benchmark, and the words of its items, are broadcast while
-    it has at most ``broadcast_words`` words.
+    The fingerprints of the benchmark, and its windows, are broadcast while it has at
+    most ``broadcast_words`` words; a window takes about a hundred bytes.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("item_text")).filter("item IS NOT NULL").distinct()
-    items = items.withColumn("name", F.xxhash64("item", "item_text"))  # an id may come with several texts
     prepared = _prepared(items, "item_text", gram, span).filter("size(words) > 0")
     total, *short = prepared.select(F.size("words").alias("n")).groupBy(F.when(F.col("n") < span, F.col("n")).alias("m")).agg(F.sum("n").alias("words")).agg(F.sum("words"), F.collect_set("m")).first() or (0, [])
     short = sorted(short[0]) if short else []  # lengths below span: fewer than span values
     few = (total or 0) <= broadcast_words
-    marks = prepared.select("item", "name", F.expr(f"if(size(words) < {span}, array(struct(1 as pos, {_short(span)} as h, size(hw) as len)), marks)").alias("marks"))
-    marks = marks.select("item", "name", F.explode("marks").alias("m")).select("item", "name", F.col("m.pos").alias("ipos"), F.col("m.h").alias("h"), F.col("m.len").alias("len"))
+    marks = prepared.select(F.explode(F.expr(f"if(size(words) < {span}, array(struct(1 as pos, {_short(span)} as h, size(hw) as len)), marks)")).alias("m")).select("m.h", "m.len").distinct()
+    at = f"if(size(words) < {span}, array(1), sequence(1, size(words) - {span - 1}))"
+    windows = prepared.select("item", F.explode(F.expr(f"transform({at}, i -> struct(least(size(words), {span}) as n, {_window('i', span)} as win))")).alias("w")).select("item", "w.n", "w.win").distinct()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), F.col(text_col).alias("own_text"), *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
     rows = _prepared(source, "doc_text", gram, span)
@@ -116,21 +122,22 @@ def contamination(
     rows = stored(rows.withColumn("r", F.monotonically_increasing_id()).filter("r >= 0").drop("r"), "decontaminate-rows")
     maybe = rows.filter("marks IS NOT NULL")
     found = maybe.select("row", F.explode("marks").alias("d")).select("row", F.col("d.pos").alias("pos"), F.col("d.h").alias("h"), F.col("d.len").alias("len"))
-    found = found.join(F.broadcast(marks) if few else marks, ["h", "len"]).select("row", "item", "name", "pos", "ipos")
-    words = prepared.select("name", F.col("words").alias("item_words"))
-    hits = found.join(F.broadcast(words) if few else words, "name").groupBy("row").agg(F.collect_set(F.struct("item", "item_words", "pos", "ipos")).alias("hits"))
+    # a place is kept once however many places of however many items have its fingerprint
+    found = found.join(F.broadcast(marks) if few else marks, ["h", "len"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("pos", "len")).alias("hits"))
+    # hits are extended to all windows of the text around them, and these are compared with the items' as text
+    around = f"if(x.len = 0, if(x.pos >= 1 and size(words) >= {span}, transform(sequence(greatest(x.pos - {span - gram}, 1), least(x.pos, size(words) - {span - 1})), i -> struct(i as at, {span} as n)), array()), array(struct(x.pos as at, x.len as n)))"
+    near = maybe.select("row", "doc_text").join(found.hint("merge"), "row").withColumn("words", F.expr(_words("doc_text")))
+    near = near.select("row", F.explode(F.expr(f"transform(array_distinct(flatten(transform(hits, x -> {around}))), a -> struct(a.at as at, a.n as n, array_join(slice(words, a.at, a.n), ' ') as win))")).alias("a")).select("row", "a.at", "a.n", "a.win")
+    known = windows.select("n", "win").distinct()
+    hit_at = near.join(F.broadcast(known) if few else known, ["n", "win"], "left_semi")
+    hit_at = stored(hit_at, "decontaminate-hits")
+    places = hit_at.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("places"))
+    of_item = hit_at.select("row", "n", "win").distinct().join(windows, ["n", "win"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
     # each text is judged by itself, whatever other texts have its id
-    both = maybe.drop("marks").join(hits.hint("merge"), "row", "left").withColumn("words", F.expr(f"if(hits is null, array(), {_words('doc_text')})"))
-    none = rows.filter("marks IS NULL").drop("marks").withColumn("hits", F.lit(None).cast(hits.schema["hits"].dataType)).withColumn("words", F.array().cast("array<string>"))
-    both = both.unionByName(none)
-    low, high = f"greatest(x.ipos - {span - gram}, x.ipos - x.pos + 1, 1)", f"least(x.ipos, size(x.item_words) - {span - 1}, size(words) - x.pos + x.ipos - {span - 1})"
-    same = f"filter(if({low} <= {high}, sequence({low}, {high}), array()), j -> forall(sequence(0, {span - 1}), k -> get(words, x.pos - x.ipos + j + k - 1) = get(x.item_words, j + k - 1)))"
-    spans = f"""if(hits is null, array(), flatten(transform(hits, x -> if(size(x.item_words) < {span},
-        if(forall(sequence(0, size(x.item_words) - 1), k -> get(words, x.pos + k - 1) = get(x.item_words, k)), array(struct(x.pos as at, size(x.item_words) as n, x.item as item)), array()),
-        transform({same}, j -> struct(x.pos - x.ipos + j as at, {span} as n, x.item as item))))))"""
-    merged = both.select("doc_id", *own, "n_words", F.expr(spans).alias("spans"))
-    merged = merged.select("doc_id", *own, "n_words", F.expr("array_sort(array_distinct(transform(spans, s -> struct(s.at, s.n))))").alias("places"), F.expr("array_sort(array_distinct(transform(spans, s -> s.item)))").alias("items"))
+    merged = maybe.select("row", "doc_id", *own, "n_words").join(places.join(of_item, "row").hint("merge"), "row", "left").drop("row")
+    none = rows.filter("marks IS NULL").select("doc_id", *own, "n_words").withColumn("places", F.lit(None).cast(places.schema["places"].dataType)).withColumn("items", F.lit(None).cast("array<string>"))
+    merged = merged.unionByName(none).withColumn("places", F.expr("coalesce(places, array())")).withColumn("items", F.expr("coalesce(items, array())"))
     hit = "aggregate(places, struct(0L as covered, 0 as until), (a, s) -> struct(a.covered + greatest(s.at + s.n - greatest(s.at, a.until), 0) as covered, greatest(a.until, s.at + s.n) as until), a -> a.covered)"
     out = merged.select("doc_id", *own, "n_words", F.expr(hit).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     # the row number is not deterministic, so a caller's filter stays above the expressions and does not repeat them

@@ -370,3 +370,15 @@ def test_sql(spark, sf_dir, name):
 
     _, differs = oracle.compare(registry.queries()[name](spark, sf_dir), oracle.connect(sf_dir), registry.oracle_sql()[name])
     assert not differs
+
+
+def test_op7_repeated_words_and_long_copies(spark):
+    """Places of one fingerprint on both sides do not multiply, and an item of any length is found."""
+    long = " ".join(f"w{k}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, "spam " * 3000), (2, "start " + long + " end"), (3, "ham " * 20), (4, "x " * 9 + "spam " * 12)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "spam " * 1500), (2, long), (3, "ham " * 5), (4, "never " * 30)], "item_id long, text string")
+    sha_of = lambda *items: sha(",".join(items))
+    expected = [(1, 3000, 3000, 1, sha_of("1"), True), (2, 20_002, 20_000, 1, sha_of("2"), True), (3, 20, 20, 1, sha_of("3"), True), (4, 21, 12, 1, sha_of("1"), True)]
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    same(decontaminate.contamination(docs, bench), columns, expected)
+    same(decontaminate.contamination(docs, bench, broadcast_words=0), columns, expected)
