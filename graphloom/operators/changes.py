@@ -16,14 +16,67 @@ SCOPES = ("local", "package", "cross-package", "exported-api", "interface-contra
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
+# What stands for a character after a backslash.
+_ESCAPES = {"a": "07", "b": "08", "f": "0C", "n": "0A", "r": "0D", "t": "09", "v": "0B", "\\": "5C", '"': "22"}
+
+
+def unquoted(text: Column) -> Column:
+    """A path as git writes it: in quotes, bytes outside ASCII stand as \\ and three octal digits. What is no such text stays as it is."""
+    inner = F.regexp_extract(text, r'(?s)^"((?:[^"\\]|\\[0-7]{3}|\\[abfnrtv"\\])*)"$', 1)
+    parts = F.regexp_extract_all(inner, F.lit(r"(?s)\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+    names = F.create_map(*(F.lit(x) for pair in _ESCAPES.items() for x in pair))
+    byte = lambda p: F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0")
+    code = lambda p: F.when(p.rlike(r"^\\[0-7]{3}$"), byte(p)).when(p.startswith("\\"), F.try_element_at(names, F.substring(p, 2, 1))).otherwise(F.hex(F.encode(p, "UTF-8")))
+    return F.when(inner == "", text).otherwise(F.decode(F.unhex(F.array_join(F.transform(parts, code), "")), "UTF-8"))
+
+
+def _side(value: Column, mark: str, prefix: str) -> Column:
+    """The path after ``mark``, empty where there is no file on that side."""
+    text = F.trim(F.substring(value, len(mark) + 1, 1_000_000))
+    plain = unquoted(text)
+    return F.when(text.isin("/dev/null", ""), "").otherwise(F.when(plain.startswith(prefix), F.substring(plain, len(prefix) + 1, 1_000_000)).otherwise(plain))
+
+
+def changed_files(lines: DataFrame) -> DataFrame:
+    """(file, path, old_path, status, binary, hunks): one row for each section of a unified diff, also those without hunks.
+
+    lines: file (the diff), n, value. A section begins with ``diff --git``; its status
+    is added, deleted, renamed, copied or modified. Paths come from its --- and +++
+    lines, else from its rename or copy lines, else from its first line, which has
+    the same path twice.
+    """
+    v = F.col("value")
+    so_far = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = lines.select("file", "n", "value").withColumn("section", F.sum(v.startswith("diff --git ").cast("int")).over(so_far)).filter("section > 0")
+    in_head = F.sum(v.rlike(HUNK).cast("int")).over(W.partitionBy("file", "section").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)) == 0
+    rows = rows.withColumn("head", in_head)
+    first = lambda test, value: F.min_by(F.when(F.col("head") & test, value), F.when(F.col("head") & test, F.col("n")))
+    after = lambda mark: unquoted(F.trim(F.substring(v, len(mark) + 1, 1_000_000)))
+    start = F.substring(v, 12, 1_000_000)
+    quoted = F.regexp_extract(start, r'^"(?:[^"\\]|\\.)*" ("(?:[^"\\]|\\.)*")$', 1)
+    twice = F.substring(start, F.lit(3), ((F.length(start) - 5) / 2).cast("int"))
+    named = F.when(quoted != "", F.substring(unquoted(quoted), 3, 1_000_000)).when(start == F.concat(F.lit("a/"), twice, F.lit(" b/"), twice), twice)
+    of = rows.groupBy("file", "section").agg(
+        first(v.startswith("diff --git "), named).alias("named"), first(v.startswith("--- "), _side(v, "--- ", "a/")).alias("old"), first(v.startswith("+++ "), _side(v, "+++ ", "b/")).alias("new"),
+        *(first(v.startswith(f"{how} {end} "), after(f"{how} {end} ")).alias(f"{how}_{end}") for how in ("rename", "copy") for end in ("from", "to")),
+        F.bool_or(F.col("head") & v.startswith("new file mode")).alias("added"), F.bool_or(F.col("head") & v.startswith("deleted file mode")).alias("deleted"),
+        F.bool_or(F.col("head") & (v.startswith("Binary files ") | v.startswith("GIT binary patch"))).alias("binary"), F.count_if(v.rlike(HUNK)).alias("hunks"),
+    )
+    c = F.col
+    new, old = F.coalesce(F.nullif("new", F.lit("")), "rename_to", "copy_to"), F.coalesce(F.nullif("old", F.lit("")), "rename_from", "copy_from")
+    status = F.when(c("added") | (c("new") != "") & (c("old") == ""), "added").when(c("deleted") | (c("new") == "") & (c("old") != ""), "deleted").when(c("rename_to").isNotNull(), "renamed").when(c("copy_to").isNotNull(), "copied").otherwise("modified")
+    out = of.withColumn("status", status).select("file", F.coalesce(new, old, "named").alias("path"), F.when(c("status") != "added", F.coalesce(old, "named")).alias("old_path"), "status", "binary", "hunks")
+    return out.filter("path IS NOT NULL")
+
+
 def hunk_ranges(lines: DataFrame) -> DataFrame:
     """(path, old_path, side, start, end) of a unified diff with zero context.
 
     lines has n (line number) and value. Counts default to one, starts are one at
     least, and an empty side gives no range.
     """
-    path = lambda text: F.when(text == "/dev/null", "").otherwise(F.regexp_replace(F.regexp_replace(text, '^"(.*)"$', "$1"), "^[ab]/", ""))
-    rows = lines.select("file", "n", "value").withColumn("old_path", F.when(F.col("value").startswith("--- "), path(F.substring("value", 5, 100_000)))).withColumn("new_path", F.when(F.col("value").startswith("+++ "), path(F.substring("value", 5, 100_000))))
+    v, fresh = F.col("value"), F.when(F.col("value").startswith("diff --git "), "")
+    rows = lines.select("file", "n", "value").withColumn("old_path", F.when(v.startswith("--- "), _side(v, "--- ", "a/")).otherwise(fresh)).withColumn("new_path", F.when(v.startswith("+++ "), _side(v, "+++ ", "b/")).otherwise(fresh))
     so_far = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
     for c in ("old_path", "new_path"):  # no path: the file is not there on that side
         rows = rows.withColumn(c, F.nullif(F.last(c, True).over(so_far), F.lit("")))

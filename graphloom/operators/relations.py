@@ -72,25 +72,38 @@ def dispatch_candidates(sites: DataFrame, methods: DataFrame, *, limit: int = DI
 def implementations(methods: DataFrame, *, with_empty: DataFrame | None = None) -> DataFrame:
     """(interface, type): types that have every method of the interface with the same signature.
 
-    Owners with the same methods make one class, and classes are divided: a class of
-    interfaces meets the classes of types that have its rarest method, and its other
-    methods are looked up in the type's own set. Interfaces without methods
-    (with_empty, column interface) are satisfied by every type.
+    Owners with the same methods make one class, named by its least owner, and classes
+    are divided: a class of interfaces meets the classes of types that have its rarest
+    method, and both carry their methods as bits of a number. With at most 64 methods
+    in all a bit is a method, and the bits decide; with more, methods share bits, which
+    then only strike out, and the sets of the rest are compared. Interfaces without
+    methods (with_empty, column interface) are satisfied by every type.
     """
     rows = methods.select("owner_kind", F.col("owner_qualified").alias("owner"), F.struct("method", "signature").alias("m")).distinct()
-    owners = rows.groupBy("owner_kind", "owner").agg(F.array_sort(F.collect_list("m")).alias("set"))
-    wanted, have = (owners.filter(F.col("owner_kind") == kind).select(F.col("owner").alias(kind), "set") for kind in ("interface", "type"))
-    classes = have.groupBy("set").agg(F.min("type").alias("of"))
-    offered = classes.select("of", F.explode("set").alias("m"))
-    rarity = offered.groupBy("m").agg(F.count("*").alias("n"))
-    asked = wanted.groupBy("set").agg(F.min("interface").alias("by"))
-    rarest = asked.select("by", F.explode("set").alias("m")).join(rarity, "m", "left").groupBy("by").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("m"))).alias("r"))
-    first = rarest.filter("r.n > 0").select("by", "r.m")
-    near = first.join(offered, "m").select("by", "of").join(asked.select("by", F.col("set").alias("need")), "by").join(classes.select("of", F.col("set").alias("has")), "of")
-    met = near.filter(F.size(F.array_except("need", "has")) == 0).select("need", "has")
-    out = met.join(wanted.select("interface", F.col("set").alias("need")), "need").join(have.select("type", F.col("set").alias("has")), "has").select("interface", "type")
+    asked = rows.filter("owner_kind = 'interface'").select("m").distinct()
+    few = asked.limit(65).count() <= 64
+    if few:  # numbered: 64 rows at most; methods that no interface asks for have no bit
+        numbers = asked.select("m", (F.row_number().over(W.orderBy("m")) - 1).alias("bit"))
+        rows = rows.join(numbers, "m", "left")
+    else:
+        rows = rows.withColumn("bit", F.pmod(F.xxhash64("m"), F.lit(64)).cast("int"))
+    bits = F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))), F.lit(0).cast("long"))
+    owners = rows.groupBy("owner_kind", "owner").agg(F.array_sort(F.collect_list("m")).alias("set"), bits.alias("bits"))
+    owners = owners.withColumn("class", F.min("owner").over(W.partitionBy("owner_kind", "set")))
+    side = lambda kind: owners.filter((F.col("owner_kind") == kind))
+    first = lambda kind: side(kind).filter(F.col("owner") == F.col("class"))
+    have = first("type").select(F.col("class").alias("of"), F.col("bits").alias("has"), F.explode("set").alias("m"))
+    need = first("interface").select(F.col("class").alias("by"), F.col("bits").alias("need"), F.explode("set").alias("m"))
+    rarity = have.groupBy("m").agg(F.count("*").alias("n"))
+    rarest = need.join(rarity, "m", "left").groupBy("by", "need").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("m"))).alias("r"))
+    near = rarest.filter("r.n > 0").select("by", "need", "r.m").join(have, "m").filter(F.col("need").bitwiseAND(F.col("has")) == F.col("need")).select("by", "of")
+    if not few:
+        sets = lambda kind, name, column: first(kind).select(F.col("class").alias(name), F.col("set").alias(column))
+        near = near.join(sets("interface", "by", "wanted"), "by").join(sets("type", "of", "held"), "of").filter(F.size(F.array_except("wanted", "held")) == 0).select("by", "of")
+    named = lambda kind, column: side(kind).select(F.col("owner").alias(kind), F.col("class").alias(column))
+    out = near.join(named("interface", "by"), "by").join(named("type", "of"), "of").select("interface", "type")
     if with_empty is not None:
-        out = out.union(with_empty.select("interface").join(have.select("type"), F.lit(True)))
+        out = out.union(with_empty.select("interface").join(side("type").select(F.col("owner").alias("type")), F.lit(True)))
     return out
 
 

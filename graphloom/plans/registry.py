@@ -347,7 +347,7 @@ def interface_signals(get, spark):
 
 
 @_query(
-    """, back(target, caller, depth) AS (SELECT dst, src, 1 FROM calls WHERE dst % 100 = 0 UNION SELECT b.target, c.src, b.depth + 1 FROM back b JOIN calls c ON b.caller = c.dst WHERE b.depth < 5),
+    """, back(target, caller, depth) AS (SELECT dst, src, 1 FROM calls WHERE dst % 20 = 0 UNION SELECT b.target, c.src, b.depth + 1 FROM back b JOIN calls c ON b.caller = c.dst WHERE b.depth < 5),
     least AS (SELECT target, caller, min(depth) AS depth FROM back GROUP BY target, caller)
     SELECT l.target, l.caller, CAST(l.depth AS INTEGER) AS depth, min(struct_pack(f := c.file, l := c.line)).f AS file, min(struct_pack(f := c.file, l := c.line)).l AS line FROM least l
     JOIN calls c ON c.src = l.caller LEFT JOIN least up ON up.target = l.target AND up.caller = c.dst AND up.depth = l.depth - 1
@@ -355,20 +355,20 @@ def interface_signals(get, spark):
     ("calls",),
 )
 def transitive_callers(get, spark):
-    """For every hundredth symbol as target, a set that grows with the table."""
+    """For every twentieth symbol as target, a set that grows with the table."""
     return G.transitive_callers(get("calls"), _seeds(get, "target"))
 
 
 def _seeds(get: Callable, name: str) -> DataFrame:
-    return get("parts").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias(name))
+    return get("parts").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias(name))
 
 
 @_query(
-    """, fwd(seed, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 100 = 0 UNION SELECT f.seed, c.dst FROM fwd f JOIN calls c ON f.node = c.src) SELECT seed, node FROM fwd""",
+    """, fwd(seed, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 20 = 0 UNION SELECT f.seed, c.dst FROM fwd f JOIN calls c ON f.node = c.src) SELECT seed, node FROM fwd""",
     ("calls",),
 )
 def reachable_callees(get, spark):
-    """For every hundredth symbol as seed, a set that grows with the table."""
+    """For every twentieth symbol as seed, a set that grows with the table."""
     return G.reachable(get("calls"), _seeds(get, "seed")).select("seed", "node")
 
 
@@ -411,9 +411,9 @@ def _functions(get: Callable) -> DataFrame:
 
 
 @_query(
-    """, direct(target, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 100 = 0 UNION SELECT d.target, c.src FROM direct d JOIN calls c ON c.dst = d.node),
+    """, direct(target, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 20 = 0 UNION SELECT d.target, c.src FROM direct d JOIN calls c ON c.dst = d.node),
     followed AS (SELECT DISTINCT src, dst FROM possible WHERE reason IN ('goroutine', 'function-literal', 'http-handler') AND scope = 'local'),
-    edge AS (SELECT src, dst FROM calls UNION SELECT src, dst FROM followed), anyway(target, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 100 = 0 UNION SELECT d.target, e.src FROM anyway d JOIN edge e ON e.dst = d.node),
+    edge AS (SELECT src, dst FROM calls UNION SELECT src, dst FROM followed), anyway(target, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 20 = 0 UNION SELECT d.target, e.src FROM anyway d JOIN edge e ON e.dst = d.node),
     kinds AS (SELECT symbol_id AS node, CASE WHEN receiver = '' AND package_name = 'main' AND name = 'main' THEN 'main' WHEN receiver = '' AND file LIKE '%\\_test.go' ESCAPE '\\' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)') THEN 'test'
         WHEN symbol_id % 9 = 0 THEN 'http' WHEN regexp_matches(name, '^[A-Z]') THEN 'exported' ELSE 'no-local-callers' END AS kind FROM symbols
         WHERE symbol_id % 9 = 0 OR regexp_matches(name, '^[A-Z]') OR symbol_id NOT IN (SELECT dst FROM calls WHERE src <> dst))
@@ -422,7 +422,7 @@ def _functions(get: Callable) -> DataFrame:
     ("symbols", "calls", "possible"),
 )
 def entry_points(get, spark):
-    """For every hundredth symbol as target, a set that grows with the table."""
+    """For every twentieth symbol as target, a set that grows with the table."""
     return L.entry_points(_functions(get), get("calls"), get("possible"), _seeds(get, "target")).drop("reason")
 
 
@@ -754,12 +754,12 @@ def package_impact(get, spark):
     return out.select("target", "affected_packages", "fan_in", "tests", "fallback", "score", "level", "scope")
 
 
-IMPACT_SQL = f""", t AS ({TESTS_SQL}), seeds AS (SELECT symbol_id AS target, package, receiver, name, kind FROM symbols WHERE symbol_id % 100 = 0),
-    back(target, caller) AS (SELECT dst, src FROM calls WHERE dst % 100 = 0 UNION SELECT b.target, c.src FROM back b JOIN calls c ON b.caller = c.dst),
-    r AS (SELECT l_partkey AS target, l_returnflag <> 'N' AS used, './d' || CAST(l_suppkey % 5 AS VARCHAR) AS package FROM lineitem WHERE l_partkey % 100 = 0),
+IMPACT_SQL = f""", t AS ({TESTS_SQL}), seeds AS (SELECT symbol_id AS target, package, receiver, name, kind FROM symbols WHERE symbol_id % 20 = 0),
+    back(target, caller) AS (SELECT dst, src FROM calls WHERE dst % 20 = 0 UNION SELECT b.target, c.src FROM back b JOIN calls c ON b.caller = c.dst),
+    r AS (SELECT l_partkey AS target, l_returnflag <> 'N' AS used, './d' || CAST(l_suppkey % 5 AS VARCHAR) AS package FROM lineitem WHERE l_partkey % 20 = 0),
     up AS (SELECT target, caller, './f' || CAST(caller % 10 AS VARCHAR) AS package FROM back), pk AS (SELECT target, package FROM r UNION SELECT target, package FROM up),
     cover AS (SELECT target, package FROM pk UNION SELECT target, package FROM seeds),
-    dt AS (SELECT DISTINCT c.dst AS target, s.package, s.name, s.file FROM calls c JOIN symbols s ON s.symbol_id = c.src WHERE c.dst % 100 = 0 AND s.kind = 'function' AND s.file LIKE '%\\_test.go' ESCAPE '\\'),
+    dt AS (SELECT DISTINCT c.dst AS target, s.package, s.name, s.file FROM calls c JOIN symbols s ON s.symbol_id = c.src WHERE c.dst % 20 = 0 AND s.kind = 'function' AND s.file LIKE '%\\_test.go' ESCAPE '\\'),
     every AS (SELECT target, package, name, file, bool_or(direct) AS direct FROM (SELECT c.target, t.package, t.name, t.file, false AS direct FROM cover c JOIN t ON t.package = c.package UNION ALL SELECT target, package, name, file, true FROM dt) GROUP BY ALL),
     sig AS (SELECT s.target, regexp_matches(s.name, '^[A-Z]') AS exported, s.kind = 'method' AND (regexp_matches(s.name, '^[A-Z]') OR regexp_matches(s.receiver, '^[A-Z]')) AS exported_method,
         (SELECT count(*) FROM pk WHERE pk.target = s.target) AS affected_packages, (SELECT count(*) FROM r WHERE r.target = s.target AND used) AS direct_references,
@@ -781,15 +781,15 @@ IMPACT_SQL = f""", t AS ({TESTS_SQL}), seeds AS (SELECT symbol_id AS target, pac
     ("symbols", "calls", "possible", "imports"),
 )
 def symbol_impact(get, spark):
-    """For every hundredth symbol as target, a set that grows with the table."""
+    """For every twentieth symbol as target, a set that grows with the table."""
     return _symbol_impact(get).select("target", "affected_packages", "direct_references", "transitive_callers", "caller_packages", "exported_method", "fan_in", "possible_calls", "tests", "has_direct_test", "fallback", "score", "level", "scope")
 
 
-def _symbol_impact(get: Callable) -> DataFrame:
+def _symbol_impact(get: Callable, targets: DataFrame | None = None) -> DataFrame:
     symbols = get("symbols").withColumnRenamed("symbol_id", "node")
     refs = get("lineitem").select(F.col("l_partkey").alias("target"), F.when(F.col("l_returnflag") == "N", "definition").otherwise("call").alias("kind"), F.format_string("d%d/a.go", F.col("l_suppkey") % 5).alias("file"))
     calls = get("calls").withColumn("file", F.concat("file", F.lit("/x.go")))
-    return I.symbol_impact(symbols, refs, calls, get("possible"), get("imports"), _test_functions(get).drop("symbol_id"), _test_calls(get), _seeds(get, "target"))
+    return I.symbol_impact(symbols, refs, calls, get("possible"), get("imports"), _test_functions(get).drop("symbol_id"), _test_calls(get), _seeds(get, "target") if targets is None else targets)
 
 
 @_query(
@@ -801,7 +801,7 @@ def _symbol_impact(get: Callable) -> DataFrame:
     ("symbols", "calls", "possible", "imports"),
 )
 def explained_symbols(get, spark):
-    """For every hundredth symbol as target, a set that grows with the table."""
+    """For every twentieth symbol as target, a set that grows with the table."""
     return T.explained(_symbol_impact(get), get("calls"), get("symbols").withColumnRenamed("symbol_id", "node")).select("target", "callers", "callees", "score", "level", "confidence", "role")
 
 
@@ -907,4 +907,4 @@ def _by(a: str, b: str):
     return Window.partitionBy(a).orderBy("file", "line", b)
 
 
-from graphloom.plans import batch_queries, snapshot_queries  # noqa: E402, F401  they register their queries here
+from graphloom.plans import batch_queries, change_queries, impact_queries, snapshot_queries  # noqa: E402, F401  they register their queries here
