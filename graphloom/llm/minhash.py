@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
 from graphloom.llm.components import components
-from graphloom.llm.shared import bounded_batches, stored
+from graphloom.llm.shared import bounded_batches, let_go, stored
 
 HASHES, ROWS, BATCH, BLOCK = 128, 4, 32, 16
 #: Tasks over which the partners of one class are dealt.
@@ -102,6 +102,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "d1", "d2", "sig"],
             )
+        let_go()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
@@ -120,6 +121,7 @@ def _full_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, siz
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), size))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digests(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "d1", "value"])
+        let_go()
 
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     found = texts.join(need.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, d1 long, value binary").filter("octet_length(value) > 0")
@@ -152,6 +154,7 @@ def _compared(pairs: DataFrame, values: DataFrame, test: Callable[[bytes, list[b
                     keep = test(own, [v.as_py() for v in batch.column(3).slice(x, y - x)])
                     out += [(at, k) for k in b.slice(x, y - x).filter(pa.array(keep, pa.bool_())).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        let_go()
 
     dealt = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return dealt.mapInArrow(run, "a long, b long")

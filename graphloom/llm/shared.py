@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.sources.shared import new_path, remove, stored
 
-__all__ = ["bounded_batches", "dropped", "headed", "new_path", "released", "stored", "stored_small"]
+__all__ = ["bounded_batches", "dropped", "headed", "let_go", "new_path", "released", "stored", "stored_small"]
 
 
 def stored_small(df: DataFrame, name: str) -> DataFrame:
@@ -55,3 +57,10 @@ def released(spark: SparkSession) -> None:
     """Lets shuffle files of finished jobs go: Spark deletes them once the driver has collected the plans that made them, which else may be long after."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def let_go() -> None:
+    """Gives a task's freed memory back: Python workers are used again, and what they keep adds up from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
