@@ -121,8 +121,9 @@ def _chunks(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
         yield i, j, part, starts, ends, first, words, _windows(np.diff(first), first, size)
 
 
-def _digests(words: np.ndarray, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return T.span_hashes(words, windows, windows + size), T.span_hashes(T.mix(words ^ _RUN), windows, windows + size)
+def _digests(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each window, from two independent hashes of its words."""
+    return T.span_hashes(words, windows, windows + size), T.span_hashes(T.word_hashes(part, starts, ends, 1), windows, windows + size)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -166,10 +167,10 @@ def _candidates(rows: DataFrame, size: int, named: list[tuple[str, list[int]]])
         tables = [open_table(path, counts, {}) for path, counts in named]
         for batch in batches:
             ids, held = _ids(batch), []
-            for i, *_, first, words, windows in _chunks(batch, size):
+            for i, _, part, starts, ends, first, words, windows in _chunks(batch, size):
                 if len(windows):
                     windows = windows[~rounds(words, first, size, tables, False)[0][windows]]
-                    held.append((*_digests(words, windows, size), ids[i + np.searchsorted(first, windows, "right") - 1]))
+                    held.append((*_digests(part, starts, ends, words, windows, size), ids[i + np.searchsorted(first, windows, "right") - 1]))
             if held:
                 d1, d2, owner = (np.concatenate(x) for x in zip(*held))
                 (d1, d2), low, high = _smallest([d1, d2], owner)
@@ -200,7 +201,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             ids, null = _ids(batch), np.asarray(batch.column(0).is_null())
             n_words, n_removed, digests, texts = [], [], [], []
             for i, j, part, starts, ends, first, words, windows in _chunks(batch, size):
-                d1, d2 = _digests(words, windows, size)
+                d1, d2 = _digests(part, starts, ends, words, windows, size)
                 place, other, doc = table.find(d1, "d2", "doc")
                 row = i + np.searchsorted(first, windows, "right") - 1
                 gone = windows[(place >= 0) & (other == d2) & (doc < ids[row]) & ~null[row]]

@@ -65,9 +65,23 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def byte_values(buf: np.ndarray) -> np.ndarray:
+    """Values of single bytes, for spans of a few hundred bytes; over a thousand or more, arrangements of two bytes exist whose hashes agree."""
     return _BYTE[buf]
 
 
+#: Places in a word whose byte values are looked up; values of later places are computed.
+_PLACES = 64
+
+
+def _placed(keys: np.ndarray, seed: int) -> np.ndarray:
+    """Values of bytes at places (key: place * 256 + byte)."""
+    return mix(keys * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
+
+
+_SEEDS = (0x632BE59BD9B4E019, 0x8EBC6AF09C88C6E3)
+_TABLES = [_placed(np.arange(_PLACES << 8, dtype=np.uint64), seed) for seed in _SEEDS]
+
+
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,8 +121,27 @@ def words(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE[buf], starts, ends)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of each word, by one of two independent functions.
+
+    It sums a value for each byte and place. These values follow no rule that an
+    arrangement of bytes could use, as those of a polynomial modulo 2**64 do.
+    """
+    lengths = ends - starts
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    stops = np.cumsum(lengths)
+    first = stops - lengths
+    place = np.arange(stops[-1], dtype=np.int32)
+    place -= np.repeat(first.astype(np.int32), lengths)
+    data = buf[place + np.repeat(starts.astype(np.int32), lengths)]
+    if lengths.max() <= _PLACES:
+        place <<= 8
+        place |= data
+        values = _TABLES[which][place]
+    else:
+        values = _placed((place.astype(np.uint64) << np.uint64(8)) | data, _SEEDS[which])
+    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -13,9 +13,14 @@ from graphloom.llm import decontaminate, html_text, kneser_ney, language, minhas
 WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen the quick brown fox jumps over a lazy dog again and again"
+#: Two words of 1,024 bytes whose polynomial hashes modulo 2**64 agree, whatever the base.
+THUE = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+HELD = next(i for i in range(30, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+TWELVE = " ".join(f"w{k}" for k in range(12))
 ODD = [
     (1, PASSAGE, "en"), (2, PASSAGE, "en"), (2, PASSAGE, "en"), (3, None, None), (4, "", "de"), (5, "  \n\t ", "en"), (6, "a", "fr"), (7, "é ü ß 日本語 テキスト 🙂 \u0000x", "de"),
     (8, "start " + PASSAGE + " end\nx\nx\n" + PASSAGE, None), (9, "spam " * 3000, "en"), (10, ("q" * 70_000) + " tail", "en"), (None, PASSAGE, "en"), (None, None, None), (-5, "One TWO three", "en"), (11, "1234 #$% && <|> ***", "xx"),
+    (20, THUE[0], "en"), (21, THUE[1], "en"), (22, f"{TWELVE} {THUE[0]}", "en"), (23, f"{TWELVE} {THUE[1]}", "en"), (HELD, f"new {THUE[1]} {TWELVE}", "en"),
 ]
 
 
@@ -204,6 +209,24 @@ def test_op6_brute_force(docs):
     same(recompression.remove_repeats(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"], expected)
 
 
+def test_word_hashes_of_made_words():
+    import numpy as np
+
+    from graphloom.llm import textops
+
+    for words in (THUE, [x[:512] for x in THUE], ["ab" * 40, "ba" * 40], ["x" * 64 + "y", "y" + "x" * 64], ["a" * 65, "a" * 64]):
+        raw = " ".join(words).encode()
+        starts, ends, _ = textops.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for which in (0, 1):
+            one, two = textops.word_hashes(np.frombuffer(raw, np.uint8), starts, ends, which).tolist()
+            assert one != two
+            alone = textops.word_hashes(np.frombuffer(words[0].encode(), np.uint8), np.array([0]), np.array([len(words[0])]), which)
+            assert one == int(alone[0])  # also beside shorter words, where values are looked up
+    short = np.frombuffer(b"word", np.uint8)
+    mixed = np.frombuffer(b"word " + b"q" * 100, np.uint8)
+    assert textops.word_hashes(short, np.array([0]), np.array([4]))[0] == textops.word_hashes(mixed, np.array([0, 5]), np.array([4, 105]))[0]
+
+
 def test_op6_windows_around_dead_symbols_are_not_repeated():
     """Rounds by hand: only windows that two texts share stay, and of the shared ones none goes."""
     import random
