@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import bounded_batches, let_go, stored
+from graphloom.llm.shared import bounded_batches, kept, let_go, stored
 
 ORDER = 5
 START, STOP = "\x02", "\x03"
@@ -192,7 +192,7 @@ class Scorer:
             at += len(part)
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[int, Scorer] = kept("language")
 
 
 def _scorer(models: CharModels) -> Scorer:
@@ -281,7 +281,7 @@ def identify(docs: DataFrame, models: CharModels, *, id_col: str = "doc_id", tex
             out = list(zip(*rows)) or [()] * 4
             arrays = [pa.array(c, k) for c, k in zip(out, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), *arrays], [*columns, "lang_pred", "score", "entropy", "rejected"])
-        let_go()
+        let_go("language")
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
     return docs.select(*columns, *[text_col][: at == len(columns)]).mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")

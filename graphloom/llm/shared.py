@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.sources.shared import new_path, remove, stored
 
-__all__ = ["bounded_batches", "dropped", "headed", "let_go", "new_path", "released", "stored", "stored_small"]
+__all__ = ["bounded_batches", "dropped", "headed", "kept", "let_go", "new_path", "released", "stored", "stored_small"]
 
 
 def stored_small(df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +59,20 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def let_go() -> None:
-    """Gives a task's freed memory back: Python workers are used again, and what they keep adds up from stage to stage."""
+#: What tasks of an operator keep in a worker for its next ones, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """A worker's own dictionary for an operator's tasks; it is emptied once a task of another operator lets go."""
+    return _KEPT.setdefault(operator, {})
+
+
+def let_go(operator: str | None = None) -> None:
+    """Gives a task's freed memory back, and what other operators' tasks kept: Python workers are used again, and what they keep adds up from stage to stage."""
+    for name, held in _KEPT.items():
+        if name != operator:
+            held.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
-from graphloom.llm.shared import bounded_batches, new_path, stored
+from graphloom.llm.shared import bounded_batches, let_go, new_path, stored
 from graphloom.llm.sorted_table import open_table, write_table
 
 SPAN, GRAM = 100, 16
@@ -184,6 +184,7 @@ def _anchors(rows: DataFrame) -> DataFrame:
             held = [x[4] for x in _batches_of(batch)]
             keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+        let_go()
 
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -207,6 +208,7 @@ def _contexts(rows: DataFrame, path: str, counts: list[int]) -> DataFrame:
             n, pick = np.diff(np.append(first, len(key))), order[first]
             columns = [key[first], *(x[pick] for x in (anchor, before, after, doc, at))]
             yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(n)], ["key", "anchor", "before", "after", "doc", "at", "n"])
+        let_go()
 
     found = rows.mapInArrow(run, "key long, anchor long, before long, after long, doc long, at long, n long")
     merged = found.groupBy("key", "anchor", "before", "after").agg(F.min(F.struct("doc", "at")).alias("p"), F.sum("n").alias("n"))
@@ -222,6 +224,7 @@ def _agreeing(met: DataFrame, path: str, counts: list[int]) -> DataFrame:
             sides = (batch.column(k).to_numpy().view(np.uint64) for k in (4, 5))
             keep = np.logical_or(*((s != 0) & (table.find(s)[0] >= 0) for s in sides))
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+        let_go()
 
     return met.select("key", "anchor", "doc", "at", "before", "after").mapInArrow(run, "key long, anchor long, doc long, at long")
 
@@ -234,6 +237,7 @@ def _edges(near: DataFrame, path: str, counts: list[int]) -> DataFrame:
         for batch in batches:
             parts = table.find(batch.column(1).to_numpy().view(np.uint64), "parts")[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.maximum(parts, 1))], ["key", "doc", "at", "parts"])
+        let_go()
 
     return near.mapInArrow(run, "key long, doc long, at long, parts long")
 
@@ -256,6 +260,7 @@ def _context_bytes(rows: DataFrame, path: str, counts: list[int], docs_path: str
                 split = parts[use] > 1
                 columns = [*(pa.array(x[use].view(np.int64)) for x in (anchor, key)), pa.array(part), pa.array(split), pa.array(doc[use]), pa.array(at[use]), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "part", "split", "doc", "at", "bytes"])
+        let_go()
 
     return rows.mapInArrow(run, "anchor long, key long, part long, split boolean, doc long, at long, bytes binary")
 
@@ -325,6 +330,7 @@ def _sorted_shards(found: DataFrame) -> DataFrame:
                 last = tuple(group[a])
         if held:
             yield from close()
+        let_go()
 
     dealt = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return dealt.mapInArrow(run, "key long, m1 long, m2 long, window binary, doc long, start long")
@@ -340,6 +346,7 @@ def _merged(survivors: DataFrame) -> DataFrame:
             again = [a == b for a, b in zip(windows, [before, *windows])]
             before = windows[-1] if windows else before
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(again, pa.bool_())) for k in range(3)], ["key", "m1", "m2"])
+        let_go()
 
     return survivors.repartitionByRange("window").sortWithinPartitions("window", "doc", "start").mapInArrow(run, "key long, m1 long, m2 long")
 
@@ -410,6 +417,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digests, pa.string())]
             arrays += [pa.array(texts, pa.string())] * keep_text + batch.columns[2:]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text, *carry])
+        let_go()
 
     extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "") + extra)

@@ -34,3 +34,15 @@ def test_language_without_calibration_documents_rejects(spark):
     assert np.isfinite(models.allowed).all()
     noise = "".join(rng.choice("xyzqwvutsr") for _ in range(400))
     assert language.identify(spark.createDataFrame([(1, noise)], "doc_id long, text string"), models).first().rejected
+
+
+def test_kept_models_go_with_the_next_operator():
+    from graphloom.llm import shared
+
+    own = shared.kept("language")
+    assert own is language._SCORERS
+    own[0] = "models"
+    shared.let_go("language")
+    assert own
+    shared.let_go()
+    assert not own
