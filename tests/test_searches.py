@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 
-N = 70
-EDGES = [(i, (i * 7 + k) % N) for i in range(N) for k in (1, 3, 9)]
+N = 40
+EDGES = [(i, (i * 7 + k) % N) for i in range(N) for k in (1, 3, 9, 20)]
 
 
 def _levels(step, start):
