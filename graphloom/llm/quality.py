@@ -1,10 +1,9 @@
 """Operator 1 [native]: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words and word pairs are hashed into ``buckets``. Two multinomials over the buckets
-are counted: one over all documents, one over trusted documents (quality 1 and not
-toxic; a sample of at most ``trusted_rows``, the smallest by hash of their ids). A
-document's score is the sum of log(target / raw) over its words and pairs, divided
-by their number. The threshold is read from a histogram of the trusted scores: all
+are counted: one over all documents, one over all trusted documents (quality 1 and
+not toxic). A document's score is the sum of log(target / raw) over its words and
+pairs, divided by their number. The threshold is read from a histogram of the trusted scores: all
 but ``miss`` of them reach it. Every document is thresholded the same way; nothing
 is drawn at random.
 
@@ -66,10 +65,10 @@ def base_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return rows.withColumn("row", F.monotonically_increasing_id()).filter("row >= 0").drop("row")
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8192, trusted_rows: int = 20_000) -> tuple[list[float], DataFrame]:
-    """log(target / raw) of each bucket, and the ids of the trusted sample (at most ``trusted_rows``)."""
-    trusted = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
-    marked = _hashed(docs, id_col, text_col).join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
+def bucket_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8192) -> tuple[list[float], DataFrame]:
+    """log(target / raw) of each bucket, and the ids of all trusted documents."""
+    trusted = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    marked = _hashed(docs, id_col, text_col).join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
     marked = marked.withColumn("row", F.monotonically_increasing_id()).filter("row >= 0")  # keeps the filter that explode implies from repeating the hashing below
     counts = marked.select("trusted", F.explode(F.expr(_grams(buckets))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     raw, target = [1.0] * buckets, [1.0] * buckets
@@ -82,14 +81,14 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     return [math.log(t) - math.log(r) - shift for t, r in zip(target, raw)], trusted
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8192, trusted_rows: int = 20_000, miss: float = 0.005) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8192, miss: float = 0.005) -> DataFrame:
     """doc_id, the base counts, base_failed, score (mean log ratio), threshold and kept."""
-    weights, trusted = bucket_weights(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, trusted_rows=trusted_rows)
+    weights, trusted = bucket_weights(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets)
     table = f"cast(split('{','.join(f'{w:.9g}' for w in weights)}', ',') as array<double>)"  # folded to one literal
     mean = f"aggregate({_grams(buckets)}, 0D, (a, b) -> a + element_at({table}, b + 1)) / greatest(2 * n_words, 1)"
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(trusted), "doc_id", "left_semi")
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(trusted, "doc_id", "left_semi")
     known = _hashed(sample, "doc_id", "text").withColumn("n_words", F.size("words")).filter("n_words >= 20")
-    bins = known.select(F.floor(F.expr(mean) / BIN).alias("bin")).groupBy("bin").count().orderBy("bin").collect()  # at most trusted_rows
+    bins = known.select(F.floor(F.expr(mean) / BIN).alias("bin")).groupBy("bin").count().orderBy("bin").collect()  # as many as the scores' range has bins, whatever the rows are
     allowed, threshold = miss * sum(n for _, n in bins), -1e9
     for b, n in bins:
         if n > allowed:
