@@ -28,9 +28,9 @@ WINDOW = 8
 BIN = 0.001
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, words and their hashes."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _hashed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """doc_id, text, words and their hashes, and more columns as they are."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
     words = base.withColumn("words", F.expr(f"filter(split(text, '{WORD_BREAK}'), w -> w <> '')"))
     return words.withColumn("hw", F.expr("transform(words, w -> xxhash64(w))"))
 
@@ -65,11 +65,23 @@ def base_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return rows.withColumn("row", F.monotonically_increasing_id()).filter("row >= 0").drop("row")
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents with hashes, and whether they are trusted. A shuffle moves the texts, whose hashes are longer and cannot be compressed."""
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(trusted.withColumn("trusted", F.lit(1)).hint("merge"), "doc_id", "left")  # the same join whatever the number of labels
+    # the row number keeps the filter that explode implies from repeating the hashing below
+    return _hashed(marked, "doc_id", "text", "trusted").withColumn("row", F.monotonically_increasing_id()).filter("row >= 0")
+
+
+def _trusted_bins(docs: DataFrame, trusted: DataFrame, mean: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bin of the score of each trusted document of 20 words or more: all are scored where they lie, so a shuffle moves ids and bins alone."""
+    scored = _hashed(docs, id_col, text_col).withColumn("n_words", F.size("words")).filter("n_words >= 20").select("doc_id", F.floor(F.expr(mean) / BIN).alias("bin"))
+    return scored.join(trusted, "doc_id", "left_semi").select("bin")
+
+
 def bucket_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8192) -> tuple[list[float], DataFrame]:
     """log(target / raw) of each bucket, and the ids of all trusted documents."""
     trusted = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    marked = _hashed(docs, id_col, text_col).join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
-    marked = marked.withColumn("row", F.monotonically_increasing_id()).filter("row >= 0")  # keeps the filter that explode implies from repeating the hashing below
+    marked = _marked(docs, trusted, id_col=id_col, text_col=text_col)
     counts = marked.select("trusted", F.explode(F.expr(_grams(buckets))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     raw, target = [1.0] * buckets, [1.0] * buckets
     for bucket, r, t in counts.collect():  # one row per bucket at most
@@ -86,9 +98,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     weights, trusted = bucket_weights(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets)
     table = f"cast(split('{','.join(f'{w:.9g}' for w in weights)}', ',') as array<double>)"  # folded to one literal
     mean = f"aggregate({_grams(buckets)}, 0D, (a, b) -> a + element_at({table}, b + 1)) / greatest(2 * n_words, 1)"
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(trusted, "doc_id", "left_semi")
-    known = _hashed(sample, "doc_id", "text").withColumn("n_words", F.size("words")).filter("n_words >= 20")
-    bins = known.select(F.floor(F.expr(mean) / BIN).alias("bin")).groupBy("bin").count().orderBy("bin").collect()  # as many as the scores' range has bins, whatever the rows are
+    bins = _trusted_bins(docs, trusted, mean, id_col=id_col, text_col=text_col).groupBy("bin").count().orderBy("bin").collect()  # as many as the scores' range has bins, whatever the rows are
     allowed, threshold = miss * sum(n for _, n in bins), -1e9
     for b, n in bins:
         if n > allowed:
