@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from graphloom.operators import graph
-from graphloom.plans import registry
+from graphloom.plans import facts, registry
 from graphloom.plans.facts import fact
 
 
@@ -66,3 +66,17 @@ def test_graph_loops_on_hot_nodes(spark):
     assert [(r.component, r.size) for r in graph.cycles(edges).collect()] == [(0, 20), (30, 3)]
     nodes = spark.createDataFrame([(k,) for k in {x for p in pairs for x in p}], "node long")
     assert [r.node for r in graph.without_callers(nodes, edges).collect()] == [40]
+
+
+def test_calls_are_dealt_over_tasks_that_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Twice the rows of a task need twice the tasks, and the pairs stay the same."""
+    rows = [(o, p) for o in range(20) for p in (o % 3, o % 5, 7)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long")
+    expected = Counter((a, b) for o in range(20) for a in (o % 3, o % 5, 7) for b in (o % 3, o % 5, 7) if a != b)
+    for each, tasks in ((10, 6), (5, 12)):
+        monkeypatch.setattr(facts, "JOINED_ROWS", each)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert facts.spread(lines, each) == max(tasks, least)
+        calls = facts._calls(lines)
+        assert calls._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+        assert {(r.src, r.dst): r.line for r in calls.collect()} == dict(expected)
