@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names as N
 from graphloom.operators import relations
+from graphloom.sources.shared import stored
 
 
 def symbol_signals(targets: DataFrame, methods: DataFrame, pairs: DataFrame, embeds: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def symbol_signals(targets: DataFrame, methods: DataFrame, pairs: DataFrame, emb
     owners = methods.select("owner_kind", "owner_qualified").distinct()
     whole = named.filter("method IS NULL").join(owners, "owner_qualified").select("target", "owner_kind", "owner_qualified")
     of_method = named.filter("method IS NOT NULL").join(methods.select("owner_kind", "owner_qualified", "method").distinct(), ["owner_qualified", "method"]).select("target", "owner_kind", "owner_qualified")
-    hit = whole.union(of_method).distinct()
+    hit = stored(whole.union(of_method).distinct(), "hit")
     interfaces = hit.filter("owner_kind = 'interface'").select("target", F.col("owner_qualified").alias("interface"))
     more = relations.embedding_interfaces(embeds, interfaces.select("interface").distinct())
     interfaces = interfaces.union(interfaces.join(more, "interface").select("target", "embedding")).distinct()
@@ -53,6 +54,24 @@ def enriched(related: DataFrame, packages: DataFrame, tests: DataFrame) -> DataF
     return both.agg(F.bool_or("direct").alias("direct"), F.bool_or("external").alias("external"), merged("reasons"), merged("targets"))
 
 
+def enriched_counts(related: DataFrame, packages: DataFrame, tests: DataFrame) -> DataFrame:
+    """(target, tests): how many rows ``enriched`` has for each target that has any.
+
+    A package's tests are counted once and the counts are added up, so no pair of a
+    target and a test is formed; related tests that are contract tests, too, are
+    taken off.
+    """
+    own = related.select("target", "package", "name", "file").distinct()
+    every = tests.select("package", "name", "file").distinct()
+    of_package = every.groupBy("package").agg(F.count("*").alias("n"))
+    a, b, c = own.alias("a"), packages.select("target", "package").alias("b"), every.alias("c")
+    same = lambda x, y, name: F.col(f"{x}.{name}").eqNullSafe(F.col(f"{y}.{name}"))
+    twice = a.join(b, same("a", "b", "target") & (F.col("a.package") == F.col("b.package")), "left_semi")
+    twice = twice.join(c, (F.col("a.package") == F.col("c.package")) & same("a", "c", "name") & same("a", "c", "file"), "left_semi")
+    parts = packages.join(of_package, "package").select("target", "n").union(own.select("target", F.lit(1))).union(twice.select("target", F.lit(-1)))
+    return parts.groupBy("target").agg(F.sum("n").alias("tests"))
+
+
 def change_contracts(packages: DataFrame, pairs: DataFrame, embeds: DataFrame) -> DataFrame:
     """(change, side, name): contracts with a side in a change's packages. packages: change, package."""
     found = relations.interface_signals(pairs, packages, embeds)
