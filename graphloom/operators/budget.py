@@ -47,45 +47,57 @@ def steps(items: DataFrame, reports: DataFrame, kind: str) -> DataFrame:
     items: report, list, place (from 1), json, is_target (of source lines), and for
     reading steps that stand for another item its origin_list and origin_place: they
     go with it. reports: report, frame (bytes with empty lists and without a record),
-    prior (map of counters that are set already).
+    prior (map of counters that are set already). Items are sorted twice, each reading
+    step to the item that it stands for, then all as they go; every count and sum is
+    taken in one of these two orders, so a task holds few sorts at once.
     """
     order = ORDERS[kind]
-    c, of = F.col, lambda k: F.create_map(*(F.lit(x) for row in order for x in (row[0], row[k])))[F.col("list")]
-    rank = F.create_map(*(F.lit(x) for k, row in enumerate(order) for x in (row[0], k)))[c("list")]
+    groups = list(dict.fromkeys(row[1] for row in order))
+    c, of = F.col, lambda values, name: F.create_map(*(F.lit(x) for row, v in zip(order, values) for x in (row[0], v)))[F.col(name)]
     rows = items.join(reports.select("report", "frame", F.coalesce("prior", F.create_map().cast("map<string,int>")).alias("prior")), "report")
-    rows = rows.withColumn("rank", rank).withColumn("counter", of(1)).filter("rank IS NOT NULL")
-    # lines go from both ends towards the target, the later of two that are equally far first
-    aim = F.max(F.when(c("is_target"), c("place"))).over(W.partitionBy("report", "list"))
-    rows = rows.withColumn("far", F.coalesce(F.abs(c("place") - aim), F.lit(0)))
-    stays = (c("place") <= of(2)) | F.coalesce(c("is_target"), F.lit(False))
-    rows = rows.withColumn("stays", stays)
+    rows = rows.filter(c("list").isin(*(row[0] for row in order))).withColumn("counter", of([row[1] for row in order], "list"))
+    rows = rows.withColumn("stays", (c("place") <= of([row[2] for row in order], "list")) | F.coalesce(c("is_target"), F.lit(False)))
     # a reading step goes with its item, unless that one always stays
-    own = F.coalesce("origin_list", "list"), F.coalesce("origin_place", "place")
-    rows = rows.withColumns({"own_list": own[0], "own_place": own[1]})
-    led = F.max(F.when(F.col("origin_list").isNull() & ~c("stays"), 1)).over(W.partitionBy("report", "own_list", "own_place"))
-    rows = rows.withColumn("follows", c("origin_list").isNotNull() & led.isNotNull())
-    gives = ~c("stays") & ~c("follows")
-    first = F.when(gives, F.row_number().over(W.partitionBy("report", gives).orderBy("rank", F.desc("far"), F.desc("place"))))
-    rows = rows.withColumn("gave", first)
-    rows = rows.withColumn("step", F.when(c("follows"), F.max("gave").over(W.partitionBy("report", "own_list", "own_place"))).otherwise(c("gave")))
-    in_list = W.partitionBy("report", "list").orderBy(F.asc_nulls_last("step"), "place")
-    left = F.count("*").over(W.partitionBy("report", "list")) - F.row_number().over(in_list) + 1
-    size = F.octet_length("json") + F.when(left >= 2, 1).otherwise(0)
-    whole = F.octet_length("json") + F.when(F.row_number().over(in_list) > 1, 1).otherwise(0)
-    rows = rows.withColumns({"size": size, "whole": whole})
-    nth = F.row_number().over(W.partitionBy("report", "counter", F.col("gave").isNull()).orderBy("gave")) - 1
-    before = F.coalesce(F.try_element_at("prior", c("counter")), F.lit(0)) + nth
+    own = c("origin_list").isNull()
+    rows = rows.withColumns({"own_list": F.coalesce("origin_list", "list"), "own_place": F.coalesce("origin_place", "place")})
+    led = F.max(F.when(own & ~c("stays"), 1)).over(W.partitionBy("report", "own_list", "own_place"))
+    # lines go from both ends towards the target, the later of two that are equally far first
+    aim = F.max(F.when(own & c("is_target"), c("place"))).over(W.partitionBy("report", "own_list").orderBy("own_place").rangeBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = rows.withColumns({"led": led, "aim": aim}).withColumn("follows", ~own & c("led").isNotNull()).withColumn("gives", ~c("stays") & ~c("follows"))
+    # the place at which an item goes: its own, or that of the item that it follows
+    beside = own | c("follows")
+    rows = rows.withColumns({"at": F.when(beside, c("own_list")).otherwise(c("list")), "far": F.when(beside, F.coalesce(F.abs(c("own_place") - c("aim")), F.lit(0))).otherwise(0), "nth": F.when(beside, c("own_place")).otherwise(c("place"))})
+    rows = rows.withColumns({"rank": of(range(len(order)), "at"), "group": of([groups.index(row[1]) for row in order], "at")})
+    keys, last = ["report", "group", "rank"], [F.desc("far"), F.desc("nth")]
+    ahead = lambda k: W.partitionBy(*keys[:k]).orderBy(*keys[k:], *last)  # noqa: E731  one order for every k
+    peers = lambda k: ahead(k).rangeBetween(W.unboundedPreceding, W.currentRow)  # noqa: E731  with those that go in the same step
+    each = lambda k: ahead(k).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = lambda k: ahead(k).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    goes, reading = c("gives") | c("follows"), c("list") == _READING[0]
+    rows = rows.withColumns({
+        "in_list": F.count_if(~c("follows")).over(whole(3)), "stay_in_list": F.count_if("stays").over(whole(3)), "list_gave": F.count_if("gives").over(peers(3)),
+        "opens": ~c("follows") & (F.count_if(~c("follows")).over(each(3)) == 1), "counted": F.count_if("gives").over(peers(2)),
+    })
+    rows = rows.withColumns({
+        "went": F.count_if("gives").over(peers(1)), "read": F.count_if(reading & goes).over(each(1)), "all_read": F.count_if(reading).over(whole(1)), "stay_read": F.count_if(reading & c("stays")).over(whole(1)),
+        "lists": F.count_if(c("opens") & ~reading).over(whole(1)), "length": F.sum(F.octet_length("json")).over(whole(1)), "n": F.count("*").over(whole(1)),
+    })
+    rows = rows.withColumns({"gave": F.when(c("gives"), c("went").cast("int")), "step": F.when(goes, c("went").cast("int"))})
+    # the last item of a list that goes empty has no comma
+    alone = F.when(reading, (c("stay_read") == 0) & (c("read") == c("all_read"))).otherwise((c("stay_in_list") == 0) & (c("list_gave") == c("in_list")))
+    size = F.octet_length("json") + F.when(alone, 0).otherwise(1)
+    before = F.coalesce(F.try_element_at("prior", c("counter")), F.lit(0)) + c("counted") - 1
     set_already = F.exists(F.map_values("prior"), lambda n: n > 0)
     # the record itself, if this is its first counter, is a comma, its name, a colon and braces; further counters have a comma
     comma = F.when(before == 0, F.when((c("gave") == 1) & ~set_already, len(RECORD) + 6).otherwise(1)).otherwise(0)
     inner = F.lit(0)
     for name, field in INNER.items():
-        earlier = F.coalesce(F.try_element_at("prior", F.lit(f"{name}.{field}")), F.lit(0)) + F.row_number().over(W.partitionBy("report", "list", c("gave").isNull()).orderBy("gave")) - 1
+        earlier = F.coalesce(F.try_element_at("prior", F.lit(f"{name}.{field}")), F.lit(0)) + c("list_gave") - 1
         inner = F.when(c("list") == name, _grown(earlier, F.lit(field)) + F.when(earlier == 0, 1).otherwise(0)).otherwise(inner)
-    rows = rows.withColumn("gain", F.when(c("gave").isNotNull(), _grown(before, c("counter")) + comma + inner).otherwise(0))
-    start = F.sum("whole").over(W.partitionBy("report")) + c("frame") + _record(c("prior"))
-    upto = W.partitionBy("report").orderBy(F.asc_nulls_last("step")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("start", start).withColumn("bytes", F.when(c("step").isNotNull(), c("start") - F.sum("size").over(upto) + F.sum("gain").over(upto)))
+    gain = F.when(c("gives"), _grown(before, c("counter")) + comma + inner).otherwise(0)
+    start = c("length") + c("n") - c("lists") - F.when(c("all_read") > 0, 1).otherwise(0) + c("frame") + _record(c("prior"))
+    rows = rows.withColumns({"start": start, "lost": F.when(goes, size - gain)})
+    rows = rows.withColumn("bytes", F.when(goes, c("start") - F.sum("lost").over(peers(1))))
     return rows.select(*items.columns, "counter", "step", "gave", "start", "bytes", "frame", "prior")
 
 
@@ -112,13 +124,13 @@ def fitted(items: DataFrame, reports: DataFrame, kind: str, budget: int) -> tupl
     cut = F.when(c("start") <= budget, 0).otherwise(F.coalesce(enough, F.max("step").over(by), F.lit(0)))
     rows = rows.withColumn("cut", cut)
     left = rows.filter("step IS NULL OR step > cut").select(*items.columns)
-    at = F.when(c("cut") == 0, c("start")).otherwise(F.max(F.when(c("step") == c("cut"), c("bytes"))).over(by))
-    ends = rows.withColumn("at", at)
-    lost = ends.filter("gave <= cut").groupBy("report", "counter").agg(F.count("*").alias("n"))
-    lost = lost.groupBy("report").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("counter", F.col("n").cast("int").alias("n"))))).alias("lost"))
-    totals = ends.groupBy("report").agg(F.max("at").alias("at"))
+    # a report's counters are few and known: one aggregate counts them all
+    names = sorted({row[1] for row in ORDERS[kind]})
+    gone = F.array(*(F.count_if((c("gave") <= c("cut")) & (c("counter") == n)).cast("int") for n in names))
+    lost = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), gone), lambda _, n: n > 0)
+    ends = rows.groupBy("report").agg(F.max(F.when(c("cut") == 0, c("start")).when(c("step") == c("cut"), c("bytes"))).alias("at"), lost.alias("lost"))
     none = F.create_map().cast("map<string,int>")
-    out = reports.join(totals, "report", "left").join(lost, "report", "left").withColumns({"prior": F.coalesce("prior", none), "lost": F.coalesce("lost", none)})
+    out = reports.join(ends, "report", "left").withColumns({"prior": F.coalesce("prior", none), "lost": F.coalesce("lost", none)})
     out = out.withColumn("at", F.coalesce("at", c("frame") + _record(c("prior"))))
     counters = F.map_zip_with("prior", "lost", lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     out = out.withColumn("counters", F.map_filter(counters, lambda _, n: n > 0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import budget as B
 from graphloom.operators import targets as X
+from graphloom.plans.facts import JOINED_ROWS, spread
 from graphloom.plans.registry import _joined, _query
 
 _SHOWN_NAME = "CASE WHEN receiver = '' THEN name ELSE receiver || '.' || name END"
@@ -80,15 +81,25 @@ FROM (SELECT *, CASE WHEN field + 1 < 10 THEN 1 WHEN field + 2 < 100 THEN 2 WHEN
 def _budget(get, kind: str) -> DataFrame:
     names, (origins, most) = _lists(kind), READ[kind]
     pick = F.array(*map(F.lit, names))[((F.col("l_orderkey") + F.col("l_linenumber")) % len(names)).cast("int")]
-    rows = get("orders").join(get("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("report"), "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
-    rows = rows.withColumn("list", pick).withColumn("place", F.row_number().over(W.partitionBy("report", "list").orderBy("l_orderkey", "l_linenumber")))
-    none = [F.lit(None).cast("string").alias("origin_list"), F.lit(None).cast("int").alias("origin_place")]
-    plain = rows.select("report", "list", "place", F.concat(F.lit('"'), F.repeat(F.lit("x"), (F.col("part") % 40).cast("int")), F.lit('"')).alias("json"), ((F.col("list") == "sourceContext.lines") & (F.col("place") == 2)).alias("is_target"), *none)
+    tasks = spread(get("lineitem"), JOINED_ROWS)
+    orders = get("orders").select("o_orderkey", F.col("o_custkey").alias("report")).repartition(tasks, "o_orderkey")
+    rows = get("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(tasks, "l_orderkey").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = rows.groupBy("report", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part")).repartition(tasks, "report").withColumn("list", pick)
+    reports = rows.select("report").distinct()
+    # both places are counted in one order of a report's rows: by origin, list and key
     at = F.array_position(F.array(*map(F.lit, origins)), F.col("list"))
-    read = rows.filter(F.col("list").isin(*origins) & (F.col("place") <= most)).select("report", F.lit("readingOrder").alias("list"), F.row_number().over(W.partitionBy("report").orderBy(at, "place")).alias("place"), F.concat(F.lit('"Step '), "list", F.col("place").cast("string"), F.lit('"')).alias("json"), F.lit(False).alias("is_target"), F.col("list").alias("origin_list"), F.col("place").alias("origin_place"))
+    rows = rows.withColumn("at", at).withColumn("place", F.row_number().over(W.partitionBy("report", "at", "list").orderBy("l_orderkey", "l_linenumber")))
+    is_read = (F.col("at") > 0) & (F.col("place") <= most)
+    rows = rows.withColumn("step", F.count_if(is_read).over(W.partitionBy("report").orderBy("at", "list", "l_orderkey", "l_linenumber").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("read", F.explode(F.when(is_read, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    text = F.when(F.col("read"), F.concat(F.lit("Step "), "list", F.col("place").cast("string"))).otherwise(F.repeat(F.lit("x"), (F.col("part") % 40).cast("int")))
+    items = rows.select(
+        "report", F.when(F.col("read"), "readingOrder").otherwise(F.col("list")).alias("list"), F.when(F.col("read"), F.col("step").cast("int")).otherwise(F.col("place")).alias("place"), F.concat(F.lit('"'), text, F.lit('"')).alias("json"),
+        (~F.col("read") & (F.col("list") == "sourceContext.lines") & (F.col("place") == 2)).alias("is_target"), F.when(F.col("read"), F.col("list")).alias("origin_list"), F.when(F.col("read"), F.col("place")).alias("origin_place"),
+    )
     prior = F.create_map(F.lit("testPlanItems"), (F.col("report") % 12).cast("int"), F.lit("affectedPackages"), (F.col("report") % 2).cast("int"))
-    reports = rows.select("report").distinct().select("report", (F.col("report") % 50 + 300).cast("int").alias("frame"), prior.alias("prior"))
-    left, ends = B.fitted(plain.union(read), reports, kind, BYTES)
+    reports = reports.select("report", (F.col("report") % 50 + 300).cast("int").alias("frame"), prior.alias("prior"))
+    left, ends = B.fitted(items, reports, kind, BYTES)
     held = left.groupBy("report").agg(F.count("*").alias("items"), F.sum("place").alias("places"))
     omitted = F.aggregate(F.map_values("counters"), F.lit(0), lambda a, n: a + n)
     return ends.join(held, "report", "left").select("report", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("places", F.lit(0)).alias("places"), omitted.alias("omitted"), "overage", "bytes")
