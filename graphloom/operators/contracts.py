@@ -74,6 +74,12 @@ def enriched_counts(related: DataFrame, packages: DataFrame, tests: DataFrame) -
 
 def change_contracts(packages: DataFrame, pairs: DataFrame, embeds: DataFrame) -> DataFrame:
     """(change, side, name): contracts with a side in a change's packages. packages: change, package."""
-    found = relations.interface_signals(pairs, packages, embeds)
-    sides = found.select("package", F.explode(F.array(F.struct(F.lit("interface").alias("side"), F.col("interface").alias("name")), F.struct(F.lit("implementation").alias("side"), F.col("type").alias("name")))).alias("s")).select("package", "s.side", "s.name").distinct()
-    return packages.join(sides, "package").select("change", "side", "name").distinct()
+    pairs, packages = stored(pairs.select("interface", "type"), "pairs"), packages.select("change", "package").distinct()
+    of = lambda side: pairs.withColumn("package", N.package_of_symbol(F.col(side))).join(packages, "package").select("change", "interface", "type")
+    near = of("interface")
+    more = relations.embedding_interfaces(embeds, near.select("interface").distinct())
+    brought = near.select("change", "interface").distinct().join(more, "interface").select("change", F.col("embedding").alias("interface")).distinct()
+    every = near.union(of("type")).union(brought.join(pairs, "interface").select("change", "interface", "type"))
+    # a pair gives its change before its sides are told apart, so no row of a package and a pair is kept
+    sides = F.explode(F.array(F.struct(F.lit("interface").alias("side"), F.col("interface").alias("name")), F.struct(F.lit("implementation").alias("side"), F.col("type").alias("name"))))
+    return every.select("change", sides.alias("s")).select("change", "s.side", "s.name").distinct()
