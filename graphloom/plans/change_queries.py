@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from graphloom.functions import folds
 from graphloom.operators import changes as C
 from graphloom.operators import test_plans as P
+from graphloom.plans.facts import spread
 from graphloom.plans.registry import _joined, _query
 from graphloom.sources import states
 from graphloom.sources.shared import new_path
 
+#: Sections of diffs of a task; a section here has about six lines.
+SECTIONS = 50_000
+
 
 @_query(
     """, old AS (SELECT package AS root, path, size, mtime_ns FROM files), new AS (
@@ -38,13 +42,13 @@ def changed_between_states(get, spark):
 )
 def diff_sections(get, spark):
     """A section of a diff for each order, a diff for each customer: edited (with a quoted path), added, deleted, renamed and binary files."""
-    rows = get("orders").selectExpr(
-        "'d' || o_custkey AS file", "o_orderkey AS k",
-        r"""CASE o_orderkey % 5 WHEN 0 THEN array('diff --git "a/dir/\\303\\244 b' || o_orderkey || '.go" "b/dir/\\303\\244 b' || o_orderkey || '.go"', 'index 1..2 100644', '--- "a/dir/\\303\\244 b' || o_orderkey || '.go"', '+++ "b/dir/\\303\\244 b' || o_orderkey || '.go"', '@@ -3 +3,2 @@ f', '-x', '+y', '+z')
-            WHEN 1 THEN array('diff --git a/dir/f' || o_orderkey || '.go b/dir/f' || o_orderkey || '.go', 'new file mode 100644', '--- /dev/null', '+++ b/dir/f' || o_orderkey || '.go', '@@ -0,0 +1 @@', '+x')
-            WHEN 2 THEN array('diff --git a/dir/f' || o_orderkey || '.go b/dir/f' || o_orderkey || '.go', 'deleted file mode 100644', '--- a/dir/f' || o_orderkey || '.go', '+++ /dev/null', '@@ -1 +0,0 @@', '-diff --git x')
-            WHEN 3 THEN array('diff --git a/was/f' || o_orderkey || '.go b/dir/f' || o_orderkey || '.go', 'similarity index 100%', 'rename from was/f' || o_orderkey || '.go', 'rename to dir/f' || o_orderkey || '.go')
-            ELSE array('diff --git a/dir/f' || o_orderkey || '.go b/dir/f' || o_orderkey || '.go', 'index 1..2 100644', 'Binary files a/dir/f' || o_orderkey || '.go and b/dir/f' || o_orderkey || '.go differ') END AS lines""",
+    rows = get("orders").selectExpr("'d' || o_custkey AS file", "o_orderkey AS k").repartition(spread(get("orders"), SECTIONS), "file").selectExpr(
+        "file", "k",
+        r"""CASE k % 5 WHEN 0 THEN array('diff --git "a/dir/\\303\\244 b' || k || '.go" "b/dir/\\303\\244 b' || k || '.go"', 'index 1..2 100644', '--- "a/dir/\\303\\244 b' || k || '.go"', '+++ "b/dir/\\303\\244 b' || k || '.go"', '@@ -3 +3,2 @@ f', '-x', '+y', '+z')
+            WHEN 1 THEN array('diff --git a/dir/f' || k || '.go b/dir/f' || k || '.go', 'new file mode 100644', '--- /dev/null', '+++ b/dir/f' || k || '.go', '@@ -0,0 +1 @@', '+x')
+            WHEN 2 THEN array('diff --git a/dir/f' || k || '.go b/dir/f' || k || '.go', 'deleted file mode 100644', '--- a/dir/f' || k || '.go', '+++ /dev/null', '@@ -1 +0,0 @@', '-diff --git x')
+            WHEN 3 THEN array('diff --git a/was/f' || k || '.go b/dir/f' || k || '.go', 'similarity index 100%', 'rename from was/f' || k || '.go', 'rename to dir/f' || k || '.go')
+            ELSE array('diff --git a/dir/f' || k || '.go b/dir/f' || k || '.go', 'index 1..2 100644', 'Binary files a/dir/f' || k || '.go and b/dir/f' || k || '.go differ') END AS lines""",
     )
     lines = rows.select("file", F.posexplode("lines").alias("at", "value"), "k").select("file", (F.col("k") * 10 + F.col("at")).alias("n"), "value")
     return C.changed_files(lines)
