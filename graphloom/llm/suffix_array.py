@@ -108,31 +108,43 @@ def suffix_array(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     suffixes that are left tied.
     """
     n = len(buf)
+    kind = np.int32 if n < 1 << 30 else np.int64
     key = _packed(buf, True).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    head = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-    group = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # the first index of a suffix's group
-    rank = np.empty(n, np.int64)
-    rank[order] = group
+    order = np.argsort(key, kind="stable").astype(kind)
+    key = key[order]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
+    del key
+    rank = np.empty(n, kind)
+    rank[order] = _heads(head)  # the first index of a suffix's group
     h = 8
-    single = head & np.append(head[1:], True)
-    todo = np.flatnonzero(~single)
+    todo = _tied(head)
     while len(todo):
         places = order[todo]
-        ahead = np.where(places + h < n, rank[np.minimum(places + h, n - 1)] + 1, 0)
-        both = rank[places] * np.int64(n + 1) + ahead
-        by = np.argsort(both, kind="stable")
+        both = rank[places] * np.int64(n + 1)
+        inside = places < n - h
+        both[inside] += rank[places[inside] + kind(h)] + np.int64(1)
+        by = np.argsort(both, kind="stable").astype(kind)
         both, places = both[by], places[by]
+        del by, inside
         order[todo] = places
         new = np.concatenate(([True], both[1:] != both[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))
-        rank[places] = todo[start]
-        todo = todo[~(new & np.append(new[1:], True))]
+        del both
+        rank[places] = todo[_heads(new)]
+        todo = todo[_tied(new)]
         h *= 2
     return order, rank
 
 
+def _heads(head: np.ndarray) -> np.ndarray:
+    """For each index the last one up to it that opens a group."""
+    return np.maximum.accumulate(np.where(head, np.arange(len(head), dtype=np.int32 if len(head) < 1 << 30 else np.int64), 0))
+
+
+def _tied(head: np.ndarray) -> np.ndarray:
+    """Indexes in groups of two or more."""
+    return np.flatnonzero(~(head & np.append(head[1:], True))).astype(np.int32 if len(head) < 1 << 30 else np.int64)
+
+
 def common_prefixes(buf: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int = SPAN, lane: int = 256) -> np.ndarray:
     """For each index of the suffix array the common prefix with the suffix before it, up to ``depth``, by Kasai's method.
 
@@ -141,7 +153,7 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, rank: np.ndarray, depth:
     """
     n = len(buf)
     padded = np.concatenate((buf, np.zeros(depth + 8, np.uint8)))
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     base = np.arange(0, n, lane)
     have = np.zeros(len(base), np.int64)
     for step in range(lane):
@@ -282,12 +294,13 @@ def sort_shard(block: dict) -> Iterator[pa.RecordBatch]:
     buf = np.frombuffer(b"".join(data), np.uint8)
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     order, rank = suffix_array(buf)
-    shared = common_prefixes(buf, order, rank)
-    owner = np.repeat(np.arange(len(data)), size)[order]
-    place = order - begin[owner]
-    whole = place <= size[owner] - SPAN  # a window lies inside its context
-    run = np.cumsum(shared < SPAN)[whole]
-    owner, place = owner[whole], place[whole]
+    run = np.cumsum(common_prefixes(buf, order, rank) < SPAN, dtype=order.dtype)
+    del rank
+    inside = np.arange(len(buf), dtype=order.dtype) - np.repeat(begin.astype(order.dtype), size)
+    whole = (inside <= np.repeat((size - SPAN).astype(order.dtype), size))[order]  # a window lies inside its context
+    order, run = order[whole], run[whole]
+    owner, place = np.repeat(np.arange(len(data), dtype=order.dtype), size)[order], inside[order].astype(np.int64)
+    del order, inside, whole
     doc, start = block["doc"][owner], block["at"][owner] + place
     by = np.lexsort((start, doc, run))
     first = np.concatenate(([True], run[by][1:] != run[by][:-1]))
