@@ -8,7 +8,7 @@ is aligned once, with its number of occurrences as weight:
 1. Blocks of about 24 megabytes of texts become a dictionary of segments and
    codes; the dictionaries' segments are counted over the corpus.
 2. Each distinct segment is encoded twice; tokens are exploded with their places,
-   windowed sums of byte lengths are their ends, and an equi-join on segment and end
+   windowed sums of byte lengths are their ends, and grouping by segment and end
    finds the places where both end. A running count of these cuts is the group.
    Between two neighbouring ends of either kind lies one pair of tokens that overlap,
    and each overlapping pair has one such stretch: so links come from a window over
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import textops as T
@@ -190,11 +190,16 @@ def encoded(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return segments.select("segment", "n").mapInArrow(run, "seg long, segment string, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
 
 
-def token_ends(units: DataFrame, ids: str, sizes: str) -> DataFrame:
-    """A row for each token: its place in the unit, its id, and the byte at which it ends."""
-    rows = units.select("seg", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(sizes).alias("size"))).alias(f"{ids}_pos", "t"))
-    upto = Window.partitionBy("seg").orderBy(f"{ids}_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("seg", f"{ids}_pos", F.col("t.id").alias(f"{ids}_id"), F.sum("t.size").over(upto).alias("end"))
+def token_ends(units: DataFrame) -> DataFrame:
+    """A row for each token: its unit, whether it is of the second tokenizer, its place, its id, and the byte at which it ends; the units are dealt once."""
+
+    def tokens(x: str) -> Column:
+        both = F.arrays_zip(F.col(x).alias("id"), F.col(f"{x}_size").alias("size"))
+        return F.transform(both, lambda t, i: F.struct(F.lit(x == "b").alias("second"), i.alias("pos"), t["id"].alias("id"), t["size"].alias("size")))
+
+    rows = units.select("seg", "a", "a_size", "b", "b_size").repartition("seg").select("seg", F.inline(F.concat(tokens("a"), tokens("b"))))
+    upto = Window.partitionBy("seg", "second").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("seg", "second", "pos", "id", F.sum("size").over(upto).alias("end"))
 
 
 def links(units: DataFrame) -> DataFrame:
@@ -203,9 +208,9 @@ def links(units: DataFrame) -> DataFrame:
     Where both tokens end the row has their places; elsewhere one of these is null.
     ``back`` numbers the groups between such cuts from the last one.
     """
-    units = units.repartition("seg")
-    a, b = token_ends(units, "a", "a_size"), token_ends(units, "b", "b_size")
-    ends = a.join(b, ["seg", "end"], "full")
+    # at most one token of a kind ends at a byte; a full join would hide from Spark that rows of a unit lie together
+    own = [F.max(F.when(F.col("second") == (x == "b"), F.col(c))).alias(f"{x}_{c}") for x in "ab" for c in ("pos", "id")]
+    ends = token_ends(units).groupBy("seg", "end").agg(*own)
     down = Window.partitionBy("seg").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull()
     # the token that covers the stretch before an end is the next one of its kind to end
@@ -272,7 +277,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     counted = kept(with_counts(linked), "counted", linked)
     # what a block's entry holds is one text: five sums, and the groups
     entries = named.select("block", "code", "segment").join(counted, "segment").select("block", "code", F.concat_ws(" ", *_SUMS, "groups").cast("binary").alias("packed"))
-    rows = blocks.filter("code = -1").select("block", "code", "packed").union(entries)
+    # stored, so that the shuffles of the join are gone before entries are dealt by block
+    rows = kept(blocks.filter("code = -1").select("block", "code", "packed").union(entries), "entries", blocks, counted)
     columns = {id_col: "long", **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), "long"), "groups_sha256": "string"} | ({"groups": "string"} if keep_groups else {})
 
     def decoded(head: dict, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
