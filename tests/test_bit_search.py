@@ -99,3 +99,18 @@ def test_entry_points_are_spread_after_their_kinds(spark, monkeypatch):
     rows = relations.entry_points(functions, calls, possible, spark.createDataFrame([(8,), (9,)], "target int"))
     assert {(r.target, r.node, r.kind, r.certainty) for r in rows.collect()} == {(t, n, "exported" if n % 2 else "no-local-callers", "possible") for t in (8, 9) for n in range(10) if n % 2 or n == 0}
     assert len(spread) == 1 and {"kind", "block", "w0"} <= set(spread[0].columns)
+
+
+def test_explained_counts_only_calls_of_its_targets(spark, monkeypatch):
+    """Direct calls of other symbols go before they are grouped; the targets' rows are the same."""
+    from graphloom.operators import relations, reports
+
+    picked, own = [], relations.of_ids
+    monkeypatch.setattr(relations, "of_ids", lambda rows, ids, name: picked.append(own(rows, ids, name)) or picked[-1])
+    calls = spark.createDataFrame([(a, b) for a in range(70) for b in range(0, 70, 7) if a % 3], "src long, dst long")
+    targets = spark.createDataFrame([(0,), (35,), (66,)], "target long")
+    symbols = spark.range(70).select(F.col("id").alias("node"), F.lit("function").alias("kind"))
+    impact = targets.selectExpr("target", "false AS exported", "2L AS affected_packages", "0L AS tests", "0 AS warnings")
+    text = lambda rows: sorted(str(r) for r in rows.collect())
+    assert text(reports.explained(impact, calls, symbols, targets)) == text(reports.explained(impact, calls, symbols))
+    assert [(p.count(), p.select(c).distinct().count()) for p, c in zip(picked, ("dst", "src"))] == [(92, 2), (10, 1)]
